@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlake.llm import byte_bpe, token_counts
+from pactlake.llm import audio, byte_bpe, token_counts
 from pactlake.llm.common import table
 
 
@@ -16,13 +16,17 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_columns(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op9_token_counts)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_audio_columns, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
