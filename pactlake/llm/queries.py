@@ -6,11 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pactlake.llm import audio, byte_bpe, token_counts
+from pactlake.llm import audio, byte_bpe, language_id, token_counts
 from pactlake.llm.common import table
 
 
+def _held_out(modulus: int, remainder: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, docs.filter(~_held_out(5, 0)))
+    return found.select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
@@ -26,7 +37,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_audio_columns, op9_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_audio_columns, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
