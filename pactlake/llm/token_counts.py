@@ -7,6 +7,7 @@ holds the token count of every prefix, and truncation or budget questions read t
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
@@ -160,6 +161,18 @@ class PrefixCounter:
         return at
 
 
+_counters: dict[tuple[bytes, str], PrefixCounter] = {}
+
+
+def counter_of(data: bytes, pattern: str) -> PrefixCounter:
+    """The worker's counter of this file; it stays for later tasks, with what it remembers."""
+    key = hashlib.sha256(data).digest(), pattern
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = PrefixCounter(json.loads(data), pattern)
+    return _counters[key]
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_prefixes: bool = False) -> DataFrame:
     """Token counts of whole texts, whether they pass `limit`, and where a cut at `limit` tokens falls.
 
@@ -175,7 +188,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     def run(batches):
         import pyarrow as pa
 
-        counter = PrefixCounter(json.loads(shared.value), pattern)
+        counter = counter_of(shared.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
