@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import audio, byte_bpe, language_id, token_counts
+from pactlake.llm import audio, byte_bpe, language_id, mixing, quality_crf, token_counts
 from pactlake.llm.common import table
 
 
@@ -31,13 +31,25 @@ def op4_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_columns(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_crf.fit(docs, table(spark, sf_dir, "labels").filter(~_held_out(3, 1)))
+    found = quality_crf.score_documents(docs, model)
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.col("_weight").alias("weight"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_audio_columns, op9_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_audio_columns, op6_quality_crf, op7_mixing, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
