@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import audio, byte_bpe, language_id, mixing, quality_crf, token_counts
+from pactlake.llm import audio, byte_bpe, language_id, line_dedup, mixing, quality_crf, token_counts
 from pactlake.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
@@ -49,7 +54,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_byte_bpe, op4_audio_columns, op6_quality_crf, op7_mixing, op9_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op6_quality_crf, op7_mixing, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
