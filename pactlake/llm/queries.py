@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import audio, byte_bpe, language_id, line_dedup, mixing, quality_crf, token_counts
+from pactlake.llm import audio, byte_bpe, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_counts
 from pactlake.llm.common import table
 
 
@@ -53,9 +53,28 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+#: Windows by their words; the smallest document of each; the words that removed windows cover.
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, len(words) AS n, unnest(range(1, greatest(len(words) - 12, 0) + 1)) AS i, words FROM w),
+k AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS low FROM k GROUP BY h),
+g AS (SELECT DISTINCT doc_id, i FROM k JOIN m USING (h) WHERE low < doc_id),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM g, range(0, 13) t(j)),
+r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(words, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op6_quality_crf, op7_mixing, op9_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op6_quality_crf, op7_mixing, op9_token_counts, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_substring_dedup": OP10_SQL}
