@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import audio, byte_bpe, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_counts
+from pactlake.llm import audio, byte_bpe, jaccard_join, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_counts
 from pactlake.llm.common import table
 
 
@@ -36,6 +36,24 @@ def op4_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_columns(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Distinct sets, pairs that share a shingle, and labels spread to the smallest document.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS x FROM w),
+e AS (SELECT doc_id, len(x) AS n, unnest(x) AS h FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS t, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS (SELECT a, b FROM i WHERE 100 * c >= 75 * (t - c)),
+r(node, low) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node WHERE r.low < l.b)
+SELECT s.doc_id, CAST(len(x) AS BIGINT) AS n_shingles, CAST(m.low AS BIGINT) AS component_id
+FROM s JOIN (SELECT node, min(low) AS low FROM r GROUP BY node) m ON m.node = s.doc_id
+"""
+
+
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_crf.fit(docs, table(spark, sf_dir, "labels").filter(~_held_out(3, 1)))
@@ -73,8 +91,8 @@ FROM w LEFT JOIN r USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op6_quality_crf, op7_mixing, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op5_jaccard_join, op6_quality_crf, op7_mixing, op9_token_counts, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring_dedup": OP10_SQL}
+    return {"op5_jaccard_join": OP5_SQL, "op10_substring_dedup": OP10_SQL}
