@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import audio, byte_bpe, jaccard_join, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_counts
+from pactlake.llm import audio, byte_bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_counts
 from pactlake.llm.common import table
 
 
@@ -66,6 +66,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.col("_weight").alias("weight"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label by cosine, and labels spread to the smallest vector.
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98),
+r(node, low) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node WHERE r.low < l.b),
+m AS (SELECT node, min(low) AS low FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS c FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(c, 0) AS BIGINT) AS n_links, CAST(low AS BIGINT) AS component_id, vec_id = low AS kept
+FROM v JOIN m ON m.node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -91,8 +108,8 @@ FROM w LEFT JOIN r USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op5_jaccard_join, op6_quality_crf, op7_mixing, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op5_jaccard_join, op6_quality_crf, op7_mixing, op8_embedding_dedup, op9_token_counts, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op5_jaccard_join": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL}
