@@ -123,6 +123,18 @@ class Codec:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_codecs: dict[tuple[bytes, str], Codec] = {}
+
+
+def codec_of(data: bytes, pattern: str) -> Codec:
+    """The worker's codec of this file; it stays for later tasks, with what it remembers."""
+    key = hashlib.sha256(data).digest(), pattern
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(load_ranks(data), pattern)
+    return _codecs[key]
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Encode whole texts by the rank file and decode the ids again.
 
@@ -140,7 +152,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(load_ranks(shared.value), pattern)
+        codec = codec_of(shared.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
