@@ -29,6 +29,8 @@ SPAN = 7
 SMALL = 48
 BUCKET_KEYS, PORTION, BYTES_A_WORD = 500_000, 2_000_000, 6
 SUB = 24
+#: Buckets of a set's sketch, sets in one side of a block, and candidates of a probe and component in the first round.
+SKETCH, BLOCK, FEW = 512, 2048, 32
 BOTH, LOW, INDEX, EXTRA = 0, 1, 2, 3  # a key's role: index and probe, probe of the band below, index only, extra probe
 
 
@@ -227,14 +229,65 @@ def _shared_keys(t):
     return pa.table({"doc": pa.array(doc, pa.int64()), "role": pa.array(role.astype(np.int32), pa.int32()), "key": pa.array((bucket << SUB) + key, pa.int64())})
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Elements counted in SKETCH buckets; empty where a count does not fit a byte.
+
+    The sum over buckets of the smaller count bounds an intersection from above.
+    """
+    c = np.bincount((x >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
+
+
 def _packed_sets(batches):
     import pyarrow as pa
 
     for batch in batches:
         buf, off = text_buffer(batch.column(1))
         for a, b in row_chunks(off):
-            sets = [s.tobytes() for s in shingle_sets(buf, off[a : b + 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["node", "elements"])
+            sets = shingle_sets(buf, off[a : b + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "elements", "sketch"])
+
+
+def _apart(first: int, last: int):
+    """One block of a hub's sets -> pairs (a, b) of a probe and an index in different components that may be linked.
+
+    Of each probe's candidates in one component those ranked from `first` to before `last` by their bound are returned;
+    a row (null, null) tells that there are more.
+    """
+
+    def run(t):
+        import pyarrow as pa
+
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        probe = t.column("probe").to_numpy()
+        node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "comp"))
+        raw = t.column("sketch").to_pylist()
+        known = np.array([len(x) > 0 for x in raw])
+        counts = np.frombuffer(b"".join(x or bytes(SKETCH) for x in raw), np.uint8).reshape(-1, SKETCH)
+        pi, ii = np.flatnonzero(probe == 1), np.flatnonzero(probe == 0)
+        found, more = [], False
+        for p in pi:
+            fit = ii[(comp[ii] != comp[p]) & (n[ii] <= n[p]) & (4 * n[ii] >= 3 * n[p])]
+            if not len(fit):
+                continue
+            most = np.minimum(counts[fit], counts[p]).sum(1, dtype=np.int64)
+            spare = np.where(known[fit] & known[p], SPAN * most - 3 * (n[fit] + n[p]), 1 << 40)
+            fit, spare = fit[spare >= 0], spare[spare >= 0]
+            if not len(fit):
+                continue
+            order = np.lexsort((node[fit], -spare, comp[fit]))
+            fit = fit[order]
+            c = comp[fit]
+            head = np.concatenate([[True], c[1:] != c[:-1]])
+            rank = np.arange(len(fit)) - np.maximum.accumulate(np.where(head, np.arange(len(fit)), 0))
+            more |= bool((rank >= last).any())
+            for i in fit[(rank >= first) & (rank < last)]:
+                found.append((node[p], node[i]))
+        if more:
+            found.append((None, None))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())}, schema=schema)
+
+    return run
 
 
 def _linked(batches):
@@ -275,9 +328,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     held, p_held = materialize(held, "jaccard-held")
     discard(spark, p_shared, p_sets)
 
-    # Cost of a probe: the other sets that the index has under its key.
-    freq = held.filter(F.col("role").isin(BOTH, INDEX)).groupBy("key").agg(F.count("*").alias("f"), F.min("node").alias("hub"))
-    costed = held.filter(F.col("role") != INDEX).join(freq, "key").withColumn("cost", F.col("f") - (F.col("role") == BOTH).cast("long")).filter("cost > 0")
+    # Cost of a probe: the other sets that the index has under its key. The hub of a key is its set with the most common
+    # subsets on average: of copies with edits, the one that has the fewest.
+    indexed = held.filter(F.col("role").isin(BOTH, INDEX))
+    freq = indexed.groupBy("key").agg(F.count("*").alias("f"))
+    central = indexed.join(freq, "key").groupBy("node").agg(F.avg("f").alias("p"))
+    hubs = indexed.join(central, "node").groupBy("key").agg(F.count("*").alias("f"), F.max(F.struct("p", (-F.col("node")).alias("h"))).alias("top"))
+    hubs, p_hubs = materialize(hubs.select("key", "f", (-F.col("top.h")).alias("hub")), "jaccard-hubs")
+    costed = held.filter(F.col("role") != INDEX).join(hubs, "key").withColumn("cost", F.col("f") - (F.col("role") == BOTH).cast("long")).filter("cost > 0")
     rank = F.row_number().over(Window.partitionBy("node", "role").orderBy(F.desc("cost"), "key"))
     slack = F.when(F.col("role") == BOTH, F.col("own")).when(F.col("role") == LOW, F.col("low")).otherwise(F.lit(-1))
     probes, p_probes = materialize(costed.withColumn("rank", rank).filter(F.col("rank") > slack).select("node", "n", "role", "key", "hub"), "jaccard-probes")
@@ -287,32 +345,42 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     wanted = probes.select("node").unionByName(index.select("node")).distinct()
     texts = rows.join(wanted, rows["id"] == wanted["node"], "left_semi").select(F.col("id").alias("node"), "text")
-    packed, p_packed = materialize(texts.mapInArrow(_packed_sets, "node long, elements binary").dropDuplicates(["node"]), "jaccard-packed")
+    packed, p_packed = materialize(texts.mapInArrow(_packed_sets, "node long, elements binary, sketch binary").dropDuplicates(["node"]), "jaccard-packed")
 
     # (1) each probe against the hub that it shares most keys with
     best = probes.filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("c"))
     best = best.groupBy("node").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("top"))
     star, p_star = materialize(verified(best.select(F.col("node").alias("a"), (-F.col("top.h")).alias("b")), packed), "jaccard-star")
-    near, p_near = components(star)
-    # (2) what still lies apart: in keys of several components, all pairs of a probe and an index of different ones
-    comp = near.select("node", "component")
-    tag = F.coalesce("component", "node").alias("comp")
-    p = probes.join(comp, "node", "left").select("key", "node", "n", tag).distinct()
-    i = index.join(comp, "node", "left").select("key", "node", "n", tag)
-    p, p_p = materialize(p, "jaccard-p")
-    i, p_i = materialize(i, "jaccard-i")
-    mixed = p.select("key", "comp").unionByName(i.select("key", "comp")).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    sizes = i.join(mixed, "key", "left_semi").groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    pm, im = p.join(main, "key"), i.join(main, "key")
-    x = lambda f: f.select("key", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = lambda f: f.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fit = "ca <> cb AND nb <= na AND 4 * nb >= 3 * na"
-    # The largest component of a key meets only the others, so its own members are never paired.
-    pairs = x(pm.filter("comp <> main")).join(y(i), "key").filter(fit).select("a", "b").unionByName(x(pm.filter("comp = main")).join(y(im.filter("comp <> main")), "key").filter(fit).select("a", "b")).distinct()
-    more, p_more = materialize(verified(pairs, packed), "jaccard-more")
-    found, _ = components(star.unionByName(more))
-    discard(spark, p_probes, p_index, p_packed, p_star, p_near, p_p, p_i, p_more)
+    # (2) what still lies apart: sets under keys of one hub, in blocks, pairs of different components only. Pairs that pass the
+    # bound are verified; where a probe has many of them in one component, the best go first, as one link settles them all.
+    hub_of = hubs.select("key", "hub").join(used, "key", "left_semi")
+    members = probes.select("hub", "node", F.lit(1).alias("probe")).unionByName(index.join(hub_of, "key").select("hub", "node", F.lit(0).alias("probe"))).distinct()
+    members, p_members = materialize(members, "jaccard-members")
+    size_of = known.filter("id = node").select("node", "n").distinct()
+    info, p_info = materialize(packed.select("node", "sketch").join(size_of, "node"), "jaccard-info")
+    edges, old, p_near = star, [p_star], None
+    first, last = 0, FEW
+    while True:
+        near, p_next = components(edges)
+        discard(spark, p_near)
+        p_near = p_next
+        placed = members.join(near, "node", "left").select("hub", "probe", "node", F.coalesce("component", "node").alias("comp"))
+        mixed = placed.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("probe").alias("np"), F.sum(1 - F.col("probe")).alias("ni")).filter("lo <> hi AND np > 0 AND ni > 0")
+        mixed = mixed.select("hub", F.ceil(F.col("np") / BLOCK).cast("int").alias("bp"), F.ceil(F.col("ni") / BLOCK).cast("int").alias("bi"))
+        full = placed.join(mixed, "hub").join(info, "node")
+        mine = F.pmod(F.xxhash64("node"), F.when(F.col("probe") == 1, F.col("bp")).otherwise(F.col("bi"))).cast("int")
+        full = full.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.when(F.col("probe") == 1, F.col("bi")).otherwise(F.col("bp")) - 1)))
+        full = full.select("hub", "probe", "node", "n", "comp", "sketch", F.when(F.col("probe") == 1, F.col("mine")).otherwise(F.col("theirs")).alias("x"), F.when(F.col("probe") == 1, F.col("theirs")).otherwise(F.col("mine")).alias("y"))
+        pairs, p_pairs = materialize(full.groupBy("hub", "x", "y").applyInArrow(_apart(first, last), "a long, b long").distinct(), "jaccard-pairs")
+        more, p_more = materialize(verified(pairs.filter("a IS NOT NULL"), packed), "jaccard-more")
+        edges, old = edges.unionByName(more), [*old, p_more]
+        left = not pairs.filter("a IS NULL").isEmpty()
+        discard(spark, p_pairs)
+        if not left:
+            break
+        first, last = last, 16 * last
+    found, _ = components(edges)
+    discard(spark, p_probes, p_index, p_packed, p_near, p_members, p_info, p_hubs, *old)
     return known.select("id", "n", "node"), found
 
 
