@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from pactlake.operators import diff, matching
 from pactlake.operators.changes import HIGH
 from pactlake.sources.documents import Model, load
+from pactlake.work import discard, written
 
 
 class DocumentDiff:
-    """Lazy frames of one comparison: `loaded`, `model`, `renames`, `changes`. `specs`: pair_id, side (old, new), source, content."""
+    """Frames of one comparison: `loaded`, `model`, `header`, `changes`. `specs`: pair_id, side (old, new), source, content.
+
+    Tables that several comparisons read are written to the shared folder once: each plan stays short, and a lost
+    executor costs its tasks only. `close` removes them when the changes have been written elsewhere.
+    """
 
     def __init__(self, specs: DataFrame) -> None:
-        # Every table below is read by several comparisons; kept, each is computed once and its plan stays short.
+        self._spark, self._paths = specs.sparkSession, []
         self.loaded = self._keep(load(specs))
         self.model = Model(self.loaded)
         self._ops = self._keep(self.model.operations())
@@ -24,13 +28,14 @@ class DocumentDiff:
         self._paired = None
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        self._kept = [*getattr(self, "_kept", []), df.persist(StorageLevel.MEMORY_AND_DISK)]
-        return self._kept[-1]
+        out, path = written(df, "contract")
+        self._paths.append(path)
+        return out
 
     def close(self) -> None:
-        """Release what is kept; frames made from it are computed anew if they are read again."""
-        for df in self._kept:
-            df.unpersist()
+        """Remove the written tables; frames made from them can't be read afterwards."""
+        discard(self._spark, *self._paths)
+        self._paths = []
 
     def problems(self) -> DataFrame:
         return self.loaded.filter("problem IS NOT NULL").select("pair_id", "side", "source", "problem")

@@ -13,7 +13,7 @@ _PARENT = "CASE n % 7 WHEN 2 THEN 'data' WHEN 3 THEN 'data.item' WHEN 5 THEN 'me
 _TYPE = "CASE rf WHEN 'R' THEN 'string' WHEN 'A' THEN 'integer' ELSE 'integer:int64' END"
 _NEW_TYPE = f"CASE WHEN p % 7 = 0 THEN 'string:date-time' WHEN p % 7 = 1 AND rf = 'N' THEN 'integer:int32' WHEN p % 7 = 2 AND rf = 'A' THEN 'integer:int64' ELSE {_TYPE} END"
 _SIDE = "CASE WHEN o % 2 = 0 THEN 'request' ELSE 'response' END"
-_PATH = "'/v' || CAST(p_size % 3 + 1 AS STRING) || '/' || replace(p_name, ' ', '_') || '/' || CAST(p_partkey % 10 AS STRING) || '/{{id}}'"
+_PATH = "'/v' || CAST(p_size % 3 + 1 AS STRING) || '/' || replace(p_name, ' ', '_') || '/' || CAST(p_partkey % 10 AS STRING) || '/{id}'"
 _METHOD = "CASE p_partkey % 5 WHEN 0 THEN 'get' WHEN 1 THEN 'post' WHEN 2 THEN 'put' WHEN 3 THEN 'patch' ELSE 'delete' END"
 
 #: View name: portable SQL over the tables named in braces.
