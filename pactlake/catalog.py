@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlake.functions import schema_types, text, urls, vendor
-from pactlake.operators import cascade, changes, diff, edits, grouping, history, matching
+from pactlake.operators import call_sites, cascade, changes, diff, edits, grouping, history, matching
 from pactlake.plans import contract_diff, contract_views, demo
 from pactlake.sources.tables import table
+from pactlake.streaming import checks
+from pactlake.work import work_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -640,6 +642,26 @@ def url_public_guard(spark, sf_dir):
     return p.select("page_id", urls.public_url_problem("u").alias("problem"))
 
 
+# ---- call sites ----
+
+# The dollar stands apart from its brace, which Spark's expression parser would take for a variable.
+_CALLS = "CASE page_id % 4 WHEN 0 THEN 'https://api.test/v1/charges' WHEN 1 THEN '/v1/charges/' || page_id || '?x=1' WHEN 2 THEN '/v1/charges/a/b' ELSE '$' || '{BASE}/v1/charges/$' || '{id}' END"
+_HEAD = "CASE WHEN page_id % 3 = 0 THEN 'client.post(' ELSE 'const r = await fetch(' END"
+
+
+@query(f"""WITH c AS (SELECT page_id, page_id % 4 AS k, page_id % 3 = 0 AS posts, {_CALLS} AS u, {_HEAD} AS h FROM pages)
+SELECT CAST(page_id AS STRING) AS file, CASE WHEN k = 0 THEN 'all' ELSE 'one' END AS change_id, CAST(length(h) + 2 AS INT) AS start_at, CAST(2 AS INT) AS line, replace(u, '/v1/charges', '/v1/payments') AS replacement
+FROM c WHERE k = 0 OR (k IN (1, 3) AND NOT posts)""")
+def site_path_renames(spark, sf_dir):
+    content = F.concat(F.lit("\n"), F.expr(_HEAD), F.lit("`"), F.expr(_CALLS), F.lit("`);\n"))
+    files = table(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), F.col("page_id").cast("string").alias("file"), content.alias("content"))
+    rows = [("all", "/v1/charges", None, "/v1/payments"), ("one", "/v1/charges/{id}", "get", "/v1/payments/{id}")]
+    renamed = spark.createDataFrame(rows, "id string, path string, method string, to_name string")
+    none = F.lit(None).cast("string")
+    renamed = renamed.select("*", F.col("path").alias("from_name"), F.lit("path.renamed").alias("kind"), F.lit(True).alias("breaking"), none.alias("direction"), none.alias("operation_id"))
+    return call_sites.find_sites(files, renamed).select("file", "change_id", "start_at", "line", "replacement")
+
+
 # ---- vendors ----
 
 _TITLE = "CASE p_partkey % 6 WHEN 0 THEN 'Stripe API v2' WHEN 1 THEN 'GitHub REST API' WHEN 2 THEN 'Payment specification 1.0.3' WHEN 3 THEN 'Chat API' WHEN 4 THEN 'API' ELSE p_name || ' OpenAPI spec v3' END"
@@ -676,6 +698,12 @@ def snapshot_status(spark, sf_dir):
     return history.snapshot_status(_view(spark, sf_dir, "snaps")[0])
 
 
+@query(f"WITH h AS (SELECT spec, seq, sha256(content) AS hash FROM {V('snaps')} s), l AS (SELECT *, lag(hash) OVER (PARTITION BY spec ORDER BY seq) AS p FROM h) SELECT spec, CAST(seq AS BIGINT) AS seq, hash, CASE WHEN p IS NULL THEN 'baseline' WHEN p = hash THEN 'unchanged' ELSE 'changed' END AS status FROM l")
+def stream_check_status(spark, sf_dir):
+    snaps, path = written(_view(spark, sf_dir, "snaps")[0].select(F.col("spec").cast("string").alias("spec"), "seq", "content"), "stream-in")
+    return checks.check_available(spark.readStream.schema(snaps.schema).parquet(path), work_dir(spark))
+
+
 @query(f"SELECT spec, max(seq) AS seq, sha256(arg_max(content, seq)) AS hash FROM {V('snaps')} s GROUP BY spec")
 def latest_snapshot(spark, sf_dir):
     (s,) = _view(spark, sf_dir, "snaps")
@@ -730,3 +758,22 @@ def demo_diff(spark, sf_dir):
 def demo_groups(spark, sf_dir):
     d = contract_diff.diff_documents(demo.specs(spark)).withColumn("_key", grouping.group_key())
     return d.agg(F.countDistinct("_key").cast("int").alias("groups"), F.count("*").cast("int").alias("total"), text.branch_digest(F.collect_list("id")).alias("digest"))
+
+
+def _demo_plan(spark) -> tuple[DataFrame, DataFrame]:
+    found, _ = written(contract_diff.diff_documents(demo.specs(spark)), "demo-changes")
+    return edits.plan_edits(call_sites.find_sites(demo.files(spark), found), found), found
+
+
+#: Worked out by hand from the demo's caller: line, kind, action, text and replacement of each site.
+_DEMO_SITES = (
+    "(11, 'path.renamed', 'apply', '${BASE}/v1/charges', '${BASE}/v1/payments', 1), (11, 'param.added.required', 'review', '${BASE}/v1/charges', NULL, 1), "
+    "(14, 'request.field.renamed', 'apply', 'amount', 'amount_cents: amount', 1), (23, 'path.renamed', 'apply', '${BASE}/v1/charges/${chargeId}', '${BASE}/v1/payments/${chargeId}', 1), "
+    + ", ".join(f"({line}, '{kind}', 'review', '{name}', NULL, 2)" for line in (25, 29) for kind, name in (("response.field.renamed", "amount"), ("response.field.type.changed", "currency"), ("enum.value.added", "status")))
+)
+
+
+@query(f"SELECT CAST(line AS INT) AS line, kind, action, text, replacement, CAST(n AS BIGINT) AS n FROM (VALUES {_DEMO_SITES}) t(line, kind, action, text, replacement, n)")
+def demo_plan(spark, sf_dir):
+    planned, found = _demo_plan(spark)
+    return planned.join(found.select(F.col("id").alias("change_id"), "kind"), "change_id").groupBy("line", "kind", "action", "text", "replacement").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,3 +37,11 @@ def check_stream(snapshots: DataFrame) -> DataFrame:
     """
     hashed = snapshots.select("spec", F.col("seq").cast("long").alias("seq"), F.sha2("content", 256).alias("hash"))
     return hashed.groupBy("spec").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def check_available(snapshots: DataFrame, folder: str) -> DataFrame:
+    """The statuses of what a stream holds now: one run to the end of its input, results and state under `folder`."""
+    out, state = (f"{folder}/stream-{part}-{uuid.uuid4().hex}" for part in ("out", "state"))
+    run = check_stream(snapshots).writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return snapshots.sparkSession.read.schema(OUTPUT).parquet(out)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactlake import catalog
-from pactlake.operators import history, matching
+from pactlake.operators import call_sites, edits, history, matching
 from pactlake.plans import contract_diff, demo
 from pactlake.streaming import checks
 
@@ -90,3 +90,39 @@ def test_entry_works_without_the_optional_part(tmp_path):
     shutil.copy(top / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'field_diff' in q and not any(x.startswith('op1_') or x == 'pipeline' for x in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_call_sites_in_source_code(spark):
+    schema = "id string, kind string, breaking boolean, direction string, path string, method string, operation_id string, from_name string, to_name string"
+    found = spark.createDataFrame([
+        ("p", "path.renamed", True, None, "/v1/charges", None, None, "/v1/charges", "/v1/payments"),
+        ("f", "request.field.renamed", True, "request", "/v1/charges", "post", "create", "amount", "cents"),
+        ("r", "operation.removed", True, None, "/v1/old/{id}", "get", "getOld", None, None),
+        ("n", "operation.added", False, None, "/v1/charges", "get", None, None, None),
+    ], schema)
+    texts = {
+        "axios": 'api.post("/v1/charges", { amount: 3, other: amount });\n',
+        "value": "fetch('/v1/charges?x=1', { method: 'POST', body: JSON.stringify({ 'a': 1, amount: total }) });",
+        "wrong": "fetch('/v1/charges/7'); fetch('/v2/charges', { method: 'PUT' }); // fetch(url)\n",
+        "gone": "\n\nfetch(`${b}/v1/old/${x}`);\nclient.get_old(3); sdk.getOld (4);\n",
+        "wrapped": "request('/v1/charges');",
+        "empty": "",
+        "none": None,
+    }
+    files = spark.createDataFrame([("repo", k, v) for k, v in texts.items()], "repo string, file string, content string")
+    rows = call_sites.find_sites(files, found, wrappers=("request",)).collect()
+    assert all(texts[r["file"]][r["start_at"] : r["end_at"]] == r["text"] for r in rows)
+    assert sorted((r["file"], r["change_id"], r["text"], r["replacement"] or "", r["line"]) for r in rows) == [
+        ("axios", "f", "amount", "cents", 1), ("axios", "p", "/v1/charges", "/v1/payments", 1),
+        ("gone", "r", "${b}/v1/old/${x}", "", 3), ("gone", "r", "getOld", "", 4), ("gone", "r", "get_old", "", 4),
+        ("value", "f", "amount", "cents", 1), ("value", "p", "/v1/charges?x=1", "/v1/payments?x=1", 1),
+        ("wrapped", "p", "/v1/charges", "/v1/payments", 1),
+    ]
+    assert call_sites.find_sites(files.limit(0), found).count() == 0
+
+
+def test_demo_edits_are_spliced(spark):
+    planned, _ = catalog._demo_plan(spark)
+    changed, _ = edits.splice(planned.filter("action = 'apply'").withColumnRenamed("replacement", "after_text"), demo.files(spark).select("file", "content"))
+    want = demo.CALLER.replace("/v1/charges", "/v1/payments").replace("      amount,\n", "      amount_cents: amount,\n")
+    assert [r["content"] for r in changed.collect()] == [want]
