@@ -308,6 +308,7 @@ def field_rename_unambiguous(spark, sf_dir):
 
 @query(f"WITH {_PR} SELECT op, location, from_n, to_n FROM sure")
 def param_rename(spark, sf_dir):
+    """The sure renames, as SQL can state them; param_rename_all has every confidence."""
     ctx, o, n = _view(spark, sf_dir, "contexts", "params_old", "params_new")
     scope = ["pair_id", "op"]
     keys = [*scope, "location", "name"]
@@ -317,6 +318,18 @@ def param_rename(spark, sf_dir):
     return pairs.join(side(r, "from_ord", "from_n"), [*scope, "from_ord"]).join(side(a, "to_ord", "to_n"), [*scope, "to_ord"]).select("op", "location", "from_n", "to_n")
 
 
+@query()
+def param_rename_all(spark, sf_dir):
+    """Sure and ambiguous parameter renames; first fit has no plain SQL form."""
+    o, n = _view(spark, sf_dir, "params_old", "params_new")
+    scope = ["pair_id", "op"]
+    keys = [*scope, "location", "name"]
+    r, a = diff.unmatched(o, n, keys), diff.unmatched(n, o, keys)
+    pairs = matching.sibling_renames(r, a, scope, ["location", "type"])
+    moved = pairs.join(r.select(*scope, F.col("ord").alias("from_ord"), "location", F.col("name").alias("from_n")), [*scope, "from_ord"]).join(a.select(*scope, F.col("ord").alias("to_ord"), F.col("name").alias("to_n")), [*scope, "to_ord"])
+    return moved.select("op", "location", "from_n", "to_n", changes.confidence_of(F.col("conf")).alias("confidence"))
+
+
 @query()
 def field_rename_ambiguous(spark, sf_dir):
     """Classes with several rows a side, paired one to one by related names; first fit has no plain SQL form."""
@@ -361,7 +374,7 @@ _FM = "a.op = r.op AND a.direction = r.direction AND a.parent = r.parent AND a.s
 @query(f"""WITH {_FR}, j AS (SELECT c.*, r.direction, r.pointer, r.type, r.required FROM r JOIN {V('contexts')} c ON c.op = r.op WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_FM}))
 SELECT {_id(_FKIND.format('removed'), _LOC, 'pointer', ft='type')}, direction = 'response' OR required AS breaking, {_RANK} AS confidence, path, method, pointer AS from_name, NULL AS to_name, direction || ' field ' || pointer || ' removed' AS detail FROM j""")
 def fields_removed(spark, sf_dir):
-    """Removed fields of classes to which nothing was added: no rename can claim them."""
+    """Removed fields of classes to which nothing was added: no rename can claim them. fields_removed_all has the others too."""
     ctx, o, n = _view(spark, sf_dir, "contexts", "fields_old", "fields_new")
     keys, cls = ["pair_id", "op", "direction", "pointer"], ["pair_id", "op", "direction", "parent", "schema_fp"]
     alone = diff.unmatched(diff.unmatched(o, n, keys), diff.unmatched(n, o, keys), cls).join(ctx, ["pair_id", "op"]).select("pair_id", "path", "direction", F.col("pointer").alias("from_name"))
@@ -374,7 +387,7 @@ _FM2 = "r.op = a.op AND r.direction = a.direction AND r.parent = a.parent AND r.
 @query(f"""WITH {_FR}, j AS (SELECT c.*, a.pointer, a.type FROM a JOIN {V('contexts')} c ON c.op = a.op WHERE a.direction = 'request' AND a.required AND NOT EXISTS (SELECT 1 FROM r WHERE {_FM2}))
 SELECT {_id(repr('request.field.added.required'), repr('body'), to='pointer', tt='type')}, true AS breaking, {_RANK} AS confidence, path, method, NULL AS from_name, pointer AS to_name, 'new required request field ' || pointer || ' (' || type || ')' AS detail FROM j""")
 def fields_added_required(spark, sf_dir):
-    """Added required request fields of classes that lost nothing."""
+    """Added required request fields of classes that lost nothing. fields_added_required_all has the others too."""
     ctx, o, n = _view(spark, sf_dir, "contexts", "fields_old", "fields_new")
     keys, cls = ["pair_id", "op", "direction", "pointer"], ["pair_id", "op", "direction", "parent", "schema_fp"]
     alone = diff.unmatched(diff.unmatched(n, o, keys), diff.unmatched(o, n, keys), cls).join(ctx, ["pair_id", "op"]).select("pair_id", "path", F.col("pointer").alias("to_name"))
@@ -399,6 +412,7 @@ _PM = "a.op = r.op AND a.location = r.location AND a.type = r.type"
 
 @query(f"WITH {_PR}, j AS (SELECT c.path, c.method, c.rank, r.location, r.name FROM r JOIN {V('contexts')} c ON c.op = r.op WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_PM})) SELECT {_id(repr('param.removed'), 'location', 'name')}, false AS breaking, {_RANK} AS confidence, path, method, name AS from_name, NULL AS to_name, location || ' parameter ' || name || ' removed, the server now ignores it' AS detail FROM j")
 def params_removed(spark, sf_dir):
+    """Removed parameters of classes that gained nothing. params_removed_all has the others too."""
     ctx, o, n = _view(spark, sf_dir, "contexts", "params_old", "params_new")
     keys, cls = ["pair_id", "op", "location", "name"], ["pair_id", "op", "location", "type"]
     alone = diff.unmatched(diff.unmatched(o, n, keys), diff.unmatched(n, o, keys), cls).join(ctx, ["pair_id", "op"]).select("pair_id", "path", "location", F.col("name").alias("from_name"))
@@ -407,12 +421,40 @@ def params_removed(spark, sf_dir):
 
 @query(f"WITH {_PR}, j AS (SELECT c.path, c.method, c.rank, a.location, a.name, a.type FROM a JOIN {V('contexts')} c ON c.op = a.op WHERE a.required AND NOT EXISTS (SELECT 1 FROM r WHERE {_PM})) SELECT {_id(repr('param.added.required'), 'location', to='name', tt='type')}, true AS breaking, {_RANK} AS confidence, path, method, NULL AS from_name, name AS to_name, 'new required ' || location || ' parameter ' || name || ' (' || type || ')' AS detail FROM j")
 def params_added_required(spark, sf_dir):
+    """Added required parameters of classes that lost nothing. params_added_required_all has the others too."""
     ctx, o, n = _view(spark, sf_dir, "contexts", "params_old", "params_new")
     keys, cls = ["pair_id", "op", "location", "name"], ["pair_id", "op", "location", "type"]
     alone = diff.unmatched(diff.unmatched(n, o, keys), diff.unmatched(o, n, keys), cls).join(ctx, ["pair_id", "op"]).select("pair_id", "path", "location", F.col("name").alias("to_name"))
     return _out(_param_changes(spark, sf_dir).filter("kind = 'param.added.required'").join(alone, ["pair_id", "path", "location", "to_name"], "left_semi"))
 
 
+# ---- whole outputs: what first fit leaves unpaired has no plain SQL form ----
+
+
+@query()
+def fields_removed_all(spark, sf_dir):
+    """Every removed field that no rename claims."""
+    return _out(_field_changes(spark, sf_dir).filter(F.endswith("kind", F.lit(".field.removed"))))
+
+
+@query()
+def fields_added_required_all(spark, sf_dir):
+    """Every added required request field that no rename claims."""
+    return _out(_field_changes(spark, sf_dir).filter("kind = 'request.field.added.required'"))
+
+
+@query()
+def params_removed_all(spark, sf_dir):
+    """Every removed parameter that no rename claims."""
+    return _out(_param_changes(spark, sf_dir).filter("kind = 'param.removed'"))
+
+
+@query()
+def params_added_required_all(spark, sf_dir):
+    """Every added required parameter that no rename claims."""
+    return _out(_param_changes(spark, sf_dir).filter("kind = 'param.added.required'"))
+
+
 @query()
 def field_diff(spark, sf_dir):
     """All field changes with cascades folded, in report order."""
@@ -474,11 +516,22 @@ def field_overlap_jaccard(spark, sf_dir):
 g AS (SELECT fp, tp, min(rank) AS rank, count(*) AS c, arg_min(method, ord) AS m FROM j WHERE fp <> tp GROUP BY fp, tp)
 SELECT fp AS from_name, tp AS to_name, CASE rank WHEN 2 THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN c = 1 THEN m END AS method, 'path ' || fp || ' renamed to ' || tp AS detail FROM g""")
 def path_rename_grouped(spark, sf_dir):
+    """Grouping alone, over shortened paths paired by ord, as SQL can state it. path_rename_all has whole paths of inferred renames."""
     o, n = _view(spark, sf_dir, "ops_old", "ops_new")
     j = o.filter("ord % 7 = 0").select("pair_id", "ord", "method", "operation_id", F.substring("path", 1, 3).alias("from_path"), F.when(F.col("ord") % 2 == 0, 2).otherwise(1).alias("rank")).join(n.select("ord", F.substring("path", 1, 4).alias("to_path")), "ord")
     return diff.path_renames(j).select("from_name", "to_name", "confidence", "method", "detail")
 
 
+@query()
+def path_rename_all(spark, sf_dir):
+    """Path renames of the inferred operation renames, whole paths; the choice has no plain SQL form."""
+    r, a = _lost_and_won(spark, sf_dir)
+    moved = matching.operation_renames(r, a).select("pair_id", "from_ord", "to_ord", F.col("conf").alias("rank"))
+    was = r.select("pair_id", F.col("ord").alias("from_ord"), "method", "operation_id", F.col("path").alias("from_path"))
+    j = moved.join(was, ["pair_id", "from_ord"]).join(a.select("pair_id", F.col("ord").alias("to_ord"), F.col("path").alias("to_path")), ["pair_id", "to_ord"])
+    return diff.path_renames(j.withColumn("ord", F.col("from_ord"))).select("from_name", "to_name", "confidence", "method", "detail")
+
+
 # ---- cascades and groups ----
 
 _CASC = f"""f AS (SELECT DISTINCT op, direction, pointer, a, b FROM ({_FIELD_BOTH}) j WHERE a <> b),
