@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from pactlake.functions.text import names_related, path_shape, path_similarity
 from pactlake.operators.changes import HIGH, MEDIUM
+from pactlake.work import discard, written
 
 #: Floors under which two operations are not one under a new path.
 PATH_FLOOR, RESEMBLANCE_FLOOR = 0.5, 0.6
+#: Candidates of a block that one row holds; larger blocks are chosen in rounds.
+FOLD_ROWS = 4000
+#: Parts into which the removed operations of a method are dealt, each met by all added ones.
+DEALS = 32
 
 
-def greedy_pairs(candidates: DataFrame, block: list[str]) -> DataFrame:
-    """One-to-one choice in each block, best score first, then in the order of both sides.
+def fold_pairs(candidates: DataFrame, block: list[str]) -> DataFrame:
+    """One-to-one choice in each block by a fold over its sorted candidates; for blocks that fit a row.
 
-    `candidates` has the block columns, from_ord, to_ord, score and conf; the result keeps the chosen rows. Blocks are
-    bounded by one document's size, so a fold over the sorted candidates of a block stays small.
+    `candidates` has the block columns, from_ord, to_ord, score and conf; the result keeps the chosen rows.
     """
     item = F.struct((-F.col("score")).alias("s"), F.col("from_ord").alias("f"), F.col("to_ord").alias("t"), F.col("score").alias("score"), F.col("conf").alias("conf"))
     kinds = {c: candidates.schema[c].dataType.simpleString() for c in ("from_ord", "to_ord")}
@@ -32,6 +36,45 @@ def greedy_pairs(candidates: DataFrame, block: list[str]) -> DataFrame:
     return picks.select(*block, F.col("p.f").alias("from_ord"), F.col("p.t").alias("to_ord"), "p.score", "p.conf")
 
 
+def _without(rows: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys, nulls among them, no pick has."""
+    taken = picks.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(taken, same, "left_anti")
+
+
+def greedy_pairs(candidates: DataFrame, block: list[str], fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """One-to-one choice in each block, best score first, then in the order of both sides.
+
+    `candidates` has the block columns, from_ord, to_ord, score and conf; the result keeps the chosen rows. Blocks of any
+    size are chosen in rounds, each of which equals a part of the fold: rows that are first on both of their sides, and a
+    fold over the first `fold_rows` candidates of each block. The candidates of both ends go before the next round.
+    """
+    spark = candidates.sparkSession
+    order = [F.desc("score"), F.asc("from_ord"), F.asc("to_ord"), F.asc("conf")]
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    names = [*block, "from_ord", "to_ord", "score", "conf"]
+    typed = candidates.select(*block, "from_ord", "to_ord", F.col("score").cast("double").alias("score"), F.col("conf").cast("int").alias("conf"))
+    left, path = written(typed, "pairs-left")
+    chosen = []
+    while True:
+        most = left.groupBy(*block).count().agg(F.max("count")).first()[0] or 0
+        if most <= fold_rows:
+            picks, at = written(fold_pairs(left, block).select(*names), "pairs")
+            chosen.append(at)
+            discard(spark, path)
+            return spark.read.schema(picks.schema).parquet(*chosen)
+        best = left.withColumns({"_f": first(*block, "from_ord"), "_t": first(*block, "to_ord")}).filter("_f = 1 AND _t = 1").select(*names)
+        head = left.withColumn("_k", first(*block)).filter(F.col("_k") <= fold_rows).drop("_k")
+        picks, at = written(best.unionByName(fold_pairs(head, block).select(*names)).dropDuplicates([*block, "from_ord", "to_ord"]), "pairs")
+        chosen.append(at)
+        rest, next_path = written(_without(_without(left, picks, [*block, "from_ord"]), picks, [*block, "to_ord"]), "pairs-left")
+        discard(spark, path)
+        left, path = rest, next_path
+
+
 def sibling_renames(removed: DataFrame, added: DataFrame, scope: list[str], same: list[str]) -> DataFrame:
     """Renames among removed and added rows that agree on `scope` (one operation) and `same` (place and shape).
 
@@ -45,7 +88,7 @@ def sibling_renames(removed: DataFrame, added: DataFrame, scope: list[str], same
     sure = (F.col("r_n") == 1) & (F.col("a_n") == 1)
     both = r.join(a, keys).withColumn("sure", sure).filter(F.col("sure") | names_related("r_name", "a_name"))
     scored = both.withColumns({"score": F.when(F.col("sure"), 2.0).otherwise(1.0), "conf": F.when(F.col("sure"), HIGH).otherwise(MEDIUM)})
-    return greedy_pairs(scored, keys).select(*scope, "from_ord", "to_ord", "conf")
+    return fold_pairs(scored, keys).select(*scope, "from_ord", "to_ord", "conf")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -63,7 +106,9 @@ def operation_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
 
     Frames have pair_id, method, path, operation_id, request and response (pointer arrays), ord. Pairs that share an
     operation id join on it. The others must have similar paths: as an edit distance is at least the difference of lengths,
-    only paths of lengths within a factor of two of each other are compared, by joining on length classes.
+    only paths of lengths within a factor of two of each other are compared, by joining on length classes. Similarity 0.5
+    leaves no stricter exact key: every second character may differ, and then no two neighbours are shared. The work grows with
+    removed x added operations of a method and is dealt out, so that no method is one task.
     """
     side = lambda df, p: df.select("pair_id", "method", *[F.col(c).alias(f"{p}_{c}") for c in ("path", "operation_id", "request", "response", "ord")])
     r, a = side(removed, "r"), side(added, "a")
@@ -71,7 +116,9 @@ def operation_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
     by_id = r.join(a.withColumn("r_operation_id", F.col("a_operation_id")), ["pair_id", "method", "r_operation_id"]).filter(same_id)
     cls = lambda c: F.floor(F.log2(F.greatest(F.length(path_shape(c)), F.lit(1)))).cast("int")
     near = F.array(*[cls("r_path") + d for d in (-1, 0, 1)])
-    by_path = r.withColumn("cls", F.explode(near)).join(a.withColumn("cls", cls("a_path")), ["pair_id", "method", "cls"]).filter(~F.coalesce(same_id, F.lit(False))).drop("cls")
+    dealt = r.withColumns({"cls": F.explode(near), "deal": F.pmod(F.xxhash64("r_ord"), F.lit(DEALS))})
+    met = a.withColumn("cls", cls("a_path")).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    by_path = dealt.join(met, ["pair_id", "method", "cls", "deal"]).filter(~F.coalesce(same_id, F.lit(False))).drop("cls", "deal")
     close, alike = path_similarity("r_path", "a_path"), resemblance(F.col("r_request"), F.col("a_request"), F.col("r_response"), F.col("a_response"))
     keep = ["pair_id", "method", F.col("r_ord").alias("from_ord"), F.col("a_ord").alias("to_ord")]
     sure = by_id.select(*keep, (2 + close).alias("score"), F.lit(HIGH).alias("conf"))
