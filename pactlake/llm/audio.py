@@ -59,9 +59,12 @@ _PHASES, _BANK, _HANN = _filter(), _mel(), np.hanning(FRAME)
 
 
 def resample(x: np.ndarray) -> np.ndarray:
-    """Polyphase: output m is the phase (m * DOWN) % UP of the filter on the TAPS samples up to m * DOWN // UP."""
-    count = len(x) * UP // DOWN
-    padded = np.concatenate([np.zeros(TAPS - 1), x])
+    """Polyphase: output m is the phase (m * DOWN) % UP of the filter on the TAPS samples up to m * DOWN // UP.
+
+    Zeros follow the signal until its last sample has left the filter.
+    """
+    count = -(-(len(x) + TAPS - 1) * UP // DOWN)
+    padded = np.concatenate([np.zeros(TAPS - 1), x, np.zeros(TAPS - 1)])
     view = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
     y = np.empty(count)
     for p in range(UP):
@@ -72,9 +75,9 @@ def resample(x: np.ndarray) -> np.ndarray:
 
 
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x MELS log energies, frame energy in dB); a short signal is padded to one frame."""
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y))])
+    """(frames x MELS log energies, frame energy in dB); zeros fill the last frame, so every sample lies in one."""
+    whole = FRAME + max(0, -(-(len(y) - FRAME) // HOP)) * HOP
+    y = np.concatenate([y, np.zeros(whole - len(y))])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     mel, db = np.empty((len(frames), MELS), np.float32), np.empty(len(frames))
     for a in range(0, len(frames), STEP):
