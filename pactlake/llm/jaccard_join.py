@@ -209,8 +209,8 @@ def _shared_keys(t):
     import pyarrow as pa
 
     bucket = t.column("bucket")[0].as_py()
-    index, probe, many = (np.zeros(1 << SUB, bool) for _ in range(3))
-    first = np.full(1 << SUB, -1, np.int64)
+    index, probe, many, seen = (np.zeros(1 << SUB, bool) for _ in range(4))
+    first = np.zeros(1 << SUB, np.int64)
     parts = []
     for data in t.column("data").to_pylist():
         n, w = len(data) // (SUB // 8 + 9), SUB // 8
@@ -220,8 +220,9 @@ def _shared_keys(t):
         parts.append((key, role, doc))
         index[key[(role == BOTH) | (role == INDEX)]] = True
         probe[key[role != INDEX]] = True
-        new = first[key] < 0
+        new = ~seen[key]
         first[key[new]] = doc[new]
+        seen[key] = True
         many[key[first[key] != doc]] = True
     on = index & probe & many
     hit = [on[key] for key, _, _ in parts]
