@@ -2,27 +2,41 @@
 
 A source with token share p gets the weight p^a / sum p^a. The exponent a is found by bisection so that the weights
 meet a target entropy or so that no source repeats more often than a limit. A token budget then becomes passes over
-each source in a fixed random order of blocks: whole passes, and one pass that ends inside its last block.
+each source in a fixed random order of blocks: whole passes, and one pass that ends inside its last block. Tokens are those
+of a byte-level BPE file, counted once for each row and written.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlake.llm.byte_bpe import codec_of
 from pactlake.llm.common import discard, materialize
 
 #: Blocks of each source's permutation; a pass that ends early cuts within one of them.
 BLOCKS = 1024
 #: Sources whose shares the driver holds; more of them are summed by Spark in every bisection step.
 DRIVER_SOURCES = 100_000
-WORD = r"[^\x20\x09-\x0D]+"
+#: The vocabulary that counts, if no other is given: the one the pipeline encodes by.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-def word_count(text):
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def counted(docs: DataFrame, text_col: str = "text", ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> tuple[DataFrame, str]:
+    """`docs` with _n_tokens, written, and its table's path. Only texts travel to Python; a null text has no tokens."""
+    with open(ranks_path or public_tokenizers.path(RANKS), "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def count(texts: pd.Series) -> pd.Series:
+        encode = codec_of(shared.value, pattern).encode
+        return pd.Series([len(encode(t)) // 4 if t else 0 for t in texts], dtype="int64")
+
+    n = F.pandas_udf(count, "long")
+    return materialize(docs.withColumn("_n_tokens", n(F.col(text_col))), "mix-counted")
 
 
 class _Shares:
@@ -72,12 +86,12 @@ def exponent(shares: _Shares, entropy: float | None, repetition_limit: float | N
     return low if entropy is not None else high
 
 
-def plan(docs: DataFrame, entropy: float | None = None, repetition_limit: float | None = 2.0, budget_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> tuple[DataFrame, str]:
-    """One row for each (source, block): weight, passes, and what the last, partial pass takes. Also its table's path.
+def plan(docs: DataFrame, entropy: float | None = None, repetition_limit: float | None = 2.0, budget_tokens: int | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = 11) -> tuple[DataFrame, str]:
+    """One row for each (source, block) of `counted` rows: weight, passes, and what the last, partial pass takes. Also its table's path.
 
     Without `budget_tokens` the budget is the least that reads every source in full once.
     """
-    keyed = docs.select(F.col(source_col).alias("_source"), _block(id_col, seed).alias("_block"), word_count(F.col(text_col)).alias("_n"))
+    keyed = docs.select(F.col(source_col).alias("_source"), _block(id_col, seed).alias("_block"), F.col("_n_tokens").alias("_n"))
     blocks, path = materialize(keyed.groupBy("_source", "_block").agg(F.sum("_n").alias("_tokens")), "mix-blocks")
     sources = blocks.groupBy("_source").agg(F.sum("_tokens").alias("tokens"))
     shares = _Shares(sources)
@@ -107,22 +121,22 @@ def _block(id_col: str, seed: int):
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(BLOCKS)).cast("int")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **targets) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, **targets) -> DataFrame:
     """`docs` with _n_tokens, _weight and _copies: how often the mix holds each row.
 
-    A null source is a source of its own. Null texts and texts without words have no tokens; they ride along with
+    A null source is a source of its own. Null and empty texts have no tokens; they ride along with
     every whole pass of their source. Rows in a block are ordered by a hash of id and text; repeated rows are ties and may
     share a cut, which then falls on either. Columns that start with an underscore must not be in `docs`.
     """
-    made, _ = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **targets)
+    docs, _ = counted(docs, text_col, ranks_path, pattern)
+    made, _ = plan(docs, id_col=id_col, source_col=source_col, seed=seed, **targets)
     made = made.withColumnsRenamed({"_source": "_s", "_block": "_b"})
     rows = docs.withColumn("_block", _block(id_col, seed))
     # The plan has BLOCKS rows a source; Spark broadcasts it where it is small and else joins by shuffle.
     joined = rows.join(made, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "inner").drop("_s", "_b")
-    n = word_count(F.col(text_col))
-    whole = joined.filter("_room IS NULL OR _room = 0").withColumn("_n_tokens", n)
+    whole = joined.filter("_room IS NULL OR _room = 0")
     whole = whole.withColumn("_copies", F.col("_passes") + F.when(F.col("_room").isNull() & (F.col("_n_tokens") > 0), 1).otherwise(0))
-    part = joined.filter("_room > 0").withColumn("_n_tokens", n)
+    part = joined.filter("_room > 0")
     order = Window.partitionBy(source_col, "_block").orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col), F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, 0)
     part = part.withColumn("_upto", F.sum("_n_tokens").over(order))
     part = part.withColumn("_copies", F.col("_passes") + F.when((F.col("_upto") <= F.col("_room")) & (F.col("_n_tokens") > 0), 1).otherwise(0)).drop("_upto")

@@ -62,7 +62,7 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.copies(table(spark, sf_dir, "documents"))
+    found = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.col("_weight").alias("weight"))
 
 
