@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; a temporary folder only where the session names none (tests on one machine)."""
+    """`spark.checkpoint.dir`; a temporary folder only where all of Spark is one local process and the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.pactlake.workDir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='pactlake-')}"
         spark.conf.set("spark.pactlake.workDir", found)
     return found.rstrip("/")
@@ -24,9 +26,10 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
+def discard(spark: SparkSession, *paths: str | None) -> None:
     """Remove tables of `written` that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(conf).delete(at, True)
+        if p:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
