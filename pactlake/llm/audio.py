@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactlake.llm.common import byte_slices
+
 RATE, UP, DOWN, TAPS = 8000, 3, 5, 8
 FRAME, HOP, MELS, BLOCK = 256, 96, 20, 64
 #: Decibels over the quietest tenth at which a segment begins, and under which it ends.
@@ -165,8 +167,7 @@ def audio_columns(docs: DataFrame, multiple: int = 576, id_col: str = "doc_id",
 
         ms = 1000 * DOWN * HOP / (RATE * UP)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in byte_slices(batch, 1, 256):
                 rows = []
                 for text in part.column(1).to_pylist():
                     payload, n = payload_of(text, multiple)

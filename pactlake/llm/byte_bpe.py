@@ -13,16 +13,14 @@ import hashlib
 from heapq import heappop, heappush
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded pre-tokens that a worker remembers; beyond it the memory starts anew.
-CACHE = 1_000_000
-#: Longer pre-tokens are encoded each time and not remembered.
-CACHE_CHARS = 64
-
+from pactlake.llm.common import byte_slices
+from pactlake.llm.pretokens import TextValues
 
+#: Texts whose words are encoded together; their bytes are bounded too.
+SLICE_ROWS = 4096
 #: Ranks in one word of the bitmap's lower level; the upper level has a bit for each such word.
 WORD = 8
 
@@ -92,6 +90,96 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merger:
+    """The same queue for many short pre-tokens at once: they lie end to end in one linked list, and a bucket gives the
+    leftmost position of each of them. So one step of the bitmap serves all pre-tokens whose lowest rank it is."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.bits = max(ranks.values()).bit_length()
+        get = ranks.get
+        split = [(a << self.bits | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
+        split.sort()
+        self.codes, self.values = np.array([c for c, _ in split] + [1 << 62], np.int64), np.array([r for _, r in split] + [-1], np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the token that two tokens make; -1: none."""
+        code = a << self.bits | b
+        at = np.searchsorted(self.codes, code)
+        return np.where(self.codes[at] == code, self.values[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, as little-endian unsigned 32-bit numbers."""
+        size = np.array([len(p) for p in pieces], np.int64)
+        n, low = int(size.sum()), (1 << WORD) - 1
+        if not n:
+            return [b""] * len(pieces)
+        owner = np.repeat(np.arange(len(pieces)), size)
+        token = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        inner = owner[1:] == owner[:-1]
+        nxt, prv = np.full(n + 1, n), np.full(n + 1, -1)
+        nxt[:-2][inner] = np.flatnonzero(inner) + 1
+        prv[1:-1][inner] = np.flatnonzero(inner)
+        want = np.full(n, -1)
+        i = np.flatnonzero(inner)
+        want[i] = self.rank(token[i], token[i + 1])
+        alive = np.ones(n, bool)
+        buckets: dict[int, list[np.ndarray]] = {}
+        leaf: dict[int, int] = {}
+        top = 0
+        new = i[want[i] >= 0]
+        while True:
+            if len(new):
+                r = want[new]
+                order = np.argsort(r, kind="stable")
+                new, r = new[order], r[order]
+                head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])).tolist()
+                for a, b, s in zip(head, [*head[1:], len(r)], r[head].tolist(), strict=True):
+                    if s in buckets:
+                        buckets[s].append(new[a:b])
+                    else:
+                        buckets[s] = [new[a:b]]
+                        w = s >> WORD
+                        leaf[w] = leaf.get(w, 0) | 1 << (s & low)
+                        top |= 1 << w
+            if not top:
+                break
+            w = (top & -top).bit_length() - 1
+            bits = leaf[w]
+            r = w << WORD | (bits & -bits).bit_length() - 1
+            held = buckets.pop(r)
+            at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            at = at[want[at] == r]  # the others are stale
+            first = np.ones(len(at), bool)
+            first[1:] = owner[at[1:]] != owner[at[:-1]]
+            i = at[first]
+            if len(i) < len(at):
+                buckets[r] = [at[~first]]
+            else:
+                leaf[w] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
+            j = nxt[i]
+            k = nxt[j]
+            token[i] = r
+            nxt[i] = k
+            prv[k] = i
+            want[j] = -1
+            alive[j] = False
+            p = prv[i]
+            right, left = i[k < n], i[p >= 0]
+            want[i] = -1
+            want[right] = self.rank(token[right], token[nxt[right]])
+            p = prv[left]
+            want[p] = self.rank(token[p], token[left])
+            new = np.concatenate([right, p])
+            new = new[want[new] >= 0]
+        data = token[alive].astype("<u4").tobytes()
+        end = (4 * np.cumsum(np.bincount(owner[alive], minlength=len(pieces)))).tolist()
+        return [data[a:b] for a, b in zip([0, *end[:-1]], end, strict=True)]
+
+
 def load_ranks(data: bytes) -> dict[bytes, int]:
     """The lines `base64 rank` of a rank file."""
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}
@@ -101,23 +189,24 @@ class Codec:
     """Encoder and decoder of one vocabulary; `encode` gives ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.many = ranks, Merger(ranks)
         self.vocab = {i: b for b, i in ranks.items()}
-        codec = self
+        self.values = TextValues(pattern, lambda piece: np.array(merge(piece.encode(), ranks), "<u4").tobytes(), b"".join, self._pieces)
 
-        class Known(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = np.array(merge(piece.encode(), codec.ranks), "<u4").tobytes()
-                if len(piece) <= CACHE_CHARS:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.known = Known()
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        raw = [p.encode() for p in pieces]
+        out = [None if (r := self.ranks.get(x)) is None else r.to_bytes(4, "little") for x in raw]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.many.merge([raw[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.split(text)))
+        return self.values.of(text)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        self.values.learn(texts)
+        return [self.values.of(t) for t in texts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -154,11 +243,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
         codec = codec_of(shared.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in byte_slices(batch, 1, SLICE_ROWS):
                 n, ids_sha, text_sha, ids = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    e = codec.encode(text or "")
+                for e in codec.encode_all([t or "" for t in part.column(1).to_pylist()]):
                     n.append(len(e) // 4)
                     ids_sha.append(hashlib.sha256(e).hexdigest())
                     text_sha.append(hashlib.sha256(codec.decode(e)).hexdigest())

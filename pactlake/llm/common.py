@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from pactlake.work import discard, work_dir  # noqa: F401
+from pactlake.work import written as materialize  # noqa: F401
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -16,34 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.pactlake.workDir", None)
-        if not found:
-            found = f"file://{tempfile.mkdtemp(prefix='pactlake-')}"
-            spark.conf.set("spark.pactlake.workDir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """`df` written to the shared folder and read again: the lineage ends there. Returns its path too."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str | None) -> None:
-    """Remove tables of `materialize` that nothing reads any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for p in paths:
-        if p:
-            at = jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column and the row offsets (n + 1); nulls are empty. No copy."""
     import pyarrow as pa
@@ -74,22 +46,35 @@ _BYTE = np.random.default_rng(20260101).integers(0, 1 << 63, 256, dtype=np.uint6
 _FOLD = _BYTE.copy()
 _FOLD[65:91] = _BYTE[97:123]
 _P, _PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: Powers that a worker keeps of each base, and bytes that are hashed at once.
+KEPT = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; grown by doubling and kept."""
-    t = _powers.get(base)
-    if t is None or len(t) < n:
-        t = np.ones(1, np.uint64)
-        step = base
-        while len(t) < n:
-            t = np.concatenate([t, t * np.uint64(step)])
-            step = step * step % (1 << 64)
-        _powers[base] = t
+def _grown(base: int, n: int) -> np.ndarray:
+    t, step = np.ones(1, np.uint64), base
+    while len(t) < n:
+        t = np.concatenate([t, t * np.uint64(step)])
+        step = step * step % (1 << 64)
     return t[:n]
 
 
+def power_table(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64; the first KEPT are kept by the worker, more are made anew."""
+    if base not in _powers:
+        _powers[base] = _grown(base, KEPT)
+    return _powers[base][:n] if n <= KEPT else powers_at(base, np.arange(n))
+
+
+def powers_at(base: int, at: np.ndarray) -> np.ndarray:
+    """base^i modulo 2^64 for each i, from a table of small powers and one of their steps."""
+    high = at // KEPT
+    out = power_table(base, KEPT)[at - high * KEPT]
+    if len(at) and high.max():
+        out *= _grown(pow(base, KEPT, 1 << 64), int(high.max()) + 1)[high]
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))
@@ -118,10 +103,22 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, fold: bool) -> tuple[np.ndarra
     end = inside.copy()
     end[:-1] &= ~inside[1:] | cut[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((_FOLD if fold else _BYTE)[raw] * _power_table(_P, n), out=sums[1:])
-    h = mix((sums[e] - sums[s]) * _power_table(_PINV, n)[s] + (e - s).astype(np.uint64))
+    # Sums of byte * P^place up to each word's edges, a stretch of bytes at a time.
+    low, high = np.empty(len(s), np.uint64), np.empty(len(s), np.uint64)
+    values, total = _FOLD if fold else _BYTE, np.uint64(0)
+    for a in range(0, n, KEPT):
+        b = min(n, a + KEPT)
+        sums = np.empty(b - a + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(values[raw[a:b]] * power_table(_P, b - a), out=sums[1:])
+        sums *= np.uint64(pow(_P, a, 1 << 64))
+        sums += total
+        i, j = np.searchsorted(s, [a, b])
+        low[i:j] = sums[s[i:j] - a]
+        i, j = np.searchsorted(e, [a + 1, b + 1])
+        high[i:j] = sums[e[i:j] - a]
+        total = sums[-1]
+    h = mix((high - low) * powers_at(_PINV, s) + (e - s).astype(np.uint64))
     return h, s, e, np.searchsorted(s, off - base)
 
 
@@ -137,3 +134,11 @@ def window_hashes(h: np.ndarray, k: int, seed: int) -> np.ndarray:
         out += h[j : j + n] * np.uint64(w)
         w = w * q % (1 << 64)
     return mix(out)
+
+
+def byte_slices(batch, column: int, rows: int = 512, limit: int = 1 << 22):
+    """Slices of a record batch of about `limit` bytes of one text column and `rows` rows at most; a longer text stands alone."""
+    _, off = text_buffer(batch.column(column))
+    for a, b in row_chunks(off, limit):
+        for x in range(a, b, rows):
+            yield batch.slice(x, min(rows, b - x))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactlake.llm.common import _power_table, discard, materialize, mix, row_chunks, text_buffer, word_hashes
+from pactlake.llm.common import power_table, discard, materialize, mix, row_chunks, text_buffer, word_hashes
 
 MIN_WORDS = 8
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -32,9 +32,9 @@ class Ranges:
 
     def __init__(self, h: np.ndarray, base: int) -> None:
         n = len(h)
-        self.base, self.back = base, _power_table(pow(base, -1, 1 << 64), n + 1)
+        self.base, self.back = base, power_table(pow(base, -1, 1 << 64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * _power_table(base, n + 1)[:n], out=self.sums[1:])
+        np.cumsum(h * power_table(base, n + 1)[:n], out=self.sums[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))

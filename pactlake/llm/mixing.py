@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlake.llm.byte_bpe import codec_of
+from pactlake.llm.byte_bpe import SLICE_ROWS, codec_of
 from pactlake.llm.common import discard, materialize
 
 #: Blocks of each source's permutation; a pass that ends early cuts within one of them.
@@ -32,8 +32,8 @@ def counted(docs: DataFrame, text_col: str = "text", ranks_path: str | None = No
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(texts: pd.Series) -> pd.Series:
-        encode = codec_of(shared.value, pattern).encode
-        return pd.Series([len(encode(t)) // 4 if t else 0 for t in texts], dtype="int64")
+        codec = codec_of(shared.value, pattern)
+        return pd.Series([len(e) // 4 for at in range(0, len(texts), SLICE_ROWS) for e in codec.encode_all([t or "" for t in texts[at : at + SLICE_ROWS]])], dtype="int64")
 
     n = F.pandas_udf(count, "long")
     return materialize(docs.withColumn("_n_tokens", n(F.col(text_col))), "mix-counted")

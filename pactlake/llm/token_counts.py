@@ -15,9 +15,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Counts of pre-tokens, and checked token pairs, that a worker remembers; beyond it the memory starts anew.
-CACHE = 1_000_000
-CACHE_CHARS = 64
+from pactlake.llm.common import byte_slices
+from pactlake.llm.pretokens import TextValues
+
+#: Checked token pairs that a worker remembers; beyond it the memory starts anew.
+CACHE = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,18 +51,7 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.split = regex.compile(pattern).findall
         self.fits: dict[tuple[int, int], bool] = {}
-        counter = self
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> int:
-                n = counter.prefixes(piece.encode())[-1]
-                if len(piece) <= CACHE_CHARS:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[piece] = n
-                return n
-
-        self.known = Known()
+        self.values = TextValues(pattern, lambda piece: self.prefixes(piece.encode())[-1], sum)
 
     def plain(self, data: bytes) -> list[int]:
         """BPE of a few bytes by its definition; used on pairs of tokens only."""
@@ -124,7 +115,7 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         n = 0
         for part, _ in self.parts(text):
-            n += 1 if part is None else sum(map(self.known.__getitem__, self.split(part)))
+            n += 1 if part is None else self.values.of(part)
         return n
 
     def prefix_table(self, text: str) -> np.ndarray:
@@ -148,7 +139,7 @@ class PrefixCounter:
         base = at = 0
         for part, width in self.parts(text):
             for piece in [None] if part is None else self.split(part):
-                n = 1 if piece is None else self.known[piece]
+                n = 1 if piece is None else self.values.pieces[piece]
                 if base + n > budget:
                     if piece is None:
                         return at
@@ -190,8 +181,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
 
         counter = counter_of(shared.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in byte_slices(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 n = [counter.count(t) for t in texts]
                 size = [len(t.encode()) for t in texts]
