@@ -27,11 +27,15 @@ SHINGLE = 5
 SPAN = 7
 #: Bands up to this size index one-deletion neighbourhoods.
 SMALL = 48
-BUCKET_KEYS, PORTION, BYTES_A_WORD = 500_000, 2_000_000, 6
+BUCKET_KEYS, PORTION = 500_000, 1_000_000
 SUB = 24
+#: Documents under one key of a portion from which they wait outside the key's bucket.
+CROWD = 64
 #: Buckets of a set's sketch, sets in one side of a block, and candidates of a probe and component in the first round.
 SKETCH, BLOCK, FEW = 512, 2048, 32
 BOTH, LOW, INDEX, EXTRA = 0, 1, 2, 3  # a key's role: index and probe, probe of the band below, index only, extra probe
+FACTS = 16  # in a bucket, a role from here on is what a portion knows of a key, without its documents: bits for index, probe, many, waiting
+SHARED, WAITING, MARK = 0, 1, 2  # rows of _shared_keys: a shared key's document, one that waits for the key, and the key's mark
 
 
 def _band_starts() -> np.ndarray:
@@ -162,25 +166,55 @@ def _set_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n", "h1", "h2", "own", "low"])
 
 
+def _groups(key: np.ndarray, role: np.ndarray, doc: np.ndarray):
+    """Of entries sorted by key: first entry of each key, and whether it is indexed, probed, of several documents, waiting."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    fact = role >= FACTS
+    bit = lambda k, plain: np.logical_or.reduceat(np.where(fact, role >> k & 1 == 1, plain), start)
+    many = bit(2, False) | (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))
+    return start, bit(0, (role == BOTH) | (role == INDEX)), bit(1, role != INDEX), many, bit(3, False)
+
+
 def _key_rows(buckets: int):
-    """(id, text) -> rows bucket, data: keys, roles and ids of portions of documents; a portion's copies count once."""
+    """(id, text) -> rows bucket, kind, data: keys, roles and ids of portions of documents; a portion's copies count once.
+
+    A key that an index and a probe of a portion's documents share is settled there: its documents travel in rows of their
+    own (a bucket below 0) and its bucket gets one entry. Unsettled documents that crowd under one key do the same, but wait
+    for the bucket's word. So a bucket gets a few entries of a key and portion at most.
+    """
 
-    def flush(held):
+    def flush(held, rng):
         import pyarrow as pa
 
         key, role, doc = (np.concatenate(x) for x in zip(*held, strict=True))
         c = ((key >> np.uint64(32)) % np.uint64(buckets) << np.uint64(SUB)) | (key & np.uint64((1 << SUB) - 1))
         order = np.argsort(c, kind="stable")
         c, role, doc = c[order], role[order], doc[order]
-        a = np.searchsorted(c, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(SUB))
-        at = [i for i in range(buckets) if a[i + 1] > a[i]]
-        data = [to_planes(c[a[i] : a[i + 1]], SUB // 8) + role[a[i] : a[i + 1]].tobytes() + to_planes(doc[a[i] : a[i + 1]], 8) for i in at]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+        start, index, probe, many, _ = _groups(c, role, doc)
+        size = np.diff(np.append(start, len(c)))
+        on = index & probe & many
+        wait = ~on & (size > CROWD)
+        out = []
+        for kind, chosen in ((SHARED, on), (WAITING, wait)):
+            at = np.repeat(chosen, size)
+            if at.any():
+                out.append((-1 - int(rng.integers(1 << 40)), kind, to_planes(c[at], 8) + role[at].tobytes() + to_planes(doc[at].view(np.uint64), 8)))
+        stay, said = np.repeat(~on & ~wait, size), np.flatnonzero(on | wait)
+        fact = (FACTS + index[said] + 2 * probe[said] + 4 * many[said] + 8 * wait[said]).astype(np.uint8)
+        c, role, doc = (np.concatenate(x) for x in ((c[stay], c[start[said]]), (role[stay], fact), (doc[stay], doc[start[said]])))
+        order = np.argsort(c, kind="stable")
+        c, role, doc = c[order], role[order], doc[order]
+        bucket = c >> np.uint64(SUB)
+        head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(c) else np.zeros(0, np.int64)
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(c)], strict=False):
+            out.append((int(bucket[a]), SHARED, to_planes(c[a:b], SUB // 8) + role[a:b].tobytes() + to_planes(doc[a:b].view(np.uint64), 8)))
+        kinds = (("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
     def run(batches):
-        held, size, seen = [], 0, set()
+        held, size, seen, rng = [], 0, set(), np.random.default_rng()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, off = text_buffer(batch.column(1))
             for a, b in row_chunks(off):
                 sets, mine = [], []
@@ -193,41 +227,42 @@ def _key_rows(buckets: int):
                 if not sets:
                     continue
                 k = keys_of(sets)
-                held.append((k["key"], k["role"], np.array(mine, np.uint64)[k["set"]]))
+                held.append((k["key"], k["role"], np.array(mine, np.int64)[k["set"]]))
                 size += len(k["key"])
                 if size >= PORTION:
-                    yield from flush(held)
+                    yield from flush(held, rng)
                     held, size, seen = [], 0, set()
         if size:
-            yield from flush(held)
+            yield from flush(held, rng)
 
     return run
 
 
+def _entries(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) // (width + 9)
+    return from_planes(data[: n * width], width).view(np.int64), np.frombuffer(data, np.uint8, n, n * width), from_planes(data[n * (width + 1) :], 8).view(np.int64)
+
+
 def _shared_keys(t):
-    """One bucket's rows -> doc, role, key of the keys that an index and a probe of different documents share."""
+    """One bucket's rows -> state, doc, role, key of the keys that an index and a probe of different documents share."""
     import pyarrow as pa
 
     bucket = t.column("bucket")[0].as_py()
-    index, probe, many, seen = (np.zeros(1 << SUB, bool) for _ in range(4))
-    first = np.zeros(1 << SUB, np.int64)
-    parts = []
-    for data in t.column("data").to_pylist():
-        n, w = len(data) // (SUB // 8 + 9), SUB // 8
-        key = from_planes(data[: n * w], w).astype(np.int64)
-        role = np.frombuffer(data, np.uint8, n, n * w)
-        doc = from_planes(data[n * (w + 1) :], 8).view(np.int64)
-        parts.append((key, role, doc))
-        index[key[(role == BOTH) | (role == INDEX)]] = True
-        probe[key[role != INDEX]] = True
-        new = ~seen[key]
-        first[key[new]] = doc[new]
-        seen[key] = True
-        many[key[first[key] != doc]] = True
-    on = index & probe & many
-    hit = [on[key] for key, _, _ in parts]
-    key, role, doc = (np.concatenate([p[i][h] for p, h in zip(parts, hit, strict=True)]) for i in range(3))
-    return pa.table({"doc": pa.array(doc, pa.int64()), "role": pa.array(role.astype(np.int32), pa.int32()), "key": pa.array((bucket << SUB) + key, pa.int64())})
+    parts = [_entries(x, 8 if bucket < 0 else SUB // 8) for x in t.column("data").to_pylist()]
+    key, role, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if bucket < 0:
+        state = np.repeat(t.column("kind").to_numpy(), [len(p[0]) for p in parts])
+    else:
+        order = np.argsort(key, kind="stable")
+        key, role, doc = key[order], role[order], doc[order]
+        start, index, probe, many, wait = _groups(key, role, doc)
+        on = index & probe & many
+        at = np.repeat(on, np.diff(np.append(start, len(key)))) & (role < FACTS)
+        mark = start[on & wait]
+        state = np.concatenate([np.full(int(at.sum()), SHARED), np.full(len(mark), MARK)])
+        key = (bucket << SUB) + np.concatenate([key[at], key[mark]])
+        role, doc = np.concatenate([role[at], role[mark]]), np.concatenate([doc[at], doc[mark]])
+    return pa.table({"state": pa.array(state.astype(np.int32)), "doc": pa.array(doc, pa.int64()), "role": pa.array(role.astype(np.int32), pa.int32()), "key": pa.array(key, pa.int64())})
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -322,8 +357,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     known, p_known = materialize(sets.join(nodes, ["n", "h1", "h2"], "left").select("id", "n", "node", "own", "low"), "jaccard-nodes")
     total = sets.agg(F.sum("n")).first()[0] or 0
 
-    keys = rows.mapInArrow(_key_rows(max(8, -(-total // BUCKET_KEYS))), "bucket int, data binary")
-    shared, p_shared = materialize(keys.groupBy("bucket").applyInArrow(_shared_keys, "doc long, role int, key long"), "jaccard-shared")
+    keys = rows.mapInArrow(_key_rows(max(8, -(-total // BUCKET_KEYS))), "bucket long, kind int, data binary")
+    shared, p_shared = materialize(keys.groupBy("bucket").applyInArrow(_shared_keys, "state int, doc long, role int, key long"), "jaccard-shared")
+    marks = shared.filter(F.col("state") == MARK).select("key").distinct()
+    shared = shared.filter(F.col("state") == SHARED).drop("state").unionByName(shared.filter(F.col("state") == WAITING).drop("state").join(marks, "key", "left_semi"))
     node_of = known.filter("node IS NOT NULL").select(F.col("id").alias("doc"), "node", "n", "own", "low").distinct()
     held = shared.join(node_of, "doc").select("node", "n", "own", "low", "role", "key").distinct()
     held, p_held = materialize(held, "jaccard-held")
@@ -367,7 +404,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         p_near = p_next
         placed = members.join(near, "node", "left").select("hub", "probe", "node", F.coalesce("component", "node").alias("comp"))
         mixed = placed.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("probe").alias("np"), F.sum(1 - F.col("probe")).alias("ni")).filter("lo <> hi AND np > 0 AND ni > 0")
-        mixed = mixed.select("hub", F.ceil(F.col("np") / BLOCK).cast("int").alias("bp"), F.ceil(F.col("ni") / BLOCK).cast("int").alias("bi"))
+        # Written, so that the join below may split a hub of many sets over several tasks.
+        mixed, p_mixed = materialize(mixed.select("hub", F.ceil(F.col("np") / BLOCK).cast("int").alias("bp"), F.ceil(F.col("ni") / BLOCK).cast("int").alias("bi")), "jaccard-mixed")
         full = placed.join(mixed, "hub").join(info, "node")
         mine = F.pmod(F.xxhash64("node"), F.when(F.col("probe") == 1, F.col("bp")).otherwise(F.col("bi"))).cast("int")
         full = full.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.when(F.col("probe") == 1, F.col("bi")).otherwise(F.col("bp")) - 1)))
@@ -376,7 +414,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         more, p_more = materialize(verified(pairs.filter("a IS NOT NULL"), packed), "jaccard-more")
         edges, old = edges.unionByName(more), [*old, p_more]
         left = not pairs.filter("a IS NULL").isEmpty()
-        discard(spark, p_pairs)
+        discard(spark, p_pairs, p_mixed)
         if not left:
             break
         first, last = last, 16 * last
