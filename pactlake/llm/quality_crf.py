@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from pactlake.llm.common import row_chunks, text_buffer, word_hashes
 
-#: Bounds on the labelled sample: documents, and consecutive lines of each.
-MAX_DOCS, MAX_LINES = 6000, 48
+#: Bounds on the labelled sample: documents, and lines over all of them. Chosen documents are read whole; one that would
+#: pass the bound on lines is left out of the sample.
+MAX_DOCS, MAX_LINES = 6000, 200_000
+#: Lines and bytes whose features are held at once, and lines of one piece of a chain.
+BLOCK_LINES, BLOCK_BYTES, PIECE = 1 << 14, 1 << 20, 256
 
 _CLASS = np.full(256, 5, np.int64)  # control bytes and whatever is not named below
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[[32, 9]], _CLASS[128:] = 0, 1, 2, 3, 4
@@ -24,40 +27,55 @@ CLASSES = 6 + len(_PUNCT)
 FEATURES = CLASSES + 4
 
 
-def line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, row, byte length) of every line of consecutive rows; an empty row has one empty line."""
-    base = off[0]
-    raw = buf[base : off[-1]]
-    breaks = np.flatnonzero(raw == 10)
-    start = np.union1d(off[:-1] - base, breaks + 1)
-    # A row start stands once for each row, so that empty rows keep their line.
-    rows_at = off[:-1] - base
-    extra = np.setdiff1d(start, rows_at, assume_unique=False)
-    start = np.concatenate([rows_at, extra])
-    row = np.concatenate([np.arange(len(rows_at)), np.searchsorted(off - base, extra, "right") - 1])
-    keep = np.ones(len(start), bool)
-    keep[len(rows_at) :] = (extra <= len(raw)) & (row[len(rows_at) :] < len(rows_at))
-    start, row = start[keep], np.minimum(row[keep], len(rows_at) - 1)
-    order = np.lexsort((start, row))
-    start, row = start[order], row[order]
-    end = np.append(start[1:], len(raw))
-    size = end - start
-    n = len(start)
-    line = np.repeat(np.arange(n), size)
-    counts = np.bincount(line * CLASSES + _CLASS[raw], minlength=n * CLASSES).reshape(n, CLASSES).astype(np.float32)
+def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of its first byte, row) of every line of consecutive rows; an empty row has one empty line."""
+    edge = off - off[0]
+    after = np.flatnonzero(buf[off[0] : off[-1]] == 10) + 1
+    after = after[edge[np.searchsorted(edge, after)] != after]  # a break that ends its row begins no line
+    row = np.concatenate([np.arange(len(edge) - 1), np.searchsorted(edge, after, "right") - 1])
+    start = np.concatenate([edge[:-1], after])
+    order = np.argsort(start, kind="stable")
+    return off[0] + start[order], row[order]
+
+
+def features(buf: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Features of consecutive lines; `edge` holds the first byte of each and the end of the last."""
+    size = np.diff(edge)
+    n = len(size)
+    counts = np.zeros(n * CLASSES, np.int64)
+    for a in range(int(edge[0]), int(edge[-1]), BLOCK_BYTES):  # a line may be longer than a block
+        b = min(a + BLOCK_BYTES, int(edge[-1]))
+        i, j = np.searchsorted(edge, [a, b - 1], "right") - 1
+        line = np.repeat(np.arange(i, j + 1), np.minimum(edge[i + 1 : j + 2], b) - np.maximum(edge[i : j + 1], a))
+        counts[i * CLASSES : (j + 1) * CLASSES] += np.bincount((line - i) * CLASSES + _CLASS[buf[a:b]], minlength=(j + 1 - i) * CLASSES)
     x = np.zeros((n, FEATURES), np.float32)
-    x[:, :CLASSES] = np.sqrt(counts / np.maximum(size, 1)[:, None])
-    h, s, e, _ = word_hashes(buf, off, fold=False)
+    x[:, :CLASSES] = np.sqrt(counts.reshape(n, CLASSES) / np.maximum(size, 1)[:, None])
+    h, s, e, first = word_hashes(buf, edge, fold=False)
     if len(h):
-        at = line[s]
-        words = np.bincount(at, minlength=n)
+        words = np.diff(first)
+        at = np.repeat(np.arange(n), words)
         same = np.zeros(len(h))
         same[1:] = (h[1:] == h[:-1]) & (at[1:] == at[:-1])
         x[:, CLASSES] = np.bincount(at, same, minlength=n) / np.maximum(words, 1)
         x[:, CLASSES + 1] = np.bincount(at, e - s, minlength=n) / np.maximum(words, 1) / 10
     x[:, CLASSES + 2] = np.log1p(size) / 8
     x[:, CLASSES + 3] = size <= 1
-    return x, row, size
+    return x
+
+
+def line_blocks(edge: np.ndarray):
+    """Ranges of lines of about BLOCK_BYTES and BLOCK_LINES at most."""
+    for a, b in row_chunks(edge, BLOCK_BYTES):
+        for i in range(a, b, BLOCK_LINES):
+            yield i, min(i + BLOCK_LINES, b)
+
+
+def line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, row, byte length) of every line of consecutive rows."""
+    start, row = lines_of(buf, off)
+    edge = np.append(start, off[-1])
+    x = np.concatenate([features(buf, edge[i : j + 1]) for i, j in line_blocks(edge)]) if len(start) else np.zeros((0, FEATURES), np.float32)
+    return x, row, np.diff(edge)
 
 
 def with_neighbours(x: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -72,41 +90,93 @@ def with_neighbours(x: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Each row's vector or matrix, scaled to sum 1."""
+    return x / x.sum(tuple(range(1, x.ndim)), keepdims=True)
+
+
 class Chains:
-    """Rows of lines side by side: step t holds line t of every row that has one."""
+    """Chains of lines cut into pieces of PIECE lines, side by side: step t holds line t of every piece that has one.
+
+    Products of transfer matrices within the pieces are made step by step for all pieces at once; then each piece takes
+    over the state at its edge from its neighbour. So a chain of any length takes PIECE steps and one for each piece.
+    """
 
     def __init__(self, row: np.ndarray) -> None:
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        size = np.diff(np.append(first, len(row)))
-        order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
-        self.steps, t = [], 0
-        while len(first) and size[0] > t:
-            live = int(np.searchsorted(-size, -t, "left"))
-            self.steps.append(first[:live] + t)
-            t += 1
+        self.first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        size = np.diff(np.append(self.first, len(row)))
+        count = -(-size // PIECE)
+        self.place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)  # of a piece in its chain
+        self.start = np.repeat(self.first, count) + self.place * PIECE
+        self.end = np.minimum(self.start + PIECE, np.repeat(self.first + size, count))
+        self.piece = np.repeat(np.arange(len(self.start)), self.end - self.start)
+        length = self.end - self.start
+        order = np.argsort(-length, kind="stable")
+        self.steps = [self.start[order[: int(np.searchsorted(-length[order], -t, "left"))]] + t for t in range(int(length.max(initial=0)))]
+        order = np.argsort(self.place, kind="stable")
+        self.later = np.split(order, np.searchsorted(self.place[order], np.arange(1, int(self.place.max(initial=0)) + 1)))[1:]
 
     def marginals(self, gain: np.ndarray, trans: np.ndarray, pairs: bool = False):
-        """P(good) of every line; with `pairs` also the pairwise marginals summed with weight at the later line."""
+        """P(good) of every line; with `pairs` also the pairwise marginals at the later line (0 at a chain's first)."""
+        p, two, _ = self.run(gain, trans, None, None, pairs)
+        return (p, two) if pairs else p
+
+    def run(self, gain: np.ndarray, trans: np.ndarray, carry: np.ndarray | None, tail: np.ndarray | None, pairs: bool = False):
+        """(marginals, pairwise marginals, transfer matrix of each piece).
+
+        With `carry` and `tail` the lines are a stretch of one longer chain: the state before it and what follows it.
+        """
         emit = np.stack([np.ones(len(gain)), np.exp(np.clip(gain, -30, 30))], 1)
         move = np.exp(np.clip(trans, -8, 8))
-        fwd = np.empty((len(gain), 2))
+        g = move * emit[:, None, :]
+        if carry is None:
+            g[self.first] = emit[self.first][:, None, :]  # no transition into a chain's first line
+        q, s = np.empty_like(g), np.empty_like(g)
         for t, at in enumerate(self.steps):
-            a = emit[at] * (fwd[self.steps[t - 1][: len(at)]] @ move if t else 1)
-            fwd[at] = a / a.sum(1, keepdims=True)
-        bwd = np.ones((len(gain), 2))
-        two = np.zeros((len(gain), 2, 2)) if pairs else None
+            q[at] = _unit(q[at - 1] @ g[at] if t else g[at])
+        s[self.end - 1] = np.eye(2)
         for t in range(len(self.steps) - 1, 0, -1):
-            at, before = self.steps[t], self.steps[t - 1][: len(self.steps[t])]
-            v = emit[at] * bwd[at]
-            if pairs:
-                q = fwd[before][:, :, None] * move * v[:, None, :]
-                two[at] = q / q.sum((1, 2), keepdims=True)
-            b = v @ move.T
-            bwd[before] = b / b.sum(1, keepdims=True)
+            at = self.steps[t]
+            s[at - 1] = _unit(g[at] @ s[at])
+        before, after = np.empty((len(self.start), 2)), np.empty((len(self.start), 2))
+        before[:] = [1, 0] if carry is None else carry
+        after[:] = 1 if tail is None else tail
+        for i in self.later:
+            before[i] = _unit(np.einsum("ni,nij->nj", before[i - 1], q[self.end[i - 1] - 1]))
+        for i in reversed(self.later):
+            a = self.start[i]
+            after[i - 1] = _unit(np.einsum("nij,njk,nk->ni", g[a], s[a], after[i]))
+        fwd = _unit(np.einsum("ni,nij->nj", before[self.piece], q))
+        bwd = _unit(np.einsum("nij,nj->ni", s, after[self.piece]))
         p = fwd * bwd
-        p = p[:, 1] / p.sum(1)
-        return (p, two) if pairs else p
+        two = None
+        if pairs:
+            two = np.zeros_like(g)
+            two[1:] = _unit(fwd[:-1, :, None] * move * (emit[1:] * bwd[1:])[:, None, :])
+            two[self.first] = 0
+        return p[:, 1] / p.sum(1), two, q[self.end - 1]
+
+
+def long_marginals(gain: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(good) of every line of one long chain, a stretch of BLOCK_LINES at a time: states are carried over first."""
+    parts = [(a, min(a + BLOCK_LINES, len(gain))) for a in range(0, len(gain), BLOCK_LINES)]
+    chains = {n: Chains(np.zeros(n, np.int64)) for n in {b - a for a, b in parts}}
+    start = np.array([1.0, 0.0])
+    whole = []
+    for a, b in parts:
+        w = np.eye(2)
+        for piece in chains[b - a].run(gain[a:b], trans, start if a else None, None)[2]:
+            w = w @ piece
+            w /= w.sum()
+        whole.append(w)
+    carry, tail = [None], [np.ones(2)]
+    for w in whole[:-1]:
+        c = (start if carry[-1] is None else carry[-1]) @ w
+        carry.append(c / c.sum())
+    for w in whole[:0:-1]:
+        d = w @ tail[-1]
+        tail.append(d / d.sum())
+    return np.concatenate([chains[b - a].run(gain[a:b], trans, c, d)[0] for (a, b), c, d in zip(parts, carry, tail[::-1], strict=True)])
 
 
 class QualityModel:
@@ -153,51 +223,73 @@ class QualityModel:
         w = np.maximum(size, 1).astype(float)
         return np.bincount(row, w * p, minlength=n) / np.maximum(np.bincount(row, w, minlength=n), 1e-9)
 
+    def good_lines(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(P(good), row, byte length) of every line; only a few numbers a line are held beyond one block."""
+        start, row = lines_of(buf, off)
+        edge = np.append(start, off[-1])
+        part = np.empty((len(start), 3))
+        for i, j in line_blocks(edge):
+            part[i:j] = features(buf, edge[i : j + 1]) @ self.w[:-1].reshape(3, FEATURES).T
+        gain = part[:, 0] + self.w[-1]
+        same = row[1:] == row[:-1]
+        gain[1:] += part[:-1, 1] * same
+        gain[:-1] += part[1:, 2] * same
+        p = np.empty(len(gain))
+        first = np.searchsorted(row, np.arange(len(off)))
+        for a, b in row_chunks(first, BLOCK_LINES):
+            i, j = first[a], first[b]
+            p[i:j] = long_marginals(gain[i:j], self.trans) if j - i > BLOCK_LINES else Chains(row[i:j]).marginals(gain[i:j], self.trans)
+        return p, row, np.diff(edge)
+
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Score of each row, between 0 and 1."""
         out = np.empty(len(off) - 1)
-        for a, b in row_chunks(off, 1 << 20):
-            x, row, size = line_features(buf, off[a : b + 1])
-            p = Chains(row).marginals(with_neighbours(x, row) @ self.w, self.trans)
+        for a, b in row_chunks(off, BLOCK_BYTES):
+            p, row, size = self.good_lines(buf, off[a : b + 1])
             out[a:b] = self.share(p, row, size, b - a)
         return 1 / (1 + np.exp(-np.clip(self.map[0] * out + self.map[1], -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> QualityModel:
-    """Train on at most `max_docs` labelled rows, chosen by a hash of the id, and `max_lines` consecutive lines of each.
+    """Train on at most `max_docs` labelled rows, chosen by a hash of the id, with `max_lines` lines at most over all.
 
-    Label 1 is good, 0 bad; rows with another label or a null text or id are not used. Where one of the labels is
-    missing the model keeps its start values and scores every text 0.5. The sample that is broadcast has `max_docs`
-    rows of two numbers at most.
+    Chosen texts are read whole; ids whose texts would pass the bound on lines are left out. Label 1 is good, 0 bad; rows
+    with another label or a null text or id are not used. Where one of the labels is missing the model keeps its start
+    values and scores every text 0.5. What is broadcast has `max_docs` rows of two numbers at most.
     """
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k", F.lit("quality")), "k", "y").limit(max_docs)
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t")
+    breaks = F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"), F.lit("")))
+    sizes = rows.groupBy("k").agg(F.sum(breaks + 1).alias("lines")).orderBy(F.xxhash64("k", F.lit("quality")), "k").collect()
+    room, ids = max_lines, []
+    for r in sizes:
+        if r["lines"] <= room:
+            room -= r["lines"]
+            ids.append((r["k"],))
+    model = QualityModel()
+    model.map = (0.0, 0.0)
+    if not ids:
+        return model
+    id_type = rows.schema["k"].dataType.simpleString()
+    picked = rows.join(F.broadcast(docs.sparkSession.createDataFrame(ids, f"k {id_type}")), "k").select("k", "y", "t")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, ys = batch.column(0), batch.column(1)
             buf, off = text_buffer(batch.column(2))
-            sizes, feats = [], []
-            for i in range(batch.num_rows):
-                x, _, size = line_features(buf, off[i : i + 2])
-                a = (int(off[i + 1] - off[i]) * 7919) % max(1, len(x) - max_lines + 1)
-                sizes.append(size[a : a + max_lines].astype("<i8").tobytes())
-                feats.append(x[a : a + max_lines].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([ids, ys, pa.array(sizes, pa.binary()), pa.array(feats, pa.binary())], names=["k", "y", "sizes", "feats"])
+            found = [line_features(buf, off[i : i + 2]) for i in range(batch.num_rows)]
+            lengths, feats = ([x[j].astype(kind).tobytes() for x in found] for j, kind in ((2, "<i8"), (0, "<f4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.binary()), pa.array(feats, pa.binary())], names=["k", "y", "sizes", "feats"])
 
-    id_type = rows.schema["k"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"k {id_type}, y int, sizes binary, feats binary").orderBy("k", "y", "sizes").limit(2 * max_docs).collect()
-    model = QualityModel()
+    found = picked.mapInArrow(run, f"k {id_type}, y int, sizes binary, feats binary").orderBy("k", "y", "sizes", "feats").collect()
     label = np.array([r["y"] for r in found], float)
     if len(set(label.tolist())) == 2:
         size = [np.frombuffer(r["sizes"], "<i8") for r in found]
         x = np.concatenate([np.frombuffer(r["feats"], "<f4").reshape(-1, FEATURES) for r in found])
+        model = QualityModel()
         model.train(x, np.repeat(np.arange(len(found)), [len(s) for s in size]), np.concatenate(size), label)
-    else:
-        model.map = (0.0, 0.0)
     return model
 
 
