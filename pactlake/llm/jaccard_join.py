@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import discard, materialize, mix, row_chunks, text_buffer, window_hashes, word_hashes
+from pactlake.llm.common import discard, fresh, materialize, mix, row_chunks, text_buffer, window_hashes, word_hashes
 from pactlake.llm.components import components
 from pactlake.llm.substring_dedup import from_planes, to_planes
 
@@ -437,5 +437,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, columns unchanged, without documents whose component has a smaller id; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(found, docs[id_col] == found["_gone"], "left_anti")
+    (gone,) = fresh(docs, "_gone")
+    found = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(found, docs[id_col] == found[gone], "left_anti")

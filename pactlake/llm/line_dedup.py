@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactlake.llm.common import power_table, discard, materialize, mix, row_chunks, text_buffer, word_hashes
+from pactlake.llm.common import discard, fresh, materialize, mix, power_table, row_chunks, text_buffer, word_hashes
 
 MIN_WORDS = 8
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -172,11 +172,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     Lines end at \\n and keep their order; a text all of whose lines go becomes empty, a null text stays null. Lines of
     white space never go. Rows that share an id count as one document whose lines are judged by position. Lines under a
-    null id come first in the order and never go. Columns _n_lines, _n_removed, _gone must not be in `docs`.
+    null id come first in the order and never go. Columns of `docs` named _n_lines or _n_removed are replaced; other
+    columns stay as they are, whatever their names.
     """
+    docs = docs.drop("_n_lines", "_n_removed")
     gone, _ = removed_lines(docs, min_words, id_col, text_col)
-    by_doc = gone.groupBy("doc").agg(F.collect_set("pos").alias("_gone"))
-    joined = docs.join(by_doc, docs[id_col] == by_doc["doc"], "left").drop("doc")
+    doc, places = fresh(docs, "_doc", "_places")
+    by_doc = gone.groupBy("doc").agg(F.collect_set("pos").alias(places)).withColumnRenamed("doc", doc)
+    joined = docs.join(by_doc, docs[id_col] == by_doc[doc], "left").drop(doc)
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
