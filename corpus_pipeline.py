@@ -23,9 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go; documents all of whose lines went go with them. n_chars follows the text."""
+    """Repeated and nearly repeated lines go; documents that lost lines and have nothing but blank ones left go with them.
+
+    n_chars, where there is such a column, follows the text.
+    """
     found = line_dedup.dedup_lines(docs)
-    kept = found.filter("_n_removed < _n_lines OR _n_lines = 0")
+    kept = found.filter((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.select(docs.columns)
