@@ -8,8 +8,9 @@ block of the other.
  2. Around active blocks, hits extend to exact repeats: all WINDOW-word windows over an active block are compared by 64-bit
     hashes of 64-bit word hashes, and a window goes where a document with a smaller id has it. Neighbouring windows
     together give the maximal repeats.
-Keys travel as sorted byte planes, one row for each hash bucket and portion of input, so that a common passage costs one
-entry a portion and no key gathers a large group.
+Keys travel as sorted byte planes, one row for each hash bucket and portion of input. What a portion can tell by itself
+(a block that two of its windows hold, a window that a smaller id of the portion holds) is settled there and passes the
+buckets by, in rows of its own with a bucket below 0. So a common passage costs its bucket one document a portion.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pactlake.llm.common import materialize, mix, row_chunks, text_buffer, windo
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
 #: Words whose keys one portion of a task holds, and keys that one bucket gets, about.
-PORTION, BUCKET_KEYS = 4_000_000, 500_000
+PORTION, BUCKET_KEYS = 2_000_000, 500_000
 SUB = 24  # bits of a key within its bucket in step 1
 BYTES_A_WORD, PART_BYTES = 6, 4 << 20
 
@@ -52,32 +53,40 @@ def _valid(first: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(n) + k <= first[1:][row]
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """First place of each run of equal values."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
 def _anchor_rows(buckets: int):
     """Arrow batches (id, text) -> rows bucket, probes, many, index: the keys of portions of documents."""
 
-    def flush(probe, index):
+    def flush(probe, index, rng):
         import pyarrow as pa
 
-        keys = np.unique(np.concatenate(probe))  # key << 20 | number of the document in the portion
-        c = keys >> np.uint64(20)
-        head = np.concatenate([[True], c[1:] != c[:-1]])
-        many = np.add.reduceat(np.ones(len(c), np.int64), np.flatnonzero(head)) > 1
+        c = np.sort(np.concatenate(probe))  # bucket << SUB | key; one for each window
+        head = _runs(c)
+        many = np.diff(np.append(head, len(c))) > 1
         c = c[head]
         ic, doc, block = (np.concatenate(x) for x in zip(*index, strict=True))
         order = np.argsort(ic, kind="stable")
         ic, doc, block = ic[order], doc[order], block[order]
-        edge = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(SUB)
-        a, b = np.searchsorted(c, edge), np.searchsorted(ic, edge)
-        at = [i for i in range(buckets) if a[i + 1] > a[i]]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(at, pa.int32()),
-            pa.array([to_planes(c[a[i] : a[i + 1]], SUB // 8) for i in at], pa.binary()),
-            pa.array([np.packbits(many[a[i] : a[i + 1]]).tobytes() for i in at], pa.binary()),
-            pa.array([to_planes(ic[b[i] : b[i + 1]], SUB // 8) + to_planes(block[b[i] : b[i + 1]], 4) + to_planes(doc[b[i] : b[i + 1]], 8) for i in at], pa.binary()),
-        ], names=["bucket", "probes", "many", "index"])
+        # A block whose key a second window of the portion has is active, whoever else holds it.
+        known = many[np.searchsorted(c, ic)]
+        rows = [(-1 - int(rng.integers(1 << 40)), b"", b"", to_planes(block[known], 4) + to_planes(doc[known], 8))] if known.any() else []
+        ic, doc, block = ic[~known], doc[~known], block[~known]
+        bucket = c >> np.uint64(SUB)
+        a = _runs(bucket)
+        edge = bucket[a] << np.uint64(SUB)
+        x, y = np.searchsorted(ic, edge), np.searchsorted(ic, edge + np.uint64(1 << SUB))
+        for i, (p, q) in enumerate(zip(a.tolist(), [*a[1:].tolist(), len(c)], strict=True)):
+            at = slice(x[i], y[i])
+            rows.append((int(bucket[p]), to_planes(c[p:q], SUB // 8), np.packbits(many[p:q]).tobytes(), to_planes(ic[at], SUB // 8) + to_planes(block[at], 4) + to_planes(doc[at], 8)))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "probes", "many", "index"])
 
     def run(batches):
-        probe, index, size, docs = [], [], 0, 0
+        probe, index, size, rng = [], [], 0, np.random.default_rng()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             buf, off = text_buffer(batch.column(1))
@@ -88,34 +97,38 @@ def _anchor_rows(buckets: int):
                     continue
                 row, ok = _valid(first, len(h), BLOCK)
                 row, ok = row[: len(k)], ok[: len(k)]
+                if not ok.any():
+                    continue
                 key = (k >> np.uint64(32)) % np.uint64(buckets) << np.uint64(SUB) | k & np.uint64((1 << SUB) - 1)
-                probe.append(np.unique(key[ok] << np.uint64(20) | (docs + row[ok]).astype(np.uint64)))
+                probe.append(key[ok])
                 place = np.arange(len(k)) - first[row]
                 at = ok & (place % BLOCK == 0)
                 index.append((key[at], ids[a + row[at]].astype(np.int64).view(np.uint64), (place[at] // BLOCK).astype(np.uint64)))
                 size += len(k)
-                docs += b - a
-                if size >= PORTION or docs >= 1 << 19:
-                    yield from flush(probe, index)
-                    probe, index, size, docs = [], [], 0, 0
+                if size >= PORTION:
+                    yield from flush(probe, index, rng)
+                    probe, index, size = [], [], 0
         if size:
-            yield from flush(probe, index)
+            yield from flush(probe, index, rng)
 
     return run
 
 
 def _active_blocks(t):
-    """One bucket's rows -> doc, block of the indexed blocks that two documents hold."""
+    """One bucket's rows -> doc, block of the indexed blocks that two windows hold."""
     import pyarrow as pa
 
-    holds = np.zeros(1 << SUB, np.uint8)
-    for probes, many in zip(t.column("probes").to_pylist(), t.column("many").to_pylist(), strict=True):
-        key = from_planes(probes, SUB // 8)
-        holds[key] = np.minimum(holds[key] + 1 + np.unpackbits(np.frombuffer(many, np.uint8), count=len(key)), 2)
+    settled = t.column("bucket")[0].as_py() < 0
+    holds = np.zeros(0 if settled else 1 << SUB, np.uint8)
+    if not settled:
+        for probes, many in zip(t.column("probes").to_pylist(), t.column("many").to_pylist(), strict=True):
+            key = from_planes(probes, SUB // 8)
+            holds[key] = np.minimum(holds[key] + 1 + np.unpackbits(np.frombuffer(many, np.uint8), count=len(key)), 2)
     docs, blocks = [], []
     for data in t.column("index").to_pylist():
-        n, w = len(data) // (SUB // 8 + 12), SUB // 8
-        on = holds[from_planes(data[: n * w], w)] == 2
+        w = 0 if settled else SUB // 8
+        n = len(data) // (w + 12)
+        on = slice(None) if settled else holds[from_planes(data[: n * w], w)] == 2
         blocks.append(from_planes(data[n * w : n * (w + 4)], 4)[on])
         docs.append(from_planes(data[n * (w + 4) :], 8)[on])
     return pa.table({"doc": pa.array(np.concatenate(docs).view(np.int64)), "block": pa.array(np.concatenate(blocks).astype(np.int32))})
@@ -174,25 +187,31 @@ def _split_candidates(parts: int, with_text: bool):
     return compute
 
 
-def _window_rows(buckets: int, parts: int):
-    """Candidates (id, text, blocks) -> rows bucket, data: (hash, id, place) of the windows over active blocks."""
+def _window_rows(buckets: int):
+    """Candidates (id, text, blocks) -> rows bucket, data: (hash, id, place) of the windows over active blocks.
 
-    def flush(held):
+    A window that a smaller id of the portion holds is repeated for certain: it travels as (id, place) in a bucket below 0.
+    """
+
+    def flush(held, rng):
         import pyarrow as pa
 
         key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = (key >> np.uint64(32)) % np.uint64(buckets)
         order = np.lexsort((key, bucket))
-        key, doc, place, bucket = key[order], doc[order], place[order], bucket[order]
-        a = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        at = [i for i in range(buckets) if a[i + 1] > a[i]]
-        data = [to_planes(key[a[i] : a[i + 1]], 8) + to_planes(doc[a[i] : a[i + 1]], 8) + to_planes(place[a[i] : a[i + 1]], 4) for i in at]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+        key, doc, place = key[order], doc[order], place[order]
+        head = _runs(key)
+        gone = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(key)))) if len(key) else np.zeros(0, bool)
+        rows = [(-1 - int(rng.integers(1 << 40)), to_planes(doc[gone].view(np.uint64), 8) + to_planes(place[gone], 4))] if gone.any() else []
+        key, doc, place, bucket = key[~gone], doc[~gone].view(np.uint64), place[~gone], bucket[order][~gone]
+        a = _runs(bucket).tolist()
+        rows += [(int(bucket[p]), to_planes(key[p:q], 8) + to_planes(doc[p:q], 8) + to_planes(place[p:q], 4)) for p, q in zip(a, [*a[1:], len(key)], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "data"])
 
     def run(batches):
-        held, size = [], 0
+        held, size, rng = [], 0, np.random.default_rng()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, off = text_buffer(batch.column(1))
             lists = batch.column(2)
             where, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(np.int64)
@@ -212,10 +231,10 @@ def _window_rows(buckets: int, parts: int):
                 held.append((k[ok], ids[a + row[ok]], place[ok].astype(np.uint64)))
                 size += int(ok.sum())
                 if size >= PORTION:
-                    yield from flush(held)
+                    yield from flush(held, rng)
                     held, size = [], 0
         if size:
-            yield from flush(held)
+            yield from flush(held, rng)
 
     return run
 
@@ -226,24 +245,31 @@ def _repeated(parts: int):
     def run(t):
         import pyarrow as pa
 
-        keys, docs, places = [], [], []
-        for data in t.column("data").to_pylist():
-            n = len(data) // 20
-            keys.append(from_planes(data[: 8 * n], 8))
-            docs.append(from_planes(data[8 * n : 16 * n], 8).view(np.int64))
-            places.append(from_planes(data[16 * n :], 4))
-        key, doc, place = map(np.concatenate, (keys, docs, places))
-        order = np.argsort(key, kind="stable")
-        key, doc, place = key[order], doc[order], place[order]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        low = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(key))))
-        out = doc > low
-        doc, place = doc[out], place[out]
+        docs, places = [], []
+        if t.column("bucket")[0].as_py() < 0:
+            for data in t.column("data").to_pylist():
+                n = len(data) // 12
+                docs.append(from_planes(data[: 8 * n], 8).view(np.int64))
+                places.append(from_planes(data[8 * n :], 4))
+            doc, place = np.concatenate(docs), np.concatenate(places)
+        else:
+            keys = []
+            for data in t.column("data").to_pylist():
+                n = len(data) // 20
+                keys.append(from_planes(data[: 8 * n], 8))
+                docs.append(from_planes(data[8 * n : 16 * n], 8).view(np.int64))
+                places.append(from_planes(data[16 * n :], 4))
+            key, doc, place = map(np.concatenate, (keys, docs, places))
+            order = np.argsort(key, kind="stable")
+            key, doc, place = key[order], doc[order], place[order]
+            head = _runs(key)
+            out = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(key))))
+            doc, place = doc[out], place[out]
         part = _part_of(doc, parts)
         order = np.lexsort((place, doc, part))
         doc, place, part = doc[order], place[order], part[order]
         at, start = np.unique(part, return_index=True)
-        end = np.append(start[1:], len(part))
+        end = np.append(start[1:], len(part))[: len(start)]
         data = [to_planes(doc[a:b].view(np.uint64), 8) + to_planes(place[a:b], 4) for a, b in zip(start, end, strict=True)]
         return pa.table({"part": pa.array(at, pa.int64()), "data": pa.array(data, pa.binary())})
 
@@ -293,7 +319,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_words = n_bytes // BYTES_A_WORD
-    anchors = rows.filter("id IS NOT NULL").mapInArrow(_anchor_rows(_buckets(n_words)), "bucket int, probes binary, many binary, index binary")
+    anchors = rows.filter("id IS NOT NULL").mapInArrow(_anchor_rows(_buckets(n_words)), "bucket long, probes binary, many binary, index binary")
     active = anchors.groupBy("bucket").applyInArrow(_active_blocks, "doc long, block int")
     lists = active.groupBy("doc").agg(F.collect_list("block").alias("blocks"))
     parts = max(8, n_bytes // PART_BYTES)
@@ -301,7 +327,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     state, path = materialize(joined.mapInArrow(_split_candidates(parts, with_text), "id long, part long, text string, blocks array<int>, n_words long, kept_sha256 string, kept_text string"), "substring-candidates")
     done = state.filter("blocks IS NULL").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "kept_text")
     cand = state.filter("blocks IS NOT NULL")
-    windows = cand.select("id", "text", "blocks").mapInArrow(_window_rows(_buckets(n_words // 2), parts), "bucket int, data binary")
+    windows = cand.select("id", "text", "blocks").mapInArrow(_window_rows(_buckets(n_words // 2)), "bucket long, data binary")
     gone = windows.groupBy("bucket").applyInArrow(_repeated(parts), "part long, data binary")
     result = "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     rest = cand.select("id", "part", "text").groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_finish(with_text), result)
