@@ -1,12 +1,22 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Unit vectors are projected on random directions. Two vectors at the cosine threshold lie within HALF = Z * distance of each
-other on one direction with probability P1. Directions stand in groups of `g`; a vector is indexed, in each group, in the
-cell of its g projections, and as a query visits the cells that its window [t - HALF, t + HALF] meets in each of them. Pairs
-met there count their window collisions over all directions; those that reach a count which linked pairs reach with
-probability RECALL are verified by cosine in double precision. The number of groups is calibrated so that a pair at the
-threshold is met with probability RECALL, nearer pairs more often. Nothing is capped: a cell of many vectors is dealt out as
-blocks of BLOCK x BLOCK pairs, each of which returns sums and a spanning forest, never its pairs.
+Unit vectors are projected on many random directions. Two vectors at the cosine threshold lie within HALF = Z * distance of
+each other on one direction with probability P1: that is a collision of the window [t - HALF, t + HALF] around the one with
+the other. Pairs that collide on enough directions, a count that linked pairs reach with probability `recall`, are verified
+by cosine in double precision.
+
+ - One sorted projection is of little use alone: at a cosine of 0.98 its window holds a third of all vectors. So the
+   directions stand in groups of `directions`, and the sorted lists of a group are range-partitioned together: a vector is
+   in the cell of ranges that its projections fall into, a query goes to the cells that its windows reach. In a cell the
+   vectors are sorted by the group's last projection, a query's window is a stretch of that list, and the pairs of the
+   stretch count their collisions on all directions.
+ - Only ids and projections travel to the cells. A block of a cell answers with the pairs that reached the count, as bits;
+   vectors travel to the blocks that have such pairs, for those pairs' members alone.
+ - The number of groups follows from `recall`: a pair at the threshold meets in one of them with that probability, nearer
+   pairs more often. It depends on the threshold and on `directions`, never on the table. More directions a group make
+   cells smaller (each leaves about a third of the pairs) and groups more; large tables ask for more of them.
+ - Nothing is capped: a cell of many vectors is dealt out as blocks of BLOCK x BLOCK, and a verified block returns sums and
+   a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -17,28 +27,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import discard, materialize
+from pactlake.llm.common import discard, materialize, text_buffer
 from pactlake.llm.components import components
 
 Z, RECALL, BLOCK, SEED = 2.0, 0.9999, 1024, 5
-#: Vectors up to which cells of two directions are enough; each factor of e^1.5 beyond adds a direction.
-PLAIN = 200_000
+#: Directions of a group.
+DIRECTIONS = 2
 
 
 class Projections:
     """Directions for vectors of one length, made from the seed wherever they are needed."""
 
-    def __init__(self, cosine: float, n: int) -> None:
+    def __init__(self, cosine: float, directions: int = DIRECTIONS, recall: float = RECALL) -> None:
         self.cosine = cosine
         self.half = Z * math.sqrt(2 - 2 * cosine)
         p1 = math.erf(Z / math.sqrt(2))
-        self.g = 2 + max(0, math.ceil(math.log(max(n, 1) / PLAIN) / 1.5))
-        self.groups = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - p1**self.g)))
+        self.g = directions
+        self.groups = max(1, math.ceil(math.log(1 - recall) / math.log(1 - p1**self.g)))
         p = self.g * self.groups
         tail, self.least = 0.0, 0
-        for k in range(p, -1, -1):  # the largest count that linked pairs reach with probability RECALL
+        for k in range(p, -1, -1):  # the largest count that linked pairs reach with probability `recall`
             tail += math.comb(p, k) * p1**k * (1 - p1) ** (p - k)
-            if tail >= RECALL:
+            if tail >= recall:
                 self.least = k
                 break
         self.axes: dict[int, np.ndarray] = {}
@@ -55,8 +65,8 @@ def unit_vectors(values: np.ndarray, n: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _cell_rows(proj: Projections, with_vectors: bool):
-    """(rid, class, copies, vector) -> rows cell, query, group, rid and, with vectors, copies and vector."""
+def _cell_rows(proj: Projections, sizes_only: bool):
+    """(rid, class, vector) -> rows cell, query and, unless sizes_only, group, rid, class, at (projections in single precision)."""
 
     def run(batches):
         import pyarrow as pa
@@ -66,31 +76,80 @@ def _cell_rows(proj: Projections, with_vectors: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                size = part.column(3).value_lengths().to_numpy()
+                size = part.column(2).value_lengths().to_numpy()
                 kind = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 for d in np.unique(size):
                     rows = np.flatnonzero(size == d)
                     sub = part.take(pa.array(rows))
-                    t = proj.of(unit_vectors(sub.column(3).flatten().to_numpy(zero_copy_only=False), len(rows)))
-                    cells, query, group, who = [], [], [], []
+                    t32 = proj.of(unit_vectors(sub.column(2).flatten().to_numpy(zero_copy_only=False), len(rows))).astype(np.float32)
+                    t, points = t32.astype(np.float64), pa.array([x.tobytes() for x in t32], pa.binary())
                     for j in range(proj.groups):
                         own = t[:, j * proj.g : (j + 1) * proj.g]
-                        spots = [(np.floor(own / width), 0)] + [(np.floor((own + c * proj.half) / width), 1) for c in offsets]
-                        for cell, q in spots:
+                        for c in [None, *offsets]:
+                            cell = np.floor((own if c is None else own + c * proj.half) / width)
                             h = kind[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j * 1_000_003 + int(d))
                             for i in range(proj.g):
                                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + cell[:, i].astype(np.int64).view(np.uint64)
-                            cells.append(h)
-                            query.append(np.full(len(rows), q, np.int32))
-                            group.append(np.full(len(rows), j, np.int32))
-                            who.append(np.arange(len(rows)))
-                    take = pa.array(np.concatenate(who))
-                    columns = [pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(query)), pa.array(np.concatenate(group)), sub.column(0).take(take)]
-                    names = ["cell", "query", "group", "rid"]
-                    if with_vectors:
-                        columns += [sub.column(1).take(take), sub.column(2).take(take), sub.column(3).take(take)]
-                        names += ["class", "copies", "vector"]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                            columns, names = [pa.array(h.view(np.int64)), pa.array(np.full(len(rows), c is not None, np.int32))], ["cell", "query"]
+                            if not sizes_only:
+                                columns += [pa.array(np.full(len(rows), j, np.int32)), sub.column(0), sub.column(1), points]
+                                names += ["group", "rid", "class", "at"]
+                            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _collisions(proj: Projections):
+    """Rows of one block of one cell -> cell, x, y, q, v, pairs: queries and vectors that have a pair which reaches the count,
+    and a bit for each of their pairs. No row where there is none."""
+
+    def run(t):
+        import pyarrow as pa
+
+        schema = pa.schema([("cell", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("q", pa.list_(pa.int64())), ("v", pa.list_(pa.int64())), ("pairs", pa.binary())])
+        query = t.column("query").to_numpy() == 1
+        if query.all() or not query.any():
+            return schema.empty_table()
+        j, g = t.column("group")[0].as_py(), proj.g
+        rid, kind = t.column("rid").to_numpy(), t.column("class").to_numpy()
+        buf, off = text_buffer(t.column("at"))
+        p = np.frombuffer(buf[off[0] : off[-1]].tobytes(), np.float32).astype(np.float64).reshape(t.num_rows, -1)
+        # A window may meet one cell at several corners; the query counts once.
+        qi = np.flatnonzero(query)
+        qi = qi[np.unique(rid[qi], return_index=True)[1]]
+        last = (j + 1) * g - 1
+        vi = np.flatnonzero(~query)
+        vi = vi[np.argsort(p[vi, last], kind="stable")]
+        line = p[vi, last]
+        a, b = np.searchsorted(line, p[qi, last] - proj.half), np.searchsorted(line, p[qi, last] + proj.half, "right")
+        r = np.repeat(np.arange(len(qi)), b - a)
+        c = np.arange(len(r)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+        near = lambda i: np.abs(p[qi[r], i] - p[vi[c], i]) <= proj.half
+        for i in range(j * g, last):
+            on = near(i)
+            r, c = r[on], c[on]
+        on = (rid[qi[r]] != rid[vi[c]]) & (kind[qi[r]] == kind[vi[c]])
+        r, c = r[on], c[on]
+        count = np.full(len(r), g)
+        early = np.zeros(len(r), bool)  # met in a group before this one
+        for k in range(proj.groups):
+            if k != j:
+                every = np.ones(len(r), bool)
+                for i in range(k * g, (k + 1) * g):
+                    on = near(i)
+                    count += on
+                    every &= on
+                if k < j:
+                    early |= every
+        on = ~early & (count >= proj.least)
+        r, c = r[on], c[on]
+        if not len(r):
+            return schema.empty_table()
+        (qs, r), (vs, c) = np.unique(r, return_inverse=True), np.unique(c, return_inverse=True)
+        bits = np.zeros((len(qs), len(vs)), bool)
+        bits[r, c] = True
+        row = {"cell": [t.column("cell")[0].as_py()], "x": [t.column("x")[0].as_py()], "y": [t.column("y")[0].as_py()], "q": [rid[qi[qs]]], "v": [rid[vi[vs]]], "pairs": [np.packbits(bits).tobytes()]}
+        return pa.table(row, schema=schema)
 
     return run
 
@@ -116,53 +175,41 @@ def forest(linked: np.ndarray, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray
         a, b = a2, b2
 
 
-def _block(proj: Projections):
-    """Rows of one block of one cell -> node, links, other: verified links of each query, and forest edges."""
+def _verified(cosine: float):
+    """One block's pairs and its members' vectors -> node, links, other: verified links of each query, and forest edges."""
 
-    def run(t):
+    def run(block, members):
         import pyarrow as pa
 
         schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
-        query = t.column("query").to_numpy() == 1
-        if query.all() or not query.any():
+        if not block.num_rows:
             return schema.empty_table()
-        j = t.column("group")[0].as_py()
-        rid, copies, kind = (t.column(c).to_numpy() for c in ("rid", "copies", "class"))
-        x = unit_vectors(t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), t.num_rows)
-        p = proj.of(x)
-        # A window may meet one cell at several corners; the query counts once.
-        qi = np.flatnonzero(query)
-        qi = qi[np.unique(rid[qi], return_index=True)[1]]
-        vi = np.flatnonzero(~query)
-        count = np.zeros((len(qi), len(vi)), np.int16)
-        early = np.zeros(count.shape, bool)  # met in a group before this one
-        here = None
-        for k in range(proj.groups):
-            every = np.ones(count.shape, bool)
-            for i in range(k * proj.g, (k + 1) * proj.g):
-                near = np.abs(p[qi, i][:, None] - p[vi, i][None]) <= proj.half
-                count += near
-                every &= near
-            if k < j:
-                early |= every
-            elif k == j:
-                here = every
-        keep = here & ~early & (count >= proj.least) & (rid[qi][:, None] != rid[vi][None]) & (kind[qi][:, None] == kind[vi][None])
-        r, c = np.nonzero(keep)
-        good = np.concatenate([np.einsum("ij,ij->i", x[qi[r[a : a + 65536]]], x[vi[c[a : a + 65536]]]) >= proj.cosine for a in range(0, len(r), 65536)]) if len(r) else np.zeros(0, bool)
-        keep[r[~good], c[~good]] = False
-        links = keep @ copies[vi]
-        a, b = forest(keep, rid[qi], rid[vi])
-        some = links > 0
-        tied = b != rid[vi]
-        node = np.concatenate([rid[qi][some], rid[vi][tied]])
+        q, v = (np.array(block.column(k)[0].as_py()) for k in ("q", "v"))
+        keep = np.unpackbits(np.frombuffer(block.column("pairs")[0].as_py(), np.uint8), count=len(q) * len(v)).reshape(len(q), len(v)).astype(bool)
+        rid, copies = members.column("rid").to_numpy(), members.column("copies").to_numpy()
+        size = members.column("vector").combine_chunks().value_lengths().to_numpy()
+        x = np.zeros((len(rid), int(size.max())))  # vectors of one cell have one length, but for clashes of its hash
+        x[np.arange(x.shape[1]) < size[:, None]] = members.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        order = np.argsort(rid)
+        qx, vx = (order[np.searchsorted(rid[order], k)] for k in (q, v))
+        keep &= size[qx][:, None] == size[vx][None]
+        for a in range(0, len(q), 256):
+            r, c = np.nonzero(keep[a : a + 256])
+            for i in range(0, len(r), 65536):
+                rr, cc = r[i : i + 65536] + a, c[i : i + 65536]
+                keep[rr, cc] = np.einsum("ij,ij->i", x[qx[rr]], x[vx[cc]]) >= cosine
+        links = keep @ copies[vx]
+        a, b = forest(keep, q, v)
+        some, tied = links > 0, b != v
+        node = np.concatenate([q[some], v[tied]])
         return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(np.concatenate([links[some], np.zeros(int(tied.sum()), np.int64)]), pa.int64()), "other": pa.array(np.concatenate([a[some], b[tied]]), pa.int64())}, schema=schema)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """id_col (long), n_links, component_id, kept of every row.
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", directions: int = DIRECTIONS, recall: float = RECALL) -> DataFrame:
+    """id_col (long), n_links, component_id, kept of every row; each linked pair is found with probability `recall` or more.
 
     Rows are compared where their labels are equal and not null and their vectors have the same length. Vectors that are
     null, empty, zero or hold a null or non-finite component link with nothing. Equal vectors are compared once and count
@@ -181,24 +228,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     # Single precision travels where it holds the values exactly.
     narrow = same.agg(F.min(exact)).first()[0] is not False
     base, p_base = materialize(same.select("rid", "class", "copies", F.col("f").alias("vector") if narrow else F.col("vector")), "emb-base")
-    proj = Projections(cosine, base.count())
-    kind = base.schema["vector"].dataType.simpleString()
-    cells = base.mapInArrow(_cell_rows(proj, False), "cell long, query int, group int, rid long")
-    sizes = cells.groupBy("cell").agg(F.sum("query").alias("nq"), F.sum(1 - F.col("query")).alias("nv"))
+    proj = Projections(cosine, directions, recall)
+    slim = base.select("rid", "class", "vector")
+    sizes = slim.mapInArrow(_cell_rows(proj, True), "cell long, query int").groupBy("cell").agg(F.sum("query").alias("nq"), F.sum(1 - F.col("query")).alias("nv"))
     large, p_large = materialize(sizes.filter(F.greatest("nq", "nv") > BLOCK).filter("nq > 0 AND nv > 0").select("cell", F.ceil(F.col("nq") / BLOCK).cast("int").alias("bq"), F.ceil(F.col("nv") / BLOCK).cast("int").alias("bv")), "emb-cells")
-    full = base.mapInArrow(_cell_rows(proj, True), f"cell long, query int, group int, rid long, class long, copies long, vector {kind}")
+    full = slim.mapInArrow(_cell_rows(proj, False), "cell long, query int, group int, rid long, class long, at binary")
     dealt = full.join(large, "cell", "left").withColumns({"bq": F.coalesce("bq", F.lit(1)), "bv": F.coalesce("bv", F.lit(1))})
-    h = F.xxhash64("rid")
-    mine = F.when(F.col("query") == 1, F.pmod(h, F.col("bq"))).otherwise(F.pmod(h, F.col("bv"))).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("query") == 1, F.col("bv")).otherwise(F.col("bq")) - 1)
+    h, is_query = F.xxhash64("rid"), F.col("query") == 1
+    mine = F.pmod(h, F.when(is_query, F.col("bq")).otherwise(F.col("bv"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(is_query, F.col("bv")).otherwise(F.col("bq")) - 1)
     dealt = dealt.withColumn("mine", mine).withColumn("theirs", F.explode(others))
-    dealt = dealt.select("cell", "query", "group", "rid", "class", "copies", "vector", F.when(F.col("query") == 1, F.col("mine")).otherwise(F.col("theirs")).alias("x"), F.when(F.col("query") == 1, F.col("theirs")).otherwise(F.col("mine")).alias("y"))
-    found, p_found = materialize(dealt.groupBy("cell", "x", "y").applyInArrow(_block(proj), "node long, links long, other long"), "emb-links")
+    spot = lambda a, b: F.when(is_query, F.col(a)).otherwise(F.col(b))
+    dealt = dealt.select("cell", "query", "group", "rid", "class", "at", spot("mine", "theirs").alias("x"), spot("theirs", "mine").alias("y"))
+    place = ["cell", "x", "y"]
+    blocks, p_blocks = materialize(dealt.groupBy(place).applyInArrow(_collisions(proj), "cell long, x int, y int, q array<long>, v array<long>, pairs binary"), "emb-blocks")
+    members = blocks.select(*place, F.explode(F.array_union("q", "v")).alias("rid")).join(base.select("rid", "copies", "vector"), "rid")
+    members = members.select([F.col(c).alias(f"m_{c}") for c in place] + ["rid", "copies", "vector"])
+    found, p_found = materialize(blocks.groupBy(place).cogroup(members.groupBy([f"m_{c}" for c in place])).applyInArrow(_verified(cosine), "node long, links long, other long"), "emb-links")
     comp, _ = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = reps.join(links, reps["rid"] == links["node"], "left").drop("node").join(comp, F.col("rid") == comp["node"], "left")
     per, _ = materialize(whole.select("a", "b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rid").alias("component_id")), "emb-result")
-    discard(spark, p_reps, p_base, p_large, p_found)
+    discard(spark, p_reps, p_base, p_large, p_blocks, p_found)
     out = rows.withColumns({"a": F.when(usable, F.xxhash64("class", "vector")), "b": F.when(usable, F.xxhash64(F.lit(1), "vector", "class"))}).select("id", "a", "b").join(per, ["a", "b"], "left")
     comp_id = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), (F.col("id") == comp_id).alias("kept"))
