@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.llm.common import row_chunks, text_buffer
@@ -18,9 +18,9 @@ WINDOW, VECTOR, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 5)
 WIDE = max(WIDTHS)
 STRIDE = WINDOW - WIDE + 1
 PAD = 256
-#: Bound on the labelled windows that training reads, over all languages.
-MAX_WINDOWS = 9000
-PER_LANGUAGE = 1500
+#: Bounds on the labelled sample: rows of a language, rows, and windows over all of them. Chosen texts are read whole; one
+#: that would pass the bound on windows is left out of the sample.
+PER_LANGUAGE, MAX_ROWS, MAX_WINDOWS = 400, 20_000, 12_000
 
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(257, dtype=np.int16)
@@ -120,27 +120,32 @@ class ByteConvNet:
         return best, e[np.arange(len(e)), best] / e.sum(1)
 
 
-def training_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_rows: int) -> list:
-    """(lang, piece) of at most `max_rows` labelled rows, about `per_language` of each language, chosen by a hash of the id."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in labelled.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
-    if not counts:
+def training_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_rows: int, max_windows: int) -> list:
+    """(lang, text) of at most `max_rows` labelled rows with `max_windows` windows at most, at most `per_language` of each
+    language, chosen by a hash of the id. Rows without an id, a label or a text are not chosen."""
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.greatest(F.lit(1), F.ceil(F.octet_length(text_col) / STRIDE)).alias("n"))
+    order = (F.xxhash64("id", F.lit("language")), "id", "n")
+    # Spark keeps the first rows of each language in every partition before it shuffles; texts are fetched for these alone.
+    ranked = rows.select("id", "lang", "n").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    room, chosen = max_windows, []
+    for r in ranked.filter(F.col("rank") <= per_language).orderBy("rank", "lang").limit(max_rows).collect():
+        if r["n"] <= room:
+            room -= r["n"]
+            chosen.append((r["id"], r["lang"], r["n"]))
+    if not chosen:
         return []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    key = F.xxhash64(F.col(id_col), F.lit("language"))
-    at = F.pmod(F.xxhash64(F.col(id_col), F.lit("piece")), F.greatest(F.length(text_col) - WINDOW + 1, F.lit(1))).cast("int")
-    piece = F.substring(F.col(text_col), at + 1, F.lit(WINDOW))
-    unit = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
-    return rows.filter(unit < share).select(key.alias("k"), F.col(lang_col).alias("lang"), piece.alias("piece")).orderBy("k", "lang", "piece").limit(max_rows).collect()
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    picked = labelled.sparkSession.createDataFrame(chosen, f"id {kinds['id']}, lang {kinds['lang']}, n {kinds['n']}").distinct()
+    found = rows.join(F.broadcast(picked), ["id", "lang", "n"]).orderBy(*order, "lang", "text").limit(len(chosen))
+    return found.select("lang", "text").collect()
 
 
 def fit(rows: list) -> ByteConvNet | None:
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
-    data = [r["piece"].encode() for r in rows]
+    data = [r["text"].encode() for r in rows]
     off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
     codes, row, weight = windows_of(np.frombuffer(b"".join(data), np.uint8), off)
     good = weight >= min(16, int(weight.max()))
@@ -151,14 +156,14 @@ def fit(rows: list) -> ByteConvNet | None:
     return net
 
 
-def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_WINDOWS) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Language of each whole text by a network trained on a bounded sample of `labelled`.
 
     Returns id_col, lang_pred, score (0 to 1). A text that is null or has no letter gives `und` with score 1; without
     any labelled row every text is `und` with score 0. Equal texts give equal predictions up to float rounding.
     Repeated rows give repeated rows; other columns of `docs` are not read.
     """
-    net = fit(training_rows(labelled, id_col, text_col, lang_col, per_language, max_rows))
+    net = fit(training_rows(labelled, id_col, text_col, lang_col, per_language, max_rows, max_windows))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     id_type = docs.schema[id_col].dataType.simpleString()
 
