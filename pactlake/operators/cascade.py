@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What makes the changes of one operation and direction a unit.
@@ -18,19 +18,18 @@ def ancestors(pointer: Column) -> Column:
 def shadowed(changes: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
     """`changes` with `shadow`: the outermost removed or type-changed ancestor of from_name, null where there is none.
 
-    Ancestor prefixes are bounded by a pointer's depth and joined on equality with the shadowing pointers.
+    The shadowing pointers of a unit stand beside each of its rows; a unit is one operation's direction, so both are small.
     """
     keyed = changes.withColumn("_k", F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in scope]))
-    casts = keyed.filter(F.col("from_name").isNotNull() & (F.endswith("kind", F.lit(".type.changed")) | F.endswith("kind", F.lit(".field.removed")))).select("_k", F.col("from_name").alias("shadow")).distinct()
-    under = keyed.filter("from_name IS NOT NULL").select("_k", "from_name").distinct().withColumn("shadow", F.explode(ancestors(F.col("from_name"))))
-    first = under.join(casts, ["_k", "shadow"]).groupBy("_k", "from_name").agg(F.min_by("shadow", F.length("shadow")).alias("shadow"))
-    return keyed.join(first, ["_k", "from_name"], "left")
+    casts = F.endswith("kind", F.lit(".type.changed")) | F.endswith("kind", F.lit(".field.removed"))
+    keyed = keyed.withColumn("_casts", F.collect_set(F.when(casts, F.col("from_name"))).over(Window.partitionBy("_k")))
+    return keyed.withColumn("shadow", F.get(F.array_intersect(ancestors(F.col("from_name")), "_casts"), F.lit(0))).drop("_casts")
 
 
 def suppress_cascades(changes: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
     """Without shadowed changes; a survivor tells how many changes below its from_name are hidden."""
     marked = shadowed(changes, scope)
-    hidden = marked.filter("shadow IS NOT NULL").groupBy("_k", F.col("shadow").alias("from_name")).agg(F.count("*").alias("_n"))
-    kept = marked.filter("shadow IS NULL").join(hidden, ["_k", "from_name"], "left")
+    below = Window.partitionBy("_k", F.coalesce("shadow", "from_name"))
+    kept = marked.withColumn("_n", F.count("shadow").over(below)).filter("shadow IS NULL")
     detail = F.when(F.col("_n") > 0, F.concat("detail", F.lit(", along with "), F.col("_n").cast("string"), F.lit(" nested fields below it"))).otherwise(F.col("detail"))
     return kept.withColumn("detail", detail).select(changes.columns)

@@ -7,23 +7,17 @@ operation: pair_id, op, path, method, operation_id, rank (ceiling of confidence)
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlake.functions.schema_types import is_type_change_breaking
+from pactlake.functions.text import names_related
 from pactlake.operators.cascade import suppress_cascades
-from pactlake.operators.changes import make_changes
-from pactlake.operators.matching import sibling_renames
+from pactlake.operators.changes import HIGH, MEDIUM, make_changes
 
 OP = ["pair_id", "op"]
 
 
-def as_is(df: DataFrame) -> DataFrame:
-    return df
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -136,60 +130,116 @@ def diff_enums(rows: DataFrame, name: str, direction: Column, location: Column)
     )
 
 
-def diff_params(context: DataFrame, old: DataFrame, new: DataFrame, keep: Callable[[DataFrame], DataFrame] = as_is) -> DataFrame:
+def _item(kind: Column, breaking, detail: Column, direction: Column, location: Column, cap: int | Column = HIGH, **named) -> Column:
+    """One change as a value: what make_changes needs besides the operation's context."""
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    values = {"kind": kind, "breaking": as_col(breaking), "detail": detail, "cap": as_col(cap), "direction": direction, "location": location}
+    values |= {c: named.get(c, F.lit(None).cast("string")) for c in ("from_name", "to_name", "from_type", "to_type")}
+    return F.struct(*[v.alias(c) for c, v in values.items()])
+
+
+def _enum_items(name: Column, direction: Column, location: Column, before: Column, after: Column) -> list[Column]:
+    """Lost values break requests, new ones responses; nothing where a side has no enum."""
+    request, items = direction == "request", []
+    for kind, gone, breaking, words in (
+        ("enum.value.removed", F.array_except(before, after), request, (" no longer accepts ", " no longer returns ")),
+        ("enum.value.added", F.array_except(after, before), ~request, (" now also accepts ", " can now return ")),
+    ):
+        detail = text(name, F.when(request, words[0]).otherwise(words[1]), F.array_join(gone, ", "))
+        items.append(F.when(F.size(gone) > 0, _item(F.lit(kind), breaking, detail, direction, location, from_name=name, to_name=name)))
+    return items
+
+
+def _paired(removed: Column, added: Column) -> Column:
+    """Renames within one class, both arrays in document order: the only row of both sides, or each removed row with the
+    first free added row of a related name."""
+    pair = lambda f, t, conf: F.struct(f.alias("f"), t.alias("t"), F.lit(conf).alias("conf"))
+    first = lambda a: F.get(a, F.lit(0))
+    sure = F.array(pair(first(removed), first(added), HIGH))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = F.filter(acc["free"], lambda y: names_related(x["name"], y["name"]))
+        rest = F.filter(acc["free"], lambda y: y["ord"] != first(fits)["ord"])
+        return F.when(F.size(fits) > 0, F.struct(rest.alias("free"), F.concat(acc["pairs"], F.array(pair(x, first(fits), MEDIUM))).alias("pairs"))).otherwise(acc)
+
+    start = F.struct(added.alias("free"), F.slice(sure, 1, 0).alias("pairs"))
+    return F.when((F.size(removed) == 1) & (F.size(added) == 1), sure).otherwise(F.aggregate(removed, start, step)["pairs"])
+
+
+def _part_changes(context: DataFrame, old: DataFrame, new: DataFrame, keys: list[str], same: list[str], both, gone, come, renamed) -> DataFrame:
+    """Changes of operation parts in one join of the sides and one grouping of what it leaves unmatched.
+
+    `both(o, n)` gives the changes of a matched row (nulls are none), `gone(x)`, `come(x)` and `renamed(pair)` that of a
+    removed row, an added row and a rename; a null is no change. Rows that agree on `same` and the operation may be renames.
+    """
+    rest = ["ord", *(c for c in old.columns if c not in (*keys, "ord"))]
+    side = lambda df, s: df.select(*keys, F.struct(*rest).alias(s))
+    joined = side(old, "o").join(side(new, "n"), keys, "full")
+    matched = joined.filter("o IS NOT NULL AND n IS NOT NULL").select(*OP, F.explode(F.array_compact(F.array(*both(F.col("o"), F.col("n"))))).alias("c"))
+    whole = lambda s: F.struct(F.col(f"{s}.ord"), *[F.col(k) for k in keys if k not in OP], *[F.col(f"{s}.{c}") for c in rest if c != "ord"])
+    single = joined.filter("o IS NULL OR n IS NULL").withColumns({"r": F.when(F.col("n").isNull(), whole("o")), "a": F.when(F.col("o").isNull(), whole("n"))})
+    classes = single.groupBy(*OP, *[F.coalesce(f"r.{c}", f"a.{c}").alias(c) for c in same]).agg(F.array_sort(F.collect_list("r")).alias("r"), F.array_sort(F.collect_list("a")).alias("a"))
+    classes = classes.withColumn("p", _paired(F.col("r"), F.col("a")))
+    free = lambda side, end: F.filter(side, lambda x: ~F.exists("p", lambda p: p[end]["ord"] == x["ord"]))
+    items = F.concat(F.transform("p", renamed), F.transform(free(F.col("r"), "f"), gone), F.transform(free(F.col("a"), "t"), come))
+    changed = matched.unionByName(classes.select(*OP, F.explode(F.array_compact(items)).alias("c"))).join(context, OP)
+    c = {k: F.col(f"c.{k}") for k in ("kind", "breaking", "detail", "direction", "location", "from_name", "to_name", "from_type", "to_type")}
+    return make_changes(changed, rank=F.least("rank", "c.cap"), **c)
+
+
+def diff_params(context: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """old, new: pair_id, op, location, name, required, type, enum_values, ord."""
-    keys = [*OP, "location", "name"]
-    removed, added = keep(unmatched(old, new, keys)), keep(unmatched(new, old, keys))
-    pairs = keep(sibling_renames(removed, added, OP, ["location", "type"]))
-    side = lambda df, o: df.select(*OP, F.col("ord").alias(o), F.col("location").alias("loc"), F.col("name").alias(o.replace("ord", "n")))
-    renamed = pairs.join(side(removed, "from_ord"), [*OP, "from_ord"]).join(side(added, "to_ord").drop("loc"), [*OP, "to_ord"]).join(context, OP)
-    left = lambda df, o: df.join(pairs.select(*OP, F.col(o).alias("ord")), [*OP, "ord"], "left_anti").withColumnRenamed("location", "loc").join(context, OP)
-    b = new.select(*keys, F.col("required").alias("now_required"), F.col("type").alias("to"), F.col("enum_values").alias("after"))
-    both = old.join(b, keys).withColumnsRenamed({"location": "loc", "enum_values": "before"})
-    both = keep(both.join(context, OP))
-    n, loc, rank = F.col("name"), F.col("loc"), F.col("rank")
-    say = lambda *more: text(loc, " parameter ", n, *more)
-    typed = both.filter("type <> to")
-    return union_all([
-        make_changes(renamed, "param.renamed", True, text(loc, " parameter ", F.col("from_n"), " renamed to ", F.col("to_n")), F.least("rank", "conf"), "request", loc, from_name=F.col("from_n"), to_name=F.col("to_n")),
-        make_changes(left(removed, "from_ord"), "param.removed", False, say(" removed, the server now ignores it"), rank, "request", loc, from_name=n),
-        make_changes(left(added, "to_ord").filter("required"), "param.added.required", True, text("new required ", loc, " parameter ", n, " (", F.col("type"), ")"), rank, "request", loc, to_name=n, to_type=F.col("type")),
-        make_changes(typed, "param.type.changed", is_type_change_breaking("type", "to"), say(" changed from ", F.col("type"), " to ", F.col("to")), rank, "request", loc, from_name=n, to_name=n, from_type=F.col("type"), to_type=F.col("to")),
-        make_changes(both.filter("NOT required AND now_required"), "param.became.required", True, say(" is now required"), rank, "request", loc, from_name=n, to_name=n),
-        diff_enums(both, "name", F.lit("request"), loc),
-    ])
+    request, t = F.lit("request"), "type"
+    say = lambda x, *more: text(x["location"], " parameter ", x["name"], *more)
 
+    def both(o: Column, n: Column) -> list[Column]:
+        name, loc = F.col("name"), F.col("location")
+        says = lambda *more: text(loc, " parameter ", name, *more)
+        return [
+            F.when(o[t] != n[t], _item(F.lit("param.type.changed"), is_type_change_breaking(o[t], n[t]), says(" changed from ", o[t], " to ", n[t]), request, loc, from_name=name, to_name=name, from_type=o[t], to_type=n[t])),
+            F.when(~o["required"] & n["required"], _item(F.lit("param.became.required"), True, says(" is now required"), request, loc, from_name=name, to_name=name)),
+            *_enum_items(name, request, loc, o["enum_values"], n["enum_values"]),
+        ]
 
-def field_changes(context: DataFrame, old: DataFrame, new: DataFrame, keep: Callable[[DataFrame], DataFrame] = as_is) -> DataFrame:
-    """Changes of payload fields before cascades are folded, with `op` kept.
+    gone = lambda x: _item(F.lit("param.removed"), False, say(x, " removed, the server now ignores it"), request, x["location"], from_name=x["name"])
+    come = lambda x: F.when(x["required"], _item(F.lit("param.added.required"), True, text("new required ", x["location"], " parameter ", x["name"], " (", x[t], ")"), request, x["location"], to_name=x["name"], to_type=x[t]))
+    renamed = lambda p: _item(F.lit("param.renamed"), True, say(p["f"], " renamed to ", p["t"]["name"]), request, p["f"]["location"], p["conf"], from_name=p["f"]["name"], to_name=p["t"]["name"])
+    return _part_changes(context, old, new, [*OP, "location", "name"], ["location", "type"], both, gone, come, renamed)
+
+
+def field_changes(context: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Changes of payload fields before cascades are folded.
 
     old, new: pair_id, op, direction, pointer, name, parent, required, type, enum_values, schema_fp, ord.
     """
-    scope = [*OP, "direction"]
-    keys = [*scope, "pointer"]
-    removed, added = keep(unmatched(old, new, keys)), keep(unmatched(new, old, keys))
-    pairs = keep(sibling_renames(removed, added, scope, ["parent", "schema_fp"]))
-    side = lambda df, o: df.select(*scope, F.col("ord").alias(o), F.col("pointer").alias(o.replace("ord", "p")))
-    renamed = pairs.join(side(removed, "from_ord"), [*scope, "from_ord"]).join(side(added, "to_ord"), [*scope, "to_ord"]).join(context, OP)
-    left = lambda df, o: df.join(pairs.select(*scope, F.col(o).alias("ord")), [*scope, "ord"], "left_anti").join(context, OP)
-    b = new.select(*keys, F.col("required").alias("now_required"), F.col("type").alias("to"), F.col("enum_values").alias("after"))
-    both = keep(old.join(b, keys).withColumnRenamed("enum_values", "before").join(context, OP))
-    p, d, rank, t = F.col("pointer"), F.col("direction"), F.col("rank"), F.col("type")
-    loc = F.when(d == "request", "body").otherwise("response")
-    kind = lambda tail: text(d, f".field.{tail}")
-    say = lambda *more: text(d, " field ", *more)
-    typed = both.filter("type <> to")
-    made = {
-        "renamed": (renamed, dict(kind=kind("renamed"), breaking=True, detail=say(F.col("from_p"), " renamed to ", F.col("to_p")), rank=F.least("rank", "conf"), from_name=F.col("from_p"), to_name=F.col("to_p"))),
-        "removed": (left(removed, "from_ord"), dict(kind=kind("removed"), breaking=(d == "response") | F.col("required"), detail=say(p, " removed"), rank=rank, from_name=p, from_type=t)),
-        "added": (left(added, "to_ord").filter("direction = 'request' AND required"), dict(kind=kind("added.required"), breaking=True, detail=text("new required request field ", p, " (", t, ")"), rank=rank, to_name=p, to_type=t)),
-        "typed": (typed, dict(kind=kind("type.changed"), breaking=is_type_change_breaking("type", "to"), detail=say(p, " changed from ", t, " to ", F.col("to")), rank=rank, from_name=p, to_name=p, from_type=t, to_type=F.col("to"))),
-        "required": (both.filter("direction = 'request' AND NOT required AND now_required"), dict(kind=kind("became.required"), breaking=True, detail=say(p, " is now required"), rank=rank, from_name=p, to_name=p)),
-    }
-    changes = [make_changes(df, direction=d, location=loc, **v) for df, v in made.values()]
-    return union_all([*changes, diff_enums(both, "pointer", d, loc)])
-
-
-def diff_fields(context: DataFrame, old: DataFrame, new: DataFrame, keep: Callable[[DataFrame], DataFrame] = as_is) -> DataFrame:
-    """Field changes with cascades folded. `keep` may persist what is read several times."""
-    return suppress_cascades(keep(field_changes(context, old, new, keep)))
+    t = "type"
+    place = lambda d: F.when(d == "request", "body").otherwise("response")
+    kind = lambda d, tail: text(d, f".field.{tail}")
+
+    def both(o: Column, n: Column) -> list[Column]:
+        d, p = F.col("direction"), F.col("pointer")
+        say = lambda *more: text(d, " field ", p, *more)
+        return [
+            F.when(o[t] != n[t], _item(kind(d, "type.changed"), is_type_change_breaking(o[t], n[t]), say(" changed from ", o[t], " to ", n[t]), d, place(d), from_name=p, to_name=p, from_type=o[t], to_type=n[t])),
+            F.when((d == "request") & ~o["required"] & n["required"], _item(kind(d, "became.required"), True, say(" is now required"), d, place(d), from_name=p, to_name=p)),
+            *_enum_items(p, d, place(d), o["enum_values"], n["enum_values"]),
+        ]
+
+    def gone(x: Column) -> Column:
+        d, p = x["direction"], x["pointer"]
+        return _item(kind(d, "removed"), (d == "response") | x["required"], text(d, " field ", p, " removed"), d, place(d), from_name=p, from_type=x[t])
+
+    def come(x: Column) -> Column:
+        d, p = x["direction"], x["pointer"]
+        return F.when((d == "request") & x["required"], _item(kind(d, "added.required"), True, text("new required request field ", p, " (", x[t], ")"), d, place(d), to_name=p, to_type=x[t]))
+
+    def renamed(pair: Column) -> Column:
+        d, a, b = pair["f"]["direction"], pair["f"]["pointer"], pair["t"]["pointer"]
+        return _item(kind(d, "renamed"), True, text(d, " field ", a, " renamed to ", b), d, place(d), pair["conf"], from_name=a, to_name=b)
+
+    return _part_changes(context, old, new, [*OP, "direction", "pointer"], ["direction", "parent", "schema_fp"], both, gone, come, renamed)
+
+
+def diff_fields(context: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Field changes with cascades folded."""
+    return suppress_cascades(field_changes(context, old, new))

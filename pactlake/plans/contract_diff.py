@@ -85,7 +85,7 @@ class DocumentDiff:
         return diff.union_all([
             diff.diff_servers(*both(servers)), diff.diff_security(*both(security), *both(schemes)), diff.path_renames(moved),
             diff.diff_operation_flags(full), diff.diff_statuses(full), diff.diff_content_types(full, "request"), diff.diff_content_types(full, "response"),
-            diff.diff_params(context, from_side(self._params), to_side(self._params), self._keep), diff.diff_fields(context, from_side(self._fields), to_side(self._fields), self._keep),
+            diff.diff_params(context, from_side(self._params), to_side(self._params)), diff.diff_fields(context, from_side(self._fields), to_side(self._fields)),
             diff.unpaired_changes(removed, "operation.removed", True, "removed"), diff.unpaired_changes(added, "operation.added", False, "added"),
         ])
 
