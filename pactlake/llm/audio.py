@@ -63,23 +63,24 @@ _PHASES, _BANK, _HANN = _filter(), _mel(), np.hanning(FRAME)
 def resample(x: np.ndarray) -> np.ndarray:
     """Polyphase: output m is the phase (m * DOWN) % UP of the filter on the TAPS samples up to m * DOWN // UP.
 
-    Zeros follow the signal until its last sample has left the filter.
+    Zeros follow the signal until its last sample has left the filter. `x`: numbers from -1 to 1, or unsigned 8-bit samples.
     """
     count = -(-(len(x) + TAPS - 1) * UP // DOWN)
-    padded = np.concatenate([np.zeros(TAPS - 1), x, np.zeros(TAPS - 1)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
-    y = np.empty(count)
+    silence = np.full(TAPS - 1, 128 if x.dtype == np.uint8 else 0, x.dtype)
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([silence, x, silence]), TAPS)
+    y = np.empty(count, np.float32)
     for p in range(UP):
         at = np.arange(p, count, UP) * DOWN // UP
-        for a in range(0, len(at), 1 << 16):
-            y[p + a * UP : p + min(a + (1 << 16), len(at)) * UP : UP] = view[at[a : a + (1 << 16)]] @ _PHASES[(p * DOWN) % UP]
+        for a in range(0, len(at), 1 << 14):
+            some = view[at[a : a + (1 << 14)]]
+            y[p + a * UP : p + min(a + (1 << 14), len(at)) * UP : UP] = ((some - 128.0) / 128.0 if x.dtype == np.uint8 else some) @ _PHASES[(p * DOWN) % UP]
     return y
 
 
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frames x MELS log energies, frame energy in dB); zeros fill the last frame, so every sample lies in one."""
     whole = FRAME + max(0, -(-(len(y) - FRAME) // HOP)) * HOP
-    y = np.concatenate([y, np.zeros(whole - len(y))])
+    y = np.concatenate([y, np.zeros(whole - len(y), y.dtype)])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     mel, db = np.empty((len(frames), MELS), np.float32), np.empty(len(frames))
     for a in range(0, len(frames), STEP):
@@ -173,7 +174,7 @@ def audio_columns(docs: DataFrame, multiple: int = 576, id_col: str = "doc_id",
                     payload, n = payload_of(text, multiple)
                     media = wav_bytes(payload)
                     back, _ = read_wav(media)
-                    mel, db = log_mel(resample((np.frombuffer(back, np.uint8) - 128.0) / 128.0))
+                    mel, db = log_mel(resample(np.frombuffer(back, np.uint8)))
                     spans = segments(db)
                     stored = to_ipc(tensor_batch(mel, db))
                     row = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(from_ipc(stored), spans)]

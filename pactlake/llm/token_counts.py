@@ -135,7 +135,7 @@ class PrefixCounter:
         return np.concatenate(out)
 
     def cut(self, text: str, budget: int) -> int:
-        """Bytes of the longest prefix, ending between characters, with at most `budget` tokens."""
+        """Bytes of the longest prefix with at most `budget` tokens that ends between characters and not within a special string."""
         base = at = 0
         for part, width in self.parts(text):
             for piece in [None] if part is None else self.split(part):

@@ -1,6 +1,11 @@
 """Mixing counts tokens, also of texts without spaces."""
 
+import random
+
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tests.llm import brute
 
 from pactlake.llm import byte_bpe, mixing
 
@@ -19,3 +24,37 @@ def test_shares_are_of_tokens(spark):
     made = sum(r["_n_tokens"] * r["_copies"] for r in got.values() if r["source"] == "en")
     assert 1.5 * tokens["en"] < made <= 2 * tokens["en"]
     assert got[0]["_weight"] > got[100]["_weight"]
+
+
+def _codec():
+    with open(public_tokenizers.path(mixing.RANKS), "rb") as f:
+        return byte_bpe.Codec(byte_bpe.load_ranks(f.read()), public_tokenizers.PATTERN)
+
+
+@pytest.mark.parametrize("targets", [{"repetition_limit": 2.0}, {"repetition_limit": 1.3}, {"entropy": 0.8}, {"entropy": 9.0}, {"entropy": 0.2}, {"repetition_limit": 4.0, "budget_tokens": 2500}, {"entropy": 0.7, "budget_tokens": 40}])
+def test_copies_equal_brute_force(spark, targets):
+    rng = random.Random(5)
+    words = "one two three vier fünf sechs".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30))), rng.choice("aaaaaaabbc")) for i in range(300)]
+    rows += [(1000, None, "a"), (1001, "", "b"), (None, "no id", "a"), (7, "same row", "b"), (7, "same row", "b"), (1002, "null source", None), (1003, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    codec = _codec()
+    given = {"budget" if k == "budget_tokens" else k: v for k, v in targets.items()}
+    want, weight = brute.mixed(docs, lambda t: len(codec.encode(t or "")) // 4, **given)
+    got = mixing.copies(docs, **targets).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["text"], r["source"]): r["_copies"] for r in got} == want
+    assert all(abs(r["_weight"] - weight.get(r["source"], 0.0)) < 1e-9 for r in got)
+    again = mixing.copies(docs.repartition(7), **targets).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    if "budget_tokens" in targets:
+        made = sum(r["_n_tokens"] * r["_copies"] for r in got)
+        assert made <= targets["budget_tokens"] and made > targets["budget_tokens"] - 60 * len(weight)
+
+
+def test_equal_sources_and_empty_tables(spark):
+    docs = spark.createDataFrame([(i, "a b c", "xy"[i % 2]) for i in range(10)], "doc_id long, text string, source string")
+    assert {r["_copies"] for r in mixing.copies(docs).collect()} == {1}
+    assert mixing.copies(docs.limit(0)).count() == 0 and mixing.realise(docs.limit(0)).columns == docs.columns
+    nothing = docs.withColumn("text", F.lit(None).cast("string"))
+    assert {r["_copies"] for r in mixing.copies(nothing).collect()} == {1}

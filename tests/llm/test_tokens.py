@@ -96,3 +96,60 @@ def test_merge_equals_plain_bpe():
                 break
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         assert byte_bpe.merge(word, ranks) == [ranks[p] for p in parts]
+
+
+def test_many_at_once_equals_one_by_one():
+    rng = random.Random(15)
+    for _ in range(20):
+        base = [bytes([c]) for c in range(256)]
+        longer = list({bytes(rng.choices(b"abcd", k=rng.randint(2, 5))) for _ in range(60)})
+        ranks = {p: i for i, p in enumerate([*base, *longer])}
+        pieces = [p for p in (bytes(rng.choices(b"abcdx", k=rng.randint(0, 30))) for _ in range(80)) if p not in ranks]  # whole tokens need no queue
+        want = [np.array(byte_bpe.merge(p, ranks) if p else [], "<u4").tobytes() for p in pieces]
+        assert byte_bpe.Merger(ranks).merge(pieces) == want
+
+
+def test_remembered_words_equal_library():
+    with open(RANKS, "rb") as f:
+        ranks = byte_bpe.load_ranks(f.read())
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = byte_bpe.Codec(ranks, public_tokenizers.PATTERN), random.Random(9)
+    texts = ["".join(rng.choice(" abABßñЖ水'.,\n0\u3000\x1c\xa0\t") for _ in range(rng.randint(0, 60))) for _ in range(1500)] + odd_texts()
+    for ids, text in zip(codec.encode_all(texts), texts, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text), repr(text)
+
+
+def test_prefix_tables_and_cuts_equal_library(spark):
+    """Counts of prefixes that end with a pre-token are the library's; within one, those of its own bytes."""
+    library = tokenizers.Tokenizer.from_file(VOCABULARY)
+    library.no_truncation()
+    library.no_padding()
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    with open(VOCABULARY, "rb") as f:
+        counter = token_counts.counter_of(f.read(), public_tokenizers.PATTERN)
+    rng = random.Random(21)
+    texts = ["", "it's we'll", "<|endoftext|>a<|endoftext|>", "antidisestablishmentarianism", "x" * 70, "éè 中文 naïve"] + ["".join(rng.choice("abcde ABß中.,\n0'") for _ in range(rng.randint(1, 50))) for _ in range(60)]
+    for text in texts:
+        table, data = counter.prefix_table(text), text.encode()
+        assert len(table) == len(data) + 1 and table[0] == 0 and table[-1] == count(text)
+        at = base = 0
+        whole = set()  # ends within a special string
+        for part, width in counter.parts(text):
+            for piece in [None] if part is None else counter.split(part):
+                raw = b"\0" * width if piece is None else piece.encode()
+                whole.update(range(at + 1, at + width) if piece is None else ())
+                for i in range(1, len(raw) + 1):
+                    if piece is not None and (i == len(raw) or raw[i] & 0xC0 != 0x80):
+                        assert table[at + i] == base + len(library.model.tokenize("".join(chars[b] for b in raw[:i]))), (text, piece, i)
+                at += len(raw)
+                base = int(table[at])
+        for budget in (0, 1, 2, 5, 1000):
+            ends = [i for i in range(len(data) + 1) if (i == len(data) or data[i] & 0xC0 != 0x80) and i not in whole and table[i] <= budget]
+            assert counter.cut(text, budget) == max(ends)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in token_counts.token_counts(docs, VOCABULARY, public_tokenizers.PATTERN, limit=5, with_prefixes=True).collect():
+        assert r["prefix_tokens"] == counter.prefix_table(texts[r["doc_id"]]).tolist()
+        assert r["cut_bytes"] == (counter.cut(texts[r["doc_id"]], 5) if r["over_limit"] else r["n_bytes"])
+
+
+chars = {b: c for c, b in token_counts.byte_alphabet().items()}
