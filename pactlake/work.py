@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that removes an execution's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def work_dir(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`; a temporary folder only where all of Spark is one local process and the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.pactlake.workDir", None)
@@ -20,10 +24,15 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """`df` written to the shared folder and read again, and its path."""
-    path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """`df` written to the shared folder and read again, and its path. The write's shuffle files go when it is done."""
+    spark = df.sparkSession
+    path, held = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, held)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, *paths: str | None) -> None:
