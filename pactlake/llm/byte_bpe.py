@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlake.llm.common import byte_slices
-from pactlake.llm.pretokens import TextValues
+from pactlake.llm.pretokens import ENTRIES, TextValues
 
 #: Texts whose words are encoded together; their bytes are bounded too.
-SLICE_ROWS = 4096
+SLICE_ROWS = 2048
 #: Ranks in one word of the bitmap's lower level; the upper level has a bit for each such word.
 WORD = 8
 
@@ -193,6 +193,9 @@ class Codec:
         self.vocab = {i: b for b, i in ranks.items()}
         self.values = TextValues(pattern, lambda piece: np.array(merge(piece.encode(), ranks), "<u4").tobytes(), b"".join, self._pieces)
 
+        # Counts are small numbers, of which a worker can remember more.
+        self.counts = TextValues(pattern, lambda piece: len(merge(piece.encode(), ranks)), sum, lambda pieces: [len(x) // 4 for x in self._pieces(pieces)], 2 * ENTRIES)
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
         out = [None if (r := self.ranks.get(x)) is None else r.to_bytes(4, "little") for x in raw]
@@ -208,6 +211,11 @@ class Codec:
         self.values.learn(texts)
         return [self.values.of(t) for t in texts]
 
+    def count_all(self, texts: list[str]) -> list[int]:
+        """Tokens of each text, without its ids."""
+        self.counts.learn(texts)
+        return [self.counts.of(t) for t in texts]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -14,20 +14,20 @@ ENTRIES, CHARS = 150_000, 48
 class Memory(dict):
     """Values of short strings, made where missing. The memory before this one is asked first."""
 
-    def __init__(self, make: Callable) -> None:
-        self.make, self.old = make, {}
+    def __init__(self, make: Callable, entries: int = ENTRIES) -> None:
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key: str):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= CHARS:
-            self.turn()
+            self.turn(3)  # words that were learned together stay together
             self[key] = value
         return value
 
-    def turn(self) -> None:
-        if len(self) >= ENTRIES:
+    def turn(self, times: int = 1) -> None:
+        if len(self) >= times * self.entries:
             self.old = dict(self)
             self.clear()
 
@@ -40,9 +40,9 @@ class TextValues:
     `of_pieces`, where given, makes the values of a list of pieces at once.
     """
 
-    def __init__(self, pattern: str, of_piece: Callable, join: Callable, of_pieces: Callable | None = None) -> None:
+    def __init__(self, pattern: str, of_piece: Callable, join: Callable, of_pieces: Callable | None = None, entries: int = ENTRIES) -> None:
         self.find, self.join, self.of_pieces = regex.compile(pattern).findall, join, of_pieces
-        self.pieces, self.words = Memory(of_piece), Memory(self._word)
+        self.pieces, self.words = Memory(of_piece, ENTRIES // 4), Memory(self._word, entries)
         self.spaced = pattern == public_tokenizers.PATTERN
 
     def plain(self, text: str):
