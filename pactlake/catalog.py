@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions import schema_types, text, urls, vendor
-from pactlake.operators import call_sites, cascade, changes, diff, edits, grouping, history, matching
-from pactlake.plans import contract_diff, contract_views, demo
+from pactlake.operators import artifacts, call_sites, cascade, changes, diff, edits, grouping, history, matching
+from pactlake.plans import check_cycle, contract_diff, contract_views, demo
 from pactlake.sources.tables import table
 from pactlake.streaming import checks
 from pactlake.work import work_dir, written
@@ -777,8 +777,8 @@ def run_history(spark, sf_dir):
 @query("SELECT c_nationkey, max(CASE WHEN o_orderstatus = 'P' THEN 2 WHEN o_totalprice > 400000 THEN 1 ELSE 0 END) AS exit_code FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey")
 def check_rollup(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    code = F.when(F.col("o_orderstatus") == "P", 2).when(F.col("o_totalprice") > 400000, 1).otherwise(0)
-    return o.groupBy("c_nationkey").agg(F.max(code).alias("exit_code"))
+    outcomes = o.select("c_nationkey", (F.col("o_orderstatus") == "P").alias("failed"), (F.col("o_totalprice") > 400000).cast("int").alias("breaking"))
+    return history.exit_code(outcomes, "c_nationkey")
 
 
 @query("SELECT c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS source FROM customer UNION ALL SELECT c_custkey + 100000000, 'new' FROM customer WHERE c_custkey % 5 = 0")
@@ -838,3 +838,76 @@ _DEMO_SITES = """(8, 'path.renamed', 'apply', '${HOST}/v2/parcels', '${HOST}/v2/
 def demo_plan(spark, sf_dir):
     planned, found = _demo_plan(spark)
     return planned.join(found.select(F.col("id").alias("change_id"), "kind"), "change_id").groupBy("line", "kind", "action", "text", "replacement").agg(F.count("*").alias("n"))
+
+
+_DEMO_OUTCOMES = """(VALUES ('parcels', 'changed', '2.3.0', '3.0.0', 7, 6, 3, 3), ('first', 'baseline', NULL, '2.3.0', NULL, NULL, NULL, NULL), ('same', 'unchanged', NULL, NULL, NULL, NULL, NULL, NULL),
+('torn', 'failed', NULL, NULL, NULL, NULL, NULL, NULL), ('never', 'failed', NULL, NULL, NULL, NULL, NULL, NULL)) t(spec, status, old_version, new_version, breaking, sites, applied, review)"""
+
+
+@query(f"SELECT spec, status, old_version, new_version, CAST(breaking AS BIGINT) AS breaking, CAST(sites AS BIGINT) AS sites, CAST(applied AS BIGINT) AS applied, CAST(review AS BIGINT) AS review FROM {_DEMO_OUTCOMES}")
+def demo_check(spark, sf_dir):
+    """A whole check of tracked documents: a change with its edits, a first sight, no change, two failures."""
+    return check_cycle.CheckCycle(*demo.tracked(spark)).outcomes().drop("error")
+
+
+#: The report of the demo, written out by hand.
+_DEMO_REPORT = """API diff: Parcel desk
+  old  v2.json (2.3.0)
+  new  v3.json (3.0.0)
+  7 breaking, 1 non breaking
+
+BREAKING (7)
+
+  DELETE /v2/labels/{label}
+    operation.removed  [high]
+      DELETE /v2/labels/{label} removed
+
+  POST /v2/parcels
+    enum.value.added  [high]
+      state can now return held
+
+  POST /v2/parcels
+    path.renamed  [high]
+      /v2/parcels -> /v2/shipments
+
+  POST /v2/parcels
+    request.field.renamed  [high]
+      weight -> weight_grams
+
+  GET /v2/parcels/{ref}/events
+    param.added.required  [high]
+      new required query parameter zone (string)
+
+  GET /v2/parcels/{ref}/events
+    path.renamed  [high]
+      /v2/parcels/{ref}/events -> /v2/shipments/{ref}/events
+
+  GET /v2/parcels/{ref}/events
+    response.field.type.changed  [high]
+      events[].at string -> integer
+
+NON BREAKING (1)
+
+  GET /v2/depots
+    operation.added  [high]
+      GET /v2/depots added
+"""
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+
+@query("SELECT CAST(n AS INT) AS n, line FROM (VALUES " + ", ".join(f"({n}, {_quoted(x)})" for n, x in enumerate(_DEMO_REPORT.split("\n"))) + ") t(n, line)")
+def demo_report(spark, sf_dir):
+    """The text report, a row a line."""
+    d = contract_diff.DocumentDiff(demo.specs(spark))
+    lines = grouping.report_lines(d.changes(), d.header()).select("pair_id", "section", "ord", F.posexplode("lines").alias("place", "line"))
+    order = Window.partitionBy("pair_id").orderBy("section", "ord", "place")
+    return lines.select((F.row_number().over(order) - 1).alias("n"), "line")
+
+
+@query(f"""SELECT json_extract_string(j, '$.id') AS id, json_extract_string(j, '$.kind') AS kind, json_extract_string(j, '$.breaking') AS breaking, json_extract_string(j, '$.target.from') AS from_name, json_extract_string(j, '$.target.toType') AS to_type
+FROM (SELECT json_object('id', id, 'kind', kind, 'breaking', breaking, 'target', json_object('from', a, 'toType', tb)) AS j FROM ({_DEMO_CHANGES}) c) t""")
+def demo_json(spark, sf_dir):
+    """The JSON lines of the demo's changes, read again."""
+    lines = artifacts.change_lines(contract_diff.diff_documents(demo.specs(spark)))
+    g = lambda p: F.get_json_object("json", p)
+    return lines.select(g("$.id").alias("id"), g("$.kind").alias("kind"), g("$.breaking").alias("breaking"), g("$.target.from").alias("from_name"), g("$.target.toType").alias("to_type"))

@@ -47,8 +47,8 @@ def http_calls(files: DataFrame, wrappers: tuple[str, ...] = ()) -> DataFrame:
     quoted = F.regexp_extract("s.text", rf"({QUOTED})$", 1)
     raw = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
     start = F.col("s.start_at") + F.length("s.text") - F.length(quoted) + 1
-    # Options end with the statement; a semicolon in a quoted value ends them early, which can only lose a site.
-    options = F.regexp_extract("s.rest", r"^[^;]*", 0)
+    # Options end with the statement: at a semicolon outside quotes.
+    options = F.regexp_extract("s.rest", rf"""^(?:[^;'"`]++|{QUOTED}|['"`])*+""", 0)
     verb = F.lower(F.regexp_extract("s.text", rf"^\.({'|'.join(METHODS)})\b", 1))
     stated = F.lower(F.regexp_extract(options, r"""\bmethod\s*:\s*['"`]([A-Za-z]+)['"`]""", 1))
     unclear = options.rlike(r"\bmethod\s*[:,}]") & (stated == "")
@@ -60,7 +60,10 @@ def http_calls(files: DataFrame, wrappers: tuple[str, ...] = ()) -> DataFrame:
 
 
 def match_calls(calls: DataFrame, changes: DataFrame) -> DataFrame:
-    """Calls joined to the changes whose path template ends their URL and whose method they may have."""
+    """Calls joined to the changes whose path template ends their URL and whose method they may have.
+
+    Where changes have a column `repo`, they meet the calls of that repository alone.
+    """
     have = urls.segments(urls.strip_origin(urls.path_portion("url")))
     n = F.size(have)
     keyed = calls.withColumn("_have", have).withColumn("_n", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
@@ -68,16 +71,17 @@ def match_calls(calls: DataFrame, changes: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("_first", F.explode(F.array(first, F.lit(ANY)))).drop("_have")
     want = urls.segments("path")
     lead = F.element_at(want, 1)
-    ch = changes.filter(F.size(want) > 0).select(F.col("id").alias("change_id"), "kind", "direction", "path", "operation_id", "from_name", "to_name", F.col("method").alias("op_method"), F.size(want).alias("_n"), F.when(urls.is_template(lead), F.lit(ANY)).otherwise(lead).alias("_first"))
+    own = [c for c in ("repo",) if c in changes.columns]
+    ch = changes.filter(F.size(want) > 0).select(*own, F.col("id").alias("change_id"), "kind", "direction", "path", "operation_id", "from_name", "to_name", F.col("method").alias("op_method"), F.size(want).alias("_n"), F.when(urls.is_template(lead), F.lit(ANY)).otherwise(lead).alias("_first"))
     fits = urls.matches_template("url", "path") & (F.col("method").isNull() | F.col("op_method").isNull() | (F.col("method") == F.col("op_method")))
-    return keyed.join(ch, ["_n", "_first"]).filter(fits).drop("_n", "_first")
+    return keyed.join(ch, [*own, "_n", "_first"]).filter(fits).drop("_n", "_first")
 
 
 def _site(df: DataFrame, start: Column, end: Column, reason: str, replacement: Column | None = None, codemod: Column | None = None, confidence: Column | str = "medium") -> DataFrame:
     text = F.substr("content", start.cast("int") + 1, (end - start).cast("int"))
     before = F.substr("content", F.lit(1), start.cast("int"))
-    line = F.size(F.split(before, "\n"))
-    whole = F.element_at(F.split("content", "\n"), line)
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    whole = F.concat(F.substring_index(before, "\n", -1), F.substring_index(F.substr("content", start.cast("int") + 1), "\n", 1))
     none = F.lit(None).cast("string")
     return df.select(
         "repo", "file", "change_id", start.cast("int").alias("start_at"), end.cast("int").alias("end_at"), line.alias("line"), text.alias("text"), (replacement if replacement is not None else none).alias("replacement"),
@@ -98,9 +102,9 @@ def _renamed_request_fields(hits: DataFrame) -> DataFrame:
     # A request made through an options object sends its `body`; one made through a method sends its next argument.
     skip = F.when(F.col("has_options"), F.length(F.regexp_extract("options", r"(?s)^.*?\bbody\s*:", 0))).otherwise(F.lit(0))
     h = h.withColumn("_skip", skip).filter("NOT has_options OR _skip > 0")
-    h = h.withColumn("_p", F.explode(spans(F.substr("options", F.col("_skip") + 1), rf"(?<=[{{,]\s{{0,200}}){NAME}(?=\s*[:,}}])")))
-    h = h.filter(F.col("_p.text") == F.col("_from"))
-    start = F.col("options_at") + F.col("_skip") + F.col("_p.start_at")
+    h = h.withColumn("_p", F.explode(spans(F.substr("options", F.col("_skip") + 1), rf"[{{,]\s*{NAME}(?=\s*[:,}}])")))
+    h = h.withColumn("_name", F.regexp_extract("_p.text", rf"{NAME}$", 0)).filter(F.col("_name") == F.col("_from"))
+    start = F.col("options_at") + F.col("_skip") + F.col("_p.start_at") + F.length("_p.text") - F.length("_name")
     value = F.col("_p.rest").rlike(r"^\s*:")
     return _site(h, start, start + F.length("_from"), "request field renamed", F.when(value, F.col("_to")).otherwise(F.concat("_to", F.lit(": "), "_from")), F.lit("rename-request-field"), "high")
 
@@ -122,14 +126,15 @@ def _review_urls(hits: DataFrame) -> DataFrame:
 def _client_methods(files: DataFrame, changes: DataFrame) -> DataFrame:
     """Calls `x.operationId(` of a removed operation, in camel or snake case."""
     gone = changes.filter("kind = 'operation.removed' AND operation_id IS NOT NULL")
-    names = gone.select(F.col("id").alias("change_id"), F.explode(F.array_distinct(F.array("operation_id", snake_case("operation_id")))).alias("_name"))
+    own = [c for c in ("repo",) if c in changes.columns]
+    names = gone.select(*own, F.col("id").alias("change_id"), F.explode(F.array_distinct(F.array("operation_id", snake_case("operation_id")))).alias("_name"))
     used = files.select("repo", "file", "content", F.explode(spans(F.col("content"), rf"(?<=\.){NAME}(?=\s*\()")).alias("_p")).withColumn("_name", F.col("_p.text"))
     start = F.col("_p.start_at")
-    return _site(used.join(names, "_name"), start, start + F.length("_name"), "client method removed")
+    return _site(used.join(names, [*own, "_name"]), start, start + F.length("_name"), "client method removed")
 
 
 def find_sites(files: DataFrame, changes: DataFrame, wrappers: tuple[str, ...] = ()) -> DataFrame:
-    """Sites of the breaking changes of one contract in files (repo, file, content).
+    """Sites of breaking changes in files (repo, file, content); changes with a column `repo` are of that repository's contract.
 
     Returns repo, file, change_id, start_at, end_at, line, text, replacement, codemod, confidence, reason, snippet.
     Only renamed paths and renamed request properties have replacements. Repeated files give repeated sites.

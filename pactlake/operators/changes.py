@@ -21,10 +21,6 @@ def confidence_of(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, CONFIDENCES)), rank + 1)
 
 
-def lowest(*ranks: Column) -> Column:
-    return F.least(*ranks)
-
-
 def make_changes(df: DataFrame, kind, breaking, detail: Column, rank: Column | None = None, direction=None, location=None, **named) -> DataFrame:
     """Change rows from a frame with pair_id, path and perhaps method and operation_id.
 

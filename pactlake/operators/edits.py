@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlake.functions.text import branch_digest
 from pactlake.operators.changes import HIGH, LOW, confidence_of, rank_of
 
 REVIEW, NO_TEXT, CLASH = "needs human review", "no replacement text", "overlaps another edit at the same location"
@@ -67,32 +68,37 @@ def dedupe_sites(sites: DataFrame, order: str = "ord") -> DataFrame:
     return sites.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def pull_request(edits: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row: counters, branch digest and body of the update."""
-    from pactlake.functions.text import branch_digest
+#: The sentences of an update's description.
+TITLE = "Update API usage for %d breaking changes"
+SUMMARY = "## Spec change summary\n\n%d breaking changes across %d total.\nFound %d affected locations in the codebase.\n"
+PATCHED, PATCHED_NONE = "## Patched automatically (high confidence)\n", "Nothing met the bar for an automatic edit."
+OPEN, OPEN_NONE = "\n## Needs human review (low confidence)\n", "Nothing left for review."
+
 
+def pull_request(edits: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: counters, branch digest and body of one update. All of its edits stand in the body, as its reader needs."""
+    place = F.concat(F.lit("`"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("` "))
+    item = lambda action, *text: F.array_sort(F.collect_list(F.when(F.col("action") == action, F.struct("file", "line", F.concat(*text).alias("t")))))
     by = edits.agg(
         F.count_if(F.col("action") == "apply").alias("applied"), F.count_if(F.col("action") == "review").alias("review"), F.countDistinct(F.when(F.col("action") == "apply", F.col("file"))).alias("files_changed"), F.count("*").alias("sites"),
-        F.array_sort(F.collect_list(F.when(F.col("action") == "apply", F.struct("file", "line", F.concat(F.lit("- `"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("` "), "snippet", F.lit(" -> "), F.coalesce("replacement", F.lit(""))).alias("t"))))).alias("a"),
-        F.array_sort(F.collect_list(F.when(F.col("action") == "review", F.struct("file", "line", F.concat(F.lit("- [ ] `"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("` "), "reason").alias("t"))))).alias("r"),
+        item("apply", F.lit("- "), place, "snippet", F.lit(" -> "), F.coalesce("replacement", F.lit(""))).alias("a"), item("review", F.lit("- [ ] "), place, "reason").alias("r"),
     )
     ch = changes.agg(F.count("*").alias("total"), F.count_if("breaking").alias("breaking"), branch_digest(F.collect_list("id")).alias("digest"))
     lines = lambda c, none: F.when(F.size(c) == 0, F.lit(none)).otherwise(F.array_join(F.transform(c, lambda s: s["t"]), "\n"))
-    body = F.concat_ws("\n", F.lit("## Spec change summary\n"), F.format_string("%d breaking changes across %d total.\nFound %d affected locations in the codebase.\n", "breaking", "total", "sites"), F.lit("## Patched automatically (high confidence)\n"), lines(F.col("a"), "Nothing met the bar for an automatic edit."), F.lit("\n## Needs human review (low confidence)\n"), lines(F.col("r"), "Nothing left for review."))
-    return by.crossJoin(ch).select("applied", "review", "files_changed", "total", "breaking", "digest", F.format_string("Update API usage for %d breaking changes", "breaking").alias("title"), body.alias("body"))
+    body = F.concat_ws("\n", F.format_string(SUMMARY, "breaking", "total", "sites"), F.lit(PATCHED), lines(F.col("a"), PATCHED_NONE), F.lit(OPEN), lines(F.col("r"), OPEN_NONE))
+    one = by.join(ch)  # one row beside one row
+    return one.select("applied", "review", "files_changed", "total", "breaking", "digest", F.format_string(TITLE, "breaking").alias("title"), body.alias("body"))
 
 
+def safe_name(file: Column) -> Column:
+    """Whether a file's name stays below the folder it is written to."""
+    return ~file.startswith("/") & ~F.array_contains(F.split(file, r"[/\\\\]"), "..") & ~file.contains(":")
 
-def write_patched(files: DataFrame, root: str) -> None:
-    """Write changed files under `root`, one file each; an explicit act, never part of planning."""
 
-    def put(rows):
-        import os
+def write_patched(files: DataFrame, root: str) -> DataFrame:
+    """Write changed files (file, content) under `root`, a folder in any store that Spark reaches, as a table of name and text.
 
-        for r in rows:
-            at = os.path.join(root, r["file"])
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            with open(at, "w", encoding="utf-8") as f:
-                f.write(r["content"])
-
-    files.foreachPartition(put)
+    An explicit act, never part of planning. Names that leave the folder are refused: they are returned, not written.
+    """
+    files.filter(safe_name(F.col("file"))).select("file", "content").write.mode("overwrite").parquet(root)
+    return files.filter(~safe_name(F.col("file"))).select("file")

@@ -10,6 +10,8 @@ from pactlake.functions.vendor import looks_like_different_apis
 from pactlake.operators.changes import CONFIDENCES
 
 LISTED = 4
+#: The words of the text report.
+WARNING, NONE, SHARED = '  WARNING: these look like different APIs, "', "  no differences found", " distinct changes, some shared across endpoints"
 
 
 def group_key() -> Column:
@@ -82,12 +84,12 @@ def report_lines(changes: DataFrame, header: DataFrame, breaking_only: bool = Fa
     more = F.when(F.col("shared"), F.transform(listed_endpoints(F.col("endpoints")), lambda e: F.concat(F.lit("        "), e))).otherwise(F.array().cast("array<string>"))
     grouped = groups.select("pair_id", F.when(F.col("first.breaking"), 2).otherwise(4).alias("section"), "ord", F.concat(body, more, F.array(F.lit(""))).alias("lines"))
     total = header.join(summary(changes).drop("total"), "pair_id", "left").join(grouping_summary(changes).drop("total"), "pair_id", "left").fillna(0, ["breaking", "non_breaking", "groups"]).withColumn("total", F.col("breaking") + F.col("non_breaking"))
-    warn = F.when(looks_like_different_apis("old_title", "new_title"), F.concat(F.lit('  WARNING: these look like different APIs, "'), "old_title", F.lit('" against "'), "new_title", F.lit('"')))
+    warn = F.when(looks_like_different_apis("old_title", "new_title"), F.concat(F.lit(WARNING), "old_title", F.lit('" against "'), "new_title", F.lit('"')))
     top = F.array_compact(F.array(
         F.concat(F.lit("API diff: "), "new_title"), F.concat(F.lit("  old  "), "old_source", F.lit(" ("), "old_version", F.lit(")")), F.concat(F.lit("  new  "), "new_source", F.lit(" ("), "new_version", F.lit(")")), warn,
         F.concat(F.lit("  "), F.col("breaking").cast("string"), F.lit(" breaking, "), F.col("non_breaking").cast("string"), F.lit(" non breaking")),
-        F.when(F.col("groups") < F.col("breaking") + F.col("non_breaking"), F.concat(F.lit("  "), F.col("groups").cast("string"), F.lit(" distinct changes, some shared across endpoints"))),
-        F.when(F.col("total") == 0, F.lit("  no differences found")), F.lit(""),
+        F.when(F.col("groups") < F.col("breaking") + F.col("non_breaking"), F.concat(F.lit("  "), F.col("groups").cast("string"), F.lit(SHARED))),
+        F.when(F.col("total") == 0, F.lit(NONE)), F.lit(""),
     ))
     sections = [total.select("pair_id", F.lit(0).alias("section"), F.lit(0).alias("ord"), top.alias("lines"))]
     for place, n, title in ((1, "breaking", "BREAKING"), (3, "non_breaking", "NON BREAKING")):

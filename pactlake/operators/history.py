@@ -42,7 +42,7 @@ def run_history(runs: DataFrame, specs: DataFrame, limit: int) -> DataFrame:
     return runs.join(specs, "spec_id", "left").orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
 
 
-def exit_code(outcomes: DataFrame) -> DataFrame:
-    """2 if any check failed, 1 if any found breaking changes, else 0."""
+def exit_code(outcomes: DataFrame, *by: str) -> DataFrame:
+    """2 if any check failed, 1 if any found breaking changes, else 0; over all outcomes or by columns."""
     code = F.when(F.col("failed"), 2).when(F.col("breaking") > 0, 1).otherwise(0)
-    return outcomes.agg(F.coalesce(F.max(code), F.lit(0)).alias("exit_code"))
+    return outcomes.groupBy(*by).agg(F.coalesce(F.max(code), F.lit(0)).alias("exit_code"))

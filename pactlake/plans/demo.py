@@ -73,3 +73,13 @@ def specs(spark: SparkSession) -> DataFrame:
 
 def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("demo", "src/parcels.ts", CALLER)], "repo string, file string, content string")
+
+
+def tracked(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(snapshots, current, files) of five tracked documents: the demo's change, one seen first, one as before, two that can't
+    be read, now or at first."""
+    old, new = documents()
+    snapshots = spark.createDataFrame([("parcels", old), ("same", old), ("torn", old)], "spec string, content string")
+    now = [("parcels", "v3.json", new), ("first", "v2.json", old), ("same", "v2.json", old), ("torn", "v3.json", new[:-9]), ("never", "v1.json", '{"swagger": "2.0"}')]
+    files = spark.createDataFrame([("parcels", "src/parcels.ts", CALLER), ("same", "src/other.ts", CALLER)], "repo string, file string, content string")
+    return snapshots, spark.createDataFrame(now, "spec string, source string, content string"), files

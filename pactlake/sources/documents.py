@@ -10,26 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactlake.functions.text import col
 
 #: Methods in the order of the model, locations that callers fill, and how deep schemas are walked.
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 LOCATIONS = ("path", "query", "header")
 MAX_DEPTH = 6
+#: References within references that a document may have; one with more is a problem row.
+MAX_REFERENCES = 120
 MAX_LABEL = 60
 SCHEMA_MAP = "map<string,string>"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """source, content of whole text files."""
+    """source, content of whole text files, JSON and YAML alike: what a text is shows when it is parsed."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("content"))
 
 
-def extension_of(source, content):
-    s = F.lower(col(source))
-    return F.when(s.endswith(".json"), "json").when(s.endswith(".yaml") | s.endswith(".yml"), "yaml").when(F.ltrim(col(content)).startswith("{"), "json").otherwise("yaml")
-
-
 def _merge_all_of(schema: dict) -> dict:
     """Fold allOf into the schema: own properties win, then earlier members; required is the union."""
     members = schema.get("allOf")
@@ -84,7 +80,9 @@ def inline_document(text: str) -> str:
             found = at(ref)
             if found is None:
                 return node
-            if ref in trail or depth > 40:
+            if depth > MAX_REFERENCES:
+                raise ValueError(f"references nested more than {MAX_REFERENCES} deep")
+            if ref in trail:
                 return {k: v for k, v in found.items() if k in ("type", "format", "enum")} | ({"properties": {}} if "properties" in found else {}) if isinstance(found, dict) else found
             return walk(found, (*trail, ref), depth + 1)
         out = {str(k): walk(v, trail, depth) for k, v in node.items() if k != "components" or trail or node is not doc}
@@ -272,7 +270,7 @@ def _requirement_names(text):
 def _success(responses):
     """The response of the lowest status that starts with 2."""
     ok = F.filter(F.map_entries(_map(responses)), lambda e: e["key"].startswith("2"))
-    return F.array_sort(ok)[0]["value"]
+    return F.get(F.array_sort(ok), F.lit(0))["value"]
 
 
 def _payload(content):
@@ -288,6 +286,3 @@ def _typed(rows: DataFrame) -> DataFrame:
     """Adds type, schema_fp and enum_values; each distinct schema is labelled once."""
     known = rows.select("schema").distinct().select(F.col("schema").alias("_s"), schema_facts("schema").alias("f"))
     return rows.join(known, F.col("schema").eqNullSafe(F.col("_s")), "left").select(*rows.columns, "f.*")
-
-
-SPEC_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("pair_id", "side", "source", "content")])
