@@ -63,10 +63,14 @@ class TextValues:
                 self.words[w] = old[w]
             elif 0 < len(w) <= CHARS and not (w[0].isspace() or w[-1].isspace()):
                 new.append(w)
-        found = [self.find(" " + w) for w in new]
+        # A word of letters alone is one piece with its space; isalpha and \p{L} are the same categories.
+        plain, mixed = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        found = [self.find(" " + w) for w in mixed]
         pieces = list({p for x in found for p in x})
-        value = dict(zip(pieces, self.of_pieces(pieces), strict=True))
-        self.words.update((w, self.join([value[p] for p in x])) for w, x in zip(new, found, strict=True))
+        values = self.of_pieces([" " + w for w in plain] + pieces)
+        value = dict(zip(pieces, values[len(plain) :], strict=True))
+        self.words.update(zip(plain, values, strict=False))
+        self.words.update((w, self.join([value[p] for p in x])) for w, x in zip(mixed, found, strict=True))
 
     def _word(self, word: str):
         """Of a space and the word; a word that white space bounds is no stretch of its own."""
