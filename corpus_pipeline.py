@@ -57,6 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`: doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every row of the mix.
+
+    A null text scores as an empty one, has no lines and no shingles, and counts no tokens; so has an empty one. Very long
+    texts are read whole by every stage. Repeated rows are one document to the line and shingle stages, stay as often as
+    they stand where they are kept, and tie in the mix. An empty table gives an empty result. Without labels of both values every
+    document scores 0.5 and stays. Further columns, whatever their names, pass through all stages but the last, which
+    does not read them.
+    """
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs, path = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -600,11 +600,11 @@ def confidence_min(spark, sf_dir):
 def _planned(spark, sf_dir) -> DataFrame:
     (e,) = _view(spark, sf_dir, "edits")
     sites = e.select(F.col("file").cast("string").alias("file"), "change_id", "start_at", "end_at", F.col("action").alias("was"), "confidence", F.when(F.col("after_text").isNotNull(), "rename-path").alias("codemod"))
-    ch = table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, "high").otherwise("medium").alias("confidence"))
+    ch = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, "high").when(F.col("p_size") > 5, "medium").otherwise("low").alias("confidence"))
     return edits.plan_edits(sites, ch)
 
 
-_PLAN = f"SELECT e.file, e.change_id, e.start_at, least(CASE WHEN p.p_partkey IS NULL THEN 0 WHEN p.p_size > 25 THEN 2 ELSE 1 END, CASE e.confidence WHEN 'high' THEN 2 ELSE 1 END, CASE WHEN after_text IS NOT NULL THEN 2 ELSE 0 END) AS r, after_text FROM {V('edits')} e LEFT JOIN part p ON p.p_partkey = e.change_id AND p.p_size > 5"
+_PLAN = f"SELECT e.file, e.change_id, e.start_at, least(CASE WHEN p.p_partkey IS NULL THEN 0 WHEN p.p_size > 25 THEN 2 WHEN p.p_size > 5 THEN 1 ELSE 0 END, CASE e.confidence WHEN 'high' THEN 2 ELSE 1 END, CASE WHEN after_text IS NOT NULL THEN 2 ELSE 0 END) AS r, after_text FROM {V('edits')} e LEFT JOIN part p ON p.p_partkey = e.change_id"
 
 
 @query(f"SELECT CAST(file AS STRING) AS file, change_id, start_at, CASE r WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CASE r WHEN 2 THEN 'apply' ELSE 'review' END AS action, CASE WHEN after_text IS NOT NULL THEN 'rename-path' ELSE 'review-note' END AS strategy FROM ({_PLAN}) t")
@@ -765,11 +765,11 @@ def latest_snapshot(spark, sf_dir):
 
 def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("spec_id"), F.col("o_orderdate").alias("started_at"))
-    specs = table(spark, sf_dir, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("spec_id"), F.col("c_name").alias("name"))
+    specs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("spec_id"), F.col("c_name").alias("name"))
     return runs, specs
 
 
-@query("SELECT o_orderkey AS run_id, o_custkey AS spec_id, c_name AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+@query("SELECT o_orderkey AS run_id, o_custkey AS spec_id, c_name AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
 def run_history(spark, sf_dir):
     return history.run_history(*_runs(spark, sf_dir), 50).select("run_id", "spec_id", "name")
 
