@@ -121,3 +121,55 @@ def test_path_renames_are_whole(spark):
     want = Counter((f, t, "medium" if any(c == "medium" for *_, c in g) else "high", g[0][1] if len(g) == 1 else None) for (f, t), g in groups.items())
     assert of(spark, "path_rename_all", "from_name", "to_name", "confidence", "method") == want
     assert len(want) > 3
+
+
+def breaks(a, b):
+    """Whether a type change breaks: another base, or a format that is more than a number's width."""
+    split = lambda t: t.split(":", 1) if ":" in t and not ("<" in t and t.index("<") < t.index(":")) else (t, None)
+    (x, f), (y, g) = split(a), split(b)
+    widths = (None, "int32", "int64", "float", "double")
+    return x != y or (f is not None and g is not None and f != g if f in widths and g in widths else True)
+
+
+def test_field_diff_is_whole(spark):
+    """Every field change of every confidence, cascades folded, against loops."""
+    old, new = (contract_views.view(spark, DIR, f"fields_{s}").collect() for s in ("old", "new"))
+    ctx = {r["op"]: r for r in contract_views.view(spark, DIR, "contexts").collect()}
+    ranks = ("low", "medium", "high")
+    key = lambda r: (r["op"], r["direction"], r["pointer"])
+    after, found = {key(r): r for r in new}, defaultdict(list)
+
+    def add(r, kind, breaking, detail, a, b, cap="high"):
+        if r["op"] in ctx:
+            conf = ranks[min(ctx[r["op"]]["rank"], ranks.index(cap))]
+            found[r["op"], r["direction"]].append((kind, breaking, detail, a, b, conf))
+
+    for r in old:
+        n, d, p = after.get(key(r)), r["direction"], r["pointer"]
+        if n and r["type"] != n["type"]:
+            add(r, f"{d}.field.type.changed", breaks(r["type"], n["type"]), f"{d} field {p} changed from {r['type']} to {n['type']}", p, p)
+        if n and d == "request" and n["required"] and not r["required"]:
+            add(r, "request.field.became.required", True, f"request field {p} is now required", p, p)
+    renames, removed, added = siblings(spark, "fields")
+    for a, b, c in renames:
+        add(a, f"{a['direction']}.field.renamed", True, f"{a['direction']} field {a['pointer']} renamed to {b['pointer']}", a["pointer"], b["pointer"], c)
+    for r in removed:
+        add(r, f"{r['direction']}.field.removed", r["direction"] == "response" or r["required"], f"{r['direction']} field {r['pointer']} removed", r["pointer"], None)
+    for r in added:
+        if r["direction"] == "request" and r["required"]:
+            add(r, "request.field.added.required", True, f"new required request field {r['pointer']} ({r['type']})", None, r["pointer"])
+
+    want, hidden = Counter(), 0
+    for (op, direction), rows in found.items():
+        casts = {a for k, _, _, a, _, _ in rows if k.endswith((".type.changed", ".field.removed"))}
+        shadow = lambda a: next((a[:i] for i in range(1, len(a)) if (a[i] == "." or a[i : i + 2] == "[]") and a[:i] in casts), None) if a else None  # noqa: B023, E731
+        below = Counter(shadow(a) for *_, a, _, _ in rows)
+        for kind, breaking, detail, a, b, conf in rows:
+            if shadow(a) is None:
+                n = below[a] if a else 0
+                text = detail + (f", along with {n} nested fields below it" if n else "")
+                want[ctx[op]["path"], direction, kind, breaking, text, a, b, conf] += 1
+            else:
+                hidden += 1
+    assert of(spark, "field_diff", "path", "direction", "kind", "breaking", "detail", "from_name", "to_name", "confidence") == want
+    assert hidden > 10 and {k[-1] for k in want} == set(ranks) and len({k[2] for k in want}) == 8
