@@ -353,8 +353,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     spark = docs.sparkSession
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     sets, p_sets = materialize(rows.mapInArrow(_set_rows, "id long, n long, h1 long, h2 long, own long, low long"), "jaccard-sets")
-    nodes = sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"))
-    known, p_known = materialize(sets.join(nodes, ["n", "h1", "h2"], "left").select("id", "n", "node", "own", "low"), "jaccard-nodes")
+    # Only sets that several documents have; written, so that the join may split a set of very many copies over several tasks.
+    copied, p_copied = materialize(sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("low_id"), F.count("*").alias("c")).filter("c > 1").drop("c"), "jaccard-copied")
+    node = F.when(F.col("n") > 0, F.coalesce("low_id", "id")).alias("node")
+    known, p_known = materialize(sets.join(copied, ["n", "h1", "h2"], "left").select("id", "n", node, "own", "low"), "jaccard-nodes")
     total = sets.agg(F.sum("n")).first()[0] or 0
 
     keys = rows.mapInArrow(_key_rows(max(8, -(-total // BUCKET_KEYS))), "bucket long, kind int, data binary")
@@ -364,7 +366,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     node_of = known.filter("node IS NOT NULL").select(F.col("id").alias("doc"), "node", "n", "own", "low").distinct()
     held = shared.join(node_of, "doc").select("node", "n", "own", "low", "role", "key").distinct()
     held, p_held = materialize(held, "jaccard-held")
-    discard(spark, p_shared, p_sets)
+    discard(spark, p_shared, p_sets, p_copied)
 
     # Cost of a probe: the other sets that the index has under its key. The hub of a key is its set with the most common
     # subsets on average: of copies with edits, the one that has the fewest.
