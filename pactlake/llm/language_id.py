@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import row_chunks, text_buffer
+from pactlake.llm.common import discard, materialize, row_chunks, text_buffer
 
 WINDOW, VECTOR, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 5)
 WIDE = max(WIDTHS)
@@ -126,13 +126,18 @@ def training_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.greatest(F.lit(1), F.ceil(F.octet_length(text_col) / STRIDE)).alias("n"))
     order = (F.xxhash64("id", F.lit("language")), "id", "n")
-    # Spark keeps the first rows of each language in every partition before it shuffles; texts are fetched for these alone.
-    ranked = rows.select("id", "lang", "n").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    # A hash leaves about twice the rows wanted of each language, however many it has; the first of these are ranked, and
+    # texts are fetched for the chosen alone.
+    counts, path = materialize(rows.groupBy("lang").agg(F.count("*").alias("c")), "language-counts")
+    unit = F.pmod(F.xxhash64("id", F.lit("share")), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.select("id", "lang", "n").join(counts, "lang").filter(unit * F.col("c") < 2 * per_language + 20).drop("c")
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     room, chosen = max_windows, []
     for r in ranked.filter(F.col("rank") <= per_language).orderBy("rank", "lang").limit(max_rows).collect():
         if r["n"] <= room:
             room -= r["n"]
             chosen.append((r["id"], r["lang"], r["n"]))
+    discard(labelled.sparkSession, path)
     if not chosen:
         return []
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
