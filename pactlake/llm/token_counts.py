@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlake.llm.common import byte_slices
-from pactlake.llm.pretokens import TextValues
+from pactlake.llm.pretokens import ENTRIES, TextValues
 
 #: Checked token pairs that a worker remembers; beyond it the memory starts anew.
 CACHE = 300_000
@@ -51,7 +51,7 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.split = regex.compile(pattern).findall
         self.fits: dict[tuple[int, int], bool] = {}
-        self.values = TextValues(pattern, lambda piece: self.prefixes(piece.encode())[-1], sum)
+        self.values = TextValues(pattern, lambda piece: self.prefixes(piece.encode())[-1], sum, entries=2 * ENTRIES)
 
     def plain(self, data: bytes) -> list[int]:
         """BPE of a few bytes by its definition; used on pairs of tokens only."""
