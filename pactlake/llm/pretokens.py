@@ -42,7 +42,7 @@ class TextValues:
 
     def __init__(self, pattern: str, of_piece: Callable, join: Callable, of_pieces: Callable | None = None, entries: int = ENTRIES) -> None:
         self.find, self.join, self.of_pieces = regex.compile(pattern).findall, join, of_pieces
-        self.pieces, self.words = Memory(of_piece, ENTRIES // 4), Memory(self._word, entries)
+        self.pieces, self.words = Memory(of_piece, ENTRIES // 4 if of_pieces else entries), Memory(self._word, entries)
         self.spaced = pattern == public_tokenizers.PATTERN
 
     def plain(self, text: str):
