@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import audio, byte_bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_counts
+from pactlake.llm import audio, byte_bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_counts, url_filters
 from pactlake.llm.common import table
 
 
@@ -107,9 +107,42 @@ FROM w LEFT JOIN r USING (doc_id)
 """
 
 
+#: Rules of the pages table: hosts and paths first, then patterns of URLs that name another page again, a list of pages or a form.
+OP13_HOSTS = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+OP13_PATTERNS = [
+    ("block", r"[?&]utm_source="),
+    ("block", r"[?&]page=[0-9]"),
+    ("block", r"[?&]sessionid="),
+    ("block", r"/(tag|category)/"),
+    ("block", r"/wp-login[.]php"),
+    ("block", r"[.](jpg|png|gif|zip)([?#]|$)"),
+    ("block", r"^[a-z]+://ads?[.]"),
+]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filters.host_rule(*r) for r in OP13_HOSTS] + [url_filters.pattern_rule(*r) for r in OP13_PATTERNS]
+    return url_filters.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+#: Every rule against every URL.
+OP13_SQL = rf"""
+WITH u AS (SELECT page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
+p AS (SELECT page_id, url, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.path AS path, row_number() OVER () AS i FROM u),
+r(verdict, host, path) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in OP13_HOSTS)}),
+k(verdict, pattern) AS (VALUES {", ".join(f"('{v}', '{p}')" for v, p in OP13_PATTERNS)}),
+w AS (SELECT i, arg_max({{'name': r.host || r.path, 'verdict': r.verdict}}, length(r.host || r.path)) AS x FROM p
+      JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY i),
+m AS (SELECT i, first({{'name': k.pattern, 'verdict': k.verdict}} ORDER BY length(k.pattern) DESC, k.pattern) AS x FROM p
+      JOIN k ON regexp_matches(p.url, k.pattern) GROUP BY i)
+SELECT page_id, host, path, w.x.name AS rule, CASE WHEN w.x IS NULL THEN m.x.name END AS pattern, coalesce(w.x.verdict, m.x.verdict, 'allow') AS verdict
+FROM p LEFT JOIN w USING (i) LEFT JOIN m USING (i)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op5_jaccard_join, op6_quality_crf, op7_mixing, op8_embedding_dedup, op9_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op5_jaccard_join, op6_quality_crf, op7_mixing, op8_embedding_dedup, op9_token_counts, op10_substring_dedup, op13_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op5_jaccard_join": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op13_url_filters": OP13_SQL}
