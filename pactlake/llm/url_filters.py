@@ -189,6 +189,8 @@ def token_counts(pages: DataFrame, tokens: list[str], url_col: str) -> dict[str,
         return {}
     found = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(F.translate(F.col(url_col), UPPER, LOWER), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("token"))
     wanted = pages.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+    if sum(map(len, tokens)) <= SLICE_BYTES:
+        wanted = F.broadcast(wanted)
     return {r["token"]: r["n"] for r in found.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
