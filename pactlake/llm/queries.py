@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import audio, byte_bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_counts, url_filters
+from pactlake.llm import audio, byte_bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_alignment, token_counts, url_filters
 from pactlake.llm.common import table
 
 
@@ -107,6 +107,11 @@ FROM w LEFT JOIN r USING (doc_id)
 """
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 #: Rules of the pages table: hosts and paths first, then patterns of URLs that name another page again, a list of pages or a form.
 OP13_HOSTS = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 OP13_PATTERNS = [
@@ -141,7 +146,7 @@ FROM p LEFT JOIN w USING (i) LEFT JOIN m USING (i)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op5_jaccard_join, op6_quality_crf, op7_mixing, op8_embedding_dedup, op9_token_counts, op10_substring_dedup, op13_url_filters)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op5_jaccard_join, op6_quality_crf, op7_mixing, op8_embedding_dedup, op9_token_counts, op10_substring_dedup, op11_token_alignment, op13_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
