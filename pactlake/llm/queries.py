@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import audio, byte_bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_alignment, token_counts, url_filters
+from pactlake.llm import audio, byte_bpe, embedding_dedup, hard_negatives, jaccard_join, language_id, line_dedup, mixing, quality_crf, substring_dedup, token_alignment, token_counts, url_filters
 from pactlake.llm.common import table
 
 
@@ -112,6 +112,23 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), noise=7)
+
+
+#: All products of anchors and rows.
+OP12_SQL = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 3
+"""
+
+
 #: Rules of the pages table: hosts and paths first, then patterns of URLs that name another page again, a list of pages or a form.
 OP13_HOSTS = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 OP13_PATTERNS = [
@@ -146,8 +163,8 @@ FROM p LEFT JOIN w USING (i) LEFT JOIN m USING (i)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op5_jaccard_join, op6_quality_crf, op7_mixing, op8_embedding_dedup, op9_token_counts, op10_substring_dedup, op11_token_alignment, op13_url_filters)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_audio_columns, op5_jaccard_join, op6_quality_crf, op7_mixing, op8_embedding_dedup, op9_token_counts, op10_substring_dedup, op11_token_alignment, op12_hard_negatives, op13_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op13_url_filters": OP13_SQL}
+    return {"op5_jaccard_join": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_url_filters": OP13_SQL}
