@@ -58,10 +58,18 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
+def own_bucket(*content: np.ndarray) -> int:
+    """A bucket below 0 that follows from a portion's rows alone: a task that runs again deals them as before."""
+    h = np.uint64(len(content[0]))
+    for x in content:
+        h = mix(np.array([h]) ^ x[:1].astype(np.uint64))[0]
+    return -1 - int(h & np.uint64((1 << 40) - 1))
+
+
 def _anchor_rows(buckets: int):
     """Arrow batches (id, text) -> rows bucket, probes, many, index: the keys of portions of documents."""
 
-    def flush(probe, index, rng):
+    def flush(probe, index):
         import pyarrow as pa
 
         c = np.sort(np.concatenate(probe))  # bucket << SUB | key; one for each window
@@ -73,7 +81,7 @@ def _anchor_rows(buckets: int):
         ic, doc, block = ic[order], doc[order], block[order]
         # A block whose key a second window of the portion has is active, whoever else holds it.
         known = many[np.searchsorted(c, ic)]
-        rows = [(-1 - int(rng.integers(1 << 40)), b"", b"", to_planes(block[known], 4) + to_planes(doc[known], 8))] if known.any() else []
+        rows = [(own_bucket(doc[known], ic[known]), b"", b"", to_planes(block[known], 4) + to_planes(doc[known], 8))] if known.any() else []
         ic, doc, block = ic[~known], doc[~known], block[~known]
         bucket = c >> np.uint64(SUB)
         a = _runs(bucket)
@@ -86,7 +94,7 @@ def _anchor_rows(buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "probes", "many", "index"])
 
     def run(batches):
-        probe, index, size, rng = [], [], 0, np.random.default_rng()
+        probe, index, size = [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             buf, off = text_buffer(batch.column(1))
@@ -106,10 +114,10 @@ def _anchor_rows(buckets: int):
                 index.append((key[at], ids[a + row[at]].astype(np.int64).view(np.uint64), (place[at] // BLOCK).astype(np.uint64)))
                 size += len(k)
                 if size >= PORTION:
-                    yield from flush(probe, index, rng)
+                    yield from flush(probe, index)
                     probe, index, size = [], [], 0
         if size:
-            yield from flush(probe, index, rng)
+            yield from flush(probe, index)
 
     return run
 
@@ -119,16 +127,22 @@ def _active_blocks(t):
     import pyarrow as pa
 
     settled = t.column("bucket")[0].as_py() < 0
-    holds = np.zeros(0 if settled else 1 << SUB, np.uint8)
+    active = np.zeros(0, np.uint64)
     if not settled:
+        keys, often = [], []
         for probes, many in zip(t.column("probes").to_pylist(), t.column("many").to_pylist(), strict=True):
-            key = from_planes(probes, SUB // 8)
-            holds[key] = np.minimum(holds[key] + 1 + np.unpackbits(np.frombuffer(many, np.uint8), count=len(key)), 2)
+            keys.append(from_planes(probes, SUB // 8))
+            often.append(np.unpackbits(np.frombuffer(many, np.uint8), count=len(keys[-1])))
+        key, twice = np.concatenate(keys), np.concatenate(often)
+        order = np.argsort(key, kind="stable")
+        key, twice = key[order], twice[order]
+        head = _runs(key)
+        active = key[head[(np.diff(np.append(head, len(key))) > 1) | (np.maximum.reduceat(twice, head) > 0)]] if len(key) else key
     docs, blocks = [], []
     for data in t.column("index").to_pylist():
         w = 0 if settled else SUB // 8
         n = len(data) // (w + 12)
-        on = slice(None) if settled else holds[from_planes(data[: n * w], w)] == 2
+        on = slice(None) if settled else np.isin(from_planes(data[: n * w], w), active)
         blocks.append(from_planes(data[n * w : n * (w + 4)], 4)[on])
         docs.append(from_planes(data[n * (w + 4) :], 8)[on])
     return pa.table({"doc": pa.array(np.concatenate(docs).view(np.int64)), "block": pa.array(np.concatenate(blocks).astype(np.int32))})
@@ -193,7 +207,7 @@ def _window_rows(buckets: int):
     A window that a smaller id of the portion holds is repeated for certain: it travels as (id, place) in a bucket below 0.
     """
 
-    def flush(held, rng):
+    def flush(held):
         import pyarrow as pa
 
         key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -202,14 +216,14 @@ def _window_rows(buckets: int):
         key, doc, place = key[order], doc[order], place[order]
         head = _runs(key)
         gone = doc > np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(key)))) if len(key) else np.zeros(0, bool)
-        rows = [(-1 - int(rng.integers(1 << 40)), to_planes(doc[gone].view(np.uint64), 8) + to_planes(place[gone], 4))] if gone.any() else []
+        rows = [(own_bucket(doc[gone], place[gone], key[gone]), to_planes(doc[gone].view(np.uint64), 8) + to_planes(place[gone], 4))] if gone.any() else []
         key, doc, place, bucket = key[~gone], doc[~gone].view(np.uint64), place[~gone], bucket[order][~gone]
         a = _runs(bucket).tolist()
         rows += [(int(bucket[p]), to_planes(key[p:q], 8) + to_planes(doc[p:q], 8) + to_planes(place[p:q], 4)) for p, q in zip(a, [*a[1:], len(key)], strict=False)]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "data"])
 
     def run(batches):
-        held, size, rng = [], 0, np.random.default_rng()
+        held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, off = text_buffer(batch.column(1))
@@ -231,10 +245,10 @@ def _window_rows(buckets: int):
                 held.append((k[ok], ids[a + row[ok]], place[ok].astype(np.uint64)))
                 size += int(ok.sum())
                 if size >= PORTION:
-                    yield from flush(held, rng)
+                    yield from flush(held)
                     held, size = [], 0
         if size:
-            yield from flush(held, rng)
+            yield from flush(held)
 
     return run
 
@@ -312,8 +326,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Remove words covered by WINDOW-word sequences that also start in a document with a smaller id.
 
     Returns id_col (long), n_words, n_removed, kept_sha256 and, with `with_text`, kept_text (the kept words joined by one
-    space). A null or blank text has no words. Rows with a null id keep all their words and take none from others; rows
-    that share an id are judged alike, and none takes words from the other. Other columns are not read.
+    space). A null or blank text has no words; very long texts are read whole. Rows with a null id keep all their words and
+    take none from others; rows that share an id, repeated rows among them, are judged alike, and none takes words from the
+    other. Ids must be numbers. Other columns are not read; an empty table gives an empty result. `docs` should be read from
+    files or a written table, whose rows come in one order however often a task runs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
