@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pactlake.llm.common import discard, fresh, materialize, mix, row_chunks, text_buffer, window_hashes, word_hashes
 from pactlake.llm.components import components
-from pactlake.llm.substring_dedup import from_planes, to_planes
+from pactlake.llm.substring_dedup import from_planes, own_bucket, to_planes
 
 SHINGLE = 5
 #: Linked sets of sizes r and s differ in (r + s) / SPAN elements at most: that is Jaccard >= 3/4.
@@ -183,7 +183,7 @@ def _key_rows(buckets: int):
     for the bucket's word. So a bucket gets a few entries of a key and portion at most.
     """
 
-    def flush(held, rng):
+    def flush(held):
         import pyarrow as pa
 
         key, role, doc = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -198,7 +198,7 @@ def _key_rows(buckets: int):
         for kind, chosen in ((SHARED, on), (WAITING, wait)):
             at = np.repeat(chosen, size)
             if at.any():
-                out.append((-1 - int(rng.integers(1 << 40)), kind, to_planes(c[at], 8) + role[at].tobytes() + to_planes(doc[at].view(np.uint64), 8)))
+                out.append((own_bucket(doc[at], c[at], role[at] + kind), kind, to_planes(c[at], 8) + role[at].tobytes() + to_planes(doc[at].view(np.uint64), 8)))
         stay, said = np.repeat(~on & ~wait, size), np.flatnonzero(on | wait)
         fact = (FACTS + index[said] + 2 * probe[said] + 4 * many[said] + 8 * wait[said]).astype(np.uint8)
         c, role, doc = (np.concatenate(x) for x in ((c[stay], c[start[said]]), (role[stay], fact), (doc[stay], doc[start[said]])))
@@ -212,7 +212,7 @@ def _key_rows(buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*out, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
     def run(batches):
-        held, size, seen, rng = [], 0, set(), np.random.default_rng()
+        held, size, seen = [], 0, set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, off = text_buffer(batch.column(1))
@@ -230,10 +230,10 @@ def _key_rows(buckets: int):
                 held.append((k["key"], k["role"], np.array(mine, np.int64)[k["set"]]))
                 size += len(k["key"])
                 if size >= PORTION:
-                    yield from flush(held, rng)
+                    yield from flush(held)
                     held, size, seen = [], 0, set()
         if size:
-            yield from flush(held, rng)
+            yield from flush(held)
 
     return run
 
@@ -281,7 +281,9 @@ def _packed_sets(batches):
         buf, off = text_buffer(batch.column(1))
         for a, b in row_chunks(off):
             sets = shingle_sets(buf, off[a : b + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "elements", "sketch"])
+            columns = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            hashes = [pa.array(x, pa.int64()) for x in zip(*map(set_hash, sets), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns, *hashes], names=["node", "elements", "sketch", "n", "h1", "h2"])
 
 
 def _apart(first: int, last: int):
@@ -353,10 +355,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     spark = docs.sparkSession
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     sets, p_sets = materialize(rows.mapInArrow(_set_rows, "id long, n long, h1 long, h2 long, own long, low long"), "jaccard-sets")
+    # Of rows that share an id the largest set counts, then that of the largest hashes.
+    best = F.max(F.struct("n", "h1", "h2", "own", "low"))
+    twice, p_twice = materialize(sets.groupBy("id").agg(F.count("*").alias("c"), best.alias("best")).filter("c > 1").select("id", "best"), "jaccard-twice")
+    one = lambda c: F.coalesce(F.col("best")[c], F.col(c)).alias(c)
+    chosen = sets.join(twice, "id", "left").select("id", F.col("n").alias("own_n"), *map(one, ("n", "h1", "h2", "own", "low")))
     # Only sets that several documents have; written, so that the join may split a set of very many copies over several tasks.
-    copied, p_copied = materialize(sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("low_id"), F.count("*").alias("c")).filter("c > 1").drop("c"), "jaccard-copied")
+    copied, p_copied = materialize(chosen.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id")).filter("low_id < high_id").drop("high_id"), "jaccard-copied")
     node = F.when(F.col("n") > 0, F.coalesce("low_id", "id")).alias("node")
-    known, p_known = materialize(sets.join(copied, ["n", "h1", "h2"], "left").select("id", "n", node, "own", "low"), "jaccard-nodes")
+    known, p_known = materialize(chosen.join(copied, ["n", "h1", "h2"], "left").select("id", "own_n", "n", node, "own", "low"), "jaccard-nodes")
     total = sets.agg(F.sum("n")).first()[0] or 0
 
     keys = rows.mapInArrow(_key_rows(max(8, -(-total // BUCKET_KEYS))), "bucket long, kind int, data binary")
@@ -366,7 +373,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     node_of = known.filter("node IS NOT NULL").select(F.col("id").alias("doc"), "node", "n", "own", "low").distinct()
     held = shared.join(node_of, "doc").select("node", "n", "own", "low", "role", "key").distinct()
     held, p_held = materialize(held, "jaccard-held")
-    discard(spark, p_shared, p_sets, p_copied)
+    discard(spark, p_shared, p_sets, p_copied, p_twice)
 
     # Cost of a probe: the other sets that the index has under its key. The hub of a key is its set with the most common
     # subsets on average: of copies with edits, the one that has the fewest.
@@ -385,7 +392,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     wanted = probes.select("node").unionByName(index.select("node")).distinct()
     texts = rows.join(wanted, rows["id"] == wanted["node"], "left_semi").select(F.col("id").alias("node"), "text")
-    packed, p_packed = materialize(texts.mapInArrow(_packed_sets, "node long, elements binary, sketch binary").dropDuplicates(["node"]), "jaccard-packed")
+    made = texts.mapInArrow(_packed_sets, "node long, elements binary, sketch binary, n long, h1 long, h2 long")
+    made = made.groupBy("node").agg(F.max_by(F.struct("elements", "sketch"), F.struct("n", "h1", "h2")).alias("s"))
+    packed, p_packed = materialize(made.select("node", "s.elements", "s.sketch"), "jaccard-packed")
 
     # (1) each probe against the hub that it shares most keys with
     best = probes.filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("c"))
@@ -422,15 +431,18 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         first, last = last, 16 * last
     found, _ = components(edges)
     discard(spark, p_probes, p_index, p_packed, p_near, p_members, p_info, p_hubs, *old)
-    return known.select("id", "n", "node"), found
+    return known.select("id", F.col("own_n").alias("n"), "node"), found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col (long), n_shingles, component_id of every document with an id.
 
     Words are taken with A-Z in lower case; a set holds the distinct SHINGLE-word shingles, or the whole text where it has
-    fewer words. Null and blank texts have the empty set and link with nothing. Rows with a null id are left out, as no
-    row can name them; rows that share an id give a row each, and the set of one of them stands for links. Equal sets link.
+    fewer words. Null and blank texts have the empty set and link with nothing; very long texts are read whole. Rows with a
+    null id are left out, as no row can name them. Rows that share an id, repeated rows among them, give a row each with
+    the size of its own set; the largest of their sets, then the one of the largest hash, stands for the id in links, and
+    all of them have its component. Equal sets link. Ids must be numbers; an empty table gives an empty result. `docs`
+    should be read from files or a written table, whose rows come in one order however often a task runs.
     """
     known, found = links(docs, id_col, text_col)
     joined = known.join(found, "node", "left")
