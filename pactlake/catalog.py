@@ -703,7 +703,7 @@ _HEAD = "CASE WHEN page_id % 3 = 0 THEN 'client.post(' ELSE 'const r = await fet
 
 
 @query(f"""WITH c AS (SELECT page_id, page_id % 4 AS k, page_id % 3 = 0 AS posts, {_CALLS} AS u, {_HEAD} AS h FROM pages)
-SELECT CAST(page_id AS STRING) AS file, CASE WHEN k = 0 THEN 'all' ELSE 'one' END AS change_id, CAST(length(h) + 2 AS INT) AS start_at, CAST(2 AS INT) AS line, replace(u, '/v1/charges', '/v1/payments') AS replacement
+SELECT CAST(page_id AS STRING) AS file, CASE WHEN k = 0 THEN 'all' ELSE 'one' END AS change_id, CAST(length(h) + 1 AS INT) AS start_at, CAST(2 AS INT) AS line, '`' || replace(u, '/v1/charges', '/v1/payments') || '`' AS replacement
 FROM c WHERE k = 0 OR (k IN (1, 3) AND NOT posts)""")
 def site_path_renames(spark, sf_dir):
     content = F.concat(F.lit("\n"), F.expr(_HEAD), F.lit("`"), F.expr(_CALLS), F.lit("`);\n"))
@@ -715,6 +715,57 @@ def site_path_renames(spark, sf_dir):
     return call_sites.find_sites(files, renamed).select("file", "change_id", "start_at", "line", "replacement")
 
 
+def _change_rows(spark, *rows: dict) -> DataFrame:
+    names = ("id", "kind", "direction", "path", "method", "operation_id", "from_name", "to_name", "detail")
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(f"{n} string" for n in names)).withColumn("breaking", F.lit(True))
+
+
+#: Source code around each page's URL. Of the fields named amount only the payload's own one is sent: in case 0 the call has no
+#: semicolon, in 1 the field is nested, in 2 quoted under a URL in two parts, in 3 in a call by one object, in 4 in text that is
+#: made JSON, in 5 in a comment and in a string.
+_PAYLOADS = r"""CASE page_id % 6
+WHEN 0 THEN 'http.post("/v1/charges", { note: "' || url || '", amount: 1 })' || chr(10) || 'const other = { amount: 2 }' || chr(10) || 'show({ amount: 3 })'
+WHEN 1 THEN 'http.post("/v1/charges", { meta: { amount: 1 }, note: "' || url || '" });'
+WHEN 2 THEN 'http.post("/v1/" + "charges", { note: "' || url || '", "amount": 1 })'
+WHEN 3 THEN 'axios({ url: "/v1/charges", method: "POST", data: { note: "' || url || '", amount } })'
+WHEN 4 THEN 'fetch(`/v1/charges`, { method: "POST", body: JSON.stringify({ note: `' || url || '`, amount: f({ amount: 2 }) }) })'
+ELSE 'http.post("/v1/charges", { note: "' || url || '" /* amount: 1 */ }); // http.post("/v1/charges", { amount: 1 })' END"""
+
+
+@query(f"""WITH c AS (SELECT page_id, page_id % 6 AS k, {_PAYLOADS} AS content FROM pages)
+SELECT CAST(page_id AS STRING) AS file, CAST(CASE k WHEN 2 THEN strpos(content, '"amount"') ELSE strpos(content, 'amount') END - 1 AS INT) AS start_at,
+CASE k WHEN 2 THEN '"amount_cents"' WHEN 3 THEN 'amount_cents: amount' ELSE 'amount_cents' END AS replacement, 'high' AS confidence
+FROM c WHERE k IN (0, 2, 3, 4)""")
+def site_payload_fields(spark, sf_dir):
+    """Renamed request fields in the payload of a call, and nowhere else."""
+    files = table(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), F.col("page_id").cast("string").alias("file"), F.expr(_PAYLOADS).alias("content"))
+    renamed = _change_rows(spark, {"id": "f", "kind": "request.field.renamed", "direction": "request", "path": "/v1/charges", "method": "post", "from_name": "amount", "to_name": "amount_cents"})
+    return call_sites.find_sites(files, renamed).select("file", "start_at", "replacement", "confidence")
+
+
+#: Two files a page: a caller that decodes a reply, and a reader. Pages of case 0 cast it to a type of the repository, those of
+#: case 1 keep it in a variable, those of case 2 return a declared wrapper's reply, those of case 3 read another variable.
+_CALLERS = r"""CASE page_id % 4
+WHEN 0 THEN 'export interface Charge' || page_id || ' { url: string; amount: number }' || chr(10) || 'export async function load() { const r = await fetch("/v1/charges"); return (await r.json()) as Charge' || page_id || '; }'
+WHEN 1 THEN 'async function load() { const r = await fetch("/v1/charges"); const body = await r.json(); log("' || url || '", body.amount); }'
+WHEN 2 THEN 'type Charge' || page_id || ' = { amount: number };' || chr(10) || 'export const load = (): Promise<Charge' || page_id || '> => request("GET", "/v1/charges");'
+ELSE 'async function load(wallet) { const r = await fetch("/v1/charges"); const body = await r.json(); log(wallet.amount, "' || url || ' body.amount"); }' END"""
+_READERS = r"""'const show' || page_id || ' = (c: Charge' || page_id || ', w: Wallet) => `${' || 'c.amount} ${' || 'w.amount}`'"""
+
+
+@query(f"""WITH c AS (SELECT page_id, page_id % 4 AS k, {_CALLERS} AS content, {_READERS} AS reader FROM pages)
+SELECT 'a' || page_id AS file, CAST(strpos(content, CASE k WHEN 1 THEN 'body.amount' ELSE 'amount' END) - CASE k WHEN 1 THEN -4 ELSE 1 END AS INT) AS start_at,
+CASE k WHEN 1 THEN 'response.member' ELSE 'response.type' END AS strategy, CASE k WHEN 1 THEN 'medium' ELSE 'high' END AS confidence FROM c WHERE k <> 3
+UNION ALL SELECT 'b' || page_id, CAST(strpos(reader, 'c.amount') + 1 AS INT), 'response.member', 'high' FROM c WHERE k IN (0, 2)""")
+def site_response_fields(spark, sf_dir):
+    """Renamed response fields: of declared types in every file, of local variables in their scope."""
+    p = table(spark, sf_dir, "pages").filter("url IS NOT NULL")
+    one = lambda lead, content: p.select(F.lit("r").alias("repo"), F.concat(F.lit(lead), F.col("page_id").cast("string")).alias("file"), F.expr(content).alias("content"))
+    renamed = _change_rows(spark, {"id": "f", "kind": "response.field.renamed", "direction": "response", "path": "/v1/charges", "method": "get", "from_name": "amount", "to_name": "amount_cents"})
+    found = call_sites.find_sites(one("a", _CALLERS).unionByName(one("b", _READERS)), renamed, [call_sites.Wrapper("request", url_argument=1, method_argument=0)])
+    return found.select("file", "start_at", "strategy", "confidence")
+
+
 # ---- vendors ----
 
 _TITLE = "CASE p_partkey % 6 WHEN 0 THEN 'Stripe API v2' WHEN 1 THEN 'GitHub REST API' WHEN 2 THEN 'Payment specification 1.0.3' WHEN 3 THEN 'Chat API' WHEN 4 THEN 'API' ELSE p_name || ' OpenAPI spec v3' END"
@@ -829,9 +880,9 @@ def _demo_plan(spark) -> tuple[DataFrame, DataFrame]:
 
 
 #: Worked out by hand from the demo's caller: line, kind, action, text and replacement of each site.
-_DEMO_SITES = """(8, 'path.renamed', 'apply', '${HOST}/v2/parcels', '${HOST}/v2/shipments', 1), (8, 'request.field.renamed', 'apply', 'weight', 'weight_grams', 1),
-(11, 'path.renamed', 'apply', '${HOST}/v2/parcels/${ref}/events', '${HOST}/v2/shipments/${ref}/events', 1), (11, 'param.added.required', 'review', '${HOST}/v2/parcels/${ref}/events', NULL, 1),
-(13, 'response.field.type.changed', 'review', 'at', NULL, 1), (16, 'operation.removed', 'review', 'voidLabel', NULL, 1)"""
+_DEMO_SITES = """(8, 'path.renamed', 'apply', '`${HOST}/v2/parcels`', '`${HOST}/v2/shipments`', 1), (8, 'request.field.renamed', 'apply', 'weight', 'weight_grams', 1),
+(11, 'path.renamed', 'apply', '`${HOST}/v2/parcels/${ref}/events`', '`${HOST}/v2/shipments/${ref}/events`', 1), (11, 'param.added.required', 'review', '`${HOST}/v2/parcels/${ref}/events`', NULL, 1),
+(5, 'response.field.type.changed', 'review', 'at', NULL, 1), (16, 'operation.removed', 'review', 'client.voidLabel', NULL, 1)"""
 
 
 @query(f"SELECT CAST(line AS INT) AS line, kind, action, text, replacement, CAST(n AS BIGINT) AS n FROM (VALUES {_DEMO_SITES}) t(line, kind, action, text, replacement, n)")

@@ -1,62 +1,134 @@
 """Places in calling source code that a contract change reaches.
 
-Source files are read lexically with built-in functions: a call is a known request function followed by a quoted or
-template URL, and its options are the text up to the end of the statement. No types are resolved, so reads of response
-fields go to review. Calls meet changes by an equi-join on the length and first segment of the URL's suffix, never by
-comparing every call with every change.
+Files become tables of facts once (`pactlake.sources.source_code`); everything after that is joins. Calls meet the declared
+request functions by name and take their URL, method and payload from the arguments these name; payloads are the object
+literals at those arguments, with their own properties. Calls meet changes by an equi-join on the length and first segment of
+the URL's suffix, never by comparing every call with every change. A response is followed from the call that returns it
+through decoding to the variable that holds it, and to the type that this variable is declared, cast or returned as: a declared
+type carries a rename to every reader of it in the repository, a bare variable to its own reads alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions import urls
 from pactlake.functions.text import leaf_of, snake_case, snippet
+from pactlake.operators.edits import dedupe_sites
+from pactlake.sources.source_code import syntax
+from pactlake.work import discard, written
 
-#: Methods that a call may name.
-METHODS = ("get", "put", "post", "delete", "options", "head", "patch")
-QUOTED = r"""(?:`[^`]*`|'[^'\n]*'|"[^"\n]*")"""
-NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
+#: Members that make a request, those of them that send their second argument, and methods that a call may name.
+MEMBERS = ("get", "post", "put", "patch", "delete", "head", "options", "request")
+SENDING = ("post", "put", "patch")
+METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 #: A parameter of a template, as a key of the join.
 ANY = "{}"
+#: Rounds in which a variable takes the type of the variable it is set to.
+ALIAS_ROUNDS = 3
+HERE = ["repo", "file"]
+
+
+@dataclass(frozen=True)
+class Wrapper:
+    """A function that makes requests; arguments count from 0. `repo`: null for all repositories."""
+
+    name: str
+    url_argument: int = 0
+    body_argument: int | None = None
+    method_argument: int | None = None
+    repo: str | None = None
+
+
+WRAPPERS = "repo string, name string, url_argument int, body_argument int, method_argument int"
+
+
+def wrapper_table(spark, wrappers: Iterable[Wrapper | str]) -> DataFrame:
+    found = [Wrapper(w) if isinstance(w, str) else w for w in wrappers]
+    return spark.createDataFrame([(w.repo, w.name, w.url_argument, w.body_argument, w.method_argument) for w in found], WRAPPERS)
+
+
+class Code:
+    """The facts of files (repo, file, content), written once by kind; `close` removes them."""
+
+    def __init__(self, files: DataFrame) -> None:
+        self.spark = files.sparkSession
+        self.facts, path = written(syntax(files), "code-facts", by="kind")
+        self._paths = [path]
+
+    def of(self, kind: str, **names: str) -> DataFrame:
+        """repo, file and the columns named, each under its new name."""
+        return self.facts.filter(F.col("kind") == kind).select("repo", "file", *[F.col(c).alias(n) for c, n in names.items()])
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        out, path = written(df, tag)
+        self._paths.append(path)
+        return out
+
+    def close(self) -> None:
+        discard(self.spark, *self._paths)
+        self._paths = []
+
+
+def _argument(i: Column | int) -> Column:
+    return F.try_element_at("arguments", (i + 1 if isinstance(i, Column) else F.lit(i + 1)).cast("int"))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<text, start_at, rest>>: every match, its offset, and the text up to the next match."""
-    found, parts = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["part"]) + F.length(F.coalesce(p["hit"], F.lit("")))).cast("int").alias("at"),
-        F.concat(acc["out"], F.array(F.struct(p["hit"].alias("text"), (acc["at"] + F.length(p["part"])).cast("int").alias("start_at"), p["next"].alias("rest")))).alias("out"),
-    )
-    rows = F.zip_with(F.arrays_zip(parts.alias("part"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("next")), found, lambda p, h: F.struct(p["part"].alias("part"), p["next"].alias("next"), h.alias("hit")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start_at:int,rest:string>>").alias("out"))
-    return F.filter(F.aggregate(rows, empty, step, lambda acc: acc["out"]), lambda s: s["text"].isNotNull())
+def _member(members: Column | str, name: str) -> Column:
+    """The value that an object literal gives a property, null without it."""
+    return F.try_element_at(F.filter(members, lambda m: (m["name"] == name) & ~m["short"]), F.lit(1))["value"]
 
 
-def http_calls(files: DataFrame, wrappers: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each request call of files (repo, file, content): url and its offsets, method (null: not known), options.
+def _method(text: Column) -> Column:
+    lower = F.lower(text)
+    return F.when(lower.isin(*METHODS), lower)
 
-    `fetch`, `x.<method>` and the functions named in `wrappers` count as requests. A null or empty content has no calls.
-    An interpolation in the URL becomes the mark that stands for any text.
+
+def http_calls(code: Code, wrappers: DataFrame | None = None, base_urls: DataFrame | None = None) -> DataFrame:
+    """One row for each request of the code: call (its id), url (HOLE for computed parts), where and how that is written,
+    method (null: not known), payload (the object literal it sends, null: none), ref (the declaration that receives the answer).
+
+    Requests are `fetch`, `x.<method>`, functions of one object with a `url`, and the functions of `wrappers` (columns of WRAPPERS),
+    which come before all others. base_urls: repo (null: all), base_url, which is left out of URLs that begin with it.
     """
-    names = "|".join(["fetch", *(w.replace("$", r"\$").replace(".", r"\.") for w in wrappers)])
-    callee = rf"(?:\b(?:{names})|\.(?:{'|'.join(METHODS)}))(?:<[^>()]*>)?"
-    head = rf"{callee}\s*\(\s*{QUOTED}"
-    c = files.filter(F.col("content").rlike(head)).select("repo", "file", "content", F.posexplode(spans(F.col("content"), head)).alias("call", "s"))
-    quoted = F.regexp_extract("s.text", rf"({QUOTED})$", 1)
-    raw = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
-    start = F.col("s.start_at") + F.length("s.text") - F.length(quoted) + 1
-    # Options end with the statement: at a semicolon outside quotes.
-    options = F.regexp_extract("s.rest", rf"""^(?:[^;'"`]++|{QUOTED}|['"`])*+""", 0)
-    verb = F.lower(F.regexp_extract("s.text", rf"^\.({'|'.join(METHODS)})\b", 1))
-    stated = F.lower(F.regexp_extract(options, r"""\bmethod\s*:\s*['"`]([A-Za-z]+)['"`]""", 1))
-    unclear = options.rlike(r"\bmethod\s*[:,}]") & (stated == "")
-    method = F.when(verb != "", verb).when(stated != "", stated).when(~unclear & F.col("s.text").startswith("fetch"), F.lit("get"))
-    return c.select(
-        "repo", "file", "call", F.regexp_replace(raw, r"\$\{[^}]*\}", urls.HOLE).alias("url"), raw.alias("url_text"), start.cast("int").alias("start_at"), (start + F.length(raw)).cast("int").alias("end_at"),
-        method.alias("method"), (verb == "").alias("has_options"), options.alias("options"), (F.col("s.start_at") + F.length("s.text")).cast("int").alias("options_at"), "content",
-    )
+    calls = code.of("call", id="call", name="callee", text="last", arguments="arguments", ref="ref", type="argument_type")
+    if wrappers is None:
+        wrappers = wrapper_table(code.spark, ())
+    # A repository's own rule comes before one for all.
+    rule = F.min_by(F.struct("url_argument", "body_argument", "method_argument"), F.struct("url_argument", "body_argument", "method_argument")).alias("rule")
+    own = wrappers.filter("repo IS NOT NULL").groupBy("repo", F.col("name").alias("callee")).agg(rule).withColumnRenamed("rule", "_own")
+    general = wrappers.filter("repo IS NULL").groupBy(F.col("name").alias("callee")).agg(rule).withColumnRenamed("rule", "_all")
+    c = calls.join(own, ["repo", "callee"], "left").join(general, "callee", "left").withColumn("_rule", F.coalesce("_own", "_all"))
+    c = c.select(*calls.columns, "_rule.url_argument", "_rule.body_argument", "_rule.method_argument")
+    ruled = F.coalesce(F.col("url_argument") < F.size("arguments"), F.lit(False))
+    fetch = F.col("callee") == "fetch"
+    member = F.col("callee").contains(".") & F.col("last").isin(*MEMBERS)
+    sends = F.col("last").isin(*SENDING)
+    one = F.col("_first.object").isNotNull() & ~ruled
+    options = F.when(one, F.col("_first.object")).when(fetch, _argument(1)["object"]).when(member, F.when(sends, _argument(2)["object"]).otherwise(_argument(1)["object"]))
+    c = c.withColumn("_first", _argument(0)).withColumns({"_ruled": ruled, "_options": F.when(~ruled, options)})
+    # Calls that can't be requests go before their options are looked up.
+    c = c.filter(F.col("_ruled") | one | ((fetch | member) & F.col("_first.url").isNotNull()))
+    literals = code.of("object", id="_options", members="_members")
+    c = c.join(literals, [*HERE, "_options"], "left")
+    stated = _method(_member("_members", "method")["literal"])
+    alone = ~F.col("_ruled") & one & _member("_members", "url").isNotNull()
+    url = F.when(F.col("_ruled"), _argument(F.col("url_argument"))).when(alone, _member("_members", "url")).when(fetch | member, F.col("_first"))
+    method = F.when(F.col("_ruled"), _method(_argument(F.col("method_argument"))["literal"])).when(alone, stated).when(fetch, F.coalesce(stated, F.lit("get"))).otherwise(F.coalesce(_method(F.col("last")), stated))
+    body = F.when(F.col("_ruled"), _argument(F.col("body_argument"))["object"]).when(alone, F.coalesce(_member("_members", "data"), _member("_members", "body"))["object"])
+    body = body.when(fetch, _member("_members", "body")["object"]).when(sends, _argument(1)["object"])
+    c = c.withColumns({"_url": url, "method": method, "payload": body}).filter("_url.url IS NOT NULL")
+    text = F.col("_url.url")
+    if base_urls is not None:
+        b = base_urls.select(F.col("repo").alias("b_repo"), "base_url")
+        text = F.when(F.length("base_url") > 0, F.when(F.startswith("_url.url", F.col("base_url")), F.substr("_url.url", F.length("base_url") + 1))).otherwise(F.lit(None))
+        text = F.coalesce(text, F.col("_url.url"))
+        c = c.join(b, F.col("b_repo").isNull() | (F.col("b_repo") == F.col("repo")), "left")
+    return c.select("repo", "file", "call", "callee", "last", text.alias("url"), F.col("_url.text").alias("url_text"), F.col("_url.at").alias("start_at"), F.col("_url.end_at").alias("end_at"), F.col("_url.line").alias("line"), "method", "payload", "ref", "argument_type")
 
 
 def match_calls(calls: DataFrame, changes: DataFrame) -> DataFrame:
@@ -72,76 +144,179 @@ def match_calls(calls: DataFrame, changes: DataFrame) -> DataFrame:
     want = urls.segments("path")
     lead = F.element_at(want, 1)
     own = [c for c in ("repo",) if c in changes.columns]
-    ch = changes.filter(F.size(want) > 0).select(*own, F.col("id").alias("change_id"), "kind", "direction", "path", "operation_id", "from_name", "to_name", F.col("method").alias("op_method"), F.size(want).alias("_n"), F.when(urls.is_template(lead), F.lit(ANY)).otherwise(lead).alias("_first"))
+    detail = F.col("detail") if "detail" in changes.columns else F.lit(None).cast("string")
+    ch = changes.filter(F.size(want) > 0).select(*own, F.col("id").alias("change_id"), "kind", "direction", "path", "operation_id", "from_name", "to_name", detail.alias("detail"), F.col("method").alias("op_method"), F.size(want).alias("_n"), F.when(urls.is_template(lead), F.lit(ANY)).otherwise(lead).alias("_first"))
     fits = urls.matches_template("url", "path") & (F.col("method").isNull() | F.col("op_method").isNull() | (F.col("method") == F.col("op_method")))
     return keyed.join(ch, [*own, "_n", "_first"]).filter(fits).drop("_n", "_first")
 
 
-def _site(df: DataFrame, start: Column, end: Column, reason: str, replacement: Column | None = None, codemod: Column | None = None, confidence: Column | str = "medium") -> DataFrame:
-    text = F.substr("content", start.cast("int") + 1, (end - start).cast("int"))
-    before = F.substr("content", F.lit(1), start.cast("int"))
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    whole = F.concat(F.substring_index(before, "\n", -1), F.substring_index(F.substr("content", start.cast("int") + 1), "\n", 1))
-    none = F.lit(None).cast("string")
-    return df.select(
-        "repo", "file", "change_id", start.cast("int").alias("start_at"), end.cast("int").alias("end_at"), line.alias("line"), text.alias("text"), (replacement if replacement is not None else none).alias("replacement"),
-        (codemod if codemod is not None else none).alias("codemod"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"), F.lit(reason).alias("reason"), snippet(whole).alias("snippet"),
-    )
+SITE = ("repo", "file", "change_id", "start_at", "end_at", "line", "text", "replacement", "codemod", "strategy", "confidence", "reason", "snippet")
+
+
+def _site(df: DataFrame, strategy: Column | str, reason: Column, replacement: Column | None = None, codemod: str | None = None, confidence: Column | str = "high") -> DataFrame:
+    """Sites of rows with repo, file, change_id, start_at, end_at, line and text."""
+    new = replacement if replacement is not None else F.lit(None).cast("string")
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return df.withColumns({"replacement": new, "codemod": F.when(new.isNotNull(), F.lit(codemod)), "strategy": as_col(strategy), "confidence": as_col(confidence), "reason": reason, "snippet": snippet("text")}).select(*SITE)
+
+
+def _how(df_url: str = "url") -> Column:
+    return F.when(F.col(df_url).contains(urls.HOLE), "url.template").otherwise("url.literal")
 
 
 def _renamed_paths(hits: DataFrame) -> DataFrame:
-    new = urls.rewrite_path("url_text", "path", "to_name")
-    hits = hits.filter("kind = 'path.renamed'").withColumn("_new", new)
-    sure = F.col("_new").isNotNull()
-    return _site(hits, F.col("start_at"), F.col("end_at"), "path renamed", F.col("_new"), F.when(sure, "rename-path"), F.when(sure, "high").otherwise("medium"))
+    hits = hits.filter("kind = 'path.renamed'").withColumn("text", F.col("url_text"))
+    return _site(hits, _how(), F.concat_ws(" ", F.lit("path"), "path", F.lit("is now"), "to_name"), urls.rewrite_path("text", "path", "to_name"), "rename-path")
 
 
-def _renamed_request_fields(hits: DataFrame) -> DataFrame:
+def _renamed_request_fields(code: Code, hits: DataFrame) -> DataFrame:
     """The property of the payload that has the old name; a shorthand property keeps its variable."""
-    h = hits.filter("kind = 'request.field.renamed'").withColumns({"_from": leaf_of("from_name"), "_to": leaf_of("to_name")})
-    # A request made through an options object sends its `body`; one made through a method sends its next argument.
-    skip = F.when(F.col("has_options"), F.length(F.regexp_extract("options", r"(?s)^.*?\bbody\s*:", 0))).otherwise(F.lit(0))
-    h = h.withColumn("_skip", skip).filter("NOT has_options OR _skip > 0")
-    h = h.withColumn("_p", F.explode(spans(F.substr("options", F.col("_skip") + 1), rf"[{{,]\s*{NAME}(?=\s*[:,}}])")))
-    h = h.withColumn("_name", F.regexp_extract("_p.text", rf"{NAME}$", 0)).filter(F.col("_name") == F.col("_from"))
-    start = F.col("options_at") + F.col("_skip") + F.col("_p.start_at") + F.length("_p.text") - F.length("_name")
-    value = F.col("_p.rest").rlike(r"^\s*:")
-    return _site(h, start, start + F.length("_from"), "request field renamed", F.when(value, F.col("_to")).otherwise(F.concat("_to", F.lit(": "), "_from")), F.lit("rename-request-field"), "high")
-
-
-def _read_response_fields(hits: DataFrame) -> DataFrame:
-    """Reads `.name` in the file of a matching call, of any response field that changed or was renamed."""
-    h = hits.filter("direction = 'response' AND from_name IS NOT NULL").withColumn("_from", leaf_of("from_name")).filter("_from IS NOT NULL")
-    h = h.select("repo", "file", "content", "change_id", "_from").dropDuplicates(["repo", "file", "change_id"])
-    h = h.withColumn("_p", F.explode(spans(F.col("content"), rf"(?<=\.){NAME}"))).filter(F.col("_p.text") == F.col("_from"))
-    start = F.col("_p.start_at")
-    return _site(h, start, start + F.length("_from"), "response field read")
+    h = hits.filter("kind = 'request.field.renamed' AND payload IS NOT NULL").withColumns({"_from": leaf_of("from_name"), "_to": leaf_of("to_name")}).filter("_from IS NOT NULL AND _to IS NOT NULL")
+    h = h.drop("start_at", "end_at", "line").join(code.of("object", id="payload", members="members"), [*HERE, "payload"])
+    h = h.withColumn("_p", F.explode("members")).filter("_p.name = _from")
+    h = h.withColumns({"start_at": F.col("_p.at"), "end_at": F.col("_p.end_at"), "line": F.col("_p.line"), "text": F.col("_p.label")})
+    quote = F.when(F.col("text").rlike("^['\"]"), F.substring("text", 1, 1)).otherwise(F.lit(""))
+    new = F.when(F.col("_p.short"), F.concat("_to", F.lit(": "), "_from")).otherwise(F.concat(quote, "_to", quote))
+    return _site(h, "request.payload", F.concat_ws(" ", F.lit("sends"), "_from", F.lit("which is now"), "_to"), new, "rename-request-field")
+
+
+class Bindings:
+    """Which declaration every variable means, which type it has, and where types are declared."""
+
+    def __init__(self, code: Code) -> None:
+        self.code = code
+        # Patterns share the id of their brace.
+        self.declared = code.keep(code.of("declare", id="id", name="name", type="type", scope="scope", scope_end="scope_end", text="alias", ref="alias_at", cast="taken"), "code-declared")
+        self.types = code.of("type", name="type", id="type_id", fields="fields")
+        self.functions = code.of("function", name="last", type="returns")
+        self.typed = code.keep(self._typed(), "code-typed")
+
+    def meant(self, uses: DataFrame, name: str, at: str) -> DataFrame:
+        """`uses` with `id`: the innermost declaration of variable `name` around the offset `at`; uses without one go."""
+        d = self.declared.select("repo", "file", F.col("name").alias(name), "id", "scope", "scope_end", "taken")
+        met = uses.join(d, [*HERE, name]).filter((F.col("scope") <= F.col(at)) & (F.col(at) < F.col("scope_end")))
+        inner = Window.partitionBy(*HERE, name, at).orderBy(F.desc("scope"), F.desc("id"))
+        return met.withColumn("_r", F.dense_rank().over(inner)).filter("_r = 1").drop("_r", "scope", "scope_end")
+
+    def located(self, named: DataFrame) -> DataFrame:
+        """`named` (repo, file, type, ...) with type_file and type_id: the type of that name in the file, else the only one in
+        the repository; rows without such a type go."""
+        here = self.types.select("repo", F.col("file").alias("type_file"), "type", "type_id")
+        own = named.join(here, (named["repo"] == here["repo"]) & (named["file"] == here["type_file"]) & (named["type"] == here["type"])).select(named["*"], "type_file", "type_id")
+        alone = here.groupBy("repo", "type").agg(F.count("*").alias("n"), F.min("type_file").alias("type_file"), F.min("type_id").alias("type_id")).filter("n = 1").drop("n")
+        local = here.select("repo", F.col("type_file").alias("file"), "type").distinct()
+        return own.unionByName(named.join(local, ["repo", "file", "type"], "left_anti").join(alone, ["repo", "type"]).select(*named.columns, "type_file", "type_id"))
+
+    def made_by(self, named: DataFrame) -> DataFrame:
+        """`named` (repo, file, last, ...) with `returns`: the return type of that function in the file, else of the only one in
+        the repository, and function_file."""
+        f = self.functions.filter("last IS NOT NULL")
+        near = f.groupBy("repo", "file", "last").agg(F.count("*").alias("n"), F.min("returns").alias("returns"))
+        far = f.groupBy("repo", "last").agg(F.count("*").alias("n"), F.min("returns").alias("returns"), F.min("file").alias("function_file"))
+        own = named.join(near.filter("n = 1").drop("n"), ["repo", "file", "last"]).withColumn("function_file", F.col("file"))
+        rest = named.join(near.select("repo", "file", "last"), ["repo", "file", "last"], "left_anti").join(far.filter("n = 1").drop("n"), ["repo", "last"])
+        return own.unionByName(rest).filter("returns IS NOT NULL")
+
+    def _typed(self) -> DataFrame:
+        """repo, file, id, type_file, type_id of declarations whose type is declared in the repository."""
+        stated = self.located(self.declared.filter("type IS NOT NULL AND taken IS NULL").select("repo", "file", "id", "type"))
+        makers = self.code.of("maker", id="id", text="last").join(self.declared.filter("type IS NOT NULL").select("repo", "file", "id"), [*HERE, "id"], "left_anti")
+        made = self.made_by(makers).select("repo", F.col("file").alias("used"), "id", F.col("function_file").alias("file"), F.col("returns").alias("type"))
+        made = self.located(made).select("repo", F.col("used").alias("file"), "id", "type_file", "type_id")
+        known = stated.select("repo", "file", "id", "type_file", "type_id").unionByName(made).distinct()
+        # A variable set to another one has its type; each round follows one more step.
+        alias = self.declared.filter("alias IS NOT NULL AND type IS NULL").select("repo", "file", F.col("id").alias("own"), "alias", "alias_at")
+        steps = self.meant(alias, "alias", "alias_at").select("repo", "file", "own", "id").filter("own <> id")
+        for _ in range(ALIAS_ROUNDS):
+            more = steps.join(known, [*HERE, "id"]).select("repo", "file", F.col("own").alias("id"), "type_file", "type_id")
+            known = known.unionByName(more).distinct()
+        return known
+
+    def payloads(self, hits: DataFrame) -> DataFrame:
+        """Of response hits (repo, file, call, ref, last, callee, argument_type): with var (a declaration that holds the payload or
+        response, null: none) and type_file, type_id (its declared type, null: none)."""
+        slim = hits.select("repo", "file", "call", "ref", "last", "callee", "argument_type").distinct()
+        calls = self.code.of("call", name="_c", id="decode", at="decode_at", ref="decoded", cast="cast")
+        decodes = calls.filter("_c RLIKE '^[A-Za-z_$][A-Za-z0-9_$]*[.]json$'").withColumn("var_name", F.substring_index("_c", ".", 1))
+        decodes = self.meant(decodes, "var_name", "decode_at").select("repo", "file", F.col("id").alias("ref"), "decoded", "cast")
+        none = F.lit(None).cast("int")
+        direct = slim.filter("ref IS NOT NULL")
+        through = direct.join(decodes, [*HERE, "ref"])
+        held = through.filter("decoded IS NOT NULL").select("repo", "file", "call", F.col("decoded").alias("var"))
+        taken = direct.join(self.declared.filter("taken = 'data'").select("repo", "file", F.col("id").alias("ref")), [*HERE, "ref"]).select("repo", "file", "call", F.col("ref").alias("var"))
+        plain = direct.join(held.unionByName(through.filter("decoded IS NULL AND cast IS NOT NULL").select("repo", "file", "call", none.alias("var"))).unionByName(taken).select(*HERE, "call"), [*HERE, "call"], "left_anti").select("repo", "file", "call", F.col("ref").alias("var"))
+        variables = held.unionByName(taken).unionByName(plain).distinct()
+        variables = variables.join(self.typed.withColumnRenamed("id", "var"), [*HERE, "var"], "left")
+        # Without a variable: the cast of a decoded answer, the type argument, the wrapper's type, or that of the function that
+        # returns it. What the platform's own functions return is no payload.
+        cast = through.filter("decoded IS NULL AND cast IS NOT NULL").select("repo", "file", "call", F.col("cast").alias("type"))
+        bare = slim.filter("ref IS NULL AND callee <> 'fetch' AND NOT callee LIKE 'axios%'")
+        stated = bare.filter("argument_type IS NOT NULL").select("repo", "file", "call", F.col("argument_type").alias("type"))
+        bare = bare.filter("argument_type IS NULL")
+        returned = bare.join(self.code.of("returned", id="call", type="type"), [*HERE, "call"]).select("repo", "file", "call", "type")
+        made = self.made_by(bare.select("repo", "file", "call", "last")).select("repo", F.col("file").alias("used"), "call", F.col("function_file").alias("file"), F.col("returns").alias("type"))
+        made = self.located(made).select("repo", F.col("used").alias("file"), "call", "type_file", "type_id")
+        types = self.located(cast.unionByName(stated).unionByName(returned)).select("repo", "file", "call", "type_file", "type_id").unionByName(made).distinct()
+        return variables.select("repo", "file", "call", "var", "type_file", "type_id").unionByName(types.select("repo", "file", "call", none.alias("var"), "type_file", "type_id"))
+
+
+def _response_sites(code: Code, hits: DataFrame) -> DataFrame:
+    """Types' properties and reads of fields that changed; renamed ones are rewritten, in every file of a declared type."""
+    renamed = F.col("kind") == "response.field.renamed"
+    h = hits.filter("direction = 'response' AND kind <> 'path.renamed'").withColumn("field", leaf_of(F.when(renamed, F.col("from_name")).otherwise(F.coalesce("from_name", "to_name"))))
+    h = h.withColumn("_to", F.when(renamed, leaf_of("to_name"))).filter("field IS NOT NULL AND (kind <> 'response.field.renamed' OR _to IS NOT NULL)")
+    h = code.keep(h.select("repo", "file", "call", "ref", "last", "callee", "argument_type", "change_id", "field", "_to", "detail").distinct(), "code-responses")
+    scope = Bindings(code)
+    held = h.join(scope.payloads(h), [*HERE, "call"])
+    fields = scope.types.select("repo", F.col("file").alias("type_file"), "type_id", F.explode("fields").alias("f")).select("repo", "type_file", "type_id", F.col("f.name").alias("field"), F.col("f.at").alias("start_at"), F.col("f.end_at").alias("end_at"), F.col("f.line").alias("line"))
+    held = code.keep(held.join(fields, ["repo", "type_file", "type_id", "field"], "left"), "code-held")
+    typed = held.filter("start_at IS NOT NULL")
+    reason = F.coalesce(F.concat_ws(" ", F.lit("reads"), "field", F.when(F.col("_to").isNotNull(), F.concat(F.lit("which is now "), "_to"))), F.lit(""))
+    why = F.when(F.col("_to").isNotNull(), reason).otherwise(F.coalesce("detail", F.concat(F.lit("reads "), "field")))
+    own = typed.select("repo", F.col("type_file").alias("file"), "change_id", "start_at", "end_at", "line", F.col("field").alias("text"), "field", "_to", "detail").distinct()
+    out = _site(own, "response.type", why, F.col("_to"), "rename-response-field")
+    # Reads of these names, with the declarations of their variables.
+    wanted = h.select("repo", F.col("field").alias("name")).distinct()
+    reads = code.of("member", name="name", text="base", ref="base_at", at="start_at", end_at="end_at", line="line", depth="depth").join(wanted, ["repo", "name"], "left_semi")
+    reads = code.keep(scope.meant(reads, "base", "base_at").select("repo", "file", "id", F.col("name").alias("field"), "start_at", "end_at", "line", "depth", "taken", F.col("name").alias("text")), "code-reads")
+    through = reads.filter("depth = 1 AND taken IS NULL").join(scope.typed, [*HERE, "id"])
+    through = through.join(typed.filter("_to IS NOT NULL").select("repo", "type_file", "type_id", "field", "change_id", "_to", "detail").distinct(), ["repo", "type_file", "type_id", "field"])
+    out = out.unionByName(_site(through, "response.member", why, F.col("_to"), "rename-response-field"))
+    local = held.filter("start_at IS NULL AND var IS NOT NULL").select("repo", "file", F.col("var").alias("id"), "field", "change_id", "_to", "detail").distinct()
+    return out.unionByName(_site(reads.join(local, [*HERE, "id", "field"]), "response.member", why, F.col("_to"), "rename-response-field", "medium"))
 
 
 def _review_urls(hits: DataFrame) -> DataFrame:
-    own = F.col("kind").isin("path.renamed", "request.field.renamed") | F.col("kind").contains(".added") & (F.col("kind") != "param.added.required") & (F.col("kind") != "request.field.added.required")
-    return _site(hits.filter(~own & ~F.col("direction").eqNullSafe(F.lit("response"))), F.col("start_at"), F.col("end_at"), "request affected")
+    own = F.col("kind").isin("path.renamed", "request.field.renamed", "response.field.renamed", "operation.added")
+    h = hits.filter(~own & ~F.col("direction").eqNullSafe(F.lit("response"))).withColumn("text", F.col("url_text"))
+    return _site(h, _how(), F.coalesce("detail", F.col("kind")))
 
 
-def _client_methods(files: DataFrame, changes: DataFrame) -> DataFrame:
+def _client_methods(code: Code, changes: DataFrame) -> DataFrame:
     """Calls `x.operationId(` of a removed operation, in camel or snake case."""
-    gone = changes.filter("kind = 'operation.removed' AND operation_id IS NOT NULL")
+    gone = changes.filter("kind = 'operation.removed' AND operation_id IS NOT NULL AND operation_id <> ''")
     own = [c for c in ("repo",) if c in changes.columns]
-    names = gone.select(*own, F.col("id").alias("change_id"), F.explode(F.array_distinct(F.array("operation_id", snake_case("operation_id")))).alias("_name"))
-    used = files.select("repo", "file", "content", F.explode(spans(F.col("content"), rf"(?<=\.){NAME}(?=\s*\()")).alias("_p")).withColumn("_name", F.col("_p.text"))
-    start = F.col("_p.start_at")
-    return _site(used.join(names, [*own, "_name"]), start, start + F.length("_name"), "client method removed")
+    names = gone.select(*own, F.col("id").alias("change_id"), "operation_id", F.explode(F.array_distinct(F.array("operation_id", snake_case("operation_id")))).alias("last"))
+    used = code.of("call", name="text", text="last", at="start_at", end_at="end_at", line="line").filter(F.col("text").contains("."))
+    return _site(used.join(names, [*own, "last"]), "client.method", F.concat_ws(" ", F.lit("calls"), "operation_id", F.lit("which is gone")), confidence="medium")
 
 
-def find_sites(files: DataFrame, changes: DataFrame, wrappers: tuple[str, ...] = ()) -> DataFrame:
+def find_sites(files: DataFrame, changes: DataFrame, wrappers: Iterable[Wrapper | str] | DataFrame = (), base_urls: DataFrame | None = None) -> DataFrame:
     """Sites of breaking changes in files (repo, file, content); changes with a column `repo` are of that repository's contract.
 
-    Returns repo, file, change_id, start_at, end_at, line, text, replacement, codemod, confidence, reason, snippet.
-    Only renamed paths and renamed request properties have replacements. Repeated files give repeated sites.
+    Returns the columns SITE. Renamed paths, request properties of the call's own payload and response fields have replacements:
+    those of declared types with high confidence, those of local variables with medium. One place is one site for a reason,
+    the one that has a replacement if any. Files without requests, null and empty ones give none; a file that stands twice is
+    read twice and its sites are one. The result is a written table.
     """
     breaking = changes.filter("breaking")
-    hits = match_calls(http_calls(files, wrappers), breaking)
+    code = Code(files)
+    if not isinstance(wrappers, DataFrame):
+        wrappers = wrapper_table(code.spark, wrappers)
+    hits = code.keep(match_calls(http_calls(code, wrappers, base_urls), breaking), "code-hits")
     found = _renamed_paths(hits)
-    for more in (_renamed_request_fields(hits), _read_response_fields(hits), _review_urls(hits), _client_methods(files, breaking)):
+    for more in (_renamed_request_fields(code, hits), _response_sites(code, hits), _review_urls(hits), _client_methods(code, breaking)):
         found = found.unionByName(more)
-    return found
+    out, _ = written(dedupe_sites(found, "change_id", ["repo", "file"]), "code-sites")
+    code.close()
+    return out

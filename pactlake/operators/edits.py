@@ -62,9 +62,9 @@ def splice(edits: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changed, marked.drop("content")
 
 
-def dedupe_sites(sites: DataFrame, order: str = "ord") -> DataFrame:
-    """One site for each (file, start, end, reason): the first with a replacement, else the first."""
-    w = Window.partitionBy("file", "start_at", "end_at", "reason").orderBy(F.col("replacement").isNull(), order)
+def dedupe_sites(sites: DataFrame, order: str = "ord", place: list[str] | None = None) -> DataFrame:
+    """One site for each (file, start, end, reason): the first with a replacement, else the first. `place`: columns that name a file."""
+    w = Window.partitionBy(*(place or ["file"]), "start_at", "end_at", "reason").orderBy(F.col("replacement").isNull(), order)
     return sites.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 

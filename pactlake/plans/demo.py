@@ -58,8 +58,8 @@ export const book = (weight: number, recipient: string) =>
 
 export async function lastStop(ref: string) {
   const reply = await fetch(`${HOST}/v2/parcels/${ref}/events`);
-  const { events } = await reply.json();
-  return events.map((e: Stop) => `${e.at} ${e.place}`).pop();
+  const last = (await reply.json()) as Stop;
+  return `${last.at} ${last.place}`;
 }
 
 export const cancel = (id: string, client: Labels) => client.voidLabel(id);

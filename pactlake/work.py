@@ -23,13 +23,16 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """`df` written to the shared folder and read again, and its path. The write's shuffle files go when it is done."""
+def written(df: DataFrame, tag: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """`df` written to the shared folder, in folders by a column if named, and read again, and its path.
+
+    The write's shuffle files go when it is done.
+    """
     spark = df.sparkSession
     path, held = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEAN, held)
     return spark.read.schema(df.schema).parquet(path), path

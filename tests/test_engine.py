@@ -113,10 +113,10 @@ def test_call_sites_in_source_code(spark):
     rows = call_sites.find_sites(files, found, wrappers=("request",)).collect()
     assert all(texts[r["file"]][r["start_at"] : r["end_at"]] == r["text"] for r in rows)
     assert sorted((r["file"], r["change_id"], r["text"], r["replacement"] or "", r["line"]) for r in rows) == [
-        ("axios", "f", "amount", "cents", 1), ("axios", "p", "/v1/charges", "/v1/payments", 1),
-        ("gone", "r", "${b}/v1/old/${x}", "", 3), ("gone", "r", "getOld", "", 4), ("gone", "r", "get_old", "", 4),
-        ("value", "f", "amount", "cents", 1), ("value", "p", "/v1/charges?x=1", "/v1/payments?x=1", 1),
-        ("wrapped", "p", "/v1/charges", "/v1/payments", 1),
+        ("axios", "f", "amount", "cents", 1), ("axios", "p", '"/v1/charges"', '"/v1/payments"', 1),
+        ("gone", "r", "`${b}/v1/old/${x}`", "", 3), ("gone", "r", "client.get_old", "", 4), ("gone", "r", "sdk.getOld", "", 4),
+        ("value", "f", "amount", "cents", 1), ("value", "p", "'/v1/charges?x=1'", "'/v1/payments?x=1'", 1),
+        ("wrapped", "p", "'/v1/charges'", "'/v1/payments'", 1),
     ]
     assert call_sites.find_sites(files.limit(0), found).count() == 0
 
