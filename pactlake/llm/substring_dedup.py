@@ -26,7 +26,7 @@ from pactlake.llm.common import materialize, mix, row_chunks, text_buffer, windo
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
 #: Words whose keys one portion of a task holds, and keys that one bucket gets, about.
-PORTION, BUCKET_KEYS = 2_000_000, 500_000
+PORTION, BUCKET_KEYS = 1_000_000, 500_000
 SUB = 24  # bits of a key within its bucket in step 1
 BYTES_A_WORD, PART_BYTES = 6, 4 << 20
 
@@ -122,6 +122,11 @@ def _anchor_rows(buckets: int):
     return run
 
 
+def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Whether each key is one of the found ones, which ascend."""
+    return found[np.minimum(np.searchsorted(found, keys), len(found) - 1)] == keys if len(found) else np.zeros(len(keys), bool)
+
+
 def _active_blocks(t):
     """One bucket's rows -> doc, block of the indexed blocks that two windows hold."""
     import pyarrow as pa
@@ -142,7 +147,7 @@ def _active_blocks(t):
     for data in t.column("index").to_pylist():
         w = 0 if settled else SUB // 8
         n = len(data) // (w + 12)
-        on = slice(None) if settled else np.isin(from_planes(data[: n * w], w), active)
+        on = slice(None) if settled else _among(from_planes(data[: n * w], w), active)
         blocks.append(from_planes(data[n * w : n * (w + 4)], 4)[on])
         docs.append(from_planes(data[n * (w + 4) :], 8)[on])
     return pa.table({"doc": pa.array(np.concatenate(docs).view(np.int64)), "block": pa.array(np.concatenate(blocks).astype(np.int32))})
