@@ -149,7 +149,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     whole = rows.filter("place = -1").select("doc", "pos", "key", "norm")
     gaps = rows.filter("place >= 0").select("doc", "pos", "key", "place")
     # (1) the earliest line with the same variant at the same place
-    low = gaps.groupBy("key", "place").agg(F.min(me).alias("low"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # Written, so that the join may split a variant of very many lines over several tasks.
+    low, p4 = materialize(gaps.groupBy("key", "place").agg(F.min(me).alias("low"), F.count("*").alias("c")).filter("c > 1").drop("c"), "lines-low")
     swapped = gaps.join(low, ["key", "place"]).select("doc", "pos", "low")
     # (2) whole lines against variants of lines that are one word longer, both ways
     met = gaps.join(whole.select("key", me.alias("w")), "key").select(me.alias("g"), "w")
@@ -163,7 +164,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     marked = distinct.select("a", "b", "first").join(gone, "first", "left")
     out = occurrences.select("doc", "pos", "a", "b").join(marked, ["a", "b"]).filter((me > F.col("first")) | F.col("gone")).select("doc", "pos")
     table, kept = materialize(out, "lines-removed")
-    discard(spark, p1, p2, p3)
+    discard(spark, p1, p2, p3, p4)
     return table, [kept]
 
 
