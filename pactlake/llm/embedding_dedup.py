@@ -2,19 +2,19 @@
 
 Unit vectors are projected on many random directions. Two vectors at the cosine threshold lie within HALF = Z * distance of
 each other on one direction with probability P1: that is a collision of the window [t - HALF, t + HALF] around the one with
-the other. Pairs that collide on enough directions, a count that linked pairs reach with probability `recall`, are verified
-by cosine in double precision.
-
- - One sorted projection is of little use alone: at a cosine of 0.98 its window holds a third of all vectors. So the
-   directions stand in groups of `directions`, and the sorted lists of a group are range-partitioned together: a vector is
-   in the cell of ranges that its projections fall into, a query goes to the cells that its windows reach. In a cell the
-   vectors are sorted by the group's last projection, a query's window is a stretch of that list, and the pairs of the
-   stretch count their collisions on all directions.
- - Only ids and projections travel to the cells. A block of a cell answers with the pairs that reached the count, as bits;
-   vectors travel to the blocks that have such pairs, for those pairs' members alone.
- - The number of groups follows from `recall`: a pair at the threshold meets in one of them with that probability, nearer
-   pairs more often. It depends on the threshold and on `directions`, never on the table. More directions a group make
-   cells smaller (each leaves about a third of the pairs) and groups more; large tables ask for more of them.
+the other. Pairs that collide on enough of COUNTED directions, a count that linked pairs reach with probability `recall`, are
+verified by cosine in double precision.
+
+ - One sorted projection is of little use alone: at a cosine of 0.98 its window holds a third of all vectors. So further
+   directions, in groups of `directions`, cut the sorted lists into ranges WIDTH distances wide, each group from its own
+   random start: vectors that share all ranges of a group stand in one cell. In a cell the vectors are sorted by one counted
+   projection, the window around each gives its pairs, and these count their collisions on all counted directions.
+ - Only ids and cells travel at first. Cells of one vector, which nearly all are, end there; what others need of a vector (its
+   counted projections and the marks of its cells) joins them, and vectors only the pairs that reach the count.
+ - Groups and count follow from `recall`: a pair at the threshold shares a cell and a window in one of the groups, and then
+   reaches the count, with that probability; nearer pairs more often. `directions` follows from the largest label, so that
+   about MATES vectors share a cell by chance: it changes what a run costs, never the recall it has. Groups grow with the
+   logarithm of a label's size, and meetings by chance stay in proportion to it.
  - Nothing is capped: a cell of many vectors is dealt out as blocks of BLOCK x BLOCK, and a verified block returns sums and
    a spanning forest, never its pairs.
 """
@@ -31,33 +31,47 @@ from pactlake.llm.common import discard, materialize, text_buffer
 from pactlake.llm.components import components
 
 Z, RECALL, BLOCK, SEED = 2.0, 0.9999, 1024, 5
-#: Directions of a group.
-DIRECTIONS = 2
+#: Directions whose collisions are counted, width of a range in distances at the threshold, and vectors a cell by chance.
+COUNTED, WIDTH, MATES = 24, 5.0, 8
+
+
+def _same_range(width: float, window: float = math.inf) -> float:
+    """Probability that two values a standard normal apart share a range of this width that starts anywhere, within a window."""
+    w = min(width, window)
+    inside = math.erf(w / math.sqrt(2))
+    mean = math.sqrt(2 / math.pi) * (1 - math.exp(-w * w / 2))
+    return inside - mean / width
 
 
 class Projections:
     """Directions for vectors of one length, made from the seed wherever they are needed."""
 
-    def __init__(self, cosine: float, directions: int = DIRECTIONS, recall: float = RECALL) -> None:
+    def __init__(self, cosine: float, largest: int, recall: float = RECALL, directions: int | None = None) -> None:
         self.cosine = cosine
-        self.half = Z * math.sqrt(2 - 2 * cosine)
-        p1 = math.erf(Z / math.sqrt(2))
-        self.g = directions
-        self.groups = max(1, math.ceil(math.log(1 - recall) / math.log(1 - p1**self.g)))
-        p = self.g * self.groups
+        distance = max(math.sqrt(max(2 - 2 * cosine, 0.0)), 1e-6)
+        self.half, self.width = Z * distance, WIDTH * distance
+        #: Probability that unrelated vectors share a range.
+        self.chance = _same_range(self.width / math.sqrt(2))
+        self.g = directions or min(16, max(2, math.ceil(math.log(max(1.0, largest / MATES)) / -math.log(self.chance))))
+        p1, miss = math.erf(Z / math.sqrt(2)), (1 - recall) / 2
+        self.groups = max(1, math.ceil(math.log(miss) / math.log(1 - _same_range(WIDTH) ** self.g * p1)))
         tail, self.least = 0.0, 0
-        for k in range(p, -1, -1):  # the largest count that linked pairs reach with probability `recall`
-            tail += math.comb(p, k) * p1**k * (1 - p1) ** (p - k)
-            if tail >= recall:
+        for k in range(COUNTED, -1, -1):  # the largest count that linked pairs reach but for `miss`
+            tail += math.comb(COUNTED, k) * p1**k * (1 - p1) ** (COUNTED - k)
+            if tail >= 1 - miss:
                 self.least = k
                 break
-        self.axes: dict[int, np.ndarray] = {}
+        self.axes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def of(self, unit: np.ndarray) -> np.ndarray:
+    def of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counted projections, ranges by group and direction) of unit vectors."""
         d = unit.shape[1]
         if d not in self.axes:
-            self.axes[d] = np.random.default_rng((SEED, d)).normal(size=(d, self.g * self.groups))
-        return unit @ self.axes[d]
+            rng = np.random.default_rng((SEED, d))
+            n = self.g * self.groups
+            self.axes[d] = rng.normal(size=(d, COUNTED)), rng.normal(size=(d, n)), rng.random(n)
+        count, cut, start = self.axes[d]
+        return unit @ count, np.floor(unit @ cut / self.width + start).astype(np.int64).reshape(len(unit), self.groups, self.g)
 
 
 def unit_vectors(values: np.ndarray, n: int) -> np.ndarray:
@@ -65,14 +79,22 @@ def unit_vectors(values: np.ndarray, n: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _cell_rows(proj: Projections, sizes_only: bool):
-    """(rid, class, vector) -> rows cell, query and, unless sizes_only, group, rid, class, at (projections in single precision)."""
+def _cells(ranges: np.ndarray, kind: np.ndarray, d: int) -> np.ndarray:
+    """64-bit cell of each vector in each group, of its class and length."""
+    groups = np.arange(ranges.shape[1], dtype=np.uint64)
+    h = (kind.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] + groups * np.uint64(1_000_003) + np.uint64(d)
+    for i in range(ranges.shape[2]):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + ranges[:, :, i].view(np.uint64)
+    return h ^ (h >> np.uint64(32))
+
+
+def _rows(proj: Projections, points: bool):
+    """(rid, class, vector) -> rows cell, group, rid of all groups; or (points) rid, class, at (counted projections in single
+    precision) and marks (the low halves of its cells)."""
 
     def run(batches):
         import pyarrow as pa
 
-        width = 2 * proj.half
-        offsets = np.array(np.meshgrid(*[[-1, 1]] * proj.g, indexing="ij")).reshape(proj.g, -1).T  # corners of the window
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -81,74 +103,58 @@ def _cell_rows(proj: Projections, sizes_only: bool):
                 for d in np.unique(size):
                     rows = np.flatnonzero(size == d)
                     sub = part.take(pa.array(rows))
-                    t32 = proj.of(unit_vectors(sub.column(2).flatten().to_numpy(zero_copy_only=False), len(rows))).astype(np.float32)
-                    t, points = t32.astype(np.float64), pa.array([x.tobytes() for x in t32], pa.binary())
-                    for j in range(proj.groups):
-                        own = t[:, j * proj.g : (j + 1) * proj.g]
-                        for c in [None, *offsets]:
-                            cell = np.floor((own if c is None else own + c * proj.half) / width)
-                            h = kind[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j * 1_000_003 + int(d))
-                            for i in range(proj.g):
-                                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + cell[:, i].astype(np.int64).view(np.uint64)
-                            columns, names = [pa.array(h.view(np.int64)), pa.array(np.full(len(rows), c is not None, np.int32))], ["cell", "query"]
-                            if not sizes_only:
-                                columns += [pa.array(np.full(len(rows), j, np.int32)), sub.column(0), sub.column(1), points]
-                                names += ["group", "rid", "class", "at"]
-                            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    count, ranges = proj.of(unit_vectors(sub.column(2).flatten().to_numpy(zero_copy_only=False), len(rows)))
+                    cells = _cells(ranges, kind[rows], int(d))
+                    if points:
+                        near, marks = count.astype(np.float32), (cells & np.uint64(0xFFFFFFFF)).astype("<u4")
+                        yield pa.RecordBatch.from_arrays([sub.column(0), sub.column(1), pa.array([x.tobytes() for x in near], pa.binary()), pa.array([x.tobytes() for x in marks], pa.binary())], names=["rid", "class", "at", "marks"])
+                    else:
+                        group = np.tile(np.arange(proj.groups, dtype=np.int32), len(rows))
+                        yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().view(np.int64)), pa.array(group), sub.column(0).take(pa.array(np.repeat(np.arange(len(rows)), proj.groups)))], names=["cell", "group", "rid"])
 
     return run
 
 
+def _array(column, kind, n: int) -> np.ndarray:
+    buf, off = text_buffer(column)
+    return np.frombuffer(buf[off[0] : off[-1]].tobytes(), kind).reshape(n, -1)
+
+
 def _collisions(proj: Projections):
-    """Rows of one block of one cell -> cell, x, y, q, v, pairs: queries and vectors that have a pair which reaches the count,
-    and a bit for each of their pairs. No row where there is none."""
+    """Rows of one block of one cell -> cell, x, y, q, v, pairs: vectors that have a pair which reaches the count, and a bit for
+    each of their pairs; a pair stands once. No row where there is none."""
 
     def run(t):
         import pyarrow as pa
 
         schema = pa.schema([("cell", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("q", pa.list_(pa.int64())), ("v", pa.list_(pa.int64())), ("pairs", pa.binary())])
-        query = t.column("query").to_numpy() == 1
-        if query.all() or not query.any():
+        x, y, j = (t.column(c)[0].as_py() for c in ("x", "y", "group"))
+        rid, kind, mine = (t.column(c).to_numpy() for c in ("rid", "class", "mine"))
+        p, marks = _array(t.column("at"), np.float32, t.num_rows).astype(np.float64), _array(t.column("marks"), "<u4", t.num_rows)
+        line = p[:, j % COUNTED]
+        order = np.argsort(line, kind="stable")
+        qi, vi = (order, order) if x == y else (order[mine[order] == x], order[mine[order] == y])
+        if not len(qi) or not len(vi):
             return schema.empty_table()
-        j, g = t.column("group")[0].as_py(), proj.g
-        rid, kind = t.column("rid").to_numpy(), t.column("class").to_numpy()
-        buf, off = text_buffer(t.column("at"))
-        p = np.frombuffer(buf[off[0] : off[-1]].tobytes(), np.float32).astype(np.float64).reshape(t.num_rows, -1)
-        # A window may meet one cell at several corners; the query counts once.
-        qi = np.flatnonzero(query)
-        qi = qi[np.unique(rid[qi], return_index=True)[1]]
-        last = (j + 1) * g - 1
-        vi = np.flatnonzero(~query)
-        vi = vi[np.argsort(p[vi, last], kind="stable")]
-        line = p[vi, last]
-        a, b = np.searchsorted(line, p[qi, last] - proj.half), np.searchsorted(line, p[qi, last] + proj.half, "right")
-        r = np.repeat(np.arange(len(qi)), b - a)
-        c = np.arange(len(r)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-        near = lambda i: np.abs(p[qi[r], i] - p[vi[c], i]) <= proj.half
-        for i in range(j * g, last):
-            on = near(i)
-            r, c = r[on], c[on]
-        on = (rid[qi[r]] != rid[vi[c]]) & (kind[qi[r]] == kind[vi[c]])
-        r, c = r[on], c[on]
-        count = np.full(len(r), g)
-        early = np.zeros(len(r), bool)  # met in a group before this one
-        for k in range(proj.groups):
-            if k != j:
-                every = np.ones(len(r), bool)
-                for i in range(k * g, (k + 1) * g):
-                    on = near(i)
-                    count += on
-                    every &= on
-                if k < j:
-                    early |= every
-        on = ~early & (count >= proj.least)
-        r, c = r[on], c[on]
-        if not len(r):
+        b = np.searchsorted(line[vi], line[qi] + proj.half, "right")
+        a = np.arange(len(qi)) + 1 if x == y else np.searchsorted(line[vi], line[qi] - proj.half)
+        some, bits = np.maximum(b - a, 0), np.zeros((len(qi), len(vi)), bool)
+        for lo in range(0, len(qi), 256):
+            n = some[lo : lo + 256]
+            r = np.repeat(np.arange(lo, lo + len(n)), n)
+            c = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[lo : lo + 256], n)
+            near = np.abs(p[qi[r]] - p[vi[c]]) <= proj.half
+            on = (near.sum(1) >= proj.least) & (kind[qi[r]] == kind[vi[c]])
+            r, c, near = r[on], c[on], near[on]
+            if j and len(r):  # pairs that met in a group before this one go
+                met = (marks[qi[r], :j] == marks[vi[c], :j]) & near[:, np.arange(j) % COUNTED]
+                r, c = r[~met.any(1)], c[~met.any(1)]
+            bits[r, c] = True
+        qs, vs = np.flatnonzero(bits.any(1)), np.flatnonzero(bits.any(0))
+        if not len(qs):
             return schema.empty_table()
-        (qs, r), (vs, c) = np.unique(r, return_inverse=True), np.unique(c, return_inverse=True)
-        bits = np.zeros((len(qs), len(vs)), bool)
-        bits[r, c] = True
-        row = {"cell": [t.column("cell")[0].as_py()], "x": [t.column("x")[0].as_py()], "y": [t.column("y")[0].as_py()], "q": [rid[qi[qs]]], "v": [rid[vi[vs]]], "pairs": [np.packbits(bits).tobytes()]}
+        bits = bits[np.ix_(qs, vs)]
+        row = {"cell": [t.column("cell")[0].as_py()], "x": [x], "y": [y], "q": [rid[qi[qs]]], "v": [rid[vi[vs]]], "pairs": [np.packbits(bits).tobytes()]}
         return pa.table(row, schema=schema)
 
     return run
@@ -176,7 +182,7 @@ def forest(linked: np.ndarray, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray
 
 
 def _verified(cosine: float):
-    """One block's pairs and its members' vectors -> node, links, other: verified links of each query, and forest edges."""
+    """One block's pairs and its members' vectors -> node, links, other: verified links of each vector, and forest edges."""
 
     def run(block, members):
         import pyarrow as pa
@@ -199,22 +205,22 @@ def _verified(cosine: float):
             for i in range(0, len(r), 65536):
                 rr, cc = r[i : i + 65536] + a, c[i : i + 65536]
                 keep[rr, cc] = np.einsum("ij,ij->i", x[qx[rr]], x[vx[cc]]) >= cosine
-        links = keep @ copies[vx]
         a, b = forest(keep, q, v)
-        some, tied = links > 0, b != v
-        node = np.concatenate([q[some], v[tied]])
-        return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(np.concatenate([links[some], np.zeros(int(tied.sum()), np.int64)]), pa.int64()), "other": pa.array(np.concatenate([a[some], b[tied]]), pa.int64())}, schema=schema)
+        some, tied = keep.any(1), keep.any(0)
+        links = np.concatenate([(keep @ copies[vx])[some], (copies[qx] @ keep)[tied]])
+        return pa.table({"node": pa.array(np.concatenate([q[some], v[tied]]), pa.int64()), "links": pa.array(links, pa.int64()), "other": pa.array(np.concatenate([a[some], b[tied]]), pa.int64())}, schema=schema)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", directions: int = DIRECTIONS, recall: float = RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", directions: int | None = None, recall: float = RECALL) -> DataFrame:
     """id_col (long), n_links, component_id, kept of every row; each linked pair is found with probability `recall` or more.
 
     Rows are compared where their labels are equal and not null and their vectors have the same length. Vectors that are
     null, empty, zero or hold a null or non-finite component link with nothing. Equal vectors are compared once and count
-    as often as they stand. Rows with a null id are left out, as no row can name them; rows that share an id are vectors
-    of their own under that id. Other columns are not read.
+    as often as they stand. Rows with a null id are left out, as no row can name them; rows that share an id, repeated rows
+    among them, are vectors of their own under that id. Ids and labels must be integers. Other columns are not read; an empty
+    table gives an empty result. `directions` is chosen by the largest label unless it is given.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("class"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -228,18 +234,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     # Single precision travels where it holds the values exactly.
     narrow = same.agg(F.min(exact)).first()[0] is not False
     base, p_base = materialize(same.select("rid", "class", "copies", F.col("f").alias("vector") if narrow else F.col("vector")), "emb-base")
-    proj = Projections(cosine, directions, recall)
+    largest = base.groupBy("class").count().agg(F.max("count")).first()[0] or 0
+    proj = Projections(cosine, largest, recall, directions)
     slim = base.select("rid", "class", "vector")
-    sizes = slim.mapInArrow(_cell_rows(proj, True), "cell long, query int").groupBy("cell").agg(F.sum("query").alias("nq"), F.sum(1 - F.col("query")).alias("nv"))
-    large, p_large = materialize(sizes.filter(F.greatest("nq", "nv") > BLOCK).filter("nq > 0 AND nv > 0").select("cell", F.ceil(F.col("nq") / BLOCK).cast("int").alias("bq"), F.ceil(F.col("nv") / BLOCK).cast("int").alias("bv")), "emb-cells")
-    full = slim.mapInArrow(_cell_rows(proj, False), "cell long, query int, group int, rid long, class long, at binary")
-    dealt = full.join(large, "cell", "left").withColumns({"bq": F.coalesce("bq", F.lit(1)), "bv": F.coalesce("bv", F.lit(1))})
-    h, is_query = F.xxhash64("rid"), F.col("query") == 1
-    mine = F.pmod(h, F.when(is_query, F.col("bq")).otherwise(F.col("bv"))).cast("int")
-    others = F.sequence(F.lit(0), F.when(is_query, F.col("bv")).otherwise(F.col("bq")) - 1)
-    dealt = dealt.withColumn("mine", mine).withColumn("theirs", F.explode(others))
-    spot = lambda a, b: F.when(is_query, F.col(a)).otherwise(F.col(b))
-    dealt = dealt.select("cell", "query", "group", "rid", "class", "at", spot("mine", "theirs").alias("x"), spot("theirs", "mine").alias("y"))
+    cells, p_cells = materialize(slim.mapInArrow(_rows(proj, False), "cell long, group int, rid long"), "emb-cells")
+    # Cells of several vectors, with the blocks they are dealt into; written, so that the join may split a cell of very many.
+    several, p_several = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("b")), "emb-several")
+    points = slim.mapInArrow(_rows(proj, True), "rid long, class long, at binary, marks binary")
+    dealt = cells.join(several, "cell").join(points, "rid").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("b")).cast("int"))
+    # A block holds two parts of a cell; each vector goes to the blocks of its part with every other part and with itself.
+    dealt = dealt.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    dealt = dealt.select("cell", "group", "rid", "class", "at", "marks", "mine", F.least("mine", "theirs").alias("x"), F.greatest("mine", "theirs").alias("y"))
     place = ["cell", "x", "y"]
     blocks, p_blocks = materialize(dealt.groupBy(place).applyInArrow(_collisions(proj), "cell long, x int, y int, q array<long>, v array<long>, pairs binary"), "emb-blocks")
     members = blocks.select(*place, F.explode(F.array_union("q", "v")).alias("rid")).join(base.select("rid", "copies", "vector"), "rid")
@@ -249,7 +254,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = reps.join(links, reps["rid"] == links["node"], "left").drop("node").join(comp, F.col("rid") == comp["node"], "left")
     per, _ = materialize(whole.select("a", "b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rid").alias("component_id")), "emb-result")
-    discard(spark, p_reps, p_base, p_large, p_blocks, p_found)
+    discard(spark, p_reps, p_base, p_cells, p_several, p_blocks, p_found)
     out = rows.withColumns({"a": F.when(usable, F.xxhash64("class", "vector")), "b": F.when(usable, F.xxhash64(F.lit(1), "vector", "class"))}).select("id", "a", "b").join(per, ["a", "b"], "left")
     comp_id = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), (F.col("id") == comp_id).alias("kept"))
