@@ -2,9 +2,10 @@
 
 A source with token share p gets the weight p^a / sum p^a. The exponent a is found by bisection so that the weights
 meet a target entropy or so that no source repeats more often than a limit. A token budget then becomes passes over
-each source: whole passes, and one pass over a fixed random permutation of blocks that ends where the budget does. The block
-in which it ends is cut the same way into smaller blocks, and the last of those row by row. Tokens are those of a
-byte-level BPE file, counted once for each row and written.
+each source: whole passes, each over a random permutation of the source's blocks of its own, and one pass that ends where the
+budget does. The block in which it ends is cut the same way into smaller blocks, and the last of those row by row. The place
+of a row in the mix follows from its block's place in the pass: read in that order, every stretch of the mix holds the sources
+at about their weights, block after block. Tokens are those of a byte-level BPE file, counted once for each row and written.
 """
 
 from __future__ import annotations
@@ -111,11 +112,12 @@ def _cut(rows: DataFrame, room: DataFrame) -> DataFrame:
     return first.select("source", F.col("c.at").alias("cut"), F.col("c.room").alias("room"))
 
 
-def plan(keyed: DataFrame, entropy: float | None = None, repetition_limit: float | None = 2.0, budget_tokens: int | None = None) -> tuple[DataFrame, str]:
-    """One row for each source of `keyed` (source, at, inner, n): weight, passes, room; cut and inner_cut, the blocks in which
-    the last, partial pass ends, and inner_room, the tokens it takes of the inner one. Also its table's path.
+def plan(keyed: DataFrame, entropy: float | None = None, repetition_limit: float | None = 2.0, budget_tokens: int | None = None, budget_share: float | None = None) -> tuple[DataFrame, str]:
+    """One row for each source of `keyed` (source, at, inner, n): weight, passes, room, rate (passes with the partial one); cut and
+    inner_cut, the blocks in which the last, partial pass ends, and inner_room, the tokens it takes of the inner one. Also its
+    table's path.
 
-    Without `budget_tokens` the budget is the least that reads every source in full once.
+    `budget_share` is a budget in shares of all tokens. Without a budget it is the least that reads every source in full once.
     """
     sources, p_sources = materialize(keyed.groupBy("source").agg(F.sum("n").alias("tokens")), "mix-sources")
     shares = Shares(sources)
@@ -125,11 +127,14 @@ def plan(keyed: DataFrame, entropy: float | None = None, repetition_limit: float
     weight = F.when(F.col("tokens") > 0, F.pow(p, F.lit(a)) / F.lit(z)).otherwise(F.lit(0.0))
     # Tokens over weight is largest for the largest source, as the exponent is 1 at most.
     top = shares.high / shares.total if shares.total else 1.0
+    if budget_share is not None:
+        budget_tokens = int(budget_share * shares.total)
     budget = float(budget_tokens) if budget_tokens is not None else (shares.high * z / top**a if shares.n else 0.0)
     quota = F.round(F.lit(budget) * F.col("weight") * (1 + 1e-12), 3)
     some = F.col("tokens") > 0
     s = sources.withColumn("weight", weight)
     s = s.withColumn("passes", F.when(some, F.floor(quota / F.col("tokens"))).otherwise(F.lit(1 if budget_tokens is None else 0)).cast("long"))
+    s = s.withColumn("rate", F.when(some, quota / F.col("tokens")).otherwise(F.col("passes").cast("double")))
     s, p_shares = materialize(s.withColumn("room", F.floor(F.when(some, quota).otherwise(F.lit(0.0)) - F.col("passes") * F.col("tokens")).cast("long")), "mix-shares")
     cut, p_cut = materialize(_cut(keyed, s), "mix-cut")
     ends = cut.select(F.col("source").alias("s"), "cut")
@@ -141,22 +146,28 @@ def plan(keyed: DataFrame, entropy: float | None = None, repetition_limit: float
     return table, kept
 
 
+def _place(block: Column, n: Column, passes: Column, rate: Column, seed: int) -> Column:
+    """Where in the mix, from 0 to 1, pass number n of a source reads a block."""
+    h = F.when(n <= passes, F.xxhash64(block["b"], F.lit(seed), n.cast("long"))).otherwise(block["h"])
+    return F.least((n - 1 + h / F.lit(2.0**64) + 0.5) / F.greatest(rate, F.lit(1e-9)), F.lit(1.0))
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, **targets) -> DataFrame:
-    """`docs` with _n_tokens, _weight and _copies: how often the mix holds each row.
+    """`docs` with _n_tokens, _weight, _copies, how often the mix holds each row, and _places, where each of them stands.
 
     A null source is a source of its own. Null and empty texts have no tokens; they ride along with every whole pass of
     their source. The last rows of a partial pass are taken in the order of a hash of their ids; rows with the same id and
-    text are ties and are taken together or not at all. Columns of `docs` named as those three are replaced; other columns
-    stay as they are, whatever their names.
+    text are ties and are taken together or not at all. Columns of `docs` named as those four are replaced; other columns
+    stay as they are, whatever their names. An empty table gives an empty result.
     """
-    docs, _ = counted(docs.drop("_n_tokens", "_weight", "_copies"), text_col, ranks_path, pattern)
+    docs, _ = counted(docs.drop("_n_tokens", "_weight", "_copies", "_places"), text_col, ranks_path, pattern)
     at, inner = _block([F.col(id_col)], seed), _block([F.col(id_col), F.lit("inner")], seed + 1)
     keyed = docs.select(F.col(source_col).alias("source"), at.alias("at"), inner.alias("inner"), F.col("_n_tokens").alias("n"))
     made, _ = plan(keyed, **targets)
-    names = ["source", "weight", "passes", "cut", "inner_cut", "inner_room"]
-    s, weight, passes, cut, inner_cut, room, place, inner_place, upto = fresh(docs, *("_" + n for n in names), "_place", "_inner_place", "_upto")
+    names = ["source", "weight", "passes", "cut", "inner_cut", "inner_room", "rate"]
+    s, weight, passes, cut, inner_cut, room, rate, place, inner_place, upto = fresh(docs, *("_" + n for n in names), "_place", "_inner_place", "_upto")
     # One row a source; Spark broadcasts the plan where it is small and else joins by shuffle.
-    made = made.select([F.col(x).alias(y) for x, y in zip(names, (s, weight, passes, cut, inner_cut, room), strict=True)])
+    made = made.select([F.col(x).alias(y) for x, y in zip(names, (s, weight, passes, cut, inner_cut, room, rate), strict=True)])
     rows = docs.withColumns({place: at, inner_place: inner}).join(made, F.col(source_col).eqNullSafe(F.col(s)))
     ends = F.coalesce((F.col(place) == F.col(cut)) & (F.col(inner_place) == F.col(inner_cut)), F.lit(False))
     before = F.coalesce((F.col(place) < F.col(cut)) | (F.col(place) == F.col(cut)) & (F.col(inner_place) < F.col(inner_cut)), F.lit(False))
@@ -164,14 +175,20 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     part = rows.filter(ends).withColumn(upto, F.sum("_n_tokens").over(ties))
     extra = lambda taken: F.col(passes) + (taken & (F.col("_n_tokens") > 0)).cast("int")
     out = rows.filter(~ends).withColumn("_copies", extra(before)).unionByName(part.withColumn("_copies", extra(F.col(upto) <= F.col(room))).drop(upto))
-    return out.select(*docs.columns, F.col(weight).alias("_weight"), "_copies")
+    each = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies").cast("int"))).otherwise(F.array().cast("array<int>"))
+    places = F.transform(each, lambda n: _place(F.col(place), n, F.col(passes), F.col(rate), seed))
+    return out.select(*docs.columns, F.col(weight).alias("_weight"), "_copies", places.alias("_places"))
 
 
-def realise(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of `docs` as often as the weights ask for, columns unchanged (a clashing name included)."""
+def realise(docs: DataFrame, with_place: bool = False, **options) -> DataFrame:
+    """The mix itself: every row of `docs` as often as the weights ask for, columns unchanged (a clashing name included).
+
+    With `with_place` also _place: sorted by it the mix is in the order of its blocks.
+    """
     names = docs.columns
     held = [f"c{i}" for i in range(len(names))]
     options = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | options
     own = {k: held[names.index(v)] if k.endswith("_col") else v for k, v in options.items()}
     found = copies(docs.toDF(*held), **own).filter("_copies > 0")
-    return found.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(held).toDF(*names)
+    out = found.select(*held, F.explode("_places").alias("_place"))
+    return out.toDF(*names, "_place") if with_place else out.select(held).toDF(*names)

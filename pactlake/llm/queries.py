@@ -62,8 +62,9 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.select("doc_id", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.col("_weight").alias("weight"))
+    """A mix of three quarters of the corpus' tokens: how often each document stands in it, and where."""
+    found = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), budget_share=0.75)
+    return found.select("doc_id", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.col("_weight").alias("weight"), F.col("_places").alias("places"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

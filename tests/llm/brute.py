@@ -4,17 +4,16 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import functions as F
-
-from pactlake.llm import mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def mixed(docs, tokens, repetition_limit=None, entropy=None, budget=None, seed=11):
     """{(id, text, source): copies}: rows of a source in the order of their blocks, the partial pass ends where the budget does."""
-    at, inner = mixing._block([F.col("doc_id")], seed), mixing._block([F.col("doc_id"), F.lit("inner")], seed + 1)
-    rows = docs.select("doc_id", "text", "source", at.alias("a"), inner.alias("i"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.xxhash64("text").alias("t")).collect()
+    # Blocks and their order as hashes of SQL: a block is one of 1024, its place its own hash.
+    block = lambda *of: f"CAST(pmod(xxhash64({', '.join(of)}), 1024L) AS INT)"
+    b, i = block("doc_id", str(seed)), block("doc_id", "'inner'", str(seed + 1))
+    rows = docs.selectExpr("doc_id", "text", "source", f"struct(xxhash64({b}, {seed}), {b}) AS a", f"struct(xxhash64({i}, {seed + 1}), {i}) AS i", f"xxhash64({seed}, doc_id) AS h", "xxhash64(text) AS t").collect()
     total = {}
     for r in rows:
         total[r["source"]] = total.get(r["source"], 0) + tokens(r["text"])

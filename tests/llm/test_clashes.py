@@ -10,7 +10,7 @@ from pactlake.llm import audio, byte_bpe, embedding_dedup, jaccard_join, languag
 NAMES = """a ac above act action after at b before best block blocks bp bi bucket c cell class comp component component_id copies cost cut data doc
 f f1 feature first gone group h half hi hub i id index inner inner_cut inner_room j k key kept kept_text label lang_pred left lines links lo low many mine n ni
 n_bytes n_links n_shingles n_tokens n_words n_removed near node norm np over_limit own p part passes payload_bytes pos predicted probe query rank rid role room
-s s1 score side sketch t tail theirs tokens top up upto v vector w weight x y _n _pass _gone _doc _places _block _room _source _weight _copies _n_tokens _upto
+rate _rate _places place s s1 score side sketch t tail theirs tokens top up upto v vector w weight x y _n _pass _gone _doc _places _block _room _source _weight _copies _n_tokens _upto
 _passes _cut _inner_cut _inner_room _place _inner_place""".split()
 
 TEXT = ["the first line of some plain words here and there\nand a second one of them", "the first line of some plain words here and there", None, "", "$$$ ### 1111\n@@@ 2222", "a few words " * 9]

@@ -58,3 +58,37 @@ def test_equal_sources_and_empty_tables(spark):
     assert mixing.copies(docs.limit(0)).count() == 0 and mixing.realise(docs.limit(0)).columns == docs.columns
     nothing = docs.withColumn("text", F.lit(None).cast("string"))
     assert {r["_copies"] for r in mixing.copies(nothing).collect()} == {1}
+
+
+def test_the_mix_is_read_in_blocks_at_the_weights(spark):
+    rng = random.Random(8)
+    rows = [(i, "some words of text " * rng.randint(1, 6), "a" if i % 12 else "b") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.realise(docs, with_place=True, repetition_limit=3.0)
+    assert found.columns == ["doc_id", "text", "source", "_place"]
+    mix = sorted(found.collect(), key=lambda r: r["_place"])
+    assert all(0 <= r["_place"] <= 1 for r in mix)
+    size = {i: len(t) for i, t, _ in rows}
+    share = lambda part: sum(size[r.doc_id] for r in part if r.source == "b") / sum(size[r.doc_id] for r in part)
+    whole, quarter = share(mix), len(mix) // 4
+    assert all(abs(share(mix[a : a + quarter]) - whole) < 0.05 for a in range(0, 3 * quarter, quarter))
+    # Rows of one block stand together in every pass, in other orders of blocks from pass to pass.
+    block = {r.doc_id: r.b for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 11), 1024L) AS b").collect()}
+    passes = {}
+    for r in mix:
+        if r.source == "b":
+            passes.setdefault(r.doc_id, []).append(r["_place"])
+    places = {}
+    for i, p in passes.items():
+        for n, x in enumerate(p):
+            assert places.setdefault((block[i], n), x) == x
+    first, second = ([b for b, n in sorted((k for k in places if k[1] == m), key=places.get)] for m in (0, 1))
+    assert set(second) <= set(first) and [b for b in first if b in set(second)] != second
+
+
+def test_budgets_in_shares_of_the_corpus(spark):
+    docs = spark.createDataFrame([(i, "one two three " * (1 + i % 7), "xyz"[i % 3 if i % 5 else 0]) for i in range(900)], "doc_id long, text string, source string")
+    found = mixing.copies(docs, budget_share=0.5).collect()
+    made, whole = sum(r["_n_tokens"] * r["_copies"] for r in found), sum(r["_n_tokens"] for r in found)
+    assert 0.48 * whole < made <= 0.5 * whole
+    assert all(len(r["_places"]) == r["_copies"] for r in found)
