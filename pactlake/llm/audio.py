@@ -154,7 +154,8 @@ def audio_columns(docs: DataFrame, multiple: int = 576, id_col: str = "doc_id",
     Returns id_col, n_bytes, payload_bytes, payload_sha256 (of the samples read back), tail_crc32 (last 32 of them),
     media_bytes, media_sha256 (of the WAV file), feature and, with `with_media`, media (the file), tensors (Arrow IPC
     with fixed-shape tensors and spans) and segments_ms array<struct<start_ms,end_ms>>. A null text counts as empty:
-    one block of padding. Equal texts give equal values. A null id stays null; other columns are not read.
+    one block of padding. Equal texts give equal values, repeated rows repeated rows.
+    Very long texts are one payload each. A null id stays null; other columns are not read; an empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -237,7 +237,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     Returns id_col, n_tokens, ids_sha256 (over little-endian uint32 ids), decoded_sha256 and, with
     `with_ids`, token_ids array<int>. A null text counts as empty: no token, hashes of nothing. A null
-    id stays null; repeated rows give repeated rows; other columns are not read. The rank file is read
+    id stays null; repeated rows give repeated rows; very long texts are encoded whole; other columns are not
+    read; an empty table gives an empty result. The rank file is read
     on the driver and travels once to each worker (it is a fixed vocabulary, about 1 MB).
     """
     spark = docs.sparkSession

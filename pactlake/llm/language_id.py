@@ -39,7 +39,9 @@ def windows_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     weight = np.minimum(off[row + 1] - start, WINDOW)
     at = start[:, None] + np.arange(WINDOW)
     inside = np.arange(WINDOW) < weight[:, None]
-    codes = np.where(inside, buf[np.minimum(at, max(len(buf) - 1, 0))] if len(buf) else 0, PAD)
+    codes = np.full(at.shape, PAD, np.int16)  # bytes can't hold PAD
+    if len(buf):
+        codes[inside] = buf[at[inside]]
     return _FOLD[codes], row, weight
 
 
@@ -77,8 +79,25 @@ class ByteConvNet:
         s -= s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
+    def gradients(self, c: np.ndarray, y: np.ndarray, gain: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy weighted by `gain` of the language; the pooled maximum's goes to the position that gave it."""
+        p = self.p
+        h, at = self.pooled(c, True)
+        d = np.exp(self.log_probs(h))
+        d[np.arange(len(y)), y] -= 1
+        d *= gain[y][:, None] / len(y)
+        dz = (d @ p["out"].T) * (1 - h * h)
+        near = at[:, :, None] + np.arange(WIDE)  # batch x filter x WIDE
+        seen = c[np.arange(len(c))[:, None, None], near]
+        g = {"out": h.T @ d, "base": d.sum(0), "bias": dz.sum(0)}
+        g["conv"] = np.einsum("bf,bfwv->wvf", dz, p["vec"][seen]) * self.mask
+        g["vec"] = np.zeros_like(p["vec"])
+        np.add.at(g["vec"], seen.ravel(), np.einsum("bf,wvf->bfwv", dz, p["conv"]).reshape(-1, VECTOR))
+        g["vec"][PAD] = 0
+        return g
+
     def train(self, codes: np.ndarray, target: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> None:
-        """Adam on the cross-entropy; the gradient of the pooled maximum goes to the position that gave it."""
+        """Adam on the cross-entropy."""
         rng, p = np.random.default_rng(seed), self.p
         m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         share = np.bincount(target, minlength=len(self.langs)) / len(target)
@@ -88,18 +107,7 @@ class ByteConvNet:
             order = rng.permutation(len(codes))
             for a in range(0, len(order), batch):
                 c, y = codes[order[a : a + batch]], target[order[a : a + batch]]
-                h, at = self.pooled(c, True)
-                d = np.exp(self.log_probs(h))
-                d[np.arange(len(y)), y] -= 1
-                d *= gain[y][:, None] / len(y)
-                dz = (d @ p["out"].T) * (1 - h * h)
-                near = at[:, :, None] + np.arange(WIDE)  # batch x filter x WIDE
-                seen = c[np.arange(len(c))[:, None, None], near]
-                g = {"out": h.T @ d, "base": d.sum(0), "bias": dz.sum(0)}
-                g["conv"] = np.einsum("bf,bfwv->wvf", dz, p["vec"][seen]) * self.mask
-                g["vec"] = np.zeros_like(p["vec"])
-                np.add.at(g["vec"], seen.ravel(), np.einsum("bf,wvf->bfwv", dz, p["conv"]).reshape(-1, VECTOR))
-                g["vec"][PAD] = 0
+                g = self.gradients(c, y, gain)
                 t += 1
                 for k in p:
                     m1[k] += 0.1 * (g[k] - m1[k])
@@ -166,7 +174,8 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
     Returns id_col, lang_pred, score (0 to 1). A text that is null or has no letter gives `und` with score 1; without
     any labelled row every text is `und` with score 0. Equal texts give equal predictions up to float rounding.
-    Repeated rows give repeated rows; other columns of `docs` are not read.
+    Repeated rows give repeated rows, null ids stay null, very long texts are read whole, window by window; other columns of
+    `docs` are not read, and an empty table gives an empty result.
     """
     net = fit(training_rows(labelled, id_col, text_col, lang_col, per_language, max_rows, max_windows))
     shared = docs.sparkSession.sparkContext.broadcast(net)

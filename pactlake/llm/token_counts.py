@@ -169,7 +169,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
 
     Returns id_col, n_bytes, n_tokens, over_limit, cut_bytes and, with `with_prefixes`, prefix_tokens array<int>
     (the count at each byte prefix). A null text counts as empty: 0 bytes, 0 tokens. A null id stays null;
-    repeated rows give repeated rows; other columns are not read.
+    repeated rows give repeated rows; very long texts are counted whole; other columns are not read; an empty table gives an
+    empty result.
     """
     with open(tokenizer_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
