@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 
 import pandas as pd
@@ -10,14 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactlake.sources.schemas import Graph
 
-#: Methods in the order of the model, locations that callers fill, and how deep schemas are walked.
+
+#: Methods in the order of the model, and locations that callers fill.
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 LOCATIONS = ("path", "query", "header")
-MAX_DEPTH = 6
-#: References within references that a document may have; one with more is a problem row.
-MAX_REFERENCES = 120
-MAX_LABEL = 60
 SCHEMA_MAP = "map<string,string>"
 
 
@@ -26,141 +23,85 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("content"))
 
 
-def _merge_all_of(schema: dict) -> dict:
-    """Fold allOf into the schema: own properties win, then earlier members; required is the union."""
-    members = schema.get("allOf")
-    if not isinstance(members, list) or not members:
-        return schema
-    out = {k: v for k, v in schema.items() if k != "allOf"}
-    props, required, kind = dict(out.get("properties") or {}), list(out.get("required") or []), out.get("type")
-    for m in members:
-        if not isinstance(m, dict) or "$ref" in m:
-            continue
-        kind = kind if kind is not None else m.get("type")
-        props = {**(m.get("properties") or {}), **props}
-        required = list(dict.fromkeys([*(m.get("required") or []), *required]))
-    for k, v in (("properties", props), ("required", required), ("type", kind)):
-        if v:
-            out[k] = v
-        else:
-            out.pop(k, None)
-    return out
-
-
-def inline_document(text: str) -> str:
-    """JSON text of a JSON or YAML document with local references and allOf written out.
-
-    A reference back into what is being written keeps its type, format and enum and loses its members, which is where
-    walks of a cyclic document stop. References to other documents stay as they are: unknown.
+def contract_of(text: str) -> str:
+    """What a JSON or YAML document says as a contract, as JSON: info, servers, security, and operations with the types of their
+    parameters and the fields of their payloads. References are followed where they are met; those to other documents, and
+    those that lead nowhere, are unknown. A reference back into the schema that is being walked keeps its type, format and
+    enum and loses its members, which is where walks of a cyclic document stop.
     """
-    stripped = text.lstrip()
-    if stripped.startswith("{"):
-        doc = json.loads(text)
+    stripped = text.lstrip("\ufeff \t\r\n")
+    if stripped.startswith(("{", "[")):
+        doc = json.loads(stripped)
     else:
         import yaml
 
         doc = yaml.safe_load(text)
     if not isinstance(doc, dict):
         raise ValueError("not an object")
-
-    def at(pointer: str):
-        node = doc
-        for part in pointer[2:].split("/"):
-            part = part.replace("~1", "/").replace("~0", "~")
-            node = node[int(part)] if isinstance(node, list) else node.get(part) if isinstance(node, dict) else None
-        return node
-
-    def walk(node, trail: tuple[str, ...], depth: int):
-        if isinstance(node, list):
-            return [walk(x, trail, depth) for x in node]
-        if not isinstance(node, dict):
-            return node
-        ref = node.get("$ref")
-        if isinstance(ref, str) and ref.startswith("#/"):
-            found = at(ref)
-            if found is None:
-                return node
-            if depth > MAX_REFERENCES:
-                raise ValueError(f"references nested more than {MAX_REFERENCES} deep")
-            if ref in trail:
-                return {k: v for k, v in found.items() if k in ("type", "format", "enum")} | ({"properties": {}} if "properties" in found else {}) if isinstance(found, dict) else found
-            return walk(found, (*trail, ref), depth + 1)
-        out = {str(k): walk(v, trail, depth) for k, v in node.items() if k != "components" or trail or node is not doc}
-        return _merge_all_of(out) if "allOf" in out else out
-
-    out = walk(doc, (), 0)
-    schemes = ((doc.get("components") or {}).get("securitySchemes")) if isinstance(doc.get("components"), dict) else None
-    if schemes:
-        out["components"] = {"securitySchemes": walk(schemes, (), 0)}
+    graph, payloads = Graph(doc), {}
+
+    def of(node) -> dict:
+        """A part other than a schema, references followed."""
+        seen = set()
+        while isinstance(node, dict) and isinstance(node.get("$ref"), str) and node["$ref"] not in seen:
+            seen.add(node["$ref"])
+            node = graph.at(node["$ref"]) if node["$ref"].startswith("#/") else None
+        return {str(k): v for k, v in node.items()} if isinstance(node, dict) else {}
+
+    def payload(content: dict):
+        """Fields of application/json, else of the first type with json in its name, else of the first by name."""
+        names = ["application/json"] if "application/json" in content else [n for n in content if "json" in n] or sorted(content)
+        schema = of(content[names[0]]).get("schema") if names else None
+        if schema is None:
+            return None
+        key = schema.get("$ref") if isinstance(schema, dict) and isinstance(schema.get("$ref"), str) else id(schema)
+        if key not in payloads:
+            payloads[key] = graph.fields(graph.view(schema))
+        return payloads[key]
+
+    def parameters(items) -> list[dict]:
+        found = [of(p) for p in items] if isinstance(items, list) else []
+        return [{k: p.get(k) for k in ("name", "in", "required")} | {"schema": graph.facts(graph.view(p.get("schema")))} for p in found]
+
+    def operation(raw) -> dict:
+        o = of(raw)
+        out = {k: o[k] for k in ("operationId", "deprecated", "security") if k in o}
+        if "parameters" in o:
+            out["parameters"] = parameters(o["parameters"])
+        body = of(of(o.get("requestBody")).get("content"))
+        if o.get("requestBody") is not None:
+            out["requestBody"] = {"content": {k: {} for k in body}, "payload": payload(body)}
+        replies = of(o.get("responses"))
+        good = min((s for s in replies if s.startswith("2")), default=None)
+        out["responses"] = {}
+        for status, reply in replies.items():
+            content = of(of(reply).get("content"))
+            out["responses"][status] = {"content": {k: {} for k in content}} | ({"payload": payload(content)} if status == good else {})
+        return out
+
+    paths = {}
+    for path, item in of(doc.get("paths")).items():
+        item = of(item)
+        paths[path] = {m: operation(item[m]) for m in METHODS if isinstance(item.get(m), dict)} | ({"parameters": parameters(item["parameters"])} if "parameters" in item else {})
+    info = of(doc.get("info"))
+    schemes = {k: of(v) for k, v in of(of(doc.get("components")).get("securitySchemes")).items()}
+    out = {"info": {k: _text(info[k]) for k in ("title", "version") if info.get(k) is not None}, "paths": paths, "components": {"securitySchemes": schemes}}
+    out |= {k: doc[k] for k in ("servers", "security", "swagger") if k in doc}
+    if isinstance(doc.get("openapi"), str):
+        out["openapi"] = doc["openapi"]
     return json.dumps(out, ensure_ascii=False, default=str)
 
 
-def type_label(schema, depth: int = 0) -> str:
-    """The type of a schema in words, unions with their members."""
-    if not isinstance(schema, dict) or "$ref" in schema:
-        return "unknown"
-    for word in ("oneOf", "anyOf"):
-        members = schema.get(word)
-        if isinstance(members, list):
-            if depth < MAX_DEPTH:
-                label = "|".join(sorted({type_label(m, depth + 1) for m in members}))
-                if len(label) <= MAX_LABEL:
-                    return f"{word}<{len(members)}: {label}>"
-            return f"{word}<{len(members)}>"
-    kind = schema.get("type")
-    if isinstance(kind, list):
-        return "|".join(sorted(map(str, kind)))
-    if kind == "array":
-        return f"array<{type_label(schema.get('items'), depth + 1)}>" if depth < 40 else "array<unknown>"
-    if kind is None:
-        return "object" if "properties" in schema else "unknown"
-    return f"{kind}:{schema['format']}" if "format" in schema else str(kind)
-
-
-def fingerprint(schema, depth: int = 0) -> str:
-    """A text that two schemas share exactly when they are equivalent: type, enum, required, and members to MAX_DEPTH."""
-    if depth > MAX_DEPTH:
-        return "*"
-    if not isinstance(schema, dict) or "$ref" in schema:
-        return "U"
-    label = type_label(schema)
-    own = [label, sorted(map(str, schema.get("enum") or [])), sorted(map(str, schema.get("required") or []))]
-    if label.startswith("array<"):
-        return json.dumps([*own, fingerprint(schema.get("items"), depth + 1)])
-    props = schema.get("properties") or {}
-    return json.dumps([*own, [[k, fingerprint(props[k], depth + 1)] for k in sorted(props)]])
-
-
-def _string(v) -> str:
-    """A JSON value as the text it has in a contract."""
-    return v if isinstance(v, str) else json.dumps(v)
-
-
-def facts(schema) -> dict:
-    enum = schema.get("enum") if isinstance(schema, dict) else None
-    return {"type": type_label(schema), "schema_fp": hashlib.md5(fingerprint(schema).encode()).hexdigest(), "enum_values": sorted(map(_string, enum)) if isinstance(enum, list) else None}
-
-
-def flatten(schema, parent: str = "", depth: int = 0) -> list[dict]:
-    """Fields of a payload schema, branches and leaves, in reading order; an array adds [] to the parent and a level."""
-    if not isinstance(schema, dict) or "$ref" in schema or depth > MAX_DEPTH:
-        return []
-    if type_label(schema).startswith("array<"):
-        return flatten(schema.get("items"), f"{parent}[]", depth + 1)
-    out, required = [], set(schema.get("required") or [])
-    for name, child in (schema.get("properties") or {}).items():
-        pointer = f"{parent}.{name}" if parent else name
-        out.append({"pointer": pointer, "name": name, "parent": parent, "required": name in required, **facts(child)})
-        out += flatten(child, pointer, depth + 1)
-    return out
+def _text(v):
+    return v if isinstance(v, (str, int, float, bool)) else str(v)
 
 
 def _fields(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-_S, _STRINGS = T.StringType(), T.ArrayType(T.StringType())
-_FACTS = _fields(type=_S, schema_fp=_S, enum_values=_STRINGS)
+_S = T.StringType()
+_FACTS = "type string, schema_fp string, enum_values array<string>"
 
 
 @F.pandas_udf(_fields(doc=_S, problem=_S))
@@ -168,22 +109,12 @@ def parse_document(content: pd.Series) -> pd.DataFrame:
     rows = []
     for text in content:
         try:
-            rows.append((inline_document(text or ""), None))
+            rows.append((contract_of(text or ""), None))
         except Exception as e:  # a bad document is a row with its problem, not a failed job
             rows.append((None, f"{type(e).__name__}: {e}"[:300]))
     return pd.DataFrame(rows, columns=["doc", "problem"])
 
 
-@F.pandas_udf(_FACTS)
-def schema_facts(schema: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([facts(json.loads(s) if s else None) for s in schema], columns=["type", "schema_fp", "enum_values"])
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([*_fields(pointer=_S, name=_S, parent=_S, required=T.BooleanType()).fields, *_FACTS.fields])))
-def schema_fields(schema: pd.Series) -> pd.Series:
-    return pd.Series([flatten(json.loads(s)) if s else [] for s in schema])
-
-
 def load(specs: DataFrame) -> DataFrame:
     """specs: pair_id, side, source, content. Adds doc, problem, title, version, primary_server; bad rows keep a problem."""
     parsed = specs.withColumn("p", parse_document("content")).select(*[c for c in specs.columns if c != "content"], "p.doc", "p.problem")
@@ -251,15 +182,16 @@ class Model:
         named = both.select("pair_id", "side", "op_key", (F.col("level") * 100000 + F.col("pos")).alias("at"), g("$.name").alias("name"), g("$.in").alias("location"), F.coalesce(g("$.required") == "true", F.lit(False)).alias("required"), g("$.schema").alias("schema"))
         named = named.filter(F.col("name").isNotNull() & F.col("location").isin(*LOCATIONS))
         last = named.groupBy("pair_id", "side", "op_key", "location", "name").agg(F.max_by(F.struct("required", "schema"), "at").alias("r"), F.min("at").alias("ord"))
-        return _typed(last.select("pair_id", "side", "op_key", "location", "name", "r.required", "r.schema", "ord")).drop("schema", "schema_fp")
+        typed = last.select("pair_id", "side", "op_key", "location", "name", "r.required", "ord", F.from_json("r.schema", _FACTS).alias("f"))
+        return typed.select("pair_id", "side", "op_key", "location", "name", "required", "ord", "f.type", "f.enum_values")
 
     def fields(self) -> DataFrame:
-        """Payload fields in reading order. Payload schemas repeat across operations: each distinct one is walked once."""
+        """Payload fields in reading order."""
         g = lambda p: F.get_json_object("operation", p)
-        bodies = F.array(F.struct(F.lit("request").alias("d"), g("$.requestBody.content").alias("c")), F.struct(F.lit("response").alias("d"), F.get_json_object(_success(g("$.responses")), "$.content").alias("c")))
-        both = self.raw_operations().select("pair_id", "side", "op_key", F.explode(bodies).alias("b")).select("pair_id", "side", "op_key", F.col("b.d").alias("direction"), _payload(F.col("b.c")).alias("schema")).filter("schema IS NOT NULL")
-        walked = both.select("schema").distinct().select(F.col("schema"), schema_fields("schema").alias("fields"))
-        return both.join(walked, "schema").select("pair_id", "side", "op_key", "direction", F.posexplode("fields").alias("ord", "f")).select("pair_id", "side", "op_key", "direction", "ord", "f.*")
+        bodies = F.array(F.struct(F.lit("request").alias("d"), g("$.requestBody.payload").alias("c")), F.struct(F.lit("response").alias("d"), F.get_json_object(_success(g("$.responses")), "$.payload").alias("c")))
+        both = self.raw_operations().select("pair_id", "side", "op_key", F.explode(bodies).alias("b")).filter("b.c IS NOT NULL")
+        kind = f"array<struct<pointer string, name string, parent string, required boolean, {_FACTS}>>"
+        return both.select("pair_id", "side", "op_key", F.col("b.d").alias("direction"), F.posexplode(F.from_json("b.c", kind)).alias("ord", "f")).select("pair_id", "side", "op_key", "direction", "ord", "f.*")
 
 
 def _requirement_names(text):
@@ -271,18 +203,3 @@ def _success(responses):
     """The response of the lowest status that starts with 2."""
     ok = F.filter(F.map_entries(_map(responses)), lambda e: e["key"].startswith("2"))
     return F.get(F.array_sort(ok), F.lit(0))["value"]
-
-
-def _payload(content):
-    """Schema of application/json, else of the first type with json in its name, else of the first by name."""
-    entries = F.map_entries(_map(content))
-    exact = F.filter(entries, lambda e: e["key"] == "application/json")
-    jsonish = F.filter(entries, lambda e: F.contains(e["key"], F.lit("json")))
-    first = F.coalesce(F.get(exact, F.lit(0))["value"], F.get(jsonish, F.lit(0))["value"], F.get(F.array_sort(entries), F.lit(0))["value"])
-    return F.get_json_object(first, "$.schema")
-
-
-def _typed(rows: DataFrame) -> DataFrame:
-    """Adds type, schema_fp and enum_values; each distinct schema is labelled once."""
-    known = rows.select("schema").distinct().select(F.col("schema").alias("_s"), schema_facts("schema").alias("f"))
-    return rows.join(known, F.col("schema").eqNullSafe(F.col("_s")), "left").select(*rows.columns, "f.*")

@@ -1,6 +1,8 @@
 """The normalised model of documents with merged, united, cyclic and shared schemas, against rows worked out by hand."""
 
 import json
+import random
+import time
 
 import pytest
 
@@ -97,18 +99,107 @@ def test_fields(model):
     assert request["grafts"][2].startswith("array<") and request.keys() == {"name", "planted", "height", "grafts"}  # the cycle ends there
 
 
-def test_a_chain_of_references_is_whole_or_a_problem(spark):
-    def chain(n):
-        schemas = {f"S{i}": {"type": "object", "properties": {"in": {"$ref": f"#/components/schemas/S{i + 1}"}}} for i in range(n)} | {f"S{n}": {"type": "string"}}
-        post = {"requestBody": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/S0"}}}}, "responses": {}}
-        return json.dumps({"openapi": "3.0.0", "info": {}, "paths": {"/x": {"post": post}}, "components": {"schemas": schemas}})
-
-    rows = [(str(n), "old", "x", chain(n)) for n in (5, 60, 100, 400)]
-    loaded = documents.load(spark.createDataFrame(rows, "pair_id string, side string, source string, content string"))
-    got = {r["pair_id"]: (r["problem"], r["doc"]) for r in loaded.collect()}
-    assert got["400"][0] is not None
-    for n in (5, 60, 100):
-        assert got[str(n)][0] is None and got[str(n)][1].count('"in"') == n
+def _posting(schemas, schema):
+    post = {"requestBody": {"content": {"application/json": {"schema": schema}}}, "responses": {}}
+    return json.dumps({"openapi": "3.0.0", "info": {}, "paths": {"/x": {"post": post}}, "components": {"schemas": schemas}})
+
+
+def _ref(name):
+    return {"$ref": f"#/components/schemas/{name}"}
+
+
+def _payload(text):
+    return json.loads(documents.contract_of(text))["paths"]["/x"]["post"]["requestBody"]["payload"]
+
+
+def test_shared_and_circular_references_cost_what_they_say():
+    levels = {f"S{i}": {"type": "object", "properties": {"a": _ref(f"S{i + 1}"), "b": _ref(f"S{i + 1}")}} for i in range(30)} | {"S30": {"type": "string"}}
+    begun = time.process_time()
+    assert len(_payload(_posting(levels, _ref("S0")))) == sum(2**n for n in range(1, 8))
+    assert time.process_time() - begun < 1
+    round_ = {f"S{i}": {"type": "object", "properties": {f"p{j}": _ref(f"S{j}") for j in range(8)}} for i in range(8)}
+    begun = time.process_time()
+    assert len(_payload(_posting(round_, _ref("S0")))) == 69280
+    assert time.process_time() - begun < 2
+    chain = {f"S{i}": _ref(f"S{i + 1}") for i in range(400)} | {"S400": {"type": "object", "properties": {"x": {"type": "string"}}}, "L": _ref("M"), "M": _ref("L")}
+    assert [f["pointer"] for f in _payload(_posting(chain, _ref("S0")))] == ["x"] and _payload(_posting(chain, _ref("L"))) == []
+
+
+def test_a_document_that_would_explode_is_a_problem_row(spark):
+    many = {f"S{i}": {"type": "object", "properties": {f"p{j}": _ref(f"S{j}") for j in range(14)}} for i in range(14)}
+    rows = [("big", _posting(many, _ref("S0"))), ("number", '{"openapi": 3.0, "info": {}, "paths": {}}'), ("list", "[1]"), ("marked", "\ufeff" + _posting({}, {"type": "object"}))]
+    loaded = documents.load(spark.createDataFrame([(n, "old", "x", t) for n, t in rows], "pair_id string, side string, source string, content string"))
+    got = {r["pair_id"]: r["problem"] for r in loaded.collect()}
+    assert "fields" in got["big"] and "openapi" in got["number"] and got["list"] and got["marked"] is None
+
+
+def _written_out(doc, node, trail=()):
+    """A schema as a tree, references and allOf written out."""
+    if isinstance(node, list):
+        return [_written_out(doc, x, trail) for x in node]
+    if not isinstance(node, dict):
+        return node
+    if "$ref" in node:
+        found = doc["components"]["schemas"].get(node["$ref"].rsplit("/", 1)[1]) if node["$ref"].startswith("#/") else None
+        if found is None:
+            return node
+        if node["$ref"] in trail:
+            return {k: v for k, v in found.items() if k in ("type", "format", "enum")} | ({"properties": {}} if "properties" in found else {})
+        return _written_out(doc, found, (*trail, node["$ref"]))
+    out = {k: _written_out(doc, v, trail) for k, v in node.items()}
+    for m in out.pop("allOf", []):
+        if "$ref" in m:
+            continue
+        if "type" in m:
+            out.setdefault("type", m["type"])
+        props = {**(m.get("properties") or {}), **(out.get("properties") or {})}
+        if props:
+            out["properties"] = props
+        else:
+            out.pop("properties", None)
+        out["required"] = [*(m.get("required") or []), *(out.get("required") or [])]
+    return out
+
+
+def _tree_fields(node, parent="", depth=0):
+    if "$ref" in node or depth > 6:
+        return []
+    if "oneOf" not in node and "anyOf" not in node and node.get("type") == "array":
+        return _tree_fields(node.get("items") or {}, parent + "[]", depth + 1)
+    out = []
+    for k, v in (node.get("properties") or {}).items():
+        p = f"{parent}.{k}" if parent else k
+        out += [(p, k in (node.get("required") or []), v.get("format") if "$ref" not in v else None), *_tree_fields(v, p, depth + 1)]
+    return out
+
+
+def test_graphs_have_the_fields_of_trees():
+    rng = random.Random(5)
+
+    def schema(n, depth=0):
+        x = rng.random()
+        if x < 0.3:
+            return _ref(f"S{rng.randrange(n + 1)}") if rng.random() < 0.95 else {"$ref": "other.json#/x"}
+        if x < 0.5 or depth > 3:
+            return rng.choice([{"type": "string"}, {"type": "string", "format": "date"}, {"type": "integer", "enum": [1, 2]}, {"enum": ["a", 1.5]}, {}, {"type": ["string", "null"]}])
+        if x < 0.6:
+            return {"type": "array", "items": schema(n, depth + 1)}
+        if x < 0.7:
+            return {rng.choice(["oneOf", "anyOf"]): [schema(n, depth + 1) for _ in range(rng.randint(1, 3))]}
+        if x < 0.8:
+            return {"allOf": [schema(n, depth + 1) for _ in range(rng.randint(1, 3))]} | ({"properties": {"own": schema(n, depth + 1)}} if rng.random() < 0.5 else {})
+        return {"type": "object", "properties": {k: schema(n, depth + 1) for k in rng.sample("abcdef", rng.randint(0, 3))}, "required": rng.sample("abcdef", 2)}
+
+    total = 0
+    for _ in range(600):
+        n = rng.randint(1, 4)
+        text = _posting({f"S{j}": schema(n) for j in range(n)}, schema(n))
+        doc = json.loads(text)
+        want = _tree_fields(_written_out(doc, doc["paths"]["/x"]["post"]["requestBody"]["content"]["application/json"]["schema"]))
+        got = [(f["pointer"], f["required"]) for f in _payload(text)]
+        assert got == [w[:2] for w in want]
+        total += len(got)
+    assert total > 500
 
 
 def test_every_kind_of_document_change(spark):
