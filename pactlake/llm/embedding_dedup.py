@@ -33,6 +33,8 @@ from pactlake.llm.components import components
 Z, RECALL, BLOCK, SEED = 2.0, 0.9999, 1024, 5
 #: Directions whose collisions are counted, width of a range in distances at the threshold, and vectors a cell by chance.
 COUNTED, WIDTH, MATES = 24, 5.0, 8
+#: Queries whose windows are looked at together.
+STRIP = 128
 
 
 def _same_range(width: float, window: float = math.inf) -> float:
@@ -130,26 +132,31 @@ def _collisions(proj: Projections):
         schema = pa.schema([("cell", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("q", pa.list_(pa.int64())), ("v", pa.list_(pa.int64())), ("pairs", pa.binary())])
         x, y, j = (t.column(c)[0].as_py() for c in ("x", "y", "group"))
         rid, kind, mine = (t.column(c).to_numpy() for c in ("rid", "class", "mine"))
-        p, marks = _array(t.column("at"), np.float32, t.num_rows).astype(np.float64), _array(t.column("marks"), "<u4", t.num_rows)
+        p, marks = _array(t.column("at"), np.float32, t.num_rows), _array(t.column("marks"), "<u4", t.num_rows)
         line = p[:, j % COUNTED]
         order = np.argsort(line, kind="stable")
         qi, vi = (order, order) if x == y else (order[mine[order] == x], order[mine[order] == y])
         if not len(qi) or not len(vi):
             return schema.empty_table()
-        b = np.searchsorted(line[vi], line[qi] + proj.half, "right")
-        a = np.arange(len(qi)) + 1 if x == y else np.searchsorted(line[vi], line[qi] - proj.half)
-        some, bits = np.maximum(b - a, 0), np.zeros((len(qi), len(vi)), bool)
-        for lo in range(0, len(qi), 256):
-            n = some[lo : lo + 256]
-            r = np.repeat(np.arange(lo, lo + len(n)), n)
-            c = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[lo : lo + 256], n)
-            near = np.abs(p[qi[r]] - p[vi[c]]) <= proj.half
-            on = (near.sum(1) >= proj.least) & (kind[qi[r]] == kind[vi[c]])
-            r, c, near = r[on], c[on], near[on]
-            if j and len(r):  # pairs that met in a group before this one go
-                met = (marks[qi[r], :j] == marks[vi[c], :j]) & near[:, np.arange(j) % COUNTED]
-                r, c = r[~met.any(1)], c[~met.any(1)]
-            bits[r, c] = True
+        below, above = np.searchsorted(line[vi], line[qi] - proj.half), np.searchsorted(line[vi], line[qi] + proj.half, "right")
+        bits = np.zeros((len(qi), len(vi)), bool)
+        for lo in range(0, len(qi), STRIP):  # neighbours in the order of the line share most of their windows
+            hi = min(lo + STRIP, len(qi))
+            a, b = int(below[lo]), int(above[hi - 1])
+            if x == y:
+                a = max(a, lo + 1)
+            if a >= b:
+                continue
+            q, v = qi[lo:hi], vi[a:b]
+            near = np.abs(p[q].T[:, :, None] - p[v].T[:, None]) <= proj.half  # direction x query x vector
+            on = near[j % COUNTED] & (near.sum(0, dtype=np.uint8) >= proj.least) & (kind[q][:, None] == kind[v])
+            if x == y:
+                on &= np.arange(lo, hi)[:, None] < np.arange(a, b)
+            for k in range(j):  # pairs that met in a group before this one go
+                if not on.any():
+                    break
+                on &= ~((marks[q, k][:, None] == marks[v, k]) & near[k % COUNTED])
+            bits[lo:hi, a:b] = on
         qs, vs = np.flatnonzero(bits.any(1)), np.flatnonzero(bits.any(0))
         if not len(qs):
             return schema.empty_table()
