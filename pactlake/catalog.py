@@ -249,7 +249,7 @@ def enum_delta(spark, sf_dir):
 @query(f"WITH g AS (SELECT user_id, w, list_sort(list_distinct(list(v))) AS s FROM ({_ENUMS}) t GROUP BY user_id, w), k AS (SELECT a.user_id, a.w, a.user_id % 2 = 0 AS req, list_sort(list_filter(a.s, lambda v: NOT list_contains(b.s, v))) AS lost, list_sort(list_filter(b.s, lambda v: NOT list_contains(a.s, v))) AS won FROM g a JOIN g b ON a.user_id = b.user_id AND b.w = a.w + 1) SELECT CAST(user_id AS STRING) AS path, w, 'enum.value.removed' AS kind, req AS breaking, CASE WHEN req THEN 'type no longer accepts ' ELSE 'type no longer returns ' END || array_to_string(lost, ', ') AS detail FROM k WHERE len(lost) > 0 UNION ALL SELECT CAST(user_id AS STRING), w, 'enum.value.added', NOT req, CASE WHEN req THEN 'type now also accepts ' ELSE 'type can now return ' END || array_to_string(won, ', ') FROM k WHERE len(won) > 0")
 def enum_change_classified(spark, sf_dir):
     rows = _enum_pairs(spark, sf_dir).select(F.col("w").cast("string").alias("pair_id"), F.col("user_id").cast("string").alias("path"), F.lit("get").alias("method"), F.lit("type").alias("name"), "before", "after", F.lit(2).alias("rank"), F.when(F.col("user_id") % 2 == 0, "request").otherwise("response").alias("d"))
-    return diff.diff_enums(rows, "name", F.col("d"), F.lit("body")).select("path", F.col("pair_id").cast("int").alias("w"), "kind", "breaking", "detail")
+    return diff.enum_changes(rows, "name", F.col("d"), F.lit("body")).select("path", F.col("pair_id").cast("int").alias("w"), "kind", "breaking", "detail")
 
 
 _SETS = "SELECT o_custkey AS c, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 0 ELSE 1 END AS side, {v} AS v FROM orders"
@@ -298,45 +298,28 @@ _PR = _renames_sql("params", "op", "location, type")
 
 @query(f"WITH {_FR} SELECT op, direction, from_p, to_p FROM sure")
 def field_rename_unambiguous(spark, sf_dir):
-    o, n = _view(spark, sf_dir, "fields_old", "fields_new")
-    keys, scope = ["pair_id", "op", "direction", "pointer"], ["pair_id", "op", "direction"]
-    r, a = diff.unmatched(o, n, keys), diff.unmatched(n, o, keys)
-    pairs = matching.sibling_renames(r, a, scope, ["parent", "schema_fp"]).filter(F.col("conf") == changes.HIGH)
-    side = lambda d, c, p: d.select(*scope, F.col("ord").alias(c), F.col("pointer").alias(p))
-    return pairs.join(side(r, "from_ord", "from_p"), [*scope, "from_ord"]).join(side(a, "to_ord", "to_p"), [*scope, "to_ord"]).select("op", "direction", "from_p", "to_p")
+    found = diff.renames(*_view(spark, sf_dir, "fields_old", "fields_new"), diff.FIELD_KEYS, diff.FIELD_CLASS).filter(F.col("conf") == changes.HIGH)
+    return found.select("op", F.col("f.direction").alias("direction"), F.col("f.pointer").alias("from_p"), F.col("t.pointer").alias("to_p"))
 
 
 @query(f"WITH {_PR} SELECT op, location, from_n, to_n FROM sure")
 def param_rename(spark, sf_dir):
     """The sure renames, as SQL can state them; param_rename_all has every confidence."""
-    ctx, o, n = _view(spark, sf_dir, "contexts", "params_old", "params_new")
-    scope = ["pair_id", "op"]
-    keys = [*scope, "location", "name"]
-    r, a = diff.unmatched(o, n, keys), diff.unmatched(n, o, keys)
-    pairs = matching.sibling_renames(r, a, scope, ["location", "type"]).filter(F.col("conf") == changes.HIGH)
-    side = lambda d, c, p: d.select(*scope, F.col("ord").alias(c), F.col("name").alias(p), *(["location"] if p == "from_n" else []))
-    return pairs.join(side(r, "from_ord", "from_n"), [*scope, "from_ord"]).join(side(a, "to_ord", "to_n"), [*scope, "to_ord"]).select("op", "location", "from_n", "to_n")
+    return param_rename_all(spark, sf_dir).filter("confidence = 'high'").drop("confidence")
 
 
 @query()
 def param_rename_all(spark, sf_dir):
     """Sure and ambiguous parameter renames; first fit has no plain SQL form."""
-    o, n = _view(spark, sf_dir, "params_old", "params_new")
-    scope = ["pair_id", "op"]
-    keys = [*scope, "location", "name"]
-    r, a = diff.unmatched(o, n, keys), diff.unmatched(n, o, keys)
-    pairs = matching.sibling_renames(r, a, scope, ["location", "type"])
-    moved = pairs.join(r.select(*scope, F.col("ord").alias("from_ord"), "location", F.col("name").alias("from_n")), [*scope, "from_ord"]).join(a.select(*scope, F.col("ord").alias("to_ord"), F.col("name").alias("to_n")), [*scope, "to_ord"])
-    return moved.select("op", "location", "from_n", "to_n", changes.confidence_of(F.col("conf")).alias("confidence"))
+    found = diff.renames(*_view(spark, sf_dir, "params_old", "params_new"), diff.PARAM_KEYS, diff.PARAM_CLASS)
+    return found.select("op", F.col("f.location").alias("location"), F.col("f.name").alias("from_n"), F.col("t.name").alias("to_n"), changes.confidence_of(F.col("conf")).alias("confidence"))
 
 
 @query()
 def field_rename_ambiguous(spark, sf_dir):
     """Classes with several rows a side, paired one to one by related names; first fit has no plain SQL form."""
-    o, n = _view(spark, sf_dir, "fields_old", "fields_new")
-    keys, scope = ["pair_id", "op", "direction", "pointer"], ["pair_id", "op", "direction"]
-    pairs = matching.sibling_renames(diff.unmatched(o, n, keys), diff.unmatched(n, o, keys), scope, ["parent", "schema_fp"])
-    return pairs.filter(F.col("conf") == changes.MEDIUM).select("op", "direction", "from_ord", "to_ord")
+    found = diff.renames(*_view(spark, sf_dir, "fields_old", "fields_new"), diff.FIELD_KEYS, diff.FIELD_CLASS).filter(F.col("conf") == changes.MEDIUM)
+    return found.select("op", F.col("f.direction").alias("direction"), F.col("f.ord").alias("from_ord"), F.col("t.ord").alias("to_ord"))
 
 
 def _field_changes(spark, sf_dir) -> DataFrame:

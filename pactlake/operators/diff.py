@@ -117,19 +117,6 @@ def diff_content_types(pairs: DataFrame, direction: str) -> DataFrame:
 # ---- parameters and fields ----
 
 
-def diff_enums(rows: DataFrame, name: str, direction: Column, location: Column) -> DataFrame:
-    """Rows with context, before and after (enum arrays, both not null): lost values break requests, new ones responses."""
-    n, request = F.col(name), direction == "request"
-    delta = lambda a, b: F.array_join(F.array_except(a, b), ", ")
-    both = rows.filter("before IS NOT NULL AND after IS NOT NULL")
-    lost = both.withColumn("v", delta("before", "after")).filter(F.size(F.array_except("before", "after")) > 0)
-    won = both.withColumn("v", delta("after", "before")).filter(F.size(F.array_except("after", "before")) > 0)
-    v = F.col("v")
-    return make_changes(lost, "enum.value.removed", request, text(n, F.when(request, " no longer accepts ").otherwise(" no longer returns "), v), F.col("rank"), direction, location, from_name=n, to_name=n).unionByName(
-        make_changes(won, "enum.value.added", ~request, text(n, F.when(request, " now also accepts ").otherwise(" can now return "), v), F.col("rank"), direction, location, from_name=n, to_name=n)
-    )
-
-
 def _item(kind: Column, breaking, detail: Column, direction: Column, location: Column, cap: int | Column = HIGH, **named) -> Column:
     """One change as a value: what make_changes needs besides the operation's context."""
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
@@ -166,25 +153,54 @@ def _paired(removed: Column, added: Column) -> Column:
     return F.when((F.size(removed) == 1) & (F.size(added) == 1), sure).otherwise(F.aggregate(removed, start, step)["pairs"])
 
 
+def enum_changes(rows: DataFrame, name: str, direction: Column, location: Column) -> DataFrame:
+    """Changes of rows with context, before and after (enum arrays)."""
+    items = F.array(*_enum_items(F.col(name), direction, location, F.col("before"), F.col("after")))
+    return _of_items(rows.withColumn("c", F.explode(F.array_compact(items))))
+
+
+def _of_items(changed: DataFrame) -> DataFrame:
+    c = {k: F.col(f"c.{k}") for k in ("kind", "breaking", "detail", "direction", "location", "from_name", "to_name", "from_type", "to_type")}
+    return make_changes(changed, rank=F.least("rank", "c.cap"), **c)
+
+
+def _joined(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    rest = ["ord", *(c for c in old.columns if c not in (*keys, "ord"))]
+    side = lambda df, s: df.select(*keys, F.struct(*rest).alias(s))
+    return side(old, "o").join(side(new, "n"), keys, "full"), rest
+
+
+def _classes(joined: DataFrame, rest: list[str], keys: list[str], same: list[str]) -> DataFrame:
+    """What a join of the sides leaves unmatched: r and a, removed and added rows of one place and shape, and p, their renames."""
+    whole = lambda s: F.struct(F.col(f"{s}.ord"), *[F.col(k) for k in keys if k not in OP], *[F.col(f"{s}.{c}") for c in rest if c != "ord"])
+    single = joined.filter("o IS NULL OR n IS NULL").withColumns({"r": F.when(F.col("n").isNull(), whole("o")), "a": F.when(F.col("o").isNull(), whole("n"))})
+    classes = single.groupBy(*OP, *[F.coalesce(f"r.{c}", f"a.{c}").alias(c) for c in same]).agg(F.array_sort(F.collect_list("r")).alias("r"), F.array_sort(F.collect_list("a")).alias("a"))
+    return classes.withColumn("p", _paired(F.col("r"), F.col("a")))
+
+
+#: What names a part of an operation, and what renamed parts share.
+FIELD_KEYS, FIELD_CLASS = [*OP, "direction", "pointer"], ["direction", "parent", "schema_fp"]
+PARAM_KEYS, PARAM_CLASS = [*OP, "location", "name"], ["location", "type"]
+
+
+def renames(old: DataFrame, new: DataFrame, keys: list[str], same: list[str]) -> DataFrame:
+    """pair_id, op, f, t (the old and the new row) and conf of each renamed part."""
+    joined, rest = _joined(old, new, keys)
+    return _classes(joined, rest, keys, same).select(*OP, F.explode("p").alias("p")).select(*OP, "p.f", "p.t", "p.conf")
+
+
 def _part_changes(context: DataFrame, old: DataFrame, new: DataFrame, keys: list[str], same: list[str], both, gone, come, renamed) -> DataFrame:
     """Changes of operation parts in one join of the sides and one grouping of what it leaves unmatched.
 
     `both(o, n)` gives the changes of a matched row (nulls are none), `gone(x)`, `come(x)` and `renamed(pair)` that of a
     removed row, an added row and a rename; a null is no change. Rows that agree on `same` and the operation may be renames.
     """
-    rest = ["ord", *(c for c in old.columns if c not in (*keys, "ord"))]
-    side = lambda df, s: df.select(*keys, F.struct(*rest).alias(s))
-    joined = side(old, "o").join(side(new, "n"), keys, "full")
+    joined, rest = _joined(old, new, keys)
     matched = joined.filter("o IS NOT NULL AND n IS NOT NULL").select(*OP, F.explode(F.array_compact(F.array(*both(F.col("o"), F.col("n"))))).alias("c"))
-    whole = lambda s: F.struct(F.col(f"{s}.ord"), *[F.col(k) for k in keys if k not in OP], *[F.col(f"{s}.{c}") for c in rest if c != "ord"])
-    single = joined.filter("o IS NULL OR n IS NULL").withColumns({"r": F.when(F.col("n").isNull(), whole("o")), "a": F.when(F.col("o").isNull(), whole("n"))})
-    classes = single.groupBy(*OP, *[F.coalesce(f"r.{c}", f"a.{c}").alias(c) for c in same]).agg(F.array_sort(F.collect_list("r")).alias("r"), F.array_sort(F.collect_list("a")).alias("a"))
-    classes = classes.withColumn("p", _paired(F.col("r"), F.col("a")))
+    classes = _classes(joined, rest, keys, same)
     free = lambda side, end: F.filter(side, lambda x: ~F.exists("p", lambda p: p[end]["ord"] == x["ord"]))
     items = F.concat(F.transform("p", renamed), F.transform(free(F.col("r"), "f"), gone), F.transform(free(F.col("a"), "t"), come))
-    changed = matched.unionByName(classes.select(*OP, F.explode(F.array_compact(items)).alias("c"))).join(context, OP)
-    c = {k: F.col(f"c.{k}") for k in ("kind", "breaking", "detail", "direction", "location", "from_name", "to_name", "from_type", "to_type")}
-    return make_changes(changed, rank=F.least("rank", "c.cap"), **c)
+    return _of_items(matched.unionByName(classes.select(*OP, F.explode(F.array_compact(items)).alias("c"))).join(context, OP))
 
 
 def diff_params(context: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -204,7 +220,7 @@ def diff_params(context: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame
     gone = lambda x: _item(F.lit("param.removed"), False, say(x, " removed, the server now ignores it"), request, x["location"], from_name=x["name"])
     come = lambda x: F.when(x["required"], _item(F.lit("param.added.required"), True, text("new required ", x["location"], " parameter ", x["name"], " (", x[t], ")"), request, x["location"], to_name=x["name"], to_type=x[t]))
     renamed = lambda p: _item(F.lit("param.renamed"), True, say(p["f"], " renamed to ", p["t"]["name"]), request, p["f"]["location"], p["conf"], from_name=p["f"]["name"], to_name=p["t"]["name"])
-    return _part_changes(context, old, new, [*OP, "location", "name"], ["location", "type"], both, gone, come, renamed)
+    return _part_changes(context, old, new, PARAM_KEYS, PARAM_CLASS, both, gone, come, renamed)
 
 
 def field_changes(context: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -237,7 +253,7 @@ def field_changes(context: DataFrame, old: DataFrame, new: DataFrame) -> DataFra
         d, a, b = pair["f"]["direction"], pair["f"]["pointer"], pair["t"]["pointer"]
         return _item(kind(d, "renamed"), True, text(d, " field ", a, " renamed to ", b), d, place(d), pair["conf"], from_name=a, to_name=b)
 
-    return _part_changes(context, old, new, [*OP, "direction", "pointer"], ["direction", "parent", "schema_fp"], both, gone, come, renamed)
+    return _part_changes(context, old, new, FIELD_KEYS, FIELD_CLASS, both, gone, come, renamed)
 
 
 def diff_fields(context: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlake.functions.text import names_related, path_shape, path_similarity
+from pactlake.functions.text import path_shape, path_similarity
 from pactlake.operators.changes import HIGH, MEDIUM
 from pactlake.work import discard, written
 
@@ -75,22 +75,6 @@ def greedy_pairs(candidates: DataFrame, block: list[str], fold_rows: int = FOLD_
         left, path = rest, next_path
 
 
-def sibling_renames(removed: DataFrame, added: DataFrame, scope: list[str], same: list[str]) -> DataFrame:
-    """Renames among removed and added rows that agree on `scope` (one operation) and `same` (place and shape).
-
-    Both frames have scope, same, name and ord. A class with one row on each side is a sure rename; in larger ones
-    the names must be related. Returns scope, from_ord, to_ord, conf.
-    """
-    keys = [*scope, *same]
-    count = F.count("*").over(Window.partitionBy(*keys))
-    r = removed.select(*keys, F.col("name").alias("r_name"), F.col("ord").alias("from_ord"), count.alias("r_n"))
-    a = added.select(*keys, F.col("name").alias("a_name"), F.col("ord").alias("to_ord"), count.alias("a_n"))
-    sure = (F.col("r_n") == 1) & (F.col("a_n") == 1)
-    both = r.join(a, keys).withColumn("sure", sure).filter(F.col("sure") | names_related("r_name", "a_name"))
-    scored = both.withColumns({"score": F.when(F.col("sure"), 2.0).otherwise(1.0), "conf": F.when(F.col("sure"), HIGH).otherwise(MEDIUM)})
-    return fold_pairs(scored, keys).select(*scope, "from_ord", "to_ord", "conf")
-
-
 def overlap(a: Column, b: Column) -> Column:
     """Jaccard of two pointer arrays; two empty ones count as equal."""
     union = F.size(F.array_union(a, b))

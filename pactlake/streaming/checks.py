@@ -6,15 +6,15 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pactlake.operators.history import KEPT, batch_statuses
 from pactlake.work import discard
 
 OUTPUT = "spec string, seq long, hash string, status string"
 STATE = "hash string, seq long"
-KEPT = "spec string, seq long, hash string"
 #: Rows of a key that a step hands back at once.
 CHUNK = 10_000
 
@@ -52,33 +52,6 @@ def check_stream(snapshots: DataFrame) -> DataFrame:
     return _hashed(snapshots).groupBy("spec").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def batch_statuses(ranged: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(statuses, new state) of one micro-batch. ranged: spec, seq, hash, range; kept: spec, seq, hash of the last rows.
-
-    A key is split into ranges of seq; rows with equal seq share one. Lag is taken within a range, and what stands before
-    a range (the last row of the ranges below or the stored one) is one row a key and range.
-    """
-    rows = Window.partitionBy("spec", "range").orderBy("seq", "hash")
-    new = F.col("seq").isNotNull() & (F.lag("seq").over(rows).isNull() | (F.lag("seq").over(rows) < F.col("seq")))
-    own = ranged.withColumn("new", new)
-    before = F.last(F.when(F.col("new"), F.struct("seq", "hash")), ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, -1))
-    own = own.withColumn("before", before)
-    ends = own.filter("new").groupBy("spec", "range").agg(F.max_by(F.struct("seq", "hash"), "seq").alias("e")).select("spec", "range", "e.*")
-    ends = ends.unionByName(kept.withColumn("range", F.lit(-1)))
-    # Of equal seqs the stored row came first.
-    top = F.struct("seq", (-F.col("range")).alias("r"), "hash")
-    below = Window.partitionBy("spec").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    floors = ends.select("spec", "range", F.max(top).over(below).alias("floor")).filter("range >= 0")
-    # Ranges of null seqs alone have no end; their rows are late.
-    full = own.join(floors.withColumnsRenamed({"spec": "_s", "range": "_r"}), F.col("spec").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")), "left")
-    late = ~F.col("new") | F.coalesce(F.col("seq") <= F.col("floor.seq"), F.lit(False))
-    near = F.col("before").isNotNull() & (F.col("floor").isNull() | (F.col("before.seq") > F.col("floor.seq")))
-    last = F.when(near, F.col("before.hash")).otherwise(F.col("floor.hash"))
-    status = F.when(late, "late").when(last.isNull(), "baseline").when(F.coalesce(last == F.col("hash"), F.lit(False)), "unchanged").otherwise("changed")
-    state = ends.groupBy("spec").agg(F.max(top).alias("t")).select("spec", "t.seq", "t.hash")
-    return full.select("spec", "seq", "hash", status.alias("status")), state
-
-
 def _batch_step(out: str, state: str):
     """The work of a micro-batch. A batch that is run again writes the same places."""
 

@@ -1,12 +1,14 @@
 """Whole rename outputs of the registered queries against loops over the same rows."""
 
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
 from pactlake import catalog
+from pactlake.operators import diff
 from pactlake.plans import contract_views
 
 DIR = "/root/testdata/sf0.001"
@@ -173,3 +175,26 @@ def test_field_diff_is_whole(spark):
                 hidden += 1
     assert of(spark, "field_diff", "path", "direction", "kind", "breaking", "detail", "from_name", "to_name", "confidence") == want
     assert hidden > 10 and {k[-1] for k in want} == set(ranks) and len({k[2] for k in want}) == 8
+
+
+def test_field_renames_of_larger_classes(spark):
+    renames, _, _ = siblings(spark, "fields")
+    want = Counter((a["op"], a["direction"], a["ord"], b["ord"]) for a, b, c in renames if c == "medium")
+    assert of(spark, "field_rename_ambiguous", "op", "direction", "from_ord", "to_ord") == want and want
+
+
+def test_classes_of_any_shape_are_paired_by_first_fit(spark):
+    rng = random.Random(3)
+    names = ["amount", "amount_total", "total_amount", "amt", "fee", "feeAmount", "note", "notes", "x"]
+    schema = "pair_id string, op string, location string, name string, required boolean, type string, enum_values array<string>, ord int"
+    old, new, want = [], [], Counter()
+    for op in range(40):
+        a, b = rng.sample(names, rng.randint(0, 5)), rng.sample(names, rng.randint(0, 5))
+        a, b = [n + "1" for n in a], [n + "2" for n in b]
+        old += [("p", str(op), "query", n, True, "string", None, i) for i, n in enumerate(a)]
+        new += [("p", str(op), "query", n, True, "string", None, i) for i, n in enumerate(b)]
+        pairs = [(0, 0, 2)] if len(a) == len(b) == 1 else first_fit([(1, i, j, 1) for i, x in enumerate(a) for j, y in enumerate(b) if related(x, y)])
+        want.update((str(op), a[f], b[t], c) for f, t, c in pairs)
+    found = diff.renames(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), diff.PARAM_KEYS, diff.PARAM_CLASS)
+    assert Counter((r["op"], r["f"]["name"], r["t"]["name"], r["conf"]) for r in found.collect()) == want
+    assert want.total() > 30
