@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pactlake.functions import schema_types, text, urls, vendor
 from pactlake.operators import artifacts, call_sites, cascade, changes, diff, edits, grouping, history, matching
-from pactlake.plans import check_cycle, contract_diff, contract_views, demo
+from pactlake.plans import check_cycle, contract_diff, contract_views, part_contracts
 from pactlake.sources.tables import table
 from pactlake.streaming import checks
 from pactlake.work import work_dir, written
@@ -833,115 +833,89 @@ def untrack_cascade(spark, sf_dir):
 
 # ---- whole documents ----
 
-#: Worked out by hand from the demo's two documents: kind, method, path, location, names and types, and whether it breaks.
-_DEMO_CHANGES = """SELECT *, substr(sha1(concat_ws('|', kind, coalesce(method, ''), path, coalesce(location, ''), coalesce(a, ''), coalesce(b, ''), coalesce(ta, ''), coalesce(tb, ''))), 1, 10) AS id FROM (VALUES
-('path.renamed', 'post', '/v2/parcels', 'path', '/v2/parcels', '/v2/shipments', NULL, NULL, true),
-('path.renamed', 'get', '/v2/parcels/{ref}/events', 'path', '/v2/parcels/{ref}/events', '/v2/shipments/{ref}/events', NULL, NULL, true),
-('request.field.renamed', 'post', '/v2/parcels', 'body', 'weight', 'weight_grams', NULL, NULL, true),
-('enum.value.added', 'post', '/v2/parcels', 'response', 'state', 'state', NULL, NULL, true),
-('response.field.type.changed', 'get', '/v2/parcels/{ref}/events', 'response', 'events[].at', 'events[].at', 'string', 'integer', true),
-('param.added.required', 'get', '/v2/parcels/{ref}/events', 'query', NULL, 'zone', NULL, 'string', true),
-('operation.removed', 'delete', '/v2/labels/{label}', NULL, NULL, NULL, NULL, NULL, true),
-('operation.added', 'get', '/v2/depots', NULL, NULL, NULL, NULL, NULL, false)) t(kind, method, path, location, a, b, ta, tb, breaking)"""
-
-
-@query(f"SELECT id, kind, method, path, breaking FROM ({_DEMO_CHANGES}) c")
-def demo_diff(spark, sf_dir):
-    return contract_diff.diff_documents(demo.specs(spark)).select("id", "kind", "method", "path", "breaking")
-
-
-@query(f"SELECT CAST(count(DISTINCT id) AS INT) AS groups, CAST(count(*) AS INT) AS total, substr(sha1(string_agg(id, '|' ORDER BY id)), 1, 7) AS digest FROM ({_DEMO_CHANGES}) c")
-def demo_groups(spark, sf_dir):
-    """No two of the demo's changes are alike, so each is a group."""
-    d = contract_diff.diff_documents(demo.specs(spark)).withColumn("_key", grouping.group_key())
-    return d.agg(F.countDistinct("_key").cast("int").alias("groups"), F.count("*").cast("int").alias("total"), text.branch_digest(F.collect_list("id")).alias("digest"))
-
-
-def _demo_plan(spark) -> tuple[DataFrame, DataFrame]:
-    found, _ = written(contract_diff.diff_documents(demo.specs(spark)), "demo-changes")
-    return edits.plan_edits(call_sites.find_sites(demo.files(spark), found), found), found
-
-
-#: Worked out by hand from the demo's caller: line, kind, action, text and replacement of each site.
-_DEMO_SITES = """(8, 'path.renamed', 'apply', '`${HOST}/v2/parcels`', '`${HOST}/v2/shipments`', 1), (8, 'request.field.renamed', 'apply', 'weight', 'weight_grams', 1),
-(11, 'path.renamed', 'apply', '`${HOST}/v2/parcels/${ref}/events`', '`${HOST}/v2/shipments/${ref}/events`', 1), (11, 'param.added.required', 'review', '`${HOST}/v2/parcels/${ref}/events`', NULL, 1),
-(5, 'response.field.type.changed', 'review', 'at', NULL, 1), (16, 'operation.removed', 'review', 'client.voidLabel', NULL, 1)"""
-
-
-@query(f"SELECT CAST(line AS INT) AS line, kind, action, text, replacement, CAST(n AS BIGINT) AS n FROM (VALUES {_DEMO_SITES}) t(line, kind, action, text, replacement, n)")
-def demo_plan(spark, sf_dir):
-    planned, found = _demo_plan(spark)
-    return planned.join(found.select(F.col("id").alias("change_id"), "kind"), "change_id").groupBy("line", "kind", "action", "text", "replacement").agg(F.count("*").alias("n"))
-
-
-_DEMO_OUTCOMES = """(VALUES ('parcels', 'changed', '2.3.0', '3.0.0', 7, 6, 3, 3), ('first', 'baseline', NULL, '2.3.0', NULL, NULL, NULL, NULL), ('same', 'unchanged', NULL, NULL, NULL, NULL, NULL, NULL),
-('torn', 'failed', NULL, NULL, NULL, NULL, NULL, NULL), ('never', 'failed', NULL, NULL, NULL, NULL, NULL, NULL)) t(spec, status, old_version, new_version, breaking, sites, applied, review)"""
-
-
-@query(f"SELECT spec, status, old_version, new_version, CAST(breaking AS BIGINT) AS breaking, CAST(sites AS BIGINT) AS sites, CAST(applied AS BIGINT) AS applied, CAST(review AS BIGINT) AS review FROM {_DEMO_OUTCOMES}")
-def demo_check(spark, sf_dir):
-    """A whole check of tracked documents: a change with its edits, a first sight, no change, two failures."""
-    return check_cycle.CheckCycle(*demo.tracked(spark)).outcomes().drop("error")
-
-
-#: The report of the demo, written out by hand.
-_DEMO_REPORT = """API diff: Parcel desk
-  old  v2.json (2.3.0)
-  new  v3.json (3.0.0)
-  7 breaking, 1 non breaking
-
-BREAKING (7)
-
-  DELETE /v2/labels/{label}
-    operation.removed  [high]
-      DELETE /v2/labels/{label} removed
-
-  POST /v2/parcels
-    enum.value.added  [high]
-      state can now return held
-
-  POST /v2/parcels
-    path.renamed  [high]
-      /v2/parcels -> /v2/shipments
-
-  POST /v2/parcels
-    request.field.renamed  [high]
-      weight -> weight_grams
-
-  GET /v2/parcels/{ref}/events
-    param.added.required  [high]
-      new required query parameter zone (string)
+_PARTS = part_contracts.parts_sql()
+#: What becomes of a part: kind, whether it breaks, place, names and types, and wording; `c` is its case.
+_PART_CHANGES = f"""SELECT *, substr(sha1(concat_ws('|', kind, method, path, coalesce(location, ''), coalesce(a, ''), coalesce(b, ''), coalesce(ta, ''), coalesce(tb, ''))), 1, 10) AS id FROM (
+SELECT pair_id, k, p.c, method, path, kind, breaking, direction, location, a, b, ta, tb, replace(replace(words, 'OP', upper(method) || ' ' || path), '!', '') AS detail FROM {_PARTS} p JOIN (VALUES
+(1, 'response.field.type.changed', true, 'response', 'response', 'size', 'size', 'integer', 'string', 'response field size changed from integer to string'),
+(2, 'response.field.removed', true, 'response', 'response', 'price', NULL, 'number', NULL, 'response field price removed'),
+(3, 'param.became.required', true, 'request', 'query', 'zone', 'zone', NULL, NULL, 'query parameter zone is now required'),
+(4, 'operation.removed', true, NULL, NULL, NULL, NULL, NULL, NULL, 'OP removed'),
+(5, 'operation.added', false, NULL, NULL, NULL, NULL, NULL, NULL, 'OP added'),
+(6, 'operation.deprecated', false, NULL, NULL, NULL, NULL, NULL, NULL, 'OP is now deprecated'),
+(7, 'response.field.renamed', true, 'response', 'response', 'price', 'priceCents', NULL, NULL, 'response field price renamed to priceCents')
+) t(c, kind, breaking, direction, location, a, b, ta, tb, words) ON t.c = p.c) j"""
+
+
+def _part_diff(spark, sf_dir) -> DataFrame:
+    return contract_diff.diff_documents(part_contracts.specs(spark, sf_dir))
+
+
+@query(f"SELECT pair_id, id, kind, method, path, breaking, location, a AS from_name, b AS to_name, ta AS from_type, tb AS to_type, detail FROM ({_PART_CHANGES}) c")
+def document_changes(spark, sf_dir):
+    """Whole documents parsed, normalised and compared."""
+    return _part_diff(spark, sf_dir).select("pair_id", "id", "kind", "method", "path", "breaking", "location", "from_name", "to_name", "from_type", "to_type", "detail")
+
+
+@query(f"SELECT pair_id, CAST(count(DISTINCT CASE WHEN c IN (4, 5, 6) THEN id ELSE CAST(c AS STRING) END) AS BIGINT) AS groups, CAST(count(*) AS BIGINT) AS total, substr(sha1(string_agg(id, '|' ORDER BY id)), 1, 7) AS digest FROM ({_PART_CHANGES}) c GROUP BY pair_id")
+def document_groups(spark, sf_dir):
+    """Changes that are alike across a document's operations are one group."""
+    d, _ = written(_part_diff(spark, sf_dir), "document-changes")
+    digest = d.groupBy("pair_id").agg(text.branch_digest(F.collect_list("id")).alias("digest"))
+    return grouping.grouping_summary(d).join(digest, "pair_id")
+
+
+_REPORT = f"""c AS (SELECT *, upper(method) || ' ' || path AS label, row_number() OVER (PARTITION BY pair_id ORDER BY breaking DESC, path, method, kind) AS ord,
+CASE WHEN c IN (4, 5, 6) THEN id ELSE kind END AS g FROM ({_PART_CHANGES}) t),
+g AS (SELECT pair_id, g, any_value(breaking) AS breaking, min(ord) AS ord, any_value(kind) AS kind, any_value(CASE WHEN a <> b THEN a || ' -> ' || b WHEN ta IS NOT NULL AND tb IS NOT NULL THEN a || ' ' || ta || ' -> ' || tb ELSE detail END) AS said, list(label ORDER BY ord) AS labels FROM c GROUP BY pair_id, g),
+n AS (SELECT pair_id, count(*) AS total, count(*) FILTER (breaking) AS x, count(*) FILTER (NOT breaking) AS y FROM c GROUP BY pair_id),
+m AS (SELECT pair_id, count(*) AS groups FROM g GROUP BY pair_id),
+s AS (SELECT pair_id, CASE WHEN breaking THEN 2 ELSE 4 END AS section, ord,
+  list_concat(['  ' || CASE WHEN len(labels) > 1 THEN len(labels) || ' endpoints' ELSE labels[1] END, '    ' || kind || '  [high]', '      ' || said],
+  CASE WHEN len(labels) > 1 THEN list_concat(list_transform(labels[1:4], lambda l: '        ' || l), CASE WHEN len(labels) > 4 THEN ['        and ' || (len(labels) - 4) || ' more'] ELSE [] END) ELSE [] END, ['']) AS lines FROM g
+UNION ALL SELECT pair_id, 0, 0, list_concat(['API diff: Parts of ' || pair_id, '  old  old.json (1.0)', '  new  new.json (2.0)', '', '  ' || x || ' breaking, ' || y || ' non breaking'],
+  CASE WHEN groups < total THEN ['  ' || groups || ' distinct changes, some shared across endpoints'] ELSE [] END, ['']) FROM n JOIN m USING (pair_id)
+UNION ALL SELECT pair_id, 1, 0, ['BREAKING (' || x || ')', ''] FROM n WHERE x > 0
+UNION ALL SELECT pair_id, 3, 0, ['NON BREAKING (' || y || ')', ''] FROM n WHERE y > 0)"""
+
+
+@query(f"WITH {_REPORT} SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY section, ord, place) - 1 AS INT) AS n, line FROM (SELECT pair_id, section, ord, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM s) t")
+def document_report(spark, sf_dir):
+    """The text report of every pair of documents, a row a line."""
+    d = contract_diff.DocumentDiff(part_contracts.specs(spark, sf_dir))
+    found, _ = written(d.changes(), "document-changes")
+    lines = grouping.report_lines(found, d.header()).select("pair_id", "section", "ord", F.posexplode("lines").alias("place", "line"))
+    order = Window.partitionBy("pair_id").orderBy("section", "ord", "place")
+    return lines.select("pair_id", (F.row_number().over(order) - 1).alias("n"), "line")
 
-  GET /v2/parcels/{ref}/events
-    path.renamed  [high]
-      /v2/parcels/{ref}/events -> /v2/shipments/{ref}/events
 
-  GET /v2/parcels/{ref}/events
-    response.field.type.changed  [high]
-      events[].at string -> integer
+@query(f"""SELECT pair_id, json_extract_string(j, '$.id') AS id, json_extract_string(j, '$.kind') AS kind, json_extract_string(j, '$.breaking') AS breaking, json_extract_string(j, '$.target.from') AS from_name, json_extract_string(j, '$.target.toType') AS to_type
+FROM (SELECT pair_id, json_object('id', id, 'kind', kind, 'breaking', breaking, 'target', json_object('from', a, 'toType', tb)) AS j FROM ({_PART_CHANGES}) c) t""")
+def document_json(spark, sf_dir):
+    """The JSON lines of document changes, read again."""
+    g = lambda p: F.get_json_object("json", p)
+    return artifacts.change_lines(_part_diff(spark, sf_dir)).select("pair_id", g("$.id").alias("id"), g("$.kind").alias("kind"), g("$.breaking").alias("breaking"), g("$.target.from").alias("from_name"), g("$.target.toType").alias("to_type"))
 
-NON BREAKING (1)
 
-  GET /v2/depots
-    operation.added  [high]
-      GET /v2/depots added
-"""
-_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+# Of a part's caller: case 7 is rewritten at its type, the others that break are reviewed.
+_PART_SITES = f"""SELECT pair_id, 'src/p' || k || '.ts' AS file, kind, CASE c WHEN 7 THEN 'apply' ELSE 'review' END AS action, CASE c WHEN 1 THEN 'size' WHEN 2 THEN 'price' WHEN 7 THEN 'price' ELSE chr(39) || path || chr(39) END AS text,
+CASE c WHEN 7 THEN 'priceCents' END AS replacement, CAST(CASE WHEN c IN (3, 4) THEN 3 ELSE 1 END AS INT) AS line FROM ({_PART_CHANGES}) t WHERE breaking"""
 
 
-@query("SELECT CAST(n AS INT) AS n, line FROM (VALUES " + ", ".join(f"({n}, {_quoted(x)})" for n, x in enumerate(_DEMO_REPORT.split("\n"))) + ") t(n, line)")
-def demo_report(spark, sf_dir):
-    """The text report, a row a line."""
-    d = contract_diff.DocumentDiff(demo.specs(spark))
-    lines = grouping.report_lines(d.changes(), d.header()).select("pair_id", "section", "ord", F.posexplode("lines").alias("place", "line"))
-    order = Window.partitionBy("pair_id").orderBy("section", "ord", "place")
-    return lines.select((F.row_number().over(order) - 1).alias("n"), "line")
+@query(f"SELECT * FROM ({_PART_SITES}) s")
+def document_edits(spark, sf_dir):
+    """Edits of the callers of every part that breaks."""
+    found, _ = written(_part_diff(spark, sf_dir).withColumn("repo", F.col("pair_id")).withColumn("id", F.concat_ws(":", "pair_id", "id")), "document-changes")
+    planned = edits.plan_edits(call_sites.find_sites(part_contracts.files(spark, sf_dir), found), found)
+    return planned.join(found.select(F.col("id").alias("change_id"), "kind"), "change_id").select(F.col("repo").alias("pair_id"), "file", "kind", "action", "text", "replacement", "line")
 
 
-@query(f"""SELECT json_extract_string(j, '$.id') AS id, json_extract_string(j, '$.kind') AS kind, json_extract_string(j, '$.breaking') AS breaking, json_extract_string(j, '$.target.from') AS from_name, json_extract_string(j, '$.target.toType') AS to_type
-FROM (SELECT json_object('id', id, 'kind', kind, 'breaking', breaking, 'target', json_object('from', a, 'toType', tb)) AS j FROM ({_DEMO_CHANGES}) c) t""")
-def demo_json(spark, sf_dir):
-    """The JSON lines of the demo's changes, read again."""
-    lines = artifacts.change_lines(contract_diff.diff_documents(demo.specs(spark)))
-    g = lambda p: F.get_json_object("json", p)
-    return lines.select(g("$.id").alias("id"), g("$.kind").alias("kind"), g("$.breaking").alias("breaking"), g("$.target.from").alias("from_name"), g("$.target.toType").alias("to_type"))
+@query(f"""WITH d AS (SELECT pair_id, min(k - k % {part_contracts.SPAN}) // {part_contracts.SPAN} % 4 AS x FROM {_PARTS} p GROUP BY pair_id),
+b AS (SELECT pair_id, count(*) AS breaking FROM ({_PART_CHANGES}) t WHERE breaking GROUP BY pair_id),
+s AS (SELECT pair_id, count(*) AS sites, count(*) FILTER (action = 'apply') AS applied, count(*) FILTER (action = 'review') AS review FROM ({_PART_SITES}) t GROUP BY pair_id)
+SELECT d.pair_id AS spec, CASE x WHEN 0 THEN 'changed' WHEN 1 THEN 'baseline' WHEN 2 THEN 'unchanged' ELSE 'failed' END AS status, CASE x WHEN 0 THEN '1.0' END AS old_version, CASE WHEN x IN (0, 1) THEN '2.0' END AS new_version,
+CAST(CASE x WHEN 0 THEN coalesce(breaking, 0) END AS BIGINT) AS breaking, CAST(CASE x WHEN 0 THEN coalesce(sites, 0) END AS BIGINT) AS sites, CAST(CASE x WHEN 0 THEN coalesce(applied, 0) END AS BIGINT) AS applied, CAST(CASE x WHEN 0 THEN coalesce(review, 0) END AS BIGINT) AS review
+FROM d LEFT JOIN b USING (pair_id) LEFT JOIN s USING (pair_id)""")
+def document_checks(spark, sf_dir):
+    """A whole check of tracked documents: changes with their edits, first sights, no change, failures."""
+    return check_cycle.CheckCycle(*part_contracts.tracked(spark, sf_dir), part_contracts.files(spark, sf_dir)).outcomes().drop("error")

@@ -11,6 +11,7 @@ from pactlake.operators.changes import CONFIDENCES
 
 LISTED = 4
 #: The words of the text report.
+HEAD, COUNTS, TITLES = ("API diff: ", "  old  ", "  new  "), (" breaking, ", " non breaking"), ("BREAKING", "NON BREAKING")
 WARNING, NONE, SHARED = '  WARNING: these look like different APIs, "', "  no differences found", " distinct changes, some shared across endpoints"
 
 
@@ -85,14 +86,14 @@ def report_lines(changes: DataFrame, header: DataFrame, breaking_only: bool = Fa
     grouped = groups.select("pair_id", F.when(F.col("first.breaking"), 2).otherwise(4).alias("section"), "ord", F.concat(body, more, F.array(F.lit(""))).alias("lines"))
     total = header.join(summary(changes).drop("total"), "pair_id", "left").join(grouping_summary(changes).drop("total"), "pair_id", "left").fillna(0, ["breaking", "non_breaking", "groups"]).withColumn("total", F.col("breaking") + F.col("non_breaking"))
     warn = F.when(looks_like_different_apis("old_title", "new_title"), F.concat(F.lit(WARNING), "old_title", F.lit('" against "'), "new_title", F.lit('"')))
+    blank, none = F.lit(""), F.col("total") == 0
     top = F.array_compact(F.array(
-        F.concat(F.lit("API diff: "), "new_title"), F.concat(F.lit("  old  "), "old_source", F.lit(" ("), "old_version", F.lit(")")), F.concat(F.lit("  new  "), "new_source", F.lit(" ("), "new_version", F.lit(")")), warn,
-        F.concat(F.lit("  "), F.col("breaking").cast("string"), F.lit(" breaking, "), F.col("non_breaking").cast("string"), F.lit(" non breaking")),
-        F.when(F.col("groups") < F.col("breaking") + F.col("non_breaking"), F.concat(F.lit("  "), F.col("groups").cast("string"), F.lit(SHARED))),
-        F.when(F.col("total") == 0, F.lit(NONE)), F.lit(""),
+        F.concat(F.lit(HEAD[0]), "new_title"), F.concat(F.lit(HEAD[1]), "old_source", F.lit(" ("), "old_version", F.lit(")")), F.concat(F.lit(HEAD[2]), "new_source", F.lit(" ("), "new_version", F.lit(")")), blank,
+        warn, F.when(warn.isNotNull(), blank), F.concat(F.lit("  "), F.col("breaking").cast("string"), F.lit(COUNTS[0]), F.col("non_breaking").cast("string"), F.lit(COUNTS[1])),
+        F.when(F.col("groups") < F.col("total"), F.concat(F.lit("  "), F.col("groups").cast("string"), F.lit(SHARED))), blank, F.when(none, F.lit(NONE)), F.when(none, blank),
     ))
     sections = [total.select("pair_id", F.lit(0).alias("section"), F.lit(0).alias("ord"), top.alias("lines"))]
-    for place, n, title in ((1, "breaking", "BREAKING"), (3, "non_breaking", "NON BREAKING")):
+    for place, n, title in ((1, "breaking", TITLES[0]), (3, "non_breaking", TITLES[1])):
         if place == 1 or not breaking_only:
             sections.append(total.filter(F.col(n) > 0).select("pair_id", F.lit(place).alias("section"), F.lit(0).alias("ord"), F.array(F.concat(F.lit(f"{title} ("), F.col(n).cast("string"), F.lit(")")), F.lit("")).alias("lines")))
     out = grouped

@@ -119,10 +119,3 @@ def test_call_sites_in_source_code(spark):
         ("wrapped", "p", "'/v1/charges'", "'/v1/payments'", 1),
     ]
     assert call_sites.find_sites(files.limit(0), found).count() == 0
-
-
-def test_demo_edits_are_spliced(spark):
-    planned, _ = catalog._demo_plan(spark)
-    changed, _ = edits.splice(planned.filter("action = 'apply'").withColumnRenamed("replacement", "after_text"), demo.files(spark).select("file", "content"))
-    want = demo.CALLER.replace("/v2/parcels", "/v2/shipments").replace("{ weight: weight,", "{ weight_grams: weight,")
-    assert [r["content"] for r in changed.collect()] == [want]
