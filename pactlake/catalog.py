@@ -6,6 +6,7 @@ same result in plain SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pactlake.functions import schema_types, text, urls, vendor
 from pactlake.operators import artifacts, call_sites, cascade, changes, diff, edits, grouping, history, matching
-from pactlake.plans import check_cycle, contract_diff, contract_views, part_contracts
+from pactlake.plans import check_cycle, contract_diff, contract_views, part_contracts, version_checks
+from pactlake.sources.store import Store
 from pactlake.sources.tables import table
 from pactlake.streaming import checks
 from pactlake.work import work_dir, written
@@ -919,3 +921,22 @@ FROM d LEFT JOIN b USING (pair_id) LEFT JOIN s USING (pair_id)""")
 def document_checks(spark, sf_dir):
     """A whole check of tracked documents: changes with their edits, first sights, no change, failures."""
     return check_cycle.CheckCycle(*part_contracts.tracked(spark, sf_dir), part_contracts.files(spark, sf_dir)).outcomes().drop("error")
+
+
+@query(f"""WITH d AS (SELECT pair_id, min(k - k % {part_contracts.SPAN}) // {part_contracts.SPAN} % 4 AS x FROM {_PARTS} p GROUP BY pair_id),
+b AS (SELECT pair_id, count(*) AS changes, count(*) FILTER (breaking) AS breaking FROM ({_PART_CHANGES}) t GROUP BY pair_id),
+s AS (SELECT pair_id, count(*) AS sites, count(*) FILTER (action = 'apply') AS applied FROM ({_PART_SITES}) t GROUP BY pair_id)
+SELECT d.pair_id AS spec, CASE WHEN x IN (0, 1) THEN '2.0' ELSE '1.0' END AS baseline, CASE x WHEN 0 THEN 'success' END AS status, CAST(CASE x WHEN 0 THEN coalesce(breaking, 0) ELSE -1 END AS BIGINT) AS breaking,
+CAST(CASE x WHEN 0 THEN coalesce(changes, 0) ELSE -1 END AS BIGINT) AS changes, CAST(CASE x WHEN 0 THEN coalesce(sites, 0) ELSE -1 END AS BIGINT) AS edits, CAST(CASE x WHEN 0 THEN coalesce(applied, 0) ELSE -1 END AS BIGINT) AS applied
+FROM d LEFT JOIN b USING (pair_id) LEFT JOIN s USING (pair_id)""")
+def document_runs(spark, sf_dir):
+    """What a store holds after a check: each spec's baseline, and the run, changes and edits of those that changed (-1: no run)."""
+    store = Store(spark, f"{work_dir(spark)}/store-{uuid.uuid4().hex}")
+    snapshots, current = part_contracts.tracked(spark, sf_dir)
+    store.commit({"snapshots": snapshots.withColumns({"version": F.lit("1.0"), "hash": text.content_hash("content"), "at": F.current_timestamp()})})
+    version_checks.check_into(store, current.withColumn("seq", F.lit(1).cast("long")), part_contracts.files(spark, sf_dir))
+    count = lambda t, n: store.table(t).groupBy("run_id").agg(F.count("*").alias(n))
+    runs = store.runs().join(count("changes", "changes"), "run_id", "left").join(count("edits", "edits"), "run_id", "left")
+    runs = runs.select("spec", "status", "breaking", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("edits", F.lit(0)).alias("edits"), "applied")
+    none = lambda c: F.coalesce(c, F.lit(-1)).cast("long").alias(c)
+    return store.snapshots().select("spec", F.col("version").alias("baseline")).join(runs, "spec", "left").select("spec", "baseline", "status", *map(none, ("breaking", "changes", "edits", "applied")))

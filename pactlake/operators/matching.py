@@ -13,8 +13,8 @@ from pactlake.work import discard, written
 PATH_FLOOR, RESEMBLANCE_FLOOR = 0.5, 0.6
 #: Candidates of a block that one row holds; larger blocks are chosen in rounds.
 FOLD_ROWS = 4000
-#: Parts into which the removed operations of a method are dealt, each met by all added ones.
-DEALS = 32
+#: The least Jaccard of either payload that leaves such a resemblance, and pairs of operations that one task compares, about.
+LEAST, DEAL = 2 * RESEMBLANCE_FLOOR - 1, 250_000
 
 
 def fold_pairs(candidates: DataFrame, block: list[str]) -> DataFrame:
@@ -85,28 +85,60 @@ def resemblance(request_a: Column, request_b: Column, response_a: Column, respon
     return (overlap(request_a, request_b) + overlap(response_a, response_b)) / 2
 
 
+def _keyed(ops: DataFrame, common: DataFrame) -> DataFrame:
+    """`ops` with kind and key: what an operation shares with every other one that may be it under a new path.
+
+    A resemblance of RESEMBLANCE_FLOOR leaves neither payload's Jaccard under LEAST, as the other's is 1 at most. So both have
+    responses or neither has, and then the same holds for requests; and sets of that Jaccard share one of the rarest
+    pointers of either: of n pointers, all but the LEAST * n (rounded up, less one) most common. `common`: pair_id, method,
+    kind, key and how many operations have it.
+    """
+    kind = F.when(F.size("response") > 0, "response").when(F.size("request") > 0, "request").otherwise("none")
+    pointers = F.array_distinct(F.when(F.size("response") > 0, F.col("response")).when(F.size("request") > 0, F.col("request")).otherwise(F.array(F.lit(""))))
+    each = ops.withColumns({"kind": kind, "_keys": pointers}).withColumns({"_n": F.size("_keys"), "key": F.explode("_keys")}).drop("_keys")
+    counted = each.join(common, ["pair_id", "method", "kind", "key"])
+    rank = F.row_number().over(Window.partitionBy("pair_id", "method", "ord").orderBy("n", "key"))
+    return counted.withColumn("_r", rank).filter(F.col("_r") <= F.col("_n") - F.ceil(F.lit(LEAST) * F.col("_n")) + 1).drop("_r", "_n", "n")
+
+
+def _pointer_counts(ops: DataFrame) -> DataFrame:
+    kind = F.when(F.size("response") > 0, "response").when(F.size("request") > 0, "request").otherwise("none")
+    pointers = F.array_distinct(F.when(F.size("response") > 0, F.col("response")).when(F.size("request") > 0, F.col("request")).otherwise(F.array(F.lit(""))))
+    return ops.select("pair_id", "method", kind.alias("kind"), F.explode(pointers).alias("key")).groupBy("pair_id", "method", "kind", "key").agg(F.count("*").alias("n"))
+
+
 def operation_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
     """Scored candidates between removed and added operations of one pair and method.
 
     Frames have pair_id, method, path, operation_id, request and response (pointer arrays), ord. Pairs that share an
-    operation id join on it. The others must have similar paths: as an edit distance is at least the difference of lengths,
-    only paths of lengths within a factor of two of each other are compared, by joining on length classes. Similarity 0.5
-    leaves no stricter exact key: every second character may differ, and then no two neighbours are shared. The work grows with
-    removed x added operations of a method and is dealt out, so that no method is one task.
+    operation id join on it. The others must resemble each other in their payloads, so they join on the rarest pointers of
+    these (see _keyed); operations without any payload have nothing to tell them apart but their paths, and join on that. A
+    key that very many have on both sides is dealt out in parts of about DEAL pairs. Paths are compared last, and only those
+    of lengths within a factor of two of each other: an edit distance is at least the difference of lengths.
     """
-    side = lambda df, p: df.select("pair_id", "method", *[F.col(c).alias(f"{p}_{c}") for c in ("path", "operation_id", "request", "response", "ord")])
+    columns = ("path", "operation_id", "request", "response", "ord")
+    side = lambda df, p: df.select("pair_id", "method", *[F.col(c).alias(f"{p}_{c}") for c in columns])
     r, a = side(removed, "r"), side(added, "a")
     same_id = (F.length("r_operation_id") > 0) & F.coalesce(F.col("r_operation_id") == F.col("a_operation_id"), F.lit(False))
     by_id = r.join(a.withColumn("r_operation_id", F.col("a_operation_id")), ["pair_id", "method", "r_operation_id"]).filter(same_id)
-    cls = lambda c: F.floor(F.log2(F.greatest(F.length(path_shape(c)), F.lit(1)))).cast("int")
-    near = F.array(*[cls("r_path") + d for d in (-1, 0, 1)])
-    dealt = r.withColumns({"cls": F.explode(near), "deal": F.pmod(F.xxhash64("r_ord"), F.lit(DEALS))})
-    met = a.withColumn("cls", cls("a_path")).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
-    by_path = dealt.join(met, ["pair_id", "method", "cls", "deal"]).filter(~F.coalesce(same_id, F.lit(False))).drop("cls", "deal")
-    close, alike = path_similarity("r_path", "a_path"), resemblance(F.col("r_request"), F.col("a_request"), F.col("r_response"), F.col("a_response"))
+    place = ["pair_id", "method", "kind", "key"]
+    both = removed.select("pair_id", "method", *columns).unionByName(added.select("pair_id", "method", *columns))
+    common = _pointer_counts(both)
+    kr, ka = _keyed(removed.select("pair_id", "method", *columns), common), _keyed(added.select("pair_id", "method", *columns), common)
+    sizes = kr.groupBy(place).agg(F.count("*").alias("nr")).join(ka.groupBy(place).agg(F.count("*").alias("na")), place)
+    deals = sizes.select(*place, F.least(F.lit(4096), F.ceil(F.col("nr") * F.col("na") / DEAL)).cast("int").alias("deals"))
+    named = lambda df, p: df.select(*place, "deal", *[F.col(c).alias(f"{p}_{c}") for c in columns])
+    dealt = named(kr.join(deals, place).withColumn("deal", F.pmod(F.xxhash64("ord"), F.col("deals")).cast("int")), "r")
+    met = named(ka.join(deals, place).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))), "a")
+    long = lambda c: F.greatest(F.length(path_shape(c)), F.lit(1))
+    near = (long("r_path") <= 2 * long("a_path")) & (long("a_path") <= 2 * long("r_path"))
+    alike = resemblance(F.col("r_request"), F.col("a_request"), F.col("r_response"), F.col("a_response"))
+    by_key = dealt.join(met, [*place, "deal"]).filter(near & ~F.coalesce(same_id, F.lit(False))).withColumn("alike", alike).filter(F.col("alike") >= RESEMBLANCE_FLOOR)
+    close = path_similarity("r_path", "a_path")
     keep = ["pair_id", "method", F.col("r_ord").alias("from_ord"), F.col("a_ord").alias("to_ord")]
     sure = by_id.select(*keep, (2 + close).alias("score"), F.lit(HIGH).alias("conf"))
-    likely = by_path.withColumns({"close": close, "alike": alike}).filter((F.col("close") >= PATH_FLOOR) & (F.col("alike") >= RESEMBLANCE_FLOOR))
+    # Operations that share several of their rarest pointers meet as often.
+    likely = by_key.dropDuplicates(["pair_id", "method", "r_ord", "a_ord"]).withColumn("close", close).filter(F.col("close") >= PATH_FLOOR)
     return sure.unionByName(likely.select(*keep, (F.col("close") + F.col("alike")).alias("score"), F.lit(MEDIUM).alias("conf")))
 
 
