@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pactlake.functions import schema_types, text, urls, vendor
 from pactlake.operators import artifacts, call_sites, cascade, changes, diff, edits, grouping, history, matching
-from pactlake.plans import check_cycle, contract_diff, contract_views, part_contracts, version_checks
+from pactlake.plans import check_cycle, contract_diff, contract_views, fix, part_contracts, version_checks
 from pactlake.sources.store import Store
 from pactlake.sources.tables import table
 from pactlake.streaming import checks
@@ -940,3 +940,28 @@ def document_runs(spark, sf_dir):
     runs = runs.select("spec", "status", "breaking", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("edits", F.lit(0)).alias("edits"), "applied")
     none = lambda c: F.coalesce(c, F.lit(-1)).cast("long").alias(c)
     return store.snapshots().select("spec", F.col("version").alias("baseline")).join(runs, "spec", "left").select("spec", "baseline", "status", *map(none, ("breaking", "changes", "edits", "applied")))
+
+
+_CALLER = f"""'interface Part' || k || ' {{ name: string; ' || CASE c WHEN 7 THEN 'priceCents' ELSE 'price' END || ': number; size: number }}' || chr(10) || 'export async function load() {{' || chr(10)
+|| '  const r = await fetch(' || chr(39) || path || chr(39) || ', {{ method: ' || chr(39) || upper(method) || chr(39) || ' }});' || chr(10) || '  return (await r.json()) as Part' || k || ';' || chr(10) || '}}' || chr(10)"""
+
+
+def _part_fix(spark, sf_dir) -> fix.Fix:
+    found, _ = written(_part_diff(spark, sf_dir).withColumn("repo", F.col("pair_id")).withColumn("id", F.concat_ws(":", "pair_id", "id")), "document-changes")
+    return fix.Fix(part_contracts.files(spark, sf_dir), found)
+
+
+@query(f"SELECT pair_id AS repo, 'src/p' || k || '.ts' AS file, sha256({_CALLER}) AS sha FROM {_PARTS} p WHERE c = 7")
+def document_patches(spark, sf_dir):
+    """The callers that a renamed field changes, as they read afterwards."""
+    return _part_fix(spark, sf_dir).patched.select("repo", "file", F.sha2("content", 256).alias("sha"))
+
+
+@query(f"""WITH t AS (SELECT pair_id, count(*) AS total, count(*) FILTER (breaking) AS breaking FROM ({_PART_CHANGES}) c GROUP BY pair_id),
+s AS (SELECT pair_id, count(*) FILTER (action = 'apply') AS applied, count(*) FILTER (action = 'review') AS review FROM ({_PART_SITES}) c GROUP BY pair_id)
+SELECT pair_id AS repo, CAST(coalesce(applied, 0) AS BIGINT) AS applied, CAST(coalesce(review, 0) AS BIGINT) AS review, 'Update API usage for ' || breaking || ' breaking changes' AS title,
+'## Spec change summary' || chr(10) || chr(10) || breaking || ' breaking changes across ' || total || ' total.' AS head FROM t LEFT JOIN s USING (pair_id)""")
+def document_pull_requests(spark, sf_dir):
+    """One pull request a repository: counters, title and the head of its body."""
+    found = _part_fix(spark, sf_dir).pull_requests()
+    return found.select("repo", F.col("applied").cast("long").alias("applied"), F.col("review").cast("long").alias("review"), "title", F.substring_index("body", "\n", 3).alias("head"))

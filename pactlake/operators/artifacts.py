@@ -10,6 +10,9 @@ CHANGE = {"id": "id", "kind": "kind", "breaking": "breaking", "confidence": "con
 TARGET = {"location": "location", "from_name": "from", "to_name": "to", "from_type": "fromType", "to_type": "toType"}
 OUTCOME = {"spec": "spec", "status": "status", "old_version": "oldVersion", "new_version": "newVersion", "breaking": "breaking", "sites": "sites", "applied": "applied", "review": "review", "error": "error"}
 
+EDIT = {"change_id": "changeId", "file": "file", "line": "line", "start_at": "start", "end_at": "end", "strategy": "strategy", "confidence": "confidence", "action": "action", "snippet": "before", "replacement": "after", "outcome": "outcome"}
+PULL_REQUEST = {"title": "title", "digest": "branch", "files_changed": "filesChanged", "applied": "appliedCount", "review": "reviewCount", "body": "body"}
+
 
 def _named(names: dict[str, str]) -> list[Column]:
     return [F.col(c).alias(n) for c, n in names.items()]

@@ -75,19 +75,24 @@ PATCHED, PATCHED_NONE = "## Patched automatically (high confidence)\n", "Nothing
 OPEN, OPEN_NONE = "\n## Needs human review (low confidence)\n", "Nothing left for review."
 
 
-def pull_request(edits: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row: counters, branch digest and body of one update. All of its edits stand in the body, as its reader needs."""
+def pull_request(edits: DataFrame, changes: DataFrame, of: list[str] | None = None) -> DataFrame:
+    """One row: counters, branch digest and body of one update; one for each value of the columns `of`, if named.
+
+    All edits of an update stand in its body, as its reader needs.
+    """
+    of = of or []
     place = F.concat(F.lit("`"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("` "))
     item = lambda action, *text: F.array_sort(F.collect_list(F.when(F.col("action") == action, F.struct("file", "line", F.concat(*text).alias("t")))))
-    by = edits.agg(
+    by = edits.groupBy(*of).agg(
         F.count_if(F.col("action") == "apply").alias("applied"), F.count_if(F.col("action") == "review").alias("review"), F.countDistinct(F.when(F.col("action") == "apply", F.col("file"))).alias("files_changed"), F.count("*").alias("sites"),
         item("apply", F.lit("- "), place, "snippet", F.lit(" -> "), F.coalesce("replacement", F.lit(""))).alias("a"), item("review", F.lit("- [ ] "), place, "reason").alias("r"),
     )
-    ch = changes.agg(F.count("*").alias("total"), F.count_if("breaking").alias("breaking"), branch_digest(F.collect_list("id")).alias("digest"))
+    ch = changes.groupBy(*of).agg(F.count("*").alias("total"), F.count_if("breaking").alias("breaking"), branch_digest(F.collect_list("id")).alias("digest"))
     lines = lambda c, none: F.when(F.size(c) == 0, F.lit(none)).otherwise(F.array_join(F.transform(c, lambda s: s["t"]), "\n"))
     body = F.concat_ws("\n", F.format_string(SUMMARY, "breaking", "total", "sites"), F.lit(PATCHED), lines(F.col("a"), PATCHED_NONE), F.lit(OPEN), lines(F.col("r"), OPEN_NONE))
-    one = by.join(ch)  # one row beside one row
-    return one.select("applied", "review", "files_changed", "total", "breaking", "digest", F.format_string(TITLE, "breaking").alias("title"), body.alias("body"))
+    one = ch.join(by, of, "left").fillna(0, ["applied", "review", "files_changed", "sites"]) if of else by.join(ch)  # else one row beside one row
+    empty = F.array().cast("array<struct<file:string,line:int,t:string>>")
+    return one.withColumns({c: F.coalesce(c, empty) for c in ("a", "r")}).select(*of, "applied", "review", "files_changed", "total", "breaking", "digest", F.format_string(TITLE, "breaking").alias("title"), body.alias("body"))
 
 
 def safe_name(file: Column) -> Column:
