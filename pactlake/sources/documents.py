@@ -16,11 +16,22 @@ from pactlake.sources.schemas import Graph
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 LOCATIONS = ("path", "query", "header")
 SCHEMA_MAP = "map<string,string>"
+#: Fixed value: bytes of a document that is read.
+MAX_BYTES = 24 << 20
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """source, content of whole text files, JSON and YAML alike: what a text is shows when it is parsed."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("content"))
+def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """source, content, problem of every file below a folder, JSON and YAML alike: what a text is shows when it is parsed.
+
+    A file over `max_bytes` isn't read: it is a row with a problem, as is one that is no UTF-8; the others still load.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    none = F.lit(None).cast("string")
+    large = files.filter(F.col("length") > max_bytes).select(F.col("path").alias("source"), none.alias("content"), F.concat(F.col("length").cast("string"), F.lit(f" bytes, more than {max_bytes}")).alias("problem"))
+    text = F.col("content").cast("string")
+    fine = F.is_valid_utf8(text)
+    read = files.filter(F.col("length") <= max_bytes).select(F.col("path").alias("source"), F.when(fine, text).alias("content"), F.when(~fine, "not UTF-8").alias("problem"))
+    return read.unionByName(large)
 
 
 def contract_of(text: str) -> str:
@@ -116,11 +127,14 @@ def parse_document(content: pd.Series) -> pd.DataFrame:
 
 
 def load(specs: DataFrame) -> DataFrame:
-    """specs: pair_id, side, source, content. Adds doc, problem, title, version, primary_server; bad rows keep a problem."""
+    """specs: pair_id, side, source, content. Adds doc, problem, title, version, primary_server; bad rows keep a problem, and
+    those that came with one their own."""
+    unread = F.col("problem") if "problem" in specs.columns else F.lit(None).cast("string")
+    specs = specs.withColumn("_unread", unread).drop("problem")
     parsed = specs.withColumn("p", parse_document("content")).select(*[c for c in specs.columns if c != "content"], "p.doc", "p.problem")
     get = lambda p: F.get_json_object("doc", p)
     version = F.when(F.col("problem").isNull() & get("$.openapi").isNull(), F.when(get("$.swagger").isNotNull(), "Swagger 2.0 is not supported").otherwise("no openapi version"))
-    return parsed.withColumn("problem", F.coalesce("problem", version)).withColumns({
+    return parsed.withColumn("problem", F.coalesce("_unread", "problem", version)).drop("_unread").withColumns({
         "title": F.coalesce(get("$.info.title"), F.lit("untitled api")), "version": F.coalesce(get("$.info.version"), F.lit("unknown")), "primary_server": get("$.servers[0].url"),
     })
 

@@ -116,3 +116,23 @@ def test_report(spark):
     rows = grouping.report_lines(d.changes(), d.header()).select("section", "ord", F.posexplode("lines").alias("place", "line")).collect()
     d.close()
     assert [r.line for r in sorted(rows, key=lambda r: (r.section, r.ord, r.place))] == _DEMO_REPORT.split("\n")
+
+
+def test_fix_of_two_repositories(spark):
+    from pactlake.plans.fix import Fix
+
+    found = contract_diff.diff_documents(demo.specs(spark))
+    changes = written(found.withColumn("repo", F.explode(F.array(F.lit("one"), F.lit("two"), F.lit("none")))).withColumn("id", F.concat_ws(":", "repo", "id")), "demo")[0]
+    other = demo.CALLER.replace("weight: weight", "weight: kilos")
+    files = spark.createDataFrame([("one", "src/a.ts", demo.CALLER), ("two", "src/a.ts", other), ("two", "README.md", "no code")], "repo string, file string, content string")
+    f = Fix(files, changes)
+    patched = {(r.repo, r.file): r.content for r in f.patched.collect()}
+    change = lambda text: text.replace("/v2/parcels", "/v2/shipments").replace("{ weight: ", "{ weight_grams: ")
+    assert patched == {("one", "src/a.ts"): change(demo.CALLER), ("two", "src/a.ts"): change(other)}
+    assert sorted((r.repo, r.outcome == "applied") for r in f.edits.collect()) == [(repo, x) for repo in ("one", "two") for x in (False, False, False, True, True, True)]
+    pulls = {r.repo: r for r in f.pull_requests().collect()}
+    assert {k: (r.applied, r.review, r.files_changed, r.total) for k, r in pulls.items()} == {"one": (3, 3, 1, 8), "two": (3, 3, 1, 8), "none": (0, 0, 0, 8)}
+    assert "`src/a.ts:8` weight -> weight_grams" in pulls["one"].body and "Nothing met the bar" in pulls["none"].body
+    lines = [(r.repo, r.part) for r in f.lines().collect()]
+    assert {p: lines.count(("one", p)) for p in ("change", "edit", "pull_request")} == {"change": 8, "edit": 6, "pull_request": 1}
+    f.close()

@@ -224,3 +224,17 @@ def test_every_kind_of_document_change(spark):
         ("enum.value.removed", False, "[].size", "[].size", "post"), ("enum.value.added", True, "[].size", "[].size", "post"),
         ("response.field.type.changed", True, "[].fruit", "[].fruit", "post"),
     }
+
+
+def test_a_folder_of_documents(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    good = _posting({}, {"type": "object", "properties": {"x": {"type": "string"}}})
+    for name, data in (("a.json", good.encode()), ("deep/b.yaml", b"openapi: 3.0.0\ninfo: {title: Y}\npaths: {}\n"), ("large.json", good.encode() + b" " * 3000), ("bytes.json", b'{"openapi": "3.0.0", "x": "\xff\xfe"}'), ("torn.json", good[:40].encode()), ("empty.json", b"")):
+        (tmp_path / name).write_bytes(data)
+    specs = documents.read_documents(spark, str(tmp_path), max_bytes=2000)
+    loaded = documents.load(specs.selectExpr("source AS pair_id", "'old' AS side", "*"))
+    got = {r["source"].rsplit("/", 1)[1]: (r["problem"], r["title"]) for r in loaded.collect()}
+    assert got["a.json"] == (None, "untitled api") and "more than 2000" in got["large.json"][0] and got["bytes.json"][0] == "not UTF-8"
+    assert got["torn.json"][0] and got["empty.json"][0] and len(got) == 6
+    if "yaml" in TEXTS:
+        assert got["b.yaml"] == (None, "Y")
