@@ -23,7 +23,8 @@ MAX_BYTES = 24 << 20
 def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """source, content, problem of every file below a folder, JSON and YAML alike: what a text is shows when it is parsed.
 
-    A file over `max_bytes` isn't read: it is a row with a problem, as is one that is no UTF-8; the others still load.
+    A file over `max_bytes` isn't read: it is a row with a problem, as is one that is no UTF-8; the others still load. Spark
+    lists no empty files, so these give no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     none = F.lit(None).cast("string")
