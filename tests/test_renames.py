@@ -188,7 +188,7 @@ def test_classes_of_any_shape_are_paired_by_first_fit(spark):
     names = ["amount", "amount_total", "total_amount", "amt", "fee", "feeAmount", "note", "notes", "x"]
     schema = "pair_id string, op string, location string, name string, required boolean, type string, enum_values array<string>, ord int"
     old, new, want = [], [], Counter()
-    for op in range(40):
+    for op in range(60):
         a, b = rng.sample(names, rng.randint(0, 5)), rng.sample(names, rng.randint(0, 5))
         a, b = [n + "1" for n in a], [n + "2" for n in b]
         old += [("p", str(op), "query", n, True, "string", None, i) for i, n in enumerate(a)]
