@@ -33,8 +33,11 @@ from pactlake.llm.components import components
 Z, RECALL, BLOCK, SEED = 2.0, 0.9999, 1024, 5
 #: Directions whose collisions are counted, width of a range in distances at the threshold, and vectors a cell by chance.
 COUNTED, WIDTH, MATES = 24, 5.0, 8
-#: Queries whose windows are looked at together.
-STRIP = 128
+#: Queries whose windows are looked at together, vectors of a cell that is not a task's group of its own, and rows of such cells
+#: that are.
+STRIP, SMALL, BUNDLE = 128, 128, 40_000
+#: Pairs that are counted at once.
+PAIRS = 1 << 17
 
 
 def _same_range(width: float, window: float = math.inf) -> float:
@@ -122,6 +125,64 @@ def _array(column, kind, n: int) -> np.ndarray:
     return np.frombuffer(buf[off[0] : off[-1]].tobytes(), kind).reshape(n, -1)
 
 
+BLOCKS = "cell long, x int, y int, q array<long>, v array<long>, pairs binary"
+
+
+def _block_schema():
+    import pyarrow as pa
+
+    return pa.schema([("cell", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("q", pa.list_(pa.int64())), ("v", pa.list_(pa.int64())), ("pairs", pa.binary())])
+
+
+def _small_cells(proj: Projections):
+    """Many small cells -> the blocks of _collisions for those with a pair that reaches the count."""
+
+    def run(t):
+        import pyarrow as pa
+
+        cell, rid, kind, group = (t.column(c).to_numpy() for c in ("cell", "rid", "class", "group"))
+        p, marks = _array(t.column("at"), np.float32, t.num_rows), _array(t.column("marks"), "<u4", t.num_rows)
+        line = p[np.arange(len(p)), group % COUNTED].astype(np.float64)
+        order = np.lexsort((line, cell))
+        cell, rid, kind, group, p, marks, line = (x[order] for x in (cell, rid, kind, group, p, marks, line))
+        # One line of all cells, each far from the next: a window then ends within its cell.
+        rank = np.cumsum(np.concatenate([[False], cell[1:] != cell[:-1]]))
+        spot = line - line.min() + rank * (np.ptp(line) + 2 * proj.half + 1)
+        n = np.searchsorted(spot, spot + proj.half + 1e-6, "right") - np.arange(len(spot)) - 1
+        upto = np.cumsum(n)
+        found, at = [], 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            m = n[at:to]
+            r = np.repeat(np.arange(at, to), m)
+            c = np.arange(len(r)) - np.repeat(np.cumsum(m) - m, m) + r + 1
+            near = np.abs(p[r] - p[c]) <= proj.half
+            on = (near.sum(1, dtype=np.uint8) >= proj.least) & near[np.arange(len(r)), group[r] % COUNTED] & (kind[r] == kind[c])
+            r, c, near = r[on], c[on], near[on]
+            earlier = np.arange(proj.groups) < group[r][:, None]
+            met = earlier & (marks[r] == marks[c]) & near[:, np.arange(proj.groups) % COUNTED]
+            on = ~met.any(1)
+            found.append((r[on], c[on]))
+            at = to
+        r, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows = []
+        for a, b in zip(*_stretches(rank[r]), strict=True):
+            (qs, i), (vs, j) = np.unique(r[a:b], return_inverse=True), np.unique(c[a:b], return_inverse=True)
+            bits = np.zeros((len(qs), len(vs)), bool)
+            bits[i, j] = True
+            rows.append((int(cell[qs[0]]), 0, 0, rid[qs], rid[vs], np.packbits(bits).tobytes()))
+        schema = _block_schema()
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+
+    return run
+
+
+def _stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings and ends of runs of equal values."""
+    cut = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return (np.concatenate([[0], cut]), np.append(cut, len(values))) if len(values) else (cut, cut)
+
+
 def _collisions(proj: Projections):
     """Rows of one block of one cell -> cell, x, y, q, v, pairs: vectors that have a pair which reaches the count, and a bit for
     each of their pairs; a pair stands once. No row where there is none."""
@@ -129,7 +190,7 @@ def _collisions(proj: Projections):
     def run(t):
         import pyarrow as pa
 
-        schema = pa.schema([("cell", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("q", pa.list_(pa.int64())), ("v", pa.list_(pa.int64())), ("pairs", pa.binary())])
+        schema = _block_schema()
         x, y, j = (t.column(c)[0].as_py() for c in ("x", "y", "group"))
         rid, kind, mine = (t.column(c).to_numpy() for c in ("rid", "class", "mine"))
         p, marks = _array(t.column("at"), np.float32, t.num_rows), _array(t.column("marks"), "<u4", t.num_rows)
@@ -246,14 +307,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     slim = base.select("rid", "class", "vector")
     cells, p_cells = materialize(slim.mapInArrow(_rows(proj, False), "cell long, group int, rid long"), "emb-cells")
     # Cells of several vectors, with the blocks they are dealt into; written, so that the join may split a cell of very many.
-    several, p_several = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("b")), "emb-several")
+    several, p_several = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "emb-several")
     points = slim.mapInArrow(_rows(proj, True), "rid long, class long, at binary, marks binary")
-    dealt = cells.join(several, "cell").join(points, "rid").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("b")).cast("int"))
+    # Small cells are dealt out in bundles, as a group of its own costs more than most of them hold.
+    bundles = max(1, -(-(several.filter(F.col("n") <= SMALL).agg(F.sum("n")).first()[0] or 0) // BUNDLE))
+    small = cells.join(several.filter(F.col("n") <= SMALL).select("cell"), "cell").join(points, "rid")
+    small = small.select("cell", "group", "rid", "class", "at", "marks", F.pmod(F.xxhash64("cell"), F.lit(bundles)).alias("bundle"))
+    few = small.groupBy("bundle").applyInArrow(_small_cells(proj), BLOCKS)
+    large = several.filter(F.col("n") > SMALL).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("b"))
+    dealt = cells.join(large, "cell").join(points, "rid").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("b")).cast("int"))
     # A block holds two parts of a cell; each vector goes to the blocks of its part with every other part and with itself.
     dealt = dealt.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     dealt = dealt.select("cell", "group", "rid", "class", "at", "marks", "mine", F.least("mine", "theirs").alias("x"), F.greatest("mine", "theirs").alias("y"))
     place = ["cell", "x", "y"]
-    blocks, p_blocks = materialize(dealt.groupBy(place).applyInArrow(_collisions(proj), "cell long, x int, y int, q array<long>, v array<long>, pairs binary"), "emb-blocks")
+    blocks, p_blocks = materialize(dealt.groupBy(place).applyInArrow(_collisions(proj), BLOCKS).unionByName(few), "emb-blocks")
     members = blocks.select(*place, F.explode(F.array_union("q", "v")).alias("rid")).join(base.select("rid", "copies", "vector"), "rid")
     members = members.select([F.col(c).alias(f"m_{c}") for c in place] + ["rid", "copies", "vector"])
     found, p_found = materialize(blocks.groupBy(place).cogroup(members.groupBy([f"m_{c}" for c in place])).applyInArrow(_verified(cosine), "node long, links long, other long"), "emb-links")
