@@ -464,7 +464,7 @@ def _lost_and_won(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 SELECT r.method, r.path AS from_path, a.path AS to_path FROM r JOIN a ON r.method = a.method AND r.operation_id = a.operation_id""")
 def op_rename_by_id(spark, sf_dir):
     r, a = _lost_and_won(spark, sf_dir)
-    pairs = matching.operation_renames(r, a).filter(F.col("conf") == changes.HIGH)
+    pairs = matching.operation_renames(r, a, by_id=True)
     return pairs.join(r.select(F.col("ord").alias("from_ord"), F.col("path").alias("from_path")), "from_ord").join(a.select(F.col("ord").alias("to_ord"), F.col("path").alias("to_path")), "to_ord").select("method", "from_path", "to_path")
 
 
