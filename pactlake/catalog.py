@@ -476,11 +476,8 @@ c AS (SELECT r.ord AS from_ord, a.ord AS to_ord, {_SIM.format(_STRIP.format('r.p
 d AS (SELECT *, (CAST(k AS DOUBLE) / (6 - k) + 1) / 2 AS m FROM c) SELECT from_ord, to_ord, round(s, 9) AS similarity, round(m, 9) AS resemblance FROM d WHERE s >= 0.5 AND m >= 0.6""")
 def op_rename_by_similarity(spark, sf_dir):
     r, a = _lost_and_won(spark, sf_dir)
-    cand = matching.operation_candidates(r, a).filter(F.col("conf") == changes.MEDIUM).select("from_ord", "to_ord", "score")
-    side = lambda d, p: d.select(F.col("ord").alias(f"{p}_ord"), F.col("path").alias(p), F.col("request").alias(f"{p}_q"), F.col("response").alias(f"{p}_s"))
-    full = cand.join(side(r, "from"), "from_ord").join(side(a, "to"), "to_ord")
-    m = matching.resemblance(F.col("from_q"), F.col("to_q"), F.col("from_s"), F.col("to_s"))
-    return full.select("from_ord", "to_ord", F.round(text.path_similarity("from", "to"), 9).alias("similarity"), F.round(m, 9).alias("resemblance"))
+    found = matching.likely_pairs(r, a)
+    return found.select("from_ord", "to_ord", F.round("close", 9).alias("similarity"), F.round("alike", 9).alias("resemblance"))
 
 
 @query()

@@ -54,3 +54,10 @@ def test_an_id_and_nothing_else_ties_with_all_but_the_id(spark):
         want = rows(matching.fold_pairs(matching.operation_candidates(r, a), matching.PLACE))
         assert rows(matching.operation_renames(r, a)) == want
         assert rows(matching.operation_renames(r, a, by_id=True)) == [x for x in want if x[-1] == 2]
+
+
+def test_pairs_of_operations_are_not_shuffled(spark):
+    """What is met is judged in the same step: over the join of the pairs there is no exchange."""
+    plan = matching.likely_pairs(*sides(spark, 7))._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Exchange" not in above and "Aggregate" not in above and "Join" not in above
