@@ -11,6 +11,10 @@ from pactlake.sources.documents import Model, load
 from pactlake.work import discard, written
 
 
+#: Documents that a Python worker holds at a time.
+BATCH_DOCUMENTS = 64
+
+
 class DocumentDiff:
     """Frames of one comparison: `loaded`, `model`, `header`, `changes`. `specs`: pair_id, side (old, new), source, content.
 
@@ -20,15 +24,16 @@ class DocumentDiff:
 
     def __init__(self, specs: DataFrame) -> None:
         self._spark, self._paths = specs.sparkSession, []
-        self.loaded = self._keep(load(specs))
+        self.loaded = self._keep(load(specs), BATCH_DOCUMENTS)
         self.model = Model(self.loaded)
+        self.model.read = self._keep(self.model.raw_operations())
         self._ops = self._keep(self.model.operations())
         self._fields = self._keep(self.model.fields())
         self._params = self._keep(self.model.params())
         self._paired = None
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        out, path = written(df, "contract")
+    def _keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        out, path = written(df, "contract", batch=batch)
         self._paths.append(path)
         return out
 

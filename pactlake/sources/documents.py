@@ -36,7 +36,12 @@ def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -
 
 
 def contract_of(text: str) -> str:
-    """What a JSON or YAML document says as a contract, as JSON: info, servers, security, and operations with the types of their
+    """The contract of a document, as JSON."""
+    return _json(_contract(text))
+
+
+def _contract(text: str) -> dict:
+    """What a JSON or YAML document says as a contract: info, servers, security, and operations with the types of their
     parameters and the fields of their payloads. References are followed where they are met; those to other documents, and
     those that lead nowhere, are unknown. A reference back into the schema that is being walked keeps its type, format and
     enum and loses its members, which is where walks of a cyclic document stop.
@@ -101,7 +106,11 @@ def contract_of(text: str) -> str:
     out |= {k: doc[k] for k in ("servers", "security", "swagger") if k in doc}
     if isinstance(doc.get("openapi"), str):
         out["openapi"] = doc["openapi"]
-    return json.dumps(out, ensure_ascii=False, default=str)
+    return out
+
+
+def _json(value: dict) -> str:
+    return json.dumps(value, ensure_ascii=False, default=str)
 
 
 def _text(v):
@@ -116,24 +125,25 @@ _S = T.StringType()
 _FACTS = "type string, schema_fp string, enum_values array<string>"
 
 
-@F.pandas_udf(_fields(doc=_S, problem=_S))
+@F.pandas_udf(_fields(doc=_S, head=_S, problem=_S))
 def parse_document(content: pd.Series) -> pd.DataFrame:
     rows = []
     for text in content:
         try:
-            rows.append((contract_of(text or ""), None))
+            said = _contract(text or "")
+            rows.append((_json(said), _json({k: v for k, v in said.items() if k != "paths"}), None))
         except Exception as e:  # a bad document is a row with its problem, not a failed job
-            rows.append((None, f"{type(e).__name__}: {e}"[:300]))
-    return pd.DataFrame(rows, columns=["doc", "problem"])
+            rows.append((None, None, f"{type(e).__name__}: {e}"[:300]))
+    return pd.DataFrame(rows, columns=["doc", "head", "problem"])
 
 
 def load(specs: DataFrame) -> DataFrame:
-    """specs: pair_id, side, source, content. Adds doc, problem, title, version, primary_server; bad rows keep a problem, and
+    """specs: pair_id, side, source, content. Adds doc, head (doc without its paths), problem, title, version, primary_server; bad rows keep a problem, and
     those that came with one their own."""
     unread = F.col("problem") if "problem" in specs.columns else F.lit(None).cast("string")
     specs = specs.withColumn("_unread", unread).drop("problem")
-    parsed = specs.withColumn("p", parse_document("content")).select(*[c for c in specs.columns if c != "content"], "p.doc", "p.problem")
-    get = lambda p: F.get_json_object("doc", p)
+    parsed = specs.withColumn("p", parse_document("content")).select(*[c for c in specs.columns if c != "content"], "p.doc", "p.head", "p.problem")
+    get = lambda p: F.get_json_object("head", p)
     version = F.when(F.col("problem").isNull() & get("$.openapi").isNull(), F.when(get("$.swagger").isNotNull(), "Swagger 2.0 is not supported").otherwise("no openapi version"))
     return parsed.withColumn("problem", F.coalesce("_unread", "problem", version)).drop("_unread").withColumns({
         "title": F.coalesce(get("$.info.title"), F.lit("untitled api")), "version": F.coalesce(get("$.info.version"), F.lit("unknown")), "primary_server": get("$.servers[0].url"),
@@ -150,20 +160,23 @@ def _keys(text):
 
 
 class Model:
-    """Normalised tables of loaded documents (rows with a problem are left out)."""
+    """Normalised tables of loaded documents (rows with a problem are left out).
+
+    `read`: raw_operations where they are written, so that documents are taken apart once and not for every table.
+    """
 
     def __init__(self, loaded: DataFrame) -> None:
-        self.docs = loaded.filter("problem IS NULL").select("pair_id", "side", "doc")
+        self.docs, self.read = loaded.filter("problem IS NULL").select("pair_id", "side", "doc", "head"), None
 
     def servers(self) -> DataFrame:
-        got = self.docs.select("pair_id", "side", F.posexplode(F.from_json(F.get_json_object("doc", "$.servers"), "array<struct<url:string>>")).alias("pos", "s"))
+        got = self.docs.select("pair_id", "side", F.posexplode(F.from_json(F.get_json_object("head", "$.servers"), "array<struct<url:string>>")).alias("pos", "s"))
         return got.select("pair_id", "side", "pos", F.col("s.url").alias("url"))
 
     def security(self) -> DataFrame:
-        return self.docs.select("pair_id", "side", F.explode(_requirement_names(F.get_json_object("doc", "$.security"))).alias("name"))
+        return self.docs.select("pair_id", "side", F.explode(_requirement_names(F.get_json_object("head", "$.security"))).alias("name"))
 
     def schemes(self) -> DataFrame:
-        rows = self.docs.select("pair_id", "side", F.explode(_map(F.get_json_object("doc", "$.components.securitySchemes"))).alias("name", "s"))
+        rows = self.docs.select("pair_id", "side", F.explode(_map(F.get_json_object("head", "$.components.securitySchemes"))).alias("name", "s"))
         g = lambda p: F.get_json_object("s", p)
         kind = g("$.type")
         say = (
@@ -173,7 +186,9 @@ class Model:
         return rows.filter(kind.isNotNull()).select("pair_id", "side", "name", say.alias("description"))
 
     def raw_operations(self) -> DataFrame:
-        paths = self.docs.select("pair_id", "side", F.get_json_object("doc", "$.security").alias("doc_security"), F.posexplode(_map(F.get_json_object("doc", "$.paths"))).alias("ppos", "path", "item"))
+        if self.read is not None:
+            return self.read
+        paths = self.docs.select("pair_id", "side", F.get_json_object("head", "$.security").alias("doc_security"), F.posexplode(_map(F.get_json_object("doc", "$.paths"))).alias("ppos", "path", "item"))
         items = paths.withColumn("m", _map(F.col("item")))
         ops = items.select("*", F.posexplode(F.array(*map(F.lit, METHODS))).alias("mpos", "method")).withColumn("operation", F.element_at("m", F.col("method"))).filter("operation IS NOT NULL")
         return ops.select("pair_id", "side", F.concat_ws(" ", F.upper("method"), "path").alias("op_key"), "path", "method", (F.col("ppos") * 8 + F.col("mpos")).alias("ord"), F.element_at("m", F.lit("parameters")).alias("shared_params"), "operation", "doc_security")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting that removes an execution's shuffle files when it ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the rows that Python is given at a time.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -23,18 +25,21 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, tag: str, by: str | None = None) -> tuple[DataFrame, str]:
+def written(df: DataFrame, tag: str, by: str | None = None, batch: int | None = None) -> tuple[DataFrame, str]:
     """`df` written to the shared folder, in folders by a column if named, and read again, and its path.
 
-    The write's shuffle files go when it is done.
+    The write's shuffle files go when it is done. `batch`: rows that Python holds at a time, where they are large.
     """
     spark = df.sparkSession
-    path, held = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(CLEAN, "false")
+    path, held = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}", {CLEAN: spark.conf.get(CLEAN, "false"), BATCH: spark.conf.get(BATCH)}
     spark.conf.set(CLEAN, "true")
+    if batch:
+        spark.conf.set(BATCH, str(batch))
     try:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
-        spark.conf.set(CLEAN, held)
+        for name, value in held.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path), path
 
 
