@@ -31,6 +31,8 @@ ANY = "{}"
 #: Rounds in which a variable takes the type of the variable it is set to.
 ALIAS_ROUNDS = 3
 HERE = ["repo", "file"]
+#: Files that a Python worker holds at a time.
+BATCH_FILES = 256
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ class Code:
 
     def __init__(self, files: DataFrame) -> None:
         self.spark = files.sparkSession
-        self.facts, path = written(syntax(files), "code-facts", by="kind")
+        self.facts, path = written(syntax(files), "code-facts", by="kind", batch=BATCH_FILES)
         self._paths = [path]
 
     def of(self, kind: str, **names: str) -> DataFrame:

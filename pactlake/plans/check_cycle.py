@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactlake.functions.text import content_hash
 from pactlake.operators import call_sites, edits, history
-from pactlake.plans.contract_diff import DocumentDiff
+from pactlake.plans.contract_diff import BATCH_DOCUMENTS, DocumentDiff
 from pactlake.sources.documents import load
 from pactlake.work import discard, written
 
@@ -34,7 +34,7 @@ class CheckCycle:
         moved = self._state.filter(F.col("status") == CHANGED)
         side = lambda s, c: moved.select(F.col("spec").alias("pair_id"), F.lit(s).alias("side"), "source", F.col(c).alias("content"))
         self._diff = DocumentDiff(side("old", "old_content").unionByName(side("new", "content")))
-        self._first = self._keep(load(self._state.filter(F.col("status") == BASELINE).select("spec", "source", "content")))
+        self._first = self._keep(load(self._state.filter(F.col("status") == BASELINE).select("spec", "source", "content")), BATCH_DOCUMENTS)
         found = self._diff.changes().withColumn("id", F.concat_ws(":", "pair_id", "id"))  # the same change in two specs is two
         broken = self._diff.problems().select("pair_id").distinct()
         self.changes = self._keep(found.join(broken, "pair_id", "left_anti"))
@@ -44,8 +44,8 @@ class CheckCycle:
             sites = call_sites.find_sites(files, self.changes.withColumn("repo", F.col("pair_id")))
             self.edits = self._keep(edits.plan_edits(sites, self.changes))
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        out, path = written(df, "check")
+    def _keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        out, path = written(df, "check", batch=batch)
         self._paths.append(path)
         return out
 

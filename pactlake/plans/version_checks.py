@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pactlake.functions.text import content_hash
 from pactlake.operators import artifacts, call_sites, edits, history
 from pactlake.plans.check_cycle import BASELINE, CHANGED, FAILED, UNCHANGED
-from pactlake.plans.contract_diff import DocumentDiff
+from pactlake.plans.contract_diff import BATCH_DOCUMENTS, DocumentDiff
 from pactlake.sources.documents import load
 from pactlake.sources.store import Store
 from pactlake.work import discard, written
@@ -27,7 +27,7 @@ class VersionChecks:
         self._spark, self._paths = versions.sparkSession, []
         texts = versions.select("spec", F.col("seq").cast("long").alias("seq"), "source", "content", content_hash("content").alias("hash")).dropDuplicates(["spec", "seq", "hash"])
         self._texts = self._keep(texts.withColumn("key", F.sha2(F.concat_ws("\u0001", "spec", F.coalesce(F.col("seq").cast("string"), F.lit("")), "hash"), 256)))
-        self._loaded = self._keep(load(self._texts.select(F.col("key").alias("pair_id"), F.lit("new").alias("side"), "source", "content")).select(F.col("pair_id").alias("key"), "problem", F.col("version").alias("new_version")))
+        self._loaded = self._keep(load(self._texts.select(F.col("key").alias("pair_id"), F.lit("new").alias("side"), "source", "content")).select(F.col("pair_id").alias("key"), "problem", F.col("version").alias("new_version")), BATCH_DOCUMENTS)
         slim = self._texts.select("spec", "seq", "hash", "key").join(self._loaded, "key")
         stored = snapshots.select("spec", F.lit(None).cast("long").alias("seq"), content_hash("content").alias("hash"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("problem"), F.lit(None).cast("string").alias("new_version"))
         order = Window.partitionBy("spec").orderBy("stored", F.asc_nulls_first("seq"), "hash").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,8 +45,8 @@ class VersionChecks:
         self.changes = self._keep(found.withColumn("id", F.concat_ws(":", "pair_id", "id")))
         self.edits = None if files is None else self._keep(edits.plan_edits(call_sites.find_sites(files, self.changes), self.changes).join(self.changes.select(F.col("id").alias("change_id"), F.col("pair_id").alias("key")), "change_id"))
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        out, path = written(df, "versions")
+    def _keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        out, path = written(df, "versions", batch=batch)
         self._paths.append(path)
         return out
 
