@@ -33,6 +33,8 @@ ALIAS_ROUNDS = 3
 HERE = ["repo", "file"]
 #: Files that a Python worker holds at a time.
 BATCH_FILES = 256
+#: Tasks of the scan for each core of the session, at least.
+TASKS_A_CORE = 4
 
 
 @dataclass(frozen=True)
@@ -54,12 +56,19 @@ def wrapper_table(spark, wrappers: Iterable[Wrapper | str]) -> DataFrame:
     return spark.createDataFrame([(w.repo, w.name, w.url_argument, w.body_argument, w.method_argument) for w in found], WRAPPERS)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """`files` dealt out by name: reading them costs far more than their bytes, by which Spark cuts a small table into a task or two."""
+    spark = files.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    return files.repartition(n, "repo", "file")
+
+
 class Code:
     """The facts of files (repo, file, content), written once by kind; `close` removes them."""
 
     def __init__(self, files: DataFrame) -> None:
         self.spark = files.sparkSession
-        self.facts, path = written(syntax(files), "code-facts", by="kind", batch=BATCH_FILES)
+        self.facts, path = written(syntax(spread(files)), "code-facts", by="kind", batch=BATCH_FILES)
         self._paths = [path]
 
     def of(self, kind: str, **names: str) -> DataFrame:

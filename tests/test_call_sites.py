@@ -142,3 +142,23 @@ def test_any_text_is_scanned(text):
 def test_a_large_file_takes_time_in_proportion():
     facts = facts_of("async function f(a: T) { const r = await fetch(`/v1/${a}`, { body: JSON.stringify({ x: 1, y: [a.b] }) }); return r.data.z; }\n" * 3000)
     assert sum(f["kind"] == "call" for f in facts) == 6000
+
+
+def test_the_scan_of_one_small_table_is_dealt_to_all_cores(spark):
+    text = "export async function load() {\n  const r = await fetch('/v1/charges', { method: 'GET' });\n  return (await r.json()) as Charge;\n}\n"
+    files = spark.range(400).coalesce(1).selectExpr("'repo' AS repo", "concat('f', id) AS file", f"\"{text}\" AS content".replace("\n", "\\n"))
+    code = cs.Code(files)
+    tasks = {f.rsplit("/", 1)[1].split("-")[1] for f in code.of("call").inputFiles()}
+    assert len(tasks) > 4 and code.of("call").count() == 800
+    code.close()
+
+
+def test_facts_of_many_files_leave_a_worker_together():
+    import pyarrow as pa
+
+    from pactlake.sources import source_code
+
+    schema = source_code._arrow_schema(None)
+    rows = [{"repo": "r", "file": str(i)} | f for i in range(3) for f in facts_of("fetch('/v1/a', { body: x })")]
+    batch = source_code._facts_batch(rows, schema)
+    assert batch.num_rows == len(rows) and pa.Table.from_batches([batch])["file"].to_pylist() == [r["file"] for r in rows]
