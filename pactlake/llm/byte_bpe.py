@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import byte_slices
+from pactlake.llm.common import byte_slices, give_back, no_cycles
 from pactlake.llm.pretokens import ENTRIES, TextValues
 
 #: Texts whose words are encoded together; their bytes are bounded too.
@@ -111,10 +111,21 @@ class Merger:
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each pre-token, as little-endian unsigned 32-bit numbers."""
+        token, owner = self._merged(pieces)
+        data = token.astype("<u4").tobytes()
+        end = (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+        return [data[a:b] for a, b in zip([0, *end[:-1]], end, strict=True)]
+
+    def count(self, pieces: list[bytes]) -> list[int]:
+        """Tokens of each pre-token."""
+        return np.bincount(self._merged(pieces)[1], minlength=len(pieces)).tolist()
+
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pre-tokens in a row, and the number of the pre-token that each is of."""
         size = np.array([len(p) for p in pieces], np.int64)
         n, low = int(size.sum()), (1 << WORD) - 1
         if not n:
-            return [b""] * len(pieces)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(pieces)), size)
         token = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
         inner = owner[1:] == owner[:-1]
@@ -167,17 +178,14 @@ class Merger:
             prv[k] = i
             want[j] = -1
             alive[j] = False
-            p = prv[i]
-            right, left = i[k < n], i[p >= 0]
+            right, left = i[k < n], i[prv[i] >= 0]
             want[i] = -1
-            want[right] = self.rank(token[right], token[nxt[right]])
-            p = prv[left]
-            want[p] = self.rank(token[p], token[left])
-            new = np.concatenate([right, p])
-            new = new[want[new] >= 0]
-        data = token[alive].astype("<u4").tobytes()
-        end = (4 * np.cumsum(np.bincount(owner[alive], minlength=len(pieces)))).tolist()
-        return [data[a:b] for a, b in zip([0, *end[:-1]], end, strict=True)]
+            # The pairs to the right and to the left of what has merged.
+            near = np.concatenate([right, prv[left]])
+            made = self.rank(token[near], token[np.concatenate([nxt[right], left])])
+            want[near] = made
+            new = near[made >= 0]
+        return token[alive], owner[alive]
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -194,7 +202,7 @@ class Codec:
         self.values = TextValues(pattern, lambda piece: np.array(merge(piece.encode(), ranks), "<u4").tobytes(), b"".join, self._pieces)
 
         # Counts are small numbers, of which a worker can remember more.
-        self.counts = TextValues(pattern, lambda piece: len(merge(piece.encode(), ranks)), sum, lambda pieces: [len(x) // 4 for x in self._pieces(pieces)], 2 * ENTRIES)
+        self.counts = TextValues(pattern, lambda piece: len(merge(piece.encode(), ranks)), sum, self._counts, 2 * ENTRIES)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
@@ -204,17 +212,27 @@ class Codec:
             out[i] = ids
         return out
 
+    def _counts(self, pieces: list[str]) -> list[int]:
+        raw = [p.encode() for p in pieces]
+        out = [1 if x in self.ranks else 0 for x in raw]
+        rest = [i for i, n in enumerate(out) if not n]
+        for i, n in zip(rest, self.many.count([raw[i] for i in rest]), strict=True):
+            out[i] = n
+        return out
+
     def encode(self, text: str) -> bytes:
         return self.values.of(text)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        self.values.learn(texts)
-        return [self.values.of(t) for t in texts]
+        with no_cycles():
+            self.values.learn(texts)
+            return [self.values.of(t) for t in texts]
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Tokens of each text, without its ids."""
-        self.counts.learn(texts)
-        return [self.counts.of(t) for t in texts]
+        with no_cycles():
+            self.counts.learn(texts)
+            return [self.counts.of(t) for t in texts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -228,6 +246,7 @@ def codec_of(data: bytes, pattern: str) -> Codec:
     key = hashlib.sha256(data).digest(), pattern
     if key not in _codecs:
         _codecs.clear()
+        give_back()
         _codecs[key] = Codec(load_ranks(data), pattern)
     return _codecs[key]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,35 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def no_cycles():
+    """Without the search for reference cycles, which large memories of strings only slow down: for loops that make none."""
+    import gc
+
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def give_back() -> None:
+    """Return what this worker freed in earlier stages to the system: workers outlive stages and allocators keep their peaks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column and the row offsets (n + 1); nulls are empty. No copy."""
     import pyarrow as pa

@@ -38,7 +38,7 @@ def counted(docs: DataFrame, text_col: str = "text", ranks_path: str | None = No
         return pd.Series([n for at in range(0, len(texts), SLICE_ROWS) for n in codec.count_all([t or "" for t in texts[at : at + SLICE_ROWS]])], dtype="int64")
 
     n = F.pandas_udf(count, "long")
-    return materialize(docs.withColumn("_n_tokens", n(F.col(text_col))), "mix-counted")
+    return materialize(docs.withColumn("_n_tokens", n(F.col(text_col))), "mix-counted", batch=SLICE_ROWS)
 
 
 class Shares:

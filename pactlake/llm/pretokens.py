@@ -57,15 +57,25 @@ class TextValues:
             words.update(text.split(" "))
         words.difference_update(self.words)
         self.words.turn()
-        old, new = self.words.old, []
-        for w in words:
-            if w in old:
-                self.words[w] = old[w]
-            elif 0 < len(w) <= CHARS and not (w[0].isspace() or w[-1].isspace()):
-                new.append(w)
+        old = self.words.old
+        known = words.intersection(old)
+        self.words.update((w, old[w]) for w in known)
+        words -= known
         # A word of letters alone is one piece with its space; isalpha and \p{L} are the same categories.
-        plain, mixed = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
-        found = [self.find(" " + w) for w in mixed]
+        plain, mixed = [], []
+        for w in words:
+            if w.isalpha():
+                if len(w) <= CHARS:
+                    plain.append(w)
+            elif 0 < len(w) <= CHARS and w.strip() == w:
+                mixed.append(w)
+        # Matches that begin with a space are the first of their words.
+        found: list[list[str]] = []
+        for p in self.find(" " + " ".join(mixed)) if mixed else ():
+            if p[0] == " ":
+                found.append([p])
+            else:
+                found[-1].append(p)
         pieces = list({p for x in found for p in x})
         values = self.of_pieces([" " + w for w in plain] + pieces)
         value = dict(zip(pieces, values[len(plain) :], strict=True))

@@ -92,3 +92,30 @@ def test_budgets_in_shares_of_the_corpus(spark):
     made, whole = sum(r["_n_tokens"] * r["_copies"] for r in found), sum(r["_n_tokens"] for r in found)
     assert 0.48 * whole < made <= 0.5 * whole
     assert all(len(r["_places"]) == r["_copies"] for r in found)
+
+
+def test_python_is_given_one_slice_of_texts_at_a_time(spark, monkeypatch):
+    seen, write = [], mixing.materialize
+
+    def watched(df, tag, **k):
+        seen.append((tag, k.get("batch")))
+        return write(df, tag, **k)
+
+    monkeypatch.setattr(mixing, "materialize", watched)
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    out, _ = mixing.counted(docs)
+    assert seen == [("mix-counted", mixing.SLICE_ROWS)] and {r.doc_id: r._n_tokens > 0 for r in out.collect()} == {1: True, 2: False}
+
+
+def test_counts_are_those_of_the_ids():
+    import gc
+
+    import public_tokenizers
+
+    from pactlake.llm import byte_bpe
+
+    with open(public_tokenizers.path(mixing.RANKS), "rb") as f:
+        codec = byte_bpe.Codec(byte_bpe.load_ranks(f.read()), public_tokenizers.PATTERN)
+    texts = ["a\tb c d  e\n\nf 12,345 x-y  ", " lead", "a b\u0085 c,d e", "", " ", "x'll don't 3.14e10 　 z;", "a \x1cb c\x1d d. e", "q9 " * 50 + "zq7x,9 " * 3]
+    assert codec.count_all(texts) == [len(codec.values.plain(t)) // 4 for t in texts] and codec.encode_all(texts) == [codec.values.plain(t) for t in texts]
+    assert codec.many.count([b"abc", b"", b"zzzz"]) == [len(x) // 4 for x in codec.many.merge([b"abc", b"", b"zzzz"])] and gc.isenabled()
