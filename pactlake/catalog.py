@@ -324,16 +324,16 @@ def field_rename_ambiguous(spark, sf_dir):
     return found.select("op", F.col("f.direction").alias("direction"), F.col("f.ord").alias("from_ord"), F.col("t.ord").alias("to_ord"))
 
 
-def _field_changes(spark, sf_dir) -> DataFrame:
+def _field_changes(spark, sf_dir, only: str | None = None) -> DataFrame:
     ctx, o, n = _view(spark, sf_dir, "contexts", "fields_old", "fields_new")
     none = F.lit(None).cast("array<string>")
-    return diff.field_changes(ctx, o.withColumn("enum_values", none), n.withColumn("enum_values", none))
+    return diff.field_changes(ctx, o.withColumn("enum_values", none), n.withColumn("enum_values", none), only)
 
 
-def _param_changes(spark, sf_dir) -> DataFrame:
+def _param_changes(spark, sf_dir, only: str | None = None) -> DataFrame:
     ctx, o, n = _view(spark, sf_dir, "contexts", "params_old", "params_new")
     none = F.lit(None).cast("array<string>")
-    return diff.diff_params(ctx, o.withColumn("enum_values", none), n.withColumn("enum_values", none))
+    return diff.diff_params(ctx, o.withColumn("enum_values", none), n.withColumn("enum_values", none), only)
 
 
 _FKIND = "direction || '.field.{}'"
@@ -373,10 +373,7 @@ _FM2 = "r.op = a.op AND r.direction = a.direction AND r.parent = a.parent AND r.
 SELECT {_id(repr('request.field.added.required'), repr('body'), to='pointer', tt='type')}, true AS breaking, {_RANK} AS confidence, path, method, NULL AS from_name, pointer AS to_name, 'new required request field ' || pointer || ' (' || type || ')' AS detail FROM j""")
 def fields_added_required(spark, sf_dir):
     """Added required request fields of classes that lost nothing. fields_added_required_all has the others too."""
-    ctx, o, n = _view(spark, sf_dir, "contexts", "fields_old", "fields_new")
-    keys, cls = ["pair_id", "op", "direction", "pointer"], ["pair_id", "op", "direction", "parent", "schema_fp"]
-    alone = diff.unmatched(diff.unmatched(n, o, keys), diff.unmatched(o, n, keys), cls).join(ctx, ["pair_id", "op"]).select("pair_id", "path", F.col("pointer").alias("to_name"))
-    return _out(_field_changes(spark, sf_dir).filter("kind = 'request.field.added.required'").join(alone, ["pair_id", "path", "to_name"], "left_semi"))
+    return _out(_field_changes(spark, sf_dir, diff.ADDED_ALONE))
 
 
 _PARAM_BOTH = f"SELECT c.path, c.method, c.rank, o.location, o.name, o.type AS a, n.type AS b, o.required AS old_required, n.required AS new_required FROM {V('params_old')} o JOIN {V('params_new')} n ON o.op = n.op AND o.location = n.location AND o.name = n.name JOIN {V('contexts')} c ON c.op = o.op"
@@ -407,10 +404,7 @@ def params_removed(spark, sf_dir):
 @query(f"WITH {_PR}, j AS (SELECT c.path, c.method, c.rank, a.location, a.name, a.type FROM a JOIN {V('contexts')} c ON c.op = a.op WHERE a.required AND NOT EXISTS (SELECT 1 FROM r WHERE {_PM})) SELECT {_id(repr('param.added.required'), 'location', to='name', tt='type')}, true AS breaking, {_RANK} AS confidence, path, method, NULL AS from_name, name AS to_name, 'new required ' || location || ' parameter ' || name || ' (' || type || ')' AS detail FROM j")
 def params_added_required(spark, sf_dir):
     """Added required parameters of classes that lost nothing. params_added_required_all has the others too."""
-    ctx, o, n = _view(spark, sf_dir, "contexts", "params_old", "params_new")
-    keys, cls = ["pair_id", "op", "location", "name"], ["pair_id", "op", "location", "type"]
-    alone = diff.unmatched(diff.unmatched(n, o, keys), diff.unmatched(o, n, keys), cls).join(ctx, ["pair_id", "op"]).select("pair_id", "path", "location", F.col("name").alias("to_name"))
-    return _out(_param_changes(spark, sf_dir).filter("kind = 'param.added.required'").join(alone, ["pair_id", "path", "location", "to_name"], "left_semi"))
+    return _out(_param_changes(spark, sf_dir, diff.ADDED_ALONE))
 
 
 # ---- whole outputs: what first fit leaves unpaired has no plain SQL form ----
