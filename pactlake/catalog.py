@@ -360,10 +360,7 @@ _FM = "a.op = r.op AND a.direction = r.direction AND a.parent = r.parent AND a.s
 SELECT {_id(_FKIND.format('removed'), _LOC, 'pointer', ft='type')}, direction = 'response' OR required AS breaking, {_RANK} AS confidence, path, method, pointer AS from_name, NULL AS to_name, direction || ' field ' || pointer || ' removed' AS detail FROM j""")
 def fields_removed(spark, sf_dir):
     """Removed fields of classes to which nothing was added: no rename can claim them. fields_removed_all has the others too."""
-    ctx, o, n = _view(spark, sf_dir, "contexts", "fields_old", "fields_new")
-    keys, cls = ["pair_id", "op", "direction", "pointer"], ["pair_id", "op", "direction", "parent", "schema_fp"]
-    alone = diff.unmatched(diff.unmatched(o, n, keys), diff.unmatched(n, o, keys), cls).join(ctx, ["pair_id", "op"]).select("pair_id", "path", "direction", F.col("pointer").alias("from_name"))
-    return _out(_field_changes(spark, sf_dir).filter(F.endswith("kind", F.lit(".field.removed"))).join(alone, ["pair_id", "path", "direction", "from_name"], "left_semi"))
+    return _out(_field_changes(spark, sf_dir, diff.REMOVED_ALONE))
 
 
 _FM2 = "r.op = a.op AND r.direction = a.direction AND r.parent = a.parent AND r.schema_fp = a.schema_fp"
