@@ -342,13 +342,13 @@ _FKIND = "direction || '.field.{}'"
 @query(f"""WITH j AS (SELECT c.*, direction, pointer, a, b FROM ({_FIELD_BOTH}) f JOIN {V('contexts')} c ON c.op = f.op WHERE a <> b)
 SELECT {_id(_FKIND.format('type.changed'), _LOC, 'pointer', 'pointer', 'a', 'b')}, {_BREAKS} AS breaking, {_RANK} AS confidence, path, method, pointer AS from_name, pointer AS to_name, direction || ' field ' || pointer || ' changed from ' || a || ' to ' || b AS detail FROM j""")
 def fields_type_changed(spark, sf_dir):
-    return _out(_field_changes(spark, sf_dir).filter(F.endswith("kind", F.lit(".type.changed"))))
+    return _out(_field_changes(spark, sf_dir, diff.MATCHED).filter(F.endswith("kind", F.lit(".type.changed"))))
 
 
 @query(f"""WITH j AS (SELECT c.*, direction, pointer FROM ({_FIELD_BOTH}) f JOIN {V('contexts')} c ON c.op = f.op WHERE direction = 'request' AND NOT old_required AND new_required)
 SELECT {_id(repr('request.field.became.required'), repr('body'), 'pointer', 'pointer')}, true AS breaking, {_RANK} AS confidence, path, method, pointer AS from_name, pointer AS to_name, 'request field ' || pointer || ' is now required' AS detail FROM j""")
 def fields_became_required(spark, sf_dir):
-    return _out(_field_changes(spark, sf_dir).filter("kind = 'request.field.became.required'"))
+    return _out(_field_changes(spark, sf_dir, diff.MATCHED).filter("kind = 'request.field.became.required'"))
 
 
 # Fields that are in no class with several rows a side: there the renames are the sure ones alone.
@@ -378,12 +378,12 @@ _PARAM_BOTH = f"SELECT c.path, c.method, c.rank, o.location, o.name, o.type AS a
 
 @query(f"WITH j AS ({_PARAM_BOTH}) SELECT {_id(repr('param.type.changed'), 'location', 'name', 'name', 'a', 'b')}, {_BREAKS} AS breaking, {_RANK} AS confidence, path, method, name AS from_name, name AS to_name, location || ' parameter ' || name || ' changed from ' || a || ' to ' || b AS detail FROM j WHERE a <> b")
 def params_type_changed(spark, sf_dir):
-    return _out(_param_changes(spark, sf_dir).filter("kind = 'param.type.changed'"))
+    return _out(_param_changes(spark, sf_dir, diff.MATCHED).filter("kind = 'param.type.changed'"))
 
 
 @query(f"WITH j AS ({_PARAM_BOTH}) SELECT {_id(repr('param.became.required'), 'location', 'name', 'name')}, true AS breaking, {_RANK} AS confidence, path, method, name AS from_name, name AS to_name, location || ' parameter ' || name || ' is now required' AS detail FROM j WHERE NOT old_required AND new_required")
 def params_became_required(spark, sf_dir):
-    return _out(_param_changes(spark, sf_dir).filter("kind = 'param.became.required'"))
+    return _out(_param_changes(spark, sf_dir, diff.MATCHED).filter("kind = 'param.became.required'"))
 
 
 _PM = "a.op = r.op AND a.location = r.location AND a.type = r.type"
