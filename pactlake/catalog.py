@@ -392,10 +392,7 @@ _PM = "a.op = r.op AND a.location = r.location AND a.type = r.type"
 @query(f"WITH {_PR}, j AS (SELECT c.path, c.method, c.rank, r.location, r.name FROM r JOIN {V('contexts')} c ON c.op = r.op WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_PM})) SELECT {_id(repr('param.removed'), 'location', 'name')}, false AS breaking, {_RANK} AS confidence, path, method, name AS from_name, NULL AS to_name, location || ' parameter ' || name || ' removed, the server now ignores it' AS detail FROM j")
 def params_removed(spark, sf_dir):
     """Removed parameters of classes that gained nothing. params_removed_all has the others too."""
-    ctx, o, n = _view(spark, sf_dir, "contexts", "params_old", "params_new")
-    keys, cls = ["pair_id", "op", "location", "name"], ["pair_id", "op", "location", "type"]
-    alone = diff.unmatched(diff.unmatched(o, n, keys), diff.unmatched(n, o, keys), cls).join(ctx, ["pair_id", "op"]).select("pair_id", "path", "location", F.col("name").alias("from_name"))
-    return _out(_param_changes(spark, sf_dir).filter("kind = 'param.removed'").join(alone, ["pair_id", "path", "location", "from_name"], "left_semi"))
+    return _out(_param_changes(spark, sf_dir, diff.REMOVED_ALONE))
 
 
 @query(f"WITH {_PR}, j AS (SELECT c.path, c.method, c.rank, a.location, a.name, a.type FROM a JOIN {V('contexts')} c ON c.op = a.op WHERE a.required AND NOT EXISTS (SELECT 1 FROM r WHERE {_PM})) SELECT {_id(repr('param.added.required'), 'location', to='name', tt='type')}, true AS breaking, {_RANK} AS confidence, path, method, NULL AS from_name, name AS to_name, 'new required ' || location || ' parameter ' || name || ' (' || type || ')' AS detail FROM j")
