@@ -23,6 +23,10 @@ from pactlake.llm.pretokens import ENTRIES, TextValues
 SLICE_ROWS = 2048
 #: Ranks in one word of the bitmap's lower level; the upper level has a bit for each such word.
 WORD = 8
+#: Bytes of the longest pre-token that is counted in a table of equally long ones, and bytes of one table.
+SHORT, TABLE = 32, 1 << 19
+#: What stands for the rank of a pair that makes no token.
+NEVER = np.iinfo(np.int32).max
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -102,6 +106,8 @@ class Merger:
         split = [(a << self.bits | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
         split.sort()
         self.codes, self.values = np.array([c for c, _ in split] + [1 << 62], np.int64), np.array([r for _, r in split] + [-1], np.int64)
+        both = self.rank(np.repeat(self.byte, 256), np.tile(self.byte, 256))
+        self.of_bytes = np.where(both < 0, NEVER, both).astype(np.int32)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the token that two tokens make; -1: none."""
@@ -117,8 +123,46 @@ class Merger:
         return [data[a:b] for a, b in zip([0, *end[:-1]], end, strict=True)]
 
     def count(self, pieces: list[bytes]) -> list[int]:
-        """Tokens of each pre-token."""
-        return np.bincount(self._merged(pieces)[1], minlength=len(pieces)).tolist()
+        """Tokens of each pre-token. Short ones of one length are rows of a table, which loses a column with each merge."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out, order = np.zeros(len(pieces), np.int64), np.argsort(size, kind="stable")
+        upto = np.searchsorted(size[order], np.arange(1, SHORT + 2))
+        for n in range(1, SHORT + 1):
+            some = order[upto[n - 1] : upto[n]]
+            for a in range(0, len(some), step := TABLE // n):
+                at = some[a : a + step]
+                out[at] = self._counted(np.frombuffer(b"".join([pieces[i] for i in at.tolist()]), np.uint8).reshape(-1, n))
+        long = order[upto[-1] :]
+        if len(long):
+            out[long] = np.bincount(self._merged([pieces[i] for i in long.tolist()])[1], minlength=len(long))
+        return out.tolist()
+
+    def _counted(self, raw: np.ndarray) -> np.ndarray:
+        """Tokens of each row of bytes: in every step each row merges the leftmost of its pairs of the lowest rank, until it has none."""
+        out, row = np.ones(len(raw), np.int64), np.arange(len(raw))
+        token, pair = self.byte.astype(np.int32)[raw], self.of_bytes[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]]
+        while (n := token.shape[1]) > 1:
+            at = pair.argmin(1)
+            low = pair[np.arange(len(row)), at]
+            more = low < NEVER
+            if not more.all():
+                out[row[~more]] = n
+                row, token, pair, at, low = row[more], token[more], pair[more], at[more], low[more]
+            if not len(row):
+                break
+            here = np.arange(len(row))
+            token[here, at] = low
+            stays = np.ones(token.shape, bool)
+            stays[here, at + 1] = False
+            token = token[stays].reshape(len(row), n - 1)
+            stays = np.ones(pair.shape, bool)
+            stays[here, at] = False
+            pair = pair[stays].reshape(len(row), n - 2)
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < n - 2)
+            for i, j in ((left, at[left] - 1), (right, at[right])):
+                made = self.rank(token[i, j].astype(np.int64), token[i, j + 1].astype(np.int64))
+                pair[i, j] = np.where(made < 0, NEVER, made)
+        return out
 
     def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all pre-tokens in a row, and the number of the pre-token that each is of."""
@@ -228,11 +272,12 @@ class Codec:
             self.values.learn(texts)
             return [self.values.of(t) for t in texts]
 
-    def count_all(self, texts: list[str]) -> list[int]:
-        """Tokens of each text, without its ids."""
+    def count_all(self, texts) -> list[int]:
+        """Tokens of each text of a list or an Arrow array, without its ids; a null has none."""
+        import pyarrow as pa
+
         with no_cycles():
-            self.counts.learn(texts)
-            return [self.counts.of(t) for t in texts]
+            return self.counts.sums(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).tolist()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +33,11 @@ def counted(docs: DataFrame, text_col: str = "text", ranks_path: str | None = No
     with open(ranks_path or public_tokenizers.path(RANKS), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def count(texts: pd.Series) -> pd.Series:
+    def count(texts: pa.Array) -> pa.Array:
         codec = codec_of(shared.value, pattern)
-        return pd.Series([n for at in range(0, len(texts), SLICE_ROWS) for n in codec.count_all([t or "" for t in texts[at : at + SLICE_ROWS]])], dtype="int64")
+        return pa.array([n for at in range(0, len(texts), SLICE_ROWS) for n in codec.count_all(texts.slice(at, SLICE_ROWS))], pa.int64())
 
-    n = F.pandas_udf(count, "long")
+    n = F.arrow_udf(count, "long")
     return materialize(docs.withColumn("_n_tokens", n(F.col(text_col))), "mix-counted", batch=SLICE_ROWS)
 
 

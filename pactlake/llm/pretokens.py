@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 import regex
 
@@ -55,6 +56,10 @@ class TextValues:
         words = set()
         for text in texts:
             words.update(text.split(" "))
+        self.learn_words(words)
+
+    def learn_words(self, words: set[str]) -> None:
+        """Remember the short ones of `words`, all of their pieces made at once."""
         words.difference_update(self.words)
         self.words.turn()
         old = self.words.old
@@ -100,6 +105,43 @@ class TextValues:
                 pass
         return self.join(map(self._stretch, self.stretches(text)))
 
+    def sums(self, texts) -> np.ndarray:
+        """Of an Arrow string array, where values are numbers: the value of each text. Texts are cut and their words numbered
+        by Arrow, so that Python meets every word once, not at every place it stands."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.spaced or not len(texts):
+            return np.array([self.plain(t or "") for t in texts.to_pylist()], np.int64)
+        parts = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), " ")
+        first = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        numbered = parts.flatten().dictionary_encode()
+        at_word, words = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False)
+        opens, ends = np.ones(len(words), bool), np.ones(len(words), bool)  # begins, ends with something other than white space
+        for i, w in enumerate(words.tolist()):
+            if not w or w.strip() != w:
+                opens[i], ends[i] = bool(w) and not w[0].isspace(), bool(w) and not w[-1].isspace()
+        cut = opens[at_word]
+        cut[1:] &= ends[at_word[:-1]]
+        cut[first] = False
+        begins = cut.copy()
+        begins[first] = True
+        at = np.flatnonzero(begins)
+        end = np.append(at[1:], len(at_word))
+        alone = cut[at] & (end - at == 1) & ends[at_word[at]]
+        met = np.zeros(len(words), bool)
+        met[at_word[at[alone]]] = True
+        known = words[met].tolist()
+        if self.of_pieces:
+            self.learn_words(set(known))
+        values = np.zeros(len(words), np.int64)
+        values[met] = np.fromiter(map(self.words.__getitem__, known), np.int64, len(known))
+        out = np.zeros(len(at), np.int64)
+        out[alone] = values[at_word[at[alone]]]
+        rest = np.flatnonzero(~alone)
+        out[rest] = [self.plain((" " if cut[a] else "") + " ".join(words[at_word[a:b]])) for a, b in zip(at[rest].tolist(), end[rest].tolist(), strict=True)]
+        return np.add.reduceat(out, np.searchsorted(at, first))
+
     def _stretch(self, x: str):
         return self.words[x[1:]] if x[0] == " " and len(x) > 1 and not x[1].isspace() and not x[-1].isspace() else self.plain(x)
 

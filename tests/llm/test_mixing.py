@@ -119,3 +119,29 @@ def test_counts_are_those_of_the_ids():
     texts = ["a\tb c d  e\n\nf 12,345 x-y  ", " lead", "a b\u0085 c,d e", "", " ", "x'll don't 3.14e10 　 z;", "a \x1cb c\x1d d. e", "q9 " * 50 + "zq7x,9 " * 3]
     assert codec.count_all(texts) == [len(codec.values.plain(t)) // 4 for t in texts] and codec.encode_all(texts) == [codec.values.plain(t) for t in texts]
     assert codec.many.count([b"abc", b"", b"zzzz"]) == [len(x) // 4 for x in codec.many.merge([b"abc", b"", b"zzzz"])] and gc.isenabled()
+
+
+def test_a_word_is_looked_up_once_however_often_it_stands():
+    import pyarrow as pa
+
+    from pactlake.llm.pretokens import Memory
+
+    class Watched(Memory):
+        asked = 0
+
+        def __getitem__(self, key):
+            Watched.asked += 1
+            return super().__getitem__(key)
+
+    codec = _codec()
+    codec.counts.words = Watched(codec.counts.words.make)
+    texts = ["start " + "seven words, of which 1234 are-some rare " * 200 + "end"] * 20 + [None, "", "\n lead  and\ttabs \n", "中文" * 40]
+    got = codec.count_all(pa.array(texts))
+    assert Watched.asked <= 10 and got == [len(codec.values.plain(t or "")) // 4 for t in texts]
+
+
+def test_tables_count_as_the_queue_does():
+    rng = random.Random(4)
+    codec = _codec()
+    pieces = [bytes(rng.choices(b" aeinrst.,09\xc3\xa9\xff", k=rng.randint(0, 40))) for _ in range(3000)] + [b"a" * n for n in range(70)]
+    assert codec.many.count(pieces) == [len(byte_bpe.merge(p, codec.ranks)) for p in pieces] and codec.many.count([]) == []
