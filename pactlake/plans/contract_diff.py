@@ -24,9 +24,11 @@ class DocumentDiff:
 
     def __init__(self, specs: DataFrame) -> None:
         self._spark, self._paths = specs.sparkSession, []
-        self.loaded = self._keep(load(specs), BATCH_DOCUMENTS)
-        self.model = Model(self.loaded)
-        self.model.read = self._keep(self.model.raw_operations())
+        # A row an operation; what a document says besides them stands in its first row.
+        found = load(specs, whole=False)
+        read = self._keep(found.select(*[c for c in found.columns if c != "operations"], F.posexplode_outer("operations").alias("at", "o")).withColumn("head", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("head"))), BATCH_DOCUMENTS)
+        self.loaded = read.filter("coalesce(at, 0) = 0").drop("at", "o")
+        self.model = Model(self.loaded, read.filter("at IS NOT NULL").select("pair_id", "side", "o"))
         self._ops = self._keep(self.model.operations())
         self._fields = self._keep(self.model.fields())
         self._params = self._keep(self.model.params())

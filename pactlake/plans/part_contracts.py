@@ -33,21 +33,30 @@ def _text(*pieces) -> Column:
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, side, source, content of both documents of every pair."""
-    p = parts(spark, sf_dir).withColumn("side", F.explode(F.array(F.lit("old"), F.lit("new")))).filter("NOT (c = 4 AND side = 'new') AND NOT (c = 5 AND side = 'old')")
-    new, k, c = F.col("side") == "new", F.col("k").cast("string"), F.col("c")
-    when = lambda case, a, b: F.when((c == case) & new, F.lit(a)).otherwise(F.lit(b))
-    fields = _text(
-        '"name": {"type": "string"}', F.when(new & c.isin(2, 7), "").otherwise(', "price": {"type": "number"}'), when(7, ', "priceCents": {"type": "number"}', ""),
-        ', "size": {"type": "', when(1, "string", "integer"), '"}',
-    )
-    schema = _text('"P', k, '": {"type": "object", "required": ["name"], "properties": {', fields, "}}")
-    # What goes has a request body and what comes a reply: the one can't be the other under a new path.
-    reply = _text('{"200": {"description": "x", "content": {"application/json": {"schema": {"$ref": "#/components/schemas/P', k, '"}}}}}')
-    body = '"requestBody": {"content": {"application/json": {"schema": {"type": "object", "properties": {"weight": {"type": "number"}}}}}}, "responses": {"204": {"description": "x"}}'
-    zone = _text('"parameters": [{"name": "zone", "in": "query", "required": ', when(3, "true", "false"), ', "schema": {"type": "string"}}], "responses": ', reply)
-    operation = _text('"', F.col("path"), '": {"', F.col("method"), '": {"operationId": "part', k, '", "deprecated": ', when(6, "true", "false"), ", ", F.when(c == 4, F.lit(body)).otherwise(zone), "}}")
-    joined = lambda col: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", col.alias("t")))), lambda s: s["t"]), ", ")
-    docs = p.select("pair_id", "side", "k", operation.alias("op"), schema.alias("schema")).groupBy("pair_id", "side").agg(joined(F.col("op")).alias("ops"), joined(F.col("schema")).alias("schemas"))
+    # Parts travel as they are; their texts are made, and read, where a document's parts have met. That costs far more than
+    # the bytes of the parts say: a fixed number of tasks.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    met = parts(spark, sf_dir).repartition(n, "pair_id").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("k", "c", "method", "path"))).alias("p"))
+    sides = met.withColumn("side", F.explode(F.array(F.lit("old"), F.lit("new"))))
+    new = F.col("side") == "new"
+    held = sides.withColumn("p", F.filter("p", lambda x: ~((x["c"] == 4) & new) & ~((x["c"] == 5) & ~new))).filter(F.size("p") > 0)
+
+    def texts(x: Column) -> tuple[Column, Column]:
+        k, c = x["k"].cast("string"), x["c"]
+        when = lambda case, a, b: F.when((c == case) & new, F.lit(a)).otherwise(F.lit(b))
+        fields = _text(
+            '"name": {"type": "string"}', F.when(new & c.isin(2, 7), "").otherwise(', "price": {"type": "number"}'), when(7, ', "priceCents": {"type": "number"}', ""),
+            ', "size": {"type": "', when(1, "string", "integer"), '"}',
+        )
+        schema = _text('"P', k, '": {"type": "object", "required": ["name"], "properties": {', fields, "}}")
+        # What goes has a request body and what comes a reply: the one can't be the other under a new path.
+        reply = _text('{"200": {"description": "x", "content": {"application/json": {"schema": {"$ref": "#/components/schemas/P', k, '"}}}}}')
+        body = '"requestBody": {"content": {"application/json": {"schema": {"type": "object", "properties": {"weight": {"type": "number"}}}}}}, "responses": {"204": {"description": "x"}}'
+        zone = _text('"parameters": [{"name": "zone", "in": "query", "required": ', when(3, "true", "false"), ', "schema": {"type": "string"}}], "responses": ', reply)
+        return _text('"', x["path"], '": {"', x["method"], '": {"operationId": "part', k, '", "deprecated": ', when(6, "true", "false"), ", ", F.when(c == 4, F.lit(body)).otherwise(zone), "}}"), schema
+
+    joined = lambda i: F.array_join(F.transform("p", lambda x: texts(x)[i]), ", ")
+    docs = held.select("pair_id", "side", joined(0).alias("ops"), joined(1).alias("schemas"))
     version = F.when(F.col("side") == "old", "1.0").otherwise("2.0")
     content = _text('{"openapi": "3.0.3", "info": {"title": "Parts of ', F.col("pair_id"), '", "version": "', version, '"}, "paths": {', F.col("ops"), '}, "components": {"schemas": {', F.col("schemas"), "}}}")
     return docs.select("pair_id", "side", _text(F.col("side"), ".json").alias("source"), content.alias("content"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +47,8 @@ def _contract(text: str) -> dict:
     enum and loses its members, which is where walks of a cyclic document stop.
     """
     stripped = text.lstrip("\ufeff \t\r\n")
-    if stripped.startswith(("{", "[")):
+    named = stripped.startswith(("{", "["))  # keys are strings already
+    if named:
         doc = json.loads(stripped)
     else:
         import yaml
@@ -63,7 +64,7 @@ def _contract(text: str) -> dict:
         while isinstance(node, dict) and isinstance(node.get("$ref"), str) and node["$ref"] not in seen:
             seen.add(node["$ref"])
             node = graph.at(node["$ref"]) if node["$ref"].startswith("#/") else None
-        return {str(k): v for k, v in node.items()} if isinstance(node, dict) else {}
+        return {} if not isinstance(node, dict) else node if named else {str(k): v for k, v in node.items()}
 
     def payload(content: dict):
         """Fields of application/json, else of the first type with json in its name, else of the first by name."""
@@ -117,35 +118,108 @@ def _text(v):
     return v if isinstance(v, (str, int, float, bool)) else str(v)
 
 
-def _fields(**kinds: T.DataType) -> T.StructType:
+def _struct(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-_S = T.StringType()
-_FACTS = "type string, schema_fp string, enum_values array<string>"
+_S, _B, _L, _TEXTS = T.StringType(), T.BooleanType(), T.LongType(), T.ArrayType(T.StringType())
+_FACTS = {"type": _S, "schema_fp": _S, "enum_values": _TEXTS}
+_FIELDS = T.ArrayType(_struct(pointer=_S, name=_S, parent=_S, required=_B, **_FACTS))
+_PARAMS = T.ArrayType(_struct(location=_S, name=_S, required=_B, ord=_L, **_FACTS))
+#: What an operation says of itself, and an operation as it leaves Python.
+OWN = {"op_key": _S, "path": _S, "method": _S, "ord": _L, "operation_id": _S, "deprecated": _B, "security": _TEXTS, "own_security": _B, "request_types": _TEXTS, "response_types": _TEXTS, "statuses": _TEXTS}
+OPERATION = _struct(**OWN, params=_PARAMS, request=_FIELDS, response=_FIELDS)
+_PARSED = _struct(doc=_S, head=_S, operations=T.ArrayType(OPERATION), problem=_S)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(pa.field("element", _arrow(kind.elementType)))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind])
+    return {_S: pa.string(), _B: pa.bool_(), _L: pa.int64()}[kind]
+
+
+#: Ranks of an operation's own parameters begin here, after those that its path shares.
+OWN_PARAMS = 100_000
+
+
+def _said(v) -> str | None:
+    """A value of a contract as the text it has there."""
+    return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str, separators=(",", ":"))
+
+
+def _true(v) -> bool:
+    return v is True or v == "true"
+
+
+def _required_names(security) -> list[str]:
+    """The schemes that a list of requirements names; anything else requires none."""
+    asked = json.loads(_json(security)) if isinstance(security, list) else None
+    return sorted({k for m in asked for k in m}) if isinstance(asked, list) and all(isinstance(m, dict) for m in asked) else []
+
+
+def _operations(contract: dict) -> list[dict]:
+    """The operations of a contract, each with its parameters (an own one hides the shared one of its name) and payload fields."""
+    whole, out = _required_names(contract.get("security")), []
+    for at, (path, item) in enumerate(contract["paths"].items()):
+        shared = list(enumerate(item.get("parameters") or ()))
+        for place, method in enumerate(METHODS):
+            o = item.get(method)
+            if o is None:
+                continue
+            params: dict[tuple[str, str], dict] = {}
+            for rank, p in [*shared, *enumerate(o.get("parameters") or (), OWN_PARAMS)]:
+                name, location = _said(p["name"]), _said(p["in"])
+                if name is not None and location in LOCATIONS:
+                    first = params.get((location, name), {"ord": rank})["ord"]
+                    params[location, name] = {"location": location, "name": name, "required": _true(p["required"]), "ord": first, **p["schema"]}
+            body, replies = o.get("requestBody") or {}, o["responses"]
+            good = replies.get(min((s for s in replies if s.startswith("2")), default=None)) or {}
+            out.append({
+                "op_key": f"{method.upper()} {path}", "path": path, "method": method, "ord": at * 8 + place, "operation_id": _said(o.get("operationId")), "deprecated": _true(o.get("deprecated")),
+                "security": _required_names(o["security"]) if "security" in o else whole, "own_security": "security" in o,
+                "request_types": sorted(body.get("content", ())), "response_types": sorted(good.get("content", ())), "statuses": sorted(replies),
+                "params": list(params.values()), "request": body.get("payload"), "response": good.get("payload"),
+            })
+    return out
 
 
-@F.pandas_udf(_fields(doc=_S, head=_S, problem=_S))
-def parse_document(content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in content:
+def _parsed(texts: pa.Array, whole: bool) -> pa.Array:
+    """doc (where `whole`), head, operations and problem of each text."""
+    kind, rows = _arrow(_PARSED), []
+    for text in texts.to_pylist():
         try:
             said = _contract(text or "")
-            rows.append((_json(said), _json({k: v for k, v in said.items() if k != "paths"}), None))
+            row = {"doc": _json(said) if whole else None, "head": _json({k: v for k, v in said.items() if k != "paths"}), "operations": _operations(said)}
+            rows.append(pa.array([row], kind))
         except Exception as e:  # a bad document is a row with its problem, not a failed job
-            rows.append((None, None, f"{type(e).__name__}: {e}"[:300]))
-    return pd.DataFrame(rows, columns=["doc", "head", "problem"])
+            rows.append(pa.array([{"problem": f"{type(e).__name__}: {e}"[:300].encode("utf-8", "replace").decode()}], kind))
+    return pa.concat_arrays(rows) if rows else pa.array([], kind)
+
+
+@F.arrow_udf(_PARSED)
+def parse_document(content: pa.Array) -> pa.Array:
+    return _parsed(content, True)
+
 
+@F.arrow_udf(_PARSED)
+def parse_operations(content: pa.Array) -> pa.Array:
+    return _parsed(content, False)
 
-def load(specs: DataFrame) -> DataFrame:
-    """specs: pair_id, side, source, content. Adds doc, head (doc without its paths), problem, title, version, primary_server; bad rows keep a problem, and
-    those that came with one their own."""
+
+def load(specs: DataFrame, whole: bool = True) -> DataFrame:
+    """specs: pair_id, side, source, content. Adds doc, head (doc without its paths), operations (see OPERATION), problem, title, version, primary_server; bad
+    rows keep a problem, and those that came with one their own; neither have operations. Not `whole`: without doc."""
     unread = F.col("problem") if "problem" in specs.columns else F.lit(None).cast("string")
     specs = specs.withColumn("_unread", unread).drop("problem")
-    parsed = specs.withColumn("p", parse_document("content")).select(*[c for c in specs.columns if c != "content"], "p.doc", "p.head", "p.problem")
+    parse, made = (parse_document, ("doc", "head", "operations")) if whole else (parse_operations, ("head", "operations"))
+    parsed = specs.withColumn("p", parse("content")).select(*[c for c in specs.columns if c != "content"], *[f"p.{c}" for c in made], "p.problem")
     get = lambda p: F.get_json_object("head", p)
     version = F.when(F.col("problem").isNull() & get("$.openapi").isNull(), F.when(get("$.swagger").isNotNull(), "Swagger 2.0 is not supported").otherwise("no openapi version"))
-    return parsed.withColumn("problem", F.coalesce("_unread", "problem", version)).drop("_unread").withColumns({
+    judged = parsed.withColumn("problem", F.coalesce("_unread", "problem", version)).drop("_unread")
+    return judged.withColumns({
+        "operations": F.when(F.col("problem").isNull(), F.col("operations")),
         "title": F.coalesce(get("$.info.title"), F.lit("untitled api")), "version": F.coalesce(get("$.info.version"), F.lit("unknown")), "primary_server": get("$.servers[0].url"),
     })
 
@@ -162,11 +236,11 @@ def _keys(text):
 class Model:
     """Normalised tables of loaded documents (rows with a problem are left out).
 
-    `read`: raw_operations where they are written, so that documents are taken apart once and not for every table.
+    `read`: raw_operations where they are written, a row an operation.
     """
 
-    def __init__(self, loaded: DataFrame) -> None:
-        self.docs, self.read = loaded.filter("problem IS NULL").select("pair_id", "side", "doc", "head"), None
+    def __init__(self, loaded: DataFrame, read: DataFrame | None = None) -> None:
+        self.docs, self.read = loaded.filter("problem IS NULL"), read
 
     def servers(self) -> DataFrame:
         got = self.docs.select("pair_id", "side", F.posexplode(F.from_json(F.get_json_object("head", "$.servers"), "array<struct<url:string>>")).alias("pos", "s"))
@@ -188,48 +262,22 @@ class Model:
     def raw_operations(self) -> DataFrame:
         if self.read is not None:
             return self.read
-        paths = self.docs.select("pair_id", "side", F.get_json_object("head", "$.security").alias("doc_security"), F.posexplode(_map(F.get_json_object("doc", "$.paths"))).alias("ppos", "path", "item"))
-        items = paths.withColumn("m", _map(F.col("item")))
-        ops = items.select("*", F.posexplode(F.array(*map(F.lit, METHODS))).alias("mpos", "method")).withColumn("operation", F.element_at("m", F.col("method"))).filter("operation IS NOT NULL")
-        return ops.select("pair_id", "side", F.concat_ws(" ", F.upper("method"), "path").alias("op_key"), "path", "method", (F.col("ppos") * 8 + F.col("mpos")).alias("ord"), F.element_at("m", F.lit("parameters")).alias("shared_params"), "operation", "doc_security")
+        return self.docs.select("pair_id", "side", F.explode("operations").alias("o"))
 
     def operations(self) -> DataFrame:
-        g = lambda p: F.get_json_object("operation", p)
-        ops = self.raw_operations().withColumn("o", _map(F.col("operation")))
-        own = F.map_contains_key("o", F.lit("security"))
-        ok = _success(g("$.responses"))
-        return ops.select(
-            "pair_id", "side", "op_key", "path", "method", "ord", g("$.operationId").alias("operation_id"), F.coalesce(g("$.deprecated") == "true", F.lit(False)).alias("deprecated"),
-            F.when(own, _requirement_names(F.element_at("o", F.lit("security")))).otherwise(_requirement_names(F.col("doc_security"))).alias("security"), own.alias("own_security"),
-            _keys(g("$.requestBody.content")).alias("request_types"), _keys(F.get_json_object(ok, "$.content")).alias("response_types"), _keys(g("$.responses")).alias("statuses"),
-        )
+        return self.raw_operations().select("pair_id", "side", *[f"o.{c}" for c in OWN])
 
     def params(self) -> DataFrame:
-        rows = self.raw_operations()
-        side = lambda text, level: rows.select("pair_id", "side", "op_key", F.lit(level).alias("level"), F.posexplode(F.from_json(text, "array<string>")).alias("pos", "p"))
-        both = side(F.col("shared_params"), 0).unionByName(side(F.get_json_object("operation", "$.parameters"), 1))
-        g = lambda p: F.get_json_object("p", p)
-        named = both.select("pair_id", "side", "op_key", (F.col("level") * 100000 + F.col("pos")).alias("at"), g("$.name").alias("name"), g("$.in").alias("location"), F.coalesce(g("$.required") == "true", F.lit(False)).alias("required"), g("$.schema").alias("schema"))
-        named = named.filter(F.col("name").isNotNull() & F.col("location").isin(*LOCATIONS))
-        last = named.groupBy("pair_id", "side", "op_key", "location", "name").agg(F.max_by(F.struct("required", "schema"), "at").alias("r"), F.min("at").alias("ord"))
-        typed = last.select("pair_id", "side", "op_key", "location", "name", "r.required", "ord", F.from_json("r.schema", _FACTS).alias("f"))
-        return typed.select("pair_id", "side", "op_key", "location", "name", "required", "ord", "f.type", "f.enum_values")
+        rows = self.raw_operations().select("pair_id", "side", "o.op_key", F.explode("o.params").alias("p"))
+        return rows.select("pair_id", "side", "op_key", *[f"p.{c}" for c in ("location", "name", "required", "ord", "type", "enum_values")])
 
     def fields(self) -> DataFrame:
         """Payload fields in reading order."""
-        g = lambda p: F.get_json_object("operation", p)
-        bodies = F.array(F.struct(F.lit("request").alias("d"), g("$.requestBody.payload").alias("c")), F.struct(F.lit("response").alias("d"), F.get_json_object(_success(g("$.responses")), "$.payload").alias("c")))
-        both = self.raw_operations().select("pair_id", "side", "op_key", F.explode(bodies).alias("b")).filter("b.c IS NOT NULL")
-        kind = f"array<struct<pointer string, name string, parent string, required boolean, {_FACTS}>>"
-        return both.select("pair_id", "side", "op_key", F.col("b.d").alias("direction"), F.posexplode(F.from_json("b.c", kind)).alias("ord", "f")).select("pair_id", "side", "op_key", "direction", "ord", "f.*")
+        bodies = F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"o.{d}").alias("c")) for d in ("request", "response")])
+        both = self.raw_operations().select("pair_id", "side", "o.op_key", F.explode(bodies).alias("b"))
+        return both.select("pair_id", "side", "op_key", F.col("b.d").alias("direction"), F.posexplode("b.c").alias("ord", "f")).select("pair_id", "side", "op_key", "direction", "ord", "f.*")
 
 
 def _requirement_names(text):
     names = F.transform(F.from_json(text, f"array<{SCHEMA_MAP}>"), lambda m: F.map_keys(m))
     return F.coalesce(F.array_sort(F.array_distinct(F.flatten(names))), F.array().cast("array<string>"))
-
-
-def _success(responses):
-    """The response of the lowest status that starts with 2."""
-    ok = F.filter(F.map_entries(_map(responses)), lambda e: e["key"].startswith("2"))
-    return F.get(F.array_sort(ok), F.lit(0))["value"]
