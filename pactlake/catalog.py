@@ -324,10 +324,10 @@ def field_rename_ambiguous(spark, sf_dir):
     return found.select("op", F.col("f.direction").alias("direction"), F.col("f.ord").alias("from_ord"), F.col("t.ord").alias("to_ord"))
 
 
-def _field_changes(spark, sf_dir, only: str | None = None) -> DataFrame:
+def _field_changes(spark, sf_dir, only: str | None = None, folded: bool = False) -> DataFrame:
     ctx, o, n = _view(spark, sf_dir, "contexts", "fields_old", "fields_new")
     none = F.lit(None).cast("array<string>")
-    return diff.field_changes(ctx, o.withColumn("enum_values", none), n.withColumn("enum_values", none), only)
+    return diff.field_changes(ctx, o.withColumn("enum_values", none), n.withColumn("enum_values", none), only, folded)
 
 
 def _param_changes(spark, sf_dir, only: str | None = None) -> DataFrame:
@@ -431,7 +431,7 @@ def params_added_required_all(spark, sf_dir):
 @query()
 def field_diff(spark, sf_dir):
     """All field changes with cascades folded, in report order."""
-    return changes.sort_changes(cascade.suppress_cascades(_field_changes(spark, sf_dir)))
+    return changes.sort_changes(_field_changes(spark, sf_dir, folded=True))
 
 
 # ---- rename inference of operations ----
