@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -119,8 +120,8 @@ class Merger:
         """Ids of each pre-token, as little-endian unsigned 32-bit numbers."""
         token, owner = self._merged(pieces)
         data = token.astype("<u4").tobytes()
-        end = (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
-        return [data[a:b] for a, b in zip([0, *end[:-1]], end, strict=True)]
+        at = [0, *(4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()]
+        return [data[a:b] for a, b in pairwise(at)]
 
     def count(self, pieces: list[bytes]) -> list[int]:
         """Tokens of each pre-token. Short ones of one length are rows of a table, which loses a column with each merge."""

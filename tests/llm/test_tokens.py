@@ -119,6 +119,19 @@ def test_remembered_words_equal_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text), repr(text)
 
 
+def test_slices_that_bring_nothing_new():
+    """No word, no new word, or new ones that are all whole tokens: nothing is left for the queue."""
+    with open(RANKS, "rb") as f:
+        ranks = byte_bpe.load_ranks(f.read())
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = byte_bpe.Codec(ranks, public_tokenizers.PATTERN)
+    assert codec.many.merge([]) == [] and codec.many.count([]) == []
+    for texts in ([], [""], [" ", "\n"], ["the and of"], ["antidisestablishmentarianism twice"], ["twice antidisestablishmentarianism"]):
+        want = [library.encode_ordinary(t) for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all(texts)] == want
+        assert codec.count_all(texts) == [len(x) for x in want]
+
+
 def test_prefix_tables_and_cuts_equal_library(spark):
     """Counts of prefixes that end with a pre-token are the library's; within one, those of its own bytes."""
     library = tokenizers.Tokenizer.from_file(VOCABULARY)
