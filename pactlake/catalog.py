@@ -464,8 +464,8 @@ c AS (SELECT r.ord AS from_ord, a.ord AS to_ord, {_SIM.format(_STRIP.format('r.p
 d AS (SELECT *, (CAST(k AS DOUBLE) / (6 - k) + 1) / 2 AS m FROM c) SELECT from_ord, to_ord, round(s, 9) AS similarity, round(m, 9) AS resemblance FROM d WHERE s >= 0.5 AND m >= 0.6""")
 def op_rename_by_similarity(spark, sf_dir):
     r, a = _lost_and_won(spark, sf_dir)
-    found = matching.likely_pairs(r, a)
-    return found.select("from_ord", "to_ord", F.round("close", 9).alias("similarity"), F.round("alike", 9).alias("resemblance"))
+    found = matching.likely_pairs(r, a, digits=9)
+    return found.select("from_ord", "to_ord", F.col("close").alias("similarity"), F.col("alike").alias("resemblance"))
 
 
 @query()

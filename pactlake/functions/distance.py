@@ -11,6 +11,8 @@ import numpy as np
 
 #: Rows of the table in one word, and columns that are moved on at once, about: they should stay in a processor's cache.
 WORD, AT_ONCE = 64, 1 << 15
+#: Of so many pairs one at most may be left by their marks, as a pair alone costs several times one of all.
+LEFT = 10
 _ONE, _ALL = np.uint64(1), ~np.uint64(0)
 
 
@@ -112,8 +114,11 @@ def all_pairs(patterns: Patterns, strings: list[str]):
 
 def pair_by_pair(patterns: Patterns, strings: list[str], of_pattern: np.ndarray, of_string: np.ndarray) -> np.ndarray:
     """The distance of each pair of a pattern and a string, by their numbers."""
+    return _by_pair(patterns, *patterns.texts(strings), of_pattern, of_string)
+
+
+def _by_pair(patterns: Patterns, texts: np.ndarray, sizes: np.ndarray, of_pattern: np.ndarray, of_string: np.ndarray) -> np.ndarray:
     out = np.empty(len(of_pattern), np.int64)
-    texts, sizes = patterns.texts(strings)
     order = np.argsort(-sizes[of_string], kind="stable")
     for a in range(0, len(order), AT_ONCE):
         some = order[a : a + AT_ONCE]
@@ -124,3 +129,51 @@ def pair_by_pair(patterns: Patterns, strings: list[str], of_pattern: np.ndarray,
             _moved([x[: upto[d]] for x in rises], [x[: upto[d]] for x in falls], [b[rows[: upto[d], d - 1], p[: upto[d]]] for b in patterns.bits])
         out[some] = _last(rises, falls, patterns.mask[:, p], size)
     return out
+
+
+def marks(strings: list[str]) -> np.ndarray:
+    """64 bits that say which characters a string has how often: an edit changes two of them at most."""
+    flat, size = _codes(strings)
+    row = np.repeat(np.arange(len(strings)), size)
+    order = np.lexsort((flat, row))
+    flat, row = flat[order].astype(np.uint64), row[order]
+    first = np.ones(len(flat), bool)
+    first[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+    at = np.arange(len(flat))
+    often = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    bit = (flat * np.uint64(0x9E3779B97F4A7C15) + often * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(58)
+    out = np.zeros(len(strings), np.uint64)
+    np.bitwise_or.at(out, row, _ONE << bit)
+    return out
+
+
+def within(patterns: Patterns, pattern_marks: np.ndarray, strings: list[str], string_marks: np.ndarray, limit: np.ndarray):
+    """(numbers of patterns, numbers of strings, distances) of the pairs whose distance is no more than `limit`, by the string's
+    length and the pattern's number. Where marks leave few pairs, only those are compared."""
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    twice, step, found, n = (2 * limit).astype(np.int32), max(1, AT_ONCE // len(patterns.size)), [], 0
+    texts = None
+
+    def judged():
+        i, j = map(np.concatenate, zip(*found, strict=True))
+        d = _by_pair(patterns, *texts, i, j)
+        near = d <= limit[size[j], i]
+        return i[near], j[near], d[near]
+
+    for a in range(0, len(strings), step):
+        may = np.bitwise_count(string_marks[a : a + step, None] ^ pattern_marks) <= twice[size[a : a + step]]
+        j, i = np.nonzero(may)
+        if not a:
+            if LEFT * len(i) > may.size:
+                for some, d in all_pairs(patterns, strings):
+                    j, i = np.nonzero(d <= limit[size[some]])
+                    yield i, some[j], d[j, i]
+                return
+            texts = patterns.texts(strings)
+        found.append((i, a + j))
+        n += len(i)
+        if n > AT_ONCE:
+            yield judged()
+            found, n = [], 0
+    if n:
+        yield judged()

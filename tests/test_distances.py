@@ -32,6 +32,20 @@ def test_distances_equal_a_loop(monkeypatch, letters, longest):
         assert (distance.pair_by_pair(distance.Patterns(a), b, i, j) == want.ravel()).all()
 
 
+def test_marks_lose_no_pair(monkeypatch):
+    """Pairs within a limit, whether marks leave few pairs or not."""
+    rng = random.Random(2)
+    a, b = (["".join(rng.choice("abcdefgh/12") for _ in range(rng.randint(0, 14))) for _ in range(60)] for _ in "ab")
+    b += [x[:-1] for x in a[:20]] + ["9" + x for x in a[20:40]]
+    full = {(i, j): plain(x, y) for i, x in enumerate(a) for j, y in enumerate(b)}
+    for most, left, at_once in itertools.product((0, 2, 5), (0, 1 << 40), (70, 1 << 15)):
+        monkeypatch.setattr(distance, "LEFT", left)
+        monkeypatch.setattr(distance, "AT_ONCE", at_once)
+        limit = np.full((16, len(a)), most)
+        got = {(i, j): d for x in distance.within(distance.Patterns(a), distance.marks(a), b, distance.marks(b), limit) for i, j, d in zip(*(y.tolist() for y in x), strict=True)}
+        assert got == {k: d for k, d in full.items() if d <= most} and got
+
+
 def likely(r, a):
     """(from_ord, to_ord, close, alike) of all pairs, by a loop."""
     jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0
